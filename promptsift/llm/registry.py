@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptsift.llm import bpe, quality
+from promptsift.llm import bpe, packing, quality, wavelet
 from promptsift.llm.common import table
 
 
@@ -23,8 +23,16 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_quality_rules, op6_bpe)}
+    return {f.__name__: f for f in (op5_quality_rules, op6_bpe, op7_packing, op9_wavelet)}
 
 
 def oracle_sql() -> dict[str, str]:
