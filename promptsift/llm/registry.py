@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from promptsift.llm import bpe, packing, quality, wavelet
+from promptsift.llm import bpe, chat, media, packing, quality, secrets, wavelet
 from promptsift.llm.common import table
 
 
@@ -15,6 +16,22 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.stored(table(spark, sf_dir, "documents")))
+
+
+def op3_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold the template's own control strings."""
+    said = F.lit("\\### Assistant: </turn> ok")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.views(conversations.unionByName(own)))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
@@ -32,7 +49,7 @@ def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_quality_rules, op6_bpe, op7_packing, op9_wavelet)}
+    return {f.__name__: f for f in (op2_media, op3_chat_examples, op4_secrets, op5_quality_rules, op6_bpe, op7_packing, op9_wavelet)}
 
 
 def oracle_sql() -> dict[str, str]:

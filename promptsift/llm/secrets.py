@@ -1,0 +1,204 @@
+"""Secret scans: fixed patterns, and a battery of randomness tests for tokens without one.
+
+A token is a run of 20 or more characters of the base64 alphabets. Its encoding is inferred
+from the characters it has (hexadecimal, base32, base36, base62, base64). Against a uniform
+draw from that alphabet it is tested by a chi-squared of character classes and of equal
+slices of the alphabet, by the runs above and below the alphabet's middle, and by the serial
+correlation of neighbours; Fisher's method joins the four. A token that fails this battery
+isn't random. Those that pass may still be ordinary text too short to fail it: for each, the
+binomial tail of its digits and capitals under ordinary text gives a second p-value, and the
+tokens of a document go through the Benjamini-Hochberg procedure, each p-value weighted by
+its token's length. What it lets through is added to the spans, unless it overlaps a base one.
+
+Results for edge cases: a null or empty text has no spans; equal texts have equal spans; a
+text of any length is scanned whole. Spans are in code points, ends exclusive.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from promptsift.llm.common import fresh, text_column
+
+#: Base kinds in their order.
+KINDS = ("assign", "access", "hex")
+_ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
+_ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
+_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
+_UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+
+#: Least joint p-value of the battery that counts as random.
+RANDOM = 0.001
+#: Expected share of ordinary text among the spans that are added.
+FALSE = 0.001
+#: Share of digits and capitals in ordinary text.
+ORDINARY = 0.15
+
+_DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Encodings from the narrowest: characters in order, and the lengths of the classes among them.
+ENCODINGS = {
+    "hex": (_DIGITS + "abcdef", (10, 6)),
+    "HEX": (_DIGITS + "ABCDEF", (10, 6)),
+    "base32": (_UPPER + "234567", (26, 6)),
+    "base36": (_DIGITS + _LOWER, (10, 26)),
+    "BASE36": (_DIGITS + _UPPER, (10, 26)),
+    "base62": (_DIGITS + _UPPER + _LOWER, (10, 26, 26)),
+    "base64": (_DIGITS + _UPPER + _LOWER + "+/", (10, 26, 26, 2)),
+    "base64url": (_DIGITS + _UPPER + _LOWER + "-_", (10, 26, 26, 2)),
+}
+_SETS = {name: frozenset(chars) for name, (chars, _) in ENCODINGS.items()}
+COLUMNS = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+
+
+def base_spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, kind's place, kind:start:end) of the fixed patterns, by start, then kind."""
+    found = []
+    low = text.lower()
+    if any(w in low for w in _WORDS):
+        found += [(m.start(), m.end(), 0) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
+    if "AKIA" in text:
+        found += [(m.start(), m.end(), 1) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
+    found += [(m.start(), m.end(), 2) for m in _HEX.finditer(text)]
+    return sorted(found, key=lambda x: (x[0], x[2]))
+
+
+def encoding_of(token: str) -> str | None:
+    """The narrowest encoding with all of the token's characters; None for a number or none."""
+    used = set(token)
+    if used <= set(_DIGITS):
+        return None
+    return next((name for name, chars in _SETS.items() if used <= chars), None)
+
+
+def _chi_tail(x: float, k: int) -> float:
+    """P(chi-squared of k degrees > x), by the cube-root normal approximation."""
+    z = ((x / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+def _two_sided(z: float) -> float:
+    return math.erfc(abs(z) / math.sqrt(2))
+
+
+def battery(token: str, encoding: str) -> dict[str, float]:
+    """p-values under a uniform draw from the encoding's alphabet."""
+    chars, classes = ENCODINGS[encoding]
+    m, n = len(chars), len(token)
+    at = [chars.index(c) for c in token]
+    edges = [sum(classes[: k + 1]) for k in range(len(classes))]
+    by_class = [0] * len(classes)
+    for x in at:
+        by_class[next(k for k, e in enumerate(edges) if x < e)] += 1
+    if len(classes) > 3:  # the two symbols are too few to expect any
+        by_class, classes = [by_class[0] + by_class[3], *by_class[1:3]], (classes[0] + classes[3], *classes[1:3])
+    out = {"classes": _chi_tail(sum((o - n * c / m) ** 2 / (n * c / m) for o, c in zip(by_class, classes)), len(classes) - 1)}
+    slices = max(2, min(m, n // 5))
+    counts = [0] * slices
+    for x in at:
+        counts[x * slices // m] += 1
+    expected = [n * len(range(-(-k * m // slices), -(-(k + 1) * m // slices))) / m for k in range(slices)]
+    out["uniform"] = _chi_tail(sum((o - e) ** 2 / e for o, e in zip(counts, expected)), slices - 1)
+    above = [2 * x >= m for x in at]
+    ones = sum(above)
+    zeros = n - ones
+    runs = 1 + sum(a != b for a, b in zip(above, above[1:]))
+    mean = 1 + 2 * ones * zeros / n
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    out["runs"] = _two_sided((runs - mean) / math.sqrt(spread)) if spread > 0 else 0.0
+    mid = sum(at) / n
+    square = sum((x - mid) ** 2 for x in at)
+    serial = sum((a - mid) * (b - mid) for a, b in zip(at, at[1:])) / square if square else 1.0
+    out["serial"] = _two_sided((serial + 1 / n) * math.sqrt(n))
+    return out
+
+
+def joint(p_values) -> float:
+    """Fisher's method."""
+    p = [max(x, 1e-300) for x in p_values]
+    half = -sum(map(math.log, p))
+    term = total = 1.0
+    for k in range(1, len(p)):
+        term *= half / k
+        total += term
+    return math.exp(-half) * total
+
+
+def ordinary(token: str) -> float:
+    """The chance of so many digits and capitals in ordinary text of this length."""
+    n, odd = len(token), sum(c.isdigit() or c.isupper() for c in token)
+    log = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(ORDINARY) + (n - k) * math.log(1 - ORDINARY) for k in range(odd, n + 1)]
+    return min(1.0, math.fsum(map(math.exp, log)))
+
+
+def discoveries(tokens: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The (start, end) of those that are secrets, by the weighted Benjamini-Hochberg procedure.
+
+    It covers all tokens of the document; weights are lengths over their mean.
+    """
+    if not tokens:
+        return []
+    mean = sum(len(t) for _, _, t in tokens) / len(tokens)
+    ranked = sorted((ordinary(t) * mean / len(t), start, end, t) for start, end, t in tokens)
+    last = max((k for k, x in enumerate(ranked, 1) if x[0] <= FALSE * k / len(ranked)), default=0)
+    found = []
+    for _, start, end, token in ranked[:last]:
+        if (encoding := encoding_of(token)) and not _UUID.fullmatch(token) and joint(battery(token, encoding).values()) >= RANDOM:
+            found.append((start, end))
+    return found
+
+
+def spans_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans, and base and added spans: (start, end, kind's place)."""
+    base = base_spans(text)
+    tokens = [(m.start(), m.end(), m[0].rstrip("=")) for m in _TOKEN.finditer(text)]
+    added = [(a, b, len(KINDS)) for a, b in discoveries(tokens) if not any(s < b and a < e for s, e, _ in base)]
+    return base, sorted(base + added, key=lambda x: (x[0], x[2]))
+
+
+def _written(spans: list[tuple[int, int, int]]) -> str:
+    names = (*KINDS, "random")
+    return ",".join(f"{names[k]}:{a}:{b}" for a, b, k in spans)
+
+
+def scan(text: str | None) -> tuple:
+    """The values of COLUMNS for one text."""
+    base, spans = spans_of(text or "")
+    n = [sum(k == kind for _, _, k in base) for kind in range(len(KINDS))]
+    return *n, hashlib.sha256(_written(base).encode()).hexdigest(), _written(spans)
+
+
+def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
+    """The text with each span, or run of overlapping spans, replaced by the mark."""
+    if not text:
+        return text
+    out, at = [], 0
+    for a, b, _ in spans_of(text)[1]:
+        if a >= at:
+            out += [text[at:a], mark]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id and COLUMNS."""
+    column = text_column(lambda texts: [scan(t) for t in texts], COLUMNS)
+    return docs.select("doc_id", column(F.col("text")).alias("s")).select("doc_id", "s.*")
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, without secrets in text; n_chars, where there is one, follows it."""
+    column = text_column(lambda texts: [(redact(t),) for t in texts], "text string")
+    s = fresh(docs, "redacted")
+    out = docs.withColumn(s, column(F.col("text")))
+    changed = {"text": F.col(s)["text"]}
+    if "n_chars" in docs.columns:
+        same = F.col(s)["text"].eqNullSafe(F.col("text"))
+        changed["n_chars"] = F.when(same, F.col("n_chars")).otherwise(F.length(F.col(s)["text"])).cast(docs.schema["n_chars"].dataType)
+    return out.withColumns(changed).drop(s)
