@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptsift.llm import bpe, chat, media, packing, quality, secrets, wavelet
+from promptsift.llm import bpe, chat, media, packing, quality, secrets, simhash, wavelet
 from promptsift.llm.common import table
 
 
@@ -16,6 +16,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.grouped(table(spark, sf_dir, "documents"))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.stored(table(spark, sf_dir, "documents")))
 
@@ -49,7 +53,7 @@ def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_media, op3_chat_examples, op4_secrets, op5_quality_rules, op6_bpe, op7_packing, op9_wavelet)}
+    return {f.__name__: f for f in (op1_simhash, op2_media, op3_chat_examples, op4_secrets, op5_quality_rules, op6_bpe, op7_packing, op9_wavelet)}
 
 
 def oracle_sql() -> dict[str, str]:
