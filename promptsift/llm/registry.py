@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptsift.llm import bpe, chat, media, packing, quality, secrets, simhash, wavelet
+from promptsift.llm import bpe, chat, media, packing, quality, secrets, simhash, url_rules, wavelet
 from promptsift.llm.common import table
 
 
@@ -52,8 +52,12 @@ def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_media, op3_chat_examples, op4_secrets, op5_quality_rules, op6_bpe, op7_packing, op9_wavelet)}
+    return {f.__name__: f for f in (op1_simhash, op2_media, op3_chat_examples, op4_secrets, op5_quality_rules, op6_bpe, op7_packing, op9_wavelet, op10_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
