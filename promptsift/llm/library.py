@@ -3,7 +3,8 @@
 Texts are cut where no token can reach over: at white space for a tokenizer that drops it,
 at single spaces and line ends for a byte-level one. What was encoded is kept by chunk, up
 to ``CACHE`` entries for a Python worker. Texts with other white space at such places are
-encoded whole by the library.
+encoded whole by the library. New words of letters alone go to it in one line, which is
+cut again at the tokens that begin or end a word.
 """
 
 from __future__ import annotations
@@ -14,7 +15,11 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-CACHE = 500_000
+import numpy as np
+
+CACHE = 1_200_000
+#: What may stand after a word as a piece of its own.
+STOPS = (".", ",")
 #: Characters of text that are encoded together.
 GROUP = 2_000_000
 _ODD = re.compile(r"[^\S \n]|[\x1c-\x1f]")
@@ -46,24 +51,59 @@ class Library:
         self.byte_level = byte_level
         self.chunks = spaced_chunks if byte_level else dropped_chunks
         self.cache: dict[str, bytes | None] = {}
+        self.stops = dict(zip(STOPS, self.whole(list(STOPS))))
+        # tokens that begin (byte-level) or else end a word of a line of plain words
+        vocab = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocab.values()) + 1, bool)
+        self.edge[[i for s, i in vocab.items() if (s[:1] == "\u0120" if byte_level else s.endswith("</w>"))]] = True
+        self.line_end = np.zeros_like(self.edge)
+        if byte_level:
+            self.line_end[vocab["\u010a"]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _learn(self, chunks: set[str]) -> None:
-        new = chunks - self.cache.keys()
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = chunks
-        new = list(new)
+    def _cut(self, line: str, edge: np.ndarray, words: list[str], ends: bool) -> list[bytes]:
+        """The ids of each word in the line; each has one edge token, at its end or its start."""
+        ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+        edges = np.flatnonzero(edge[ids])
+        if len(edges) != len(words):
+            return self.whole(words)
+        cuts = [0, *(4 * edges + 4).tolist()] if ends else (4 * edges).tolist() + [4 * len(ids)]
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Of words of letters alone, with the space before them if this is byte-level."""
         if not self.byte_level:
-            self.cache.update(zip(new, self.whole(new)))
-            return
-        odd = [c for c in new if _ODD.search(c)]
-        self.cache.update(dict.fromkeys(odd))
-        good = [c for c in new if c not in self.cache] if odd else new
-        self.cache.update(zip(good, self.whole([c if c[:1] == "\n" else " " + c for c in good])))
+            return self._cut(" ".join(words), self.edge, words, True)
+        spaced = [" " + w for w in words]
+        return self._cut("".join(spaced), self.edge, spaced, False)
+
+    def _learn(self, new: set[str], texts: list[list[str] | None]) -> None:
+        cache = self.cache
+        if len(cache) + len(new) > CACHE:  # keep what is in use
+            used = set().union(*(c for c in texts if c is not None))
+            self.cache = cache = {c: cache[c] for c in used & cache.keys()}
+        # lower-casing may end a word by a mark, which then goes with what follows
+        stopped = [c for c in new if c[-1:] in self.stops and c[:-1].isalpha() and (c.isascii() or c[:-1].lower().isalpha())]
+        words = {c for c in new if c.isalpha()}
+        words.update(w for c in stopped if (w := c[:-1]) not in cache)
+        line = list(words)
+        cache.update(zip(line, self._words(line)))
+        cache.update((c, cache[c[:-1]] + self.stops[c[-1]]) for c in stopped)
+        rest = [c for c in new if c not in cache]
+        if self.byte_level:
+            starts = [c for c in rest if c[0] == "\n" and c[1:].isalpha()]
+            cache.update(zip(starts, self._cut("".join(starts), self.line_end, starts, False)))
+            rest = [c for c in rest if c not in cache]
+            odd = {c for c in rest if _ODD.search(c)}
+            cache.update(dict.fromkeys(odd))
+            rest = [c for c in rest if c not in odd]
+            cache.update(zip(rest, self.whole([c if c[:1] == "\n" else " " + c for c in rest])))
+        else:
+            cache.update(zip(rest, self.whole(rest)))
 
     def _group(self, texts: list[str]) -> list[bytes]:
         cut = [self.chunks(t) for t in texts]
@@ -71,15 +111,34 @@ class Library:
         if self.byte_level:
             at = [k for k, c in enumerate(cut) if c is not None]
             firsts = dict(zip(at, self.whole([cut[k].pop(0) for k in at])))
-        self._learn(set().union(*(c for c in cut if c is not None)))
+        new: set[str] = set()
+        found: list[tuple[list, list[int]]] = []
+        for chunks in cut:
+            got = list(map(self.cache.get, chunks or ()))
+            gaps = [i for i, g in enumerate(got) if g is None] if None in got else []
+            new.update(chunks[i] for i in gaps)
+            found.append((got, gaps))
+        self._learn(new, cut)
         out: list[bytes] = []
-        for k, chunks in enumerate(cut):
+        for k, (chunks, (got, gaps)) in enumerate(zip(cut, found)):
+            for i in gaps:
+                got[i] = self.cache[chunks[i]]
             try:
-                out.append(self.whole([texts[k]])[0] if chunks is None else firsts.get(k, b"") + b"".join(map(self.cache.__getitem__, chunks)))
+                out.append(self.whole([texts[k]])[0] if chunks is None else firsts.get(k, b"") + b"".join(got))
             except TypeError:  # a chunk with odd white space
                 out.append(self.whole([texts[k]])[0])
         return out
 
+    def after_space(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, a byte-level chunk, with a space before it."""
+        out = list(map(self.cache.get, words))
+        self._learn({w for w, x in zip(words, out) if x is None}, [words])
+        for k, x in enumerate(out):
+            if x is None:
+                found = self.cache[words[k]]
+                out[k] = self.whole([" " + words[k]])[0] if found is None else found
+        return out
+
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text, in order."""
         group: list[str] = []
