@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptsift.llm import bpe, chat, media, packing, quality, secrets, simhash, url_rules, wavelet
+from promptsift.llm import attention_lm, bpe, chat, media, packing, quality, secret_scan, simhash, url_rules, wavelet
 from promptsift.llm.common import table
 
 
@@ -33,7 +33,7 @@ def op3_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scanned(table(spark, sf_dir, "documents"))
+    return secret_scan.scanned(table(spark, sf_dir, "documents"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op8_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.scored(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -57,7 +61,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_media, op3_chat_examples, op4_secrets, op5_quality_rules, op6_bpe, op7_packing, op9_wavelet, op10_url_rules)}
+    return {f.__name__: f for f in (op1_simhash, op2_media, op3_chat_examples, op4_secrets, op5_quality_rules, op6_bpe, op7_packing, op8_attention_lm, op9_wavelet, op10_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
