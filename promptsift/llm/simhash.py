@@ -18,7 +18,8 @@ next round's. Tables between rounds are checkpoints in the shared folder.
 Results for edge cases: a null or empty text, or one of white space, has the fingerprint 0
 and is linked like any other; under three words, the whole sequence is the shingle. Repeated
 rows are in one class. A null doc_id names no component: its row gets its class's. In
-``deduplicated``, of the rows with a component's doc_id one stays; rows without a doc_id stay.
+``deduplicated``, one row of each component stays: of the least doc_id, then the least
+fingerprint; one without a doc_id only where no row of its component has one.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptsift.llm.common import saved, text_column
+from promptsift.llm.common import fresh, saved, text_column
 
 SEED = 42
 SHINGLE = 3
@@ -125,14 +126,18 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def rooted(fps: DataFrame) -> DataFrame:
+    """Per fingerprint of fps (doc_id, fp): its least doc_id, its rows n, its component's root and least doc_id."""
+    classes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    labels = components(links(classes.select("fp"))).withColumnRenamed("node", "fp")
+    found = classes.join(labels, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return found.join(found.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, fingerprint as 16 hexadecimal digits, component_id."""
     fps = saved(fingerprints(docs))
-    classes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    labels = components(links(classes.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = classes.join(labels, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = saved(rooted.join(least, "root").select("fp", "n", "component_id"))
+    known = saved(rooted(fps).select("fp", "n", "component_id"))
     # the classes of most rows are fewer than 1 / HOT; their rows aren't shuffled by their key
     bound = fps.count() * HOT
     hot = known.filter(F.col("n") > bound).select("fp", F.lit(True).alias("is_hot"), F.col("component_id").alias("hot_id"))
@@ -144,6 +149,11 @@ def grouped(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents, all columns, of which one of each component stays: that of the least doc_id."""
-    stay = grouped(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(stay, docs["doc_id"] == stay["doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    ids_first = F.struct(F.col("least").isNull(), "least", "fp")
+    least = rooted(saved(fingerprints(docs))).groupBy("root").agg(F.min(ids_first).alias("first"))
+    keys = [fresh(docs, name) for name in ("none", "id", "fp")]
+    doc_id, column = F.col("doc_id").cast("long"), text_column(lambda texts: [(fingerprint(t),) for t in texts], "fp long")
+    own = (doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), column(F.col("text"))["fp"])
+    first = (F.col("first")["least"].isNull(), F.coalesce(F.col("first")["least"], F.lit(0)), F.col("first")["fp"])
+    stay = least.select(*(x.alias(k) for k, x in zip(keys, first)))
+    return docs.withColumns(dict(zip(keys, own))).join(stay, keys, "left_semi").dropDuplicates(keys).drop(*keys)
