@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -18,8 +19,8 @@ from functools import lru_cache
 import numpy as np
 
 CACHE = 1_200_000
-#: What may stand after a word as a piece of its own.
-STOPS = (".", ",")
+#: Of these, whatever ends a chunk after a word is a piece of its own.
+MARKS = string.punctuation
 #: Characters of text that are encoded together.
 GROUP = 2_000_000
 _ODD = re.compile(r"[^\S \n]|[\x1c-\x1f]")
@@ -41,17 +42,16 @@ def dropped_chunks(text: str) -> list[str] | None:
 class Library:
     """A tokenizers file; byte_level: its pieces hold the space before them."""
 
-    def __init__(self, path: str, byte_level: bool):
+    def __init__(self, path: str, byte_level: bool, limit: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.byte_level = byte_level
+        self.byte_level, self.limit = byte_level, limit
         self.chunks = spaced_chunks if byte_level else dropped_chunks
         self.cache: dict[str, bytes | None] = {}
-        self.stops = dict(zip(STOPS, self.whole(list(STOPS))))
         # tokens that begin (byte-level) or else end a word of a line of plain words
         vocab = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocab.values()) + 1, bool)
@@ -83,21 +83,28 @@ class Library:
 
     def _learn(self, new: set[str], texts: list[list[str] | None]) -> None:
         cache = self.cache
-        if len(cache) + len(new) > CACHE:  # keep what is in use
+        if len(cache) + len(new) > self.limit:  # keep what is in use
             used = set().union(*(c for c in texts if c is not None))
             self.cache = cache = {c: cache[c] for c in used & cache.keys()}
-        # lower-casing may end a word by a mark, which then goes with what follows
-        stopped = [c for c in new if c[-1:] in self.stops and c[:-1].isalpha() and (c.isascii() or c[:-1].lower().isalpha())]
-        words = {c for c in new if c.isalpha()}
-        words.update(w for c in stopped if (w := c[:-1]) not in cache)
-        line = list(words)
+        line, starts, rest, parted = set(), set(), [], []
+        for chunk in new:
+            stem = chunk.rstrip(MARKS)
+            group = line if stem.isalpha() else starts if self.byte_level and stem[:1] == "\n" and stem[1:].isalpha() else None
+            # lower-casing may end a word by a mark, which then goes with what follows
+            if group is None or stem is not chunk and not (stem.isascii() or stem[-1].lower().isalpha()):
+                rest.append(chunk)
+                continue
+            if stem not in cache:
+                group.add(stem)
+            if stem is not chunk:
+                parted.append((chunk, stem, chunk[len(stem) :]))
+        line, starts = list(line), list(starts)
         cache.update(zip(line, self._words(line)))
-        cache.update((c, cache[c[:-1]] + self.stops[c[-1]]) for c in stopped)
-        rest = [c for c in new if c not in cache]
+        cache.update(zip(starts, self._cut("".join(starts), self.line_end, starts, False)))
+        marks = list({x[2] for x in parted})
+        after = dict(zip(marks, self.whole(marks)))
+        cache.update((chunk, cache[stem] + after[mark]) for chunk, stem, mark in parted)
         if self.byte_level:
-            starts = [c for c in rest if c[0] == "\n" and c[1:].isalpha()]
-            cache.update(zip(starts, self._cut("".join(starts), self.line_end, starts, False)))
-            rest = [c for c in rest if c not in cache]
             odd = {c for c in rest if _ODD.search(c)}
             cache.update(dict.fromkeys(odd))
             rest = [c for c in rest if c not in odd]
@@ -154,6 +161,6 @@ class Library:
 
 
 @lru_cache(maxsize=2)
-def library(path: str, byte_level: bool) -> Library:
+def library(path: str, byte_level: bool, limit: int = CACHE) -> Library:
     """One for each Python worker and file."""
-    return Library(path, byte_level)
+    return Library(path, byte_level, limit)

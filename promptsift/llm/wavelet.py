@@ -42,7 +42,7 @@ def write_matrix(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int])
     alphabet = np.flatnonzero(count).astype("<u4")
     code_of = np.zeros(len(count), np.uint32)
     code_of[alphabet] = np.arange(len(alphabet), dtype=np.uint32)
-    codes = code_of[ids].astype(np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)
+    codes = code_of.astype(np.uint16 if len(alphabet) <= 1 << 16 else np.uint32).take(ids)
     levels = max(1, int(len(alphabet) - 1).bit_length())
     out = [_HEAD.pack(_MAGIC, len(ids), len(alphabet), levels, len(doc_ids)), alphabet.tobytes()]
     out.append(np.array([d is None for d in doc_ids], np.uint8).tobytes())
@@ -56,7 +56,7 @@ def write_matrix(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int])
         np.cumsum(blocks, out=ones[1:])
         out += [ones.tobytes(), packed.tobytes()]
         if level:
-            codes = np.concatenate((codes[~bit], codes[bit]))
+            codes = np.concatenate((codes.compress(~bit), codes.compress(bit)))
     return b"".join(out)
 
 
@@ -154,10 +154,10 @@ class Matrix:
             _, bits, zeros = self.planes[level]
             bit = np.unpackbits(bits, bitorder="little", count=self.n).view(bool)
             out = np.empty_like(codes)
-            out[~bit] = codes[:zeros]
-            out[bit] = codes[zeros:] | (1 << (self.levels - 1 - level))
+            out[np.flatnonzero(~bit)] = codes[:zeros]
+            out[np.flatnonzero(bit)] = codes[zeros:] | (1 << (self.levels - 1 - level))
             codes = out
-        return self.alphabet[codes]
+        return self.alphabet.take(codes)
 
 
 _FILES = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("file", pa.binary())])
