@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Column functions: text, hashes, JSON, pinning and hooks."""

@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Stages and their parts; every one takes and returns DataFrames."""

@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Funnels, profiles, and the registered queries."""

@@ -1,11 +1,364 @@
-"""Registered queries and their SQL."""
+"""The registered queries: each applies one operator of the funnel to whole tables.
+
+Their SQL is in ``catalog_sql``; columns have the same names and types in both.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from promptsift.functions import pinning, text, tools, vectors
+from promptsift.operators import budget, evals, lossless, ranking, relevance, store, summarize
+from promptsift.plans import catalog_sql, inputs
+from promptsift.plans.funnel import default_funnel, lite_funnel
+from promptsift.schema import DEFERRED, is_live
+from promptsift.sources import fixtures, payloads, texts
+from promptsift.streaming import gate
+
+CAP, KEEP, DIGITS = 4000, 5, 6
+NOW, TTL = 1_000_000.0, 3600.0
+JUDGED = "the session and of retry then"
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return inputs.table(spark, d, "documents")
+
+
+# scalar functions
+
+
+def token_count(spark, d):
+    return docs(spark, d).select("doc_id", text.token_count(F.col("text")).alias("tokens"))
+
+
+def tokens_by_source(spark, d):
+    return docs(spark, d).groupBy("source").agg(F.sum(text.token_count(F.col("text"))).alias("tokens"), F.count(F.lit(1)).alias("chunks"))
+
+
+def normalize_text(spark, d):
+    return inputs.noisy_texts(spark, d).select("doc_id", text.normalized(F.col("text")).alias("text"))
+
+
+def normalize_idempotent(spark, d):
+    once = inputs.noisy_texts(spark, d).select("doc_id", text.normalized(F.col("text")).alias("once"))
+    return once.select("doc_id", (text.normalized(F.col("once")) == F.col("once")).alias("same"))
+
+
+def template_keys(spark, d):
+    lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), text.template_key(F.col("line")).alias("key"))
+
+
+def template_keys_log(spark, d):
+    return inputs.event_lines(spark, d).select("event_id", text.template_key(F.col("line")).alias("key"))
+
+
+def term_list(spark, d):
+    return docs(spark, d).select("doc_id", F.size(text.terms(F.col("text"))).cast("long").alias("n_terms"), F.array_join(F.array_sort(F.array_distinct(text.terms(F.col("text")))), " ").alias("terms"))
+
+
+def sentence_list(spark, d):
+    return docs(spark, d).select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("place", "sentence")).select("doc_id", F.col("place").cast("long").alias("place"), "sentence")
+
+
+def chunk_ids(spark, d):
+    return docs(spark, d).select("doc_id", text.chunk_id(F.col("source"), F.col("text")).alias("chunk_id"))
+
+
+def truncated_heads(spark, d):
+    long = docs(spark, d).filter(text.token_count(F.col("text")) > 100)
+    return long.select("doc_id", text.head_of(F.col("text"), F.col("source"), F.lit(100)).alias("head"))
+
+
+def saved_ratio(spark, d):
+    tokens = text.token_count(F.col("text"))
+    return docs(spark, d).select("doc_id", F.round(text.ratio(tokens, tokens - F.floor(tokens / 3)), DIGITS).alias("ratio"))
+
+
+def graders(spark, d):
+    t = F.col("text")
+    return docs(spark, d).select("doc_id", text.contains_all(t, ["THE", "and"]).alias("has_all"), text.contains_all(t, ["The"], ignore_case=False).alias("has_cased"), text.matches(t, "th[a-z]+ the").alias("matched"))
+
+
+# sources
+
+
+def chunk_blocks(spark, d):
+    tail = F.lit('\n\n\n{"a": [1, 2]}\n\n2026-01-01 00:00:00 started\n\n  \n\ndef run():\n  pass\n\n[not json\n\n[12:00:00] tick')
+    rows = docs(spark, d).select(F.col("doc_id").cast("string").alias("request_id"), F.concat("text", tail).alias("text"))
+    return texts.blocks(rows).select("request_id", "pos", "kind", "source", text.token_count(F.col("text")).alias("tokens"))
+
+
+def pinned_severity(spark, d):
+    return inputs.table(spark, d, "events").select("event_id", pinning.pinned_tier(F.col("props"), F.col("event_type"), F.lit("")).alias("tier"))
+
+
+def pinned_query(spark, d):
+    return docs(spark, d).select("doc_id", pinning.pinned_tier(F.col("text"), F.lit(None).cast("string"), F.lit("the and")).alias("tier"))
+
+
+def pinned_patterns(spark, d):
+    tier = pinning.pinned_tier(F.col("text"), F.lit(None).cast("string"), F.lit(" "), ["tok[e]n", "[unclosed", "### "])
+    return docs(spark, d).select("doc_id", tier.alias("tier"))
+
+
+def payload_fields(spark, d):
+    args = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"command": "ls '), F.col("event_id").cast("string"), F.lit('"}'))).otherwise(F.concat(F.lit('"{\\"filename\\": \\"f'), F.col("user_id").cast("string"), F.lit('\\"}"')))
+    payload = F.concat(F.lit('{"toolName": "'), F.col("event_type"), F.lit('", "toolArgs": '), args, F.lit(', "toolResult": {"resultType": "success", "textResultForLlm": "r'), F.col("event_id").cast("string"), F.lit('"}}'))
+    return payloads.parsed(inputs.table(spark, d, "events").select("event_id", payload.alias("payload"))).select("event_id", "tool", "result_type", "result", "command", "path")
+
+
+def crash_loop_dedup(spark, d):
+    log = fixtures.as_text(fixtures.crash_loop(spark), "crash", "\n")
+    return log.select(text.token_count(F.col("text")).alias("tokens"), text.deduplicated_lines(F.col("text")).alias("text"))
+
+
+# lossless stages
+
+
+def dedup_runs(spark, d):
+    """The relational form over every document's lines: runs of equal templates."""
+    lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).withColumn("key", text.template_key(F.col("line")))
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    starts = lines.withColumn("new", (~F.col("key").eqNullSafe(F.lag("key").over(w))).cast("int"))
+    runs = starts.withColumn("run", F.sum("new").over(w)).groupBy("doc_id", "run").agg(F.min_by("line", "line_no").alias("line"), F.count(F.lit(1)).alias("n"))
+    return runs.select("doc_id", F.col("run").cast("long").alias("run"), "line", "n")
+
+
+def dedup_text(spark, d):
+    return docs(spark, d).select("doc_id", text.deduplicated_lines(F.col("text")).alias("text"))
+
+
+def dedup_event_log(spark, d):
+    return lossless.dedup(inputs.event_logs(spark, d)).select("request_id", "text")
+
+
+def prune_props(spark, d):
+    events = inputs.table(spark, d, "events").select(F.col("event_id").cast("string").alias("request_id"), F.lit(0).alias("pos"), F.col("props").alias("text"), F.lit("json").alias("kind"))
+    return lossless.prune(inputs.as_chunks(events)).select("request_id", "text")
+
+
+def prune_orders(spark, d):
+    return lossless.prune(inputs.order_json(spark, d), {"uid"}).select("request_id", "text")
+
+
+# ranking
+
+
+def term_frequencies(spark, d):
+    chunks = inputs.by_source(spark, d)
+    return ranking.term_counts(chunks, ["request_id"]).groupBy("request_id", "term").agg(F.count(F.lit(1)).alias("docs"), F.sum("count").alias("n"))
+
+
+def tfidf_scores(spark, d):
+    chunks = inputs.by_source(spark, d)
+    scores = ranking.query_scores(chunks, inputs.queries_of(chunks), ["request_id"])
+    return scores.select("request_id", "pos", F.round("score", DIGITS).alias("score"))
+
+
+def relevance_topk(spark, d):
+    chunks = inputs.by_source(spark, d)
+    out = relevance.relevance(chunks, inputs.queries_of(chunks), KEEP)
+    return out.select("request_id", "pos", "tier", F.round("relevance", DIGITS).alias("relevance"))
+
+
+def relevance_noop(spark, d):
+    """Conversations of up to 6 turns stay as they are; longer ones are ranked."""
+    chunks = inputs.conversations(spark, d)
+    out = relevance.relevance(chunks, inputs.queries_of(chunks, "the and of"), 6)
+    return out.select("request_id", "pos", "tier", F.round("relevance", DIGITS).alias("relevance"))
+
+
+def _vectors(spark, d):
+    """Every vector against the first of its label."""
+    v = inputs.table(spark, d, "embeddings")
+    first = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("asked"))
+    return v.join(first, "label").select(F.col("label").cast("string").alias("request_id"), F.col("vec_id").alias("pos"), vectors.cosine(F.col("embedding"), F.col("asked")).alias("score"))
+
+
+def embedding_cosine(spark, d):
+    return _vectors(spark, d).select("request_id", "pos", F.round("score", DIGITS).alias("score"))
+
+
+def embedding_topk(spark, d):
+    return relevance.ranked(_vectors(spark, d), KEEP).select("request_id", "pos", "kept")
+
+
+def centrality(spark, d):
+    parts = docs(spark, d).select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("pos", "text"))
+    scores = ranking.centrality_scores(parts, ["doc_id"])
+    return scores.select("doc_id", F.col("pos").cast("long").alias("pos"), F.round("score", DIGITS).alias("score"))
+
+
+def extractive_summary(spark, d):
+    chunks = inputs.conversations(spark, d)
+    found = summarize.extracted(chunks, inputs.queries_of(chunks, "the and of"))
+    return found.select("request_id", "pos", "summary")
+
+
+def summarize_stage(spark, d):
+    chunks = inputs.conversations(spark, d)
+    out = summarize.summarize(chunks, inputs.queries_of(chunks, "the and of"))
+    return out.select("request_id", "pos", "tier", F.coalesce("summarized", F.lit(False)).alias("summarized"))
+
+
+# budget and assembly
+
+
+def budget_fill(spark, d):
+    return budget.filled(inputs.by_source(spark, d), CAP).select("request_id", "pos", "verdict", "room", "place")
+
+
+def budget_stage(spark, d):
+    out = budget.budget(inputs.by_source(spark, d), CAP)
+    return out.select("request_id", "pos", "tier", "seq", "text", F.coalesce("truncated", F.lit(False)).alias("truncated"), "original_tokens", "kept_tokens")
+
+
+def budget_overflow(spark, d):
+    out = budget.budget(inputs.by_source(spark, d), 500)
+    return out.groupBy("request_id").agg(F.bool_or(F.coalesce("critical_overflow", F.lit(False))).alias("overflow"))
+
+
+def assemble_prompts(spark, d):
+    return budget.assemble(inputs.conversations(spark, d)).select("request_id", "prompt", F.col("deferred").cast("long").alias("deferred"))
+
+
+def deferred_footer(spark, d):
+    chunks = inputs.conversations(spark, d).withColumn("tier", F.when(F.col("pos") % 2 == 1, F.lit(DEFERRED)).otherwise(F.col("tier")))
+    out = budget.assemble(chunks)
+    return out.select("request_id", "prompt", F.array_join("deferred_ids", ",").alias("deferred_ids"), F.size("manifest").cast("long").alias("entries"))
+
+
+# funnels
+
+
+def funnel_lite(spark, d):
+    chunks = inputs.event_logs(spark, d)
+    return lite_funnel(CAP).run(chunks, inputs.queries_of(chunks)).select("request_id", "prompt", F.col("deferred").cast("long").alias("deferred"))
+
+
+def funnel_sources(spark, d):
+    """The whole funnel over the documents of each source."""
+    chunks = inputs.by_source(spark, d)
+    return default_funnel(CAP, KEEP).run(chunks, inputs.queries_of(chunks)).select("request_id", "prompt", F.col("deferred").cast("long").alias("deferred"), F.array_join("deferred_ids", ",").alias("deferred_ids"), "critical_overflow")
+
+
+def funnel_metrics(spark, d):
+    chunks = inputs.event_logs(spark, d)
+    out = lite_funnel(CAP).metrics(chunks, inputs.queries_of(chunks))
+    return out.select("request_id", "stage_no", "stage", "tokens_in", "tokens_out", "chunks_in", "chunks_out", "saved", F.round("ratio", DIGITS).alias("ratio"))
+
+
+def live_sizes(spark, d):
+    chunks = inputs.by_source(spark, d)
+    return chunks.filter(is_live()).groupBy("request_id", "tier").agg(F.sum(text.token_count(F.col("text"))).alias("tokens"), F.count(F.lit(1)).alias("chunks"))
+
+
+# the store
+
+
+def _store(spark, d):
+    """Turns as deferred chunks, stored at NOW less 600 seconds for each turn; some are stored twice."""
+    chunks = inputs.conversations(spark, d).withColumn("tier", F.lit(DEFERRED))
+    first = store.rows_of(chunks, F.lit(NOW) - F.col("pos") * 600, "w")
+    again = store.rows_of(chunks.filter("pos % 3 = 0"), F.lit(NOW) - 60, "w")
+    return first.unionByName(again)
+
+
+def store_put(spark, d):
+    return store.current(_store(spark, d)).select("request_id", "chunk_id", "kind", "source", "tokens", "stored_at")
+
+
+def store_alive(spark, d):
+    return store.alive(_store(spark, d), NOW, TTL).groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def store_retrieve(spark, d):
+    held = _store(spark, d)
+    ids = held.groupBy("workspace_key", "request_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("ids"))
+    wanted = ids.select("workspace_key", "request_id", F.concat(F.array(F.lit("none:0")), F.reverse("ids"), F.slice("ids", 1, 1)).alias("ids"))
+    return store.retrieve(held, wanted, NOW, TTL).select("request_id", F.col("place").cast("long").alias("place"), "chunk_id", "text")
+
+
+def store_manifest(spark, d):
+    return store.manifest(_store(spark, d), NOW, TTL).groupBy("request_id").agg(F.count(F.lit(1)).alias("entries"), F.sum("tokens").alias("tokens"))
+
+
+def store_evict(spark, d):
+    return store.evicted(_store(spark, d), NOW, 1800.0)
+
+
+# tool calls and sessions
+
+
+def gate_thresholds(spark, d):
+    calls = inputs.tool_calls(spark, d)
+    return calls.select("event_id", tools.threshold(F.col("tool")).cast("long").alias("threshold"), tools.is_view(F.col("tool")).alias("is_view"), tools.is_skipped(F.col("tool"), ["bash "]).alias("skipped"))
+
+
+def gate_commands(spark, d):
+    calls = inputs.tool_calls(spark, d)
+    tool, command = F.lit("local.bash"), F.col("command")
+    return calls.select("event_id", tools.is_noisy(command).alias("noisy"), tools.profile_of(command).alias("profile"), tools.is_rewritten(tool, command).alias("rewritten"), tools.rewritten(tool, command).alias("command"))
+
+
+def gate_reduced(spark, d):
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("### a\n"), "text")).otherwise(F.concat(F.substring("text", 1, 150), F.lit("\n[promptsift: 3"), F.col("text")))
+    return docs(spark, d).select("doc_id", tools.is_reduced(t).alias("reduced"))
+
+
+def gate_sessions(spark, d):
+    return _sessions(spark, d, 3600.0)
+
+
+def gate_sessions_days(spark, d):
+    return _sessions(spark, d, 3 * 86400.0)
+
+
+def _sessions(spark, d, ttl):
+    calls = inputs.tool_calls(spark, d)
+    events = calls.select("session", (F.col("micros") / 1e6).alias("at"), "tool", "tokens", "cleaned", F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("summary"))
+    out = gate.decided(events, gate.Settings(threshold=3000, cumulative=4000, ttl=ttl))
+    return out.select("session", F.round("at", 3).alias("at"), "verdict", "reason", "total", "views", "nudged")
+
+
+# evaluation
+
+
+def _contexts(spark, d):
+    return docs(spark, d).select(F.col("doc_id").cast("string").alias("case_id"), F.col("text").alias("context"), F.lit(JUDGED).alias("query"))
+
+
+def judge_lines(spark, d):
+    return evals.best_lines(_contexts(spark, d)).select("case_id", F.col("idx").cast("long").alias("idx"), F.col("score").cast("long").alias("score"), F.col("place").cast("long").alias("place"))
+
+
+def judge_answers(spark, d):
+    return evals.answers(_contexts(spark, d))
+
+
+def eval_suite(spark, d):
+    """Every document as a case, reduced to its first half."""
+    contexts = _contexts(spark, d)
+    half = contexts.withColumn("context", F.expr("substring(context, 1, cast(length(context) / 2 as int))"))
+    sizes = contexts.select("case_id", text.token_count(F.col("context")).alias("raw_tokens")).join(half.select("case_id", text.token_count(F.col("context")).alias("funneled_tokens")), "case_id")
+    results = evals.compared(sizes, evals.answers(contexts), evals.answers(half), text.contains_all(F.col("answer"), ["the", "and"]))
+    return evals.suite(results)
+
 
 def queries() -> dict:
-    return {}
+    chosen = (
+        funnel_sources, token_count, tokens_by_source, normalize_text, normalize_idempotent, template_keys, template_keys_log, term_list,
+        sentence_list, chunk_ids, truncated_heads, saved_ratio, graders, chunk_blocks, pinned_severity, pinned_query, pinned_patterns,
+        payload_fields, crash_loop_dedup, dedup_runs, dedup_text, dedup_event_log, prune_props, prune_orders, term_frequencies, tfidf_scores,
+        relevance_topk, relevance_noop, embedding_cosine, embedding_topk, centrality, extractive_summary, summarize_stage, budget_fill,
+        budget_stage, budget_overflow, assemble_prompts, deferred_footer, funnel_lite, funnel_metrics, live_sizes, store_put, store_alive,
+        store_retrieve, store_manifest, store_evict, gate_thresholds, gate_commands, gate_reduced, gate_sessions, gate_sessions_days,
+        judge_lines, judge_answers, eval_suite,
+    )
+    return {f.__name__: f for f in chosen}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return catalog_sql.oracle_sql()

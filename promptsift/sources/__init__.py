@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Readers and writers: texts, tool payloads, synthetic fixtures, the deferred store."""

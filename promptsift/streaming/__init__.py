@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Keyed state over streams of tool results."""
