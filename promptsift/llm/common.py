@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.functions import arrow_udf
 
+from promptsift.shared import saved, shared_dir
+
+__all__ = ["fresh", "per_text", "saved", "shared_dir", "table", "text_column"]
+
 #: Characters that separate words: space and the controls 9 to 13, as ``bytes.split()`` has it.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -17,27 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the one of ``spark.checkpoint.dir``. Only a local session may do without that
-    setting; it then gets a temporary folder.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if base is None and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="promptsift-"))
-    return sc.getCheckpointDir()
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df with its rows in the shared folder and its lineage cut; survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def per_text(each: Callable, returns: str, names: list[str]) -> Callable[..., Column]:
     """A column function: each(list of texts) gives the rows' tuples, as a struct column.
 
