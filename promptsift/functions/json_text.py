@@ -31,14 +31,18 @@ def pruned_text(text: str, denied: frozenset[str] = frozenset(), most: int = MAX
 
 
 def pruned(denied: Iterable[str] = (), most: int = MAX_ARRAY) -> Callable[[Column], Column]:
-    """A column function. It runs for every row that it gets, so give it null where it isn't needed."""
+    """A column function. It runs for every row that it gets, so give it null where it isn't needed.
+
+    Neither it nor ``parses`` is deterministic to the optimizer, lest it moves them into
+    expressions where Python can't be called.
+    """
     keys = frozenset(denied)
 
     @arrow_udf(StringType())
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else pruned_text(t, keys, most) for t in texts.to_pylist()], pa.string())
 
-    return run
+    return run.asNondeterministic()
 
 
 def _parses(text: str) -> bool:
@@ -50,6 +54,9 @@ def _parses(text: str) -> bool:
 
 
 @arrow_udf(BooleanType())
-def parses(texts: pa.Array) -> pa.Array:
-    """Whether each text is JSON; false for null."""
+def _all_parse(texts: pa.Array) -> pa.Array:
     return pa.array([t is not None and _parses(t) for t in texts.to_pylist()], pa.bool_())
+
+
+#: A column function: whether each text is JSON; false for null.
+parses: Callable[[Column], Column] = _all_parse.asNondeterministic()
