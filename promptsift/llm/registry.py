@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptsift.llm import attention_lm, bpe, chat, media, packing, quality, secret_scan, simhash, url_rules, wavelet
+from promptsift.llm import attention_lm, bpe, chat, media, oracle, packing, quality, secret_scan, simhash, url_rules, wavelet
 from promptsift.llm.common import table
 
 
@@ -65,4 +65,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
