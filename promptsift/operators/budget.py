@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptsift.functions.text import chunk_id, head_of, token_count
+from promptsift.operators.relevance import DIGITS
 from promptsift.schema import CRITICAL, DEFERRED, KEY, is_live, order_keys
 
 MAX_TOKENS = 2000
@@ -56,7 +57,7 @@ def filled(chunks: DataFrame, cap: int = MAX_TOKENS) -> DataFrame:
     """The verdict on each live chunk that isn't CRITICAL; place is its number in the order of filling."""
     sized = chunks.withColumn("tokens", token_count(F.col("text")))
     used = sized.groupBy("request_id").agg(F.sum(F.when(F.col("tier") == CRITICAL, F.col("tokens")).otherwise(0)).alias("used"))
-    open_ = sized.filter(is_live() & (F.col("tier") != CRITICAL)).select("request_id", "pos", "tokens", F.coalesce("relevance", F.lit(0.0)).alias("relevance"))
+    open_ = sized.filter(is_live() & (F.col("tier") != CRITICAL)).select("request_id", "pos", "tokens", F.round(F.coalesce("relevance", F.lit(0.0)), DIGITS).alias("relevance"))
     room = F.greatest(F.lit(0), F.lit(cap) - F.col("used")).cast("long")
     rows = open_.join(used, "request_id").withColumn("room", room)
     ordered = rows.repartition("request_id").sortWithinPartitions("request_id", F.col("relevance").desc(), "pos")

@@ -51,7 +51,7 @@ def chunk_id(source: str, x: str) -> str:
 NOISY = "chr(27) || '[31m' || replace(text, '. ', '.   ' || chr(9) || repeat(chr(10), 4)) || chr(27) || '[0m  ' || chr(13) || chr(10) || ' tail' || chr(9) || ' ' || chr(10)"
 LINES = "SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
 EVENT_LINE = "strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z svc[' || user_id || '] ' || upper(event_type)"
-BY_SOURCE = "SELECT d.source AS request_id, d.doc_id AS pos, d.text, d.lang AS source, CASE WHEN t.toxic = 1 THEN 0 ELSE 1 END AS tier FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) t USING (doc_id)"
+BY_SOURCE = "SELECT d.source AS request_id, d.doc_id AS pos, d.text, d.lang AS source, CASE WHEN t.toxic = 1 THEN 0 ELSE 1 END AS tier, CAST(NULL AS DOUBLE) AS relevance FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) t USING (doc_id)"
 TURNS = "SELECT CAST(conv_id AS VARCHAR) AS request_id, turn AS pos, text, role AS source FROM conversations"
 EVENT_LOGS = f"SELECT CAST(user_id AS VARCHAR) AS request_id, string_agg({EVENT_LINE}, chr(10) ORDER BY event_type, ts, event_id) AS text FROM events GROUP BY user_id"
 ORDERS = "SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS keys FROM orders GROUP BY o_custkey"
@@ -107,11 +107,11 @@ def topk(scores: str, keep: int, extra: str) -> str:
 
 
 def filled(chunks: str, cap: int) -> str:
-    """Of chunks (request_id, pos, text, tier), all without relevance: the budget's verdicts."""
+    """Of chunks (request_id, pos, text, tier, relevance): the budget's verdicts."""
     return f"""
-    WITH RECURSIVE sized AS MATERIALIZED (SELECT request_id, pos, tier, {tok('text')} AS tokens FROM ({chunks})),
+    WITH RECURSIVE sized AS MATERIALIZED (SELECT request_id, pos, tier, {tok('text')} AS tokens, round(coalesce(relevance, 0), 9) AS relevance FROM ({chunks})),
     start AS (SELECT request_id, greatest(0, {cap} - sum(CASE WHEN tier = 0 THEN tokens ELSE 0 END)) AS room FROM sized GROUP BY request_id),
-    ordered AS MATERIALIZED (SELECT request_id, pos, tokens, row_number() OVER (PARTITION BY request_id ORDER BY pos) AS n FROM sized WHERE tier IN (1, 2)),
+    ordered AS MATERIALIZED (SELECT request_id, pos, tokens, row_number() OVER (PARTITION BY request_id ORDER BY relevance DESC, pos) AS n FROM sized WHERE tier IN (1, 2)),
     walk AS (
       SELECT request_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS pos, '' AS verdict, CAST(room AS BIGINT) AS room, CAST(room AS BIGINT) AS left_ FROM start
       UNION ALL
@@ -121,15 +121,15 @@ def filled(chunks: str, cap: int) -> str:
     SELECT request_id, pos, verdict, room, n - 1 AS place FROM walk WHERE n > 0"""
 
 
-def assembled(chunks: str) -> str:
-    """Of chunks (request_id, pos, text, source, tier, kind): one row for each request."""
+def assembled(chunks: str, order: str = "pos") -> str:
+    """Of chunks (request_id, pos, text, source, tier): one row for each request."""
     return f"""
     WITH chunks AS MATERIALIZED ({chunks}), sections AS (
       SELECT request_id, min(pos) AS first, '### ' || source || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY pos) AS section FROM chunks WHERE tier < 3 GROUP BY request_id, source),
     bodies AS (SELECT request_id, string_agg(section, chr(10) || chr(10) ORDER BY first) AS body FROM sections GROUP BY request_id),
     outs AS (
       SELECT request_id, count(*) FILTER (tier = 3) AS deferred, string_agg(DISTINCT source, ', ' ORDER BY source) FILTER (tier = 3) AS sources,
-        string_agg({chunk_id('source', 'text')}, ',' ORDER BY pos) FILTER (tier = 3) AS ids, count(DISTINCT {chunk_id('source', 'text')}) FILTER (tier = 3) AS entries FROM chunks GROUP BY request_id)
+        string_agg({chunk_id('source', 'text')}, ',' ORDER BY {order}) FILTER (tier = 3) AS ids, count(DISTINCT {chunk_id('source', 'text')}) FILTER (tier = 3) AS entries FROM chunks GROUP BY request_id)
     SELECT request_id, deferred, coalesce(ids, '') AS deferred_ids, entries, coalesce(body, '') || CASE WHEN deferred > 0 THEN
       chr(10) || chr(10) || '### deferred (' || deferred || ' chunks)' || chr(10) || 'Sources omitted: ' || sources || '.' || chr(10) || 'Retrievable on request by id.' ELSE '' END AS prompt
     FROM outs LEFT JOIN bodies USING (request_id)"""
@@ -206,6 +206,25 @@ def oracle_sql() -> dict[str, str]:
     profile = "CASE " + " ".join(f"WHEN regexp_matches({left}, '^({'|'.join(v)})') THEN '{k}'" for k, v in tools.PROFILES_BY_COMMAND.items()) + " ELSE 'passthrough' END"
     lite = f"SELECT request_id, 0 AS pos, text, 'events' AS source, 1 AS tier FROM (SELECT id AS request_id, text FROM ({deduplicated(f'SELECT request_id AS id, {normalized("text")} AS text FROM ({EVENT_LOGS})')}))"
     head = "regexp_replace(substr(text, 1, CAST(room * 4 AS BIGINT)), '\\s+$', '') || chr(10) || chr(10) || '[... +' || (" + tok("text") + " - room) || ' tokens truncated. Full source retrievable as ' || " + chunk_id("source", "text") + " || '.]'"
+    # every stage of the full funnel, on texts (neither logs nor JSON)
+    cleaned = f"SELECT request_id, pos, {normalized('text')} AS text, source, tier FROM ({BY_SOURCE})"
+    ranked = topk(query_scores(f"SELECT * FROM ({cleaned}) WHERE tier = 1", QUERY), 5, f"""
+      SELECT c.request_id, c.pos, c.text, c.source, CASE WHEN n > KEEP AND place > KEEP THEN 3 ELSE c.tier END AS tier, CASE WHEN n > KEEP THEN score END AS relevance FROM ({cleaned}) c LEFT JOIN ranked r USING (request_id, pos)""")
+    funnel = f"""
+    WITH kept AS MATERIALIZED ({ranked}), long AS MATERIALIZED (SELECT request_id || '/' || pos AS id, request_id, pos, {sentences('text')} AS s FROM kept WHERE tier = 1 AND {tok('text')} >= 120),
+    parts AS MATERIALIZED (SELECT id, request_id, pos AS chunk, unnest(range(len(s))) AS pos, unnest(s) AS text, len(s) AS size FROM long),
+    near AS MATERIALIZED ({query_scores('SELECT id AS request_id, pos, text FROM parts', QUERY)}), central AS MATERIALIZED ({centrality('SELECT id, pos, text FROM parts')}),
+    best AS (SELECT p.*, row_number() OVER (PARTITION BY p.id ORDER BY round(0.5 * n.score + 0.5 * c.score, 9) DESC, p.pos) AS place FROM parts p JOIN near n ON n.request_id = p.id AND n.pos = p.pos JOIN central c ON c.id = p.id AND c.pos = p.pos),
+    summaries AS (SELECT request_id, chunk AS pos, string_agg(text, ' ' ORDER BY pos) AS summary FROM best WHERE size > 1 AND place <= greatest(1, round_even(size * 0.4, 0)) GROUP BY request_id, chunk),
+    short AS MATERIALIZED (
+      SELECT request_id, pos, coalesce(summary, text) AS text, source, CASE WHEN id IS NULL THEN tier ELSE 2 END AS tier, relevance
+      FROM kept LEFT JOIN summaries USING (request_id, pos) LEFT JOIN (SELECT id, request_id, pos FROM long) USING (request_id, pos)),
+    verdicts AS MATERIALIZED ({filled('SELECT * FROM short', 4000)}),
+    done AS MATERIALIZED (
+      SELECT request_id, pos, -1 AS seq, CASE WHEN verdict = 'head' THEN {head} ELSE text END AS text, source, tier FROM short LEFT JOIN verdicts USING (request_id, pos) WHERE verdict IS NULL OR verdict <> 'defer'
+      UNION ALL SELECT request_id, pos, place, text, source, 3 FROM short JOIN verdicts USING (request_id, pos) WHERE verdict <> 'keep'),
+    over AS (SELECT request_id, coalesce(sum({tok('text')}) FILTER (tier = 0), 0) > 4000 AS critical_overflow FROM short GROUP BY request_id)
+    SELECT request_id, prompt, deferred, deferred_ids, critical_overflow FROM ({assembled('SELECT * FROM done', 'seq, pos')}) JOIN over USING (request_id)"""
     budgeted = f"""WITH chunks AS MATERIALIZED ({BY_SOURCE}), verdicts AS MATERIALIZED ({filled(BY_SOURCE, 4000)})
       SELECT request_id, pos, tier, CAST(NULL AS BIGINT) AS seq, CASE WHEN verdict = 'head' THEN {head} ELSE text END AS text, coalesce(verdict = 'head', false) AS truncated,
         CASE WHEN verdict = 'head' THEN {tok('text')} END AS original_tokens, CASE WHEN verdict = 'head' THEN room END AS kept_tokens
@@ -274,6 +293,7 @@ def oracle_sql() -> dict[str, str]:
         "budget_overflow": f"SELECT request_id, coalesce(sum(CASE WHEN tier = 0 THEN {tok('text')} END), 0) > 500 AS overflow FROM ({BY_SOURCE}) GROUP BY request_id",
         "assemble_prompts": f"SELECT request_id, prompt, deferred FROM ({assembled(f"SELECT *, 1 AS tier FROM ({TURNS})")})",
         "deferred_footer": f"SELECT request_id, prompt, deferred_ids, entries FROM ({assembled(f"SELECT *, CASE WHEN pos % 2 = 1 THEN 3 ELSE 1 END AS tier FROM ({TURNS})")})",
+        "funnel_sources": funnel,
         "funnel_lite": f"SELECT request_id, prompt, deferred FROM ({lite_prompts})",
         "funnel_metrics": f"""WITH logs AS MATERIALIZED (SELECT request_id, text, {normalized('text')} AS clean FROM ({EVENT_LOGS})), p AS MATERIALIZED ({lite_prompts}),
             sizes AS (SELECT request_id, {tok('l.text')} AS t0, {tok('l.clean')} AS t1, p.tokens AS t2, CASE WHEN p.deferred = 0 THEN p.tokens ELSE {tok('p.head')} END AS t3, {tok('p.prompt')} AS t4 FROM logs l JOIN p USING (request_id)) {metrics}""",
