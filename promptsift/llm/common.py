@@ -37,7 +37,7 @@ def per_text(each: Callable, returns: str, names: list[str]) -> Callable[..., Co
     return arrow_udf(run, returns).asNondeterministic()
 
 
-_KINDS = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary(), "int": pa.int32()}
+_KINDS = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}
 
 
 def pa_struct(ddl: str) -> list[pa.DataType]:

@@ -24,6 +24,7 @@ fingerprint; one without a doc_id only where no row of its component has one.
 
 from __future__ import annotations
 
+import uuid
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -31,7 +32,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptsift.llm.common import fresh, saved, text_column
+from promptsift.llm import near_copies
+from promptsift.llm.common import fresh, saved, shared_dir, text_column
 
 SEED = 42
 SHINGLE = 3
@@ -44,12 +46,15 @@ HOT = 1 / 1000
 _BITS = 64 // BLOCKS
 
 
-def fingerprint(text: str | None) -> int:
-    """Of a whole text, as a signed 64-bit integer."""
+def _words(text: str | None) -> tuple[list[bytes], bytes]:
+    """Lower-case words, and them joined by spaces."""
     words = (text or "").encode("utf-8").lower().split()
+    return words, b" ".join(words)
+
+
+def _fingerprint(words: list[bytes], joined: bytes) -> int:
     if not words:
         return 0
-    joined = b" ".join(words)
     if len(words) <= SHINGLE:
         hashes = [xxhash.xxh64_intdigest(joined, SEED)]
     else:
@@ -64,6 +69,16 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str | None) -> int:
+    """Of a whole text, as a signed 64-bit integer."""
+    return _fingerprint(*_words(text))
+
+
+def _sketched(text: str | None) -> tuple:
+    words = _words(text)
+    return _fingerprint(*words), *near_copies.sketch(*words)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, fp."""
     column = text_column(lambda texts: [(fingerprint(t),) for t in texts], "fp long")
@@ -126,10 +141,14 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def rooted(fps: DataFrame) -> DataFrame:
-    """Per fingerprint of fps (doc_id, fp): its least doc_id, its rows n, its component's root and least doc_id."""
+def rooted(fps: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """Per fingerprint of fps (doc_id, fp): its least doc_id, its rows n, its component's root and least doc_id.
+
+    more: links besides those of links().
+    """
     classes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    labels = components(links(classes.select("fp"))).withColumnRenamed("node", "fp")
+    edges = links(classes.select("fp"))
+    labels = components(edges if more is None else edges.unionByName(more).distinct()).withColumnRenamed("node", "fp")
     found = classes.join(labels, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     return found.join(found.groupBy("root").agg(F.min("least").alias("component_id")), "root")
 
@@ -148,9 +167,16 @@ def grouped(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, of which one of each component stays: that of the least doc_id."""
+    """The documents, all columns, of which one of each component stays: that of the least doc_id.
+
+    Besides fingerprints, five-word shingles of a similarity of 0.8 or more link documents.
+    """
     ids_first = F.struct(F.col("least").isNull(), "least", "fp")
-    least = rooted(saved(fingerprints(docs))).groupBy("root").agg(F.min(ids_first).alias("first"))
+    column = text_column(lambda texts: [_sketched(t) for t in texts], "fp long, digest binary, bands array<long>, sketch binary")
+    folder = f"{shared_dir(docs.sparkSession)}/sketches-{uuid.uuid4().hex}"
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), column(F.col("text")).alias("s")).select("doc_id", "s.*").write.parquet(folder)
+    sketched = docs.sparkSession.read.parquet(folder)
+    least = rooted(sketched.select("doc_id", "fp"), near_copies.links(sketched)).groupBy("root").agg(F.min(ids_first).alias("first"))
     keys = [fresh(docs, name) for name in ("none", "id", "fp")]
     doc_id, column = F.col("doc_id").cast("long"), text_column(lambda texts: [(fingerprint(t),) for t in texts], "fp long")
     own = (doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), column(F.col("text"))["fp"])
