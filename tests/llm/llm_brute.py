@@ -1,14 +1,39 @@
 """What the pipeline keeps, by comparing all pairs and encoding whole texts."""
 
-from test_corpus import WORD, fingerprint, groups
+from test_corpus import WORD, fingerprint, words
 from tokenizers import Tokenizer
 
 from promptsift.llm import quality, secret_scan
 
 
+def shingles(t):
+    w = words(t.encode().lower().decode())
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def near_groups(texts):
+    """The least id of each id's group: two bits of fingerprint, or 0.8 of five-word shingles."""
+    prints, parts = {k: fingerprint(t) for k, t in texts.items()}, {k: shingles(t) for k, t in texts.items()}
+    root = {k: k for k in texts}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    keys = sorted(texts)
+    for n, a in enumerate(keys):
+        for b in keys[n + 1 :]:
+            both = len(parts[a] & parts[b])
+            if (prints[a] ^ prints[b]).bit_count() <= 2 or both and both >= 0.8 * (len(parts[a]) + len(parts[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {k: find(k) for k in keys}
+
+
 def brute_pieces(docs):
     """Tokens of each kept document, with the end id."""
     kept = {k: t for k, t in docs if quality.measure(t)[6]}
-    least = groups({k: fingerprint(t) for k, t in kept.items()})
+    least = near_groups(kept)
     t = Tokenizer.from_file(WORD)
     return {k: len(t.encode(secret_scan.redact(x), add_special_tokens=False).ids) + 1 for k, x in kept.items() if least[k] == k}

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from promptsift.llm import attention_lm, bpe, chat, media, packing, quality, registry, secret_scan, simhash, url_rules, wavelet
+from promptsift.llm import attention_lm, bpe, chat, media, near_copies, packing, quality, registry, secret_scan, simhash, url_rules, wavelet
 
 BYTE, WORD = registry.vocabulary("byte_bpe_50k.json"), registry.vocabulary("word_bpe_49k.json")
 SPACES = re.compile(r"[^\x20\x09-\x0D]+")
@@ -88,6 +88,32 @@ def test_simhash_edges(edges, none):
     assert simhash.grouped(none).count() == 0 and simhash.deduplicated(none).count() == 0
 
 
+def test_near_copies(spark):
+    rng = np.random.default_rng(11)
+    base = [[f"w{rng.integers(10**6)}" for _ in range(n)] for n in (60, 300, 2000)]
+
+    def changed(w, n):
+        w = list(w)
+        for k in np.linspace(10, len(w) - 10, n).astype(int):
+            w[k] = f"x{rng.integers(10**6)}"
+        return " ".join(w)
+
+    texts = [" ".join(w) for w in base] + [changed(w, 1) for w in base] + [changed(base[2], 20)] * 3 + [changed(base[1], 40), changed(base[2], 260)]
+    texts += [changed(base[1], 2) for _ in range(40)]
+    kept = simhash.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == {0, 1, 2, 9, 10}
+
+
+def test_similarity_estimate():
+    rng = np.random.default_rng(12)
+    pool = rng.permutation(np.unique(rng.integers(0, 1 << 63, 9000, dtype=np.uint64)))
+    least = lambda x: np.sort(x)[: near_copies.SKETCH].tobytes()
+    for n, both in ((300, 250), (4000, 3600), (500, 500)):
+        a, b = pool[:n], pool[n - both : 2 * n - both]
+        want = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        assert abs(near_copies.similarity(least(a), least(b)) - want) < (0.06 if n > 400 and both < n else 1e-9)
+
+
 @pytest.mark.parametrize("crowd", [1, 16, 10**6])
 def test_crowded_keys_lose_no_link(spark, monkeypatch, crowd):
     monkeypatch.setattr(simhash, "CROWD", crowd)
