@@ -26,8 +26,8 @@ MAX_REPEATED = 30
 COVERAGE = {4: 0.35, 6: 0.30, 10: 0.25}
 #: Most coverage by repeated lines.
 LINE_COVERAGE = 0.30
-#: Most symbols for each word.
-SYMBOLS = 0.5
+#: Most symbols for each word: one for ten, as public heuristics for web text have it.
+SYMBOLS = 0.1
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, coverage double, line_coverage double"
 
 _SPACE = np.zeros(256, np.uint8)

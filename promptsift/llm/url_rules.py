@@ -82,9 +82,8 @@ def mined_rules(pages: DataFrame, labels: DataFrame) -> DataFrame:
     label = F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))
     baskets = saved(known.select("tokens", F.concat("tokens", label).alias("items")))
     n = baskets.count()
-    empty = "tokens array<string>, key string, confidence double, support double"
     if n < LEAST:
-        return baskets.sparkSession.createDataFrame([], empty)
+        return baskets.filter("false").select("tokens", F.lit("").alias("key"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support"))
     support = max(SUPPORT, LEAST / n)
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=CONFIDENCE).fit(baskets)
     rules = saved(model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"))
