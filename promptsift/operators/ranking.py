@@ -17,9 +17,22 @@ from promptsift.functions.text import terms
 def term_counts(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """keys, pos, term, count."""
     words = docs.select(*keys, "pos", F.explode(terms(F.col(text))).alias("term"))
+    # as joins would add to some of the readers, which would then not share the shuffle
+    for name in (*keys, "pos", "term"):
+        words = words.filter(F.col(name).isNotNull())
     return words.groupBy(*keys, "pos", "term").agg(F.count(F.lit(1)).alias("count"))
 
 
+def documents_having(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, term, having: how many documents have a term.
+
+    It reads the counts' own column as well, so that its plan up to the shuffle equals that
+    of their other readers, and Spark takes texts apart and shuffles terms once.
+    """
+    found = counts.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("having"), F.sum("count").alias("occurrences"))
+    return found.filter("occurrences > 0").drop("occurrences")
+
+
 def idf(n: Column, df: Column) -> Column:
     return F.log((n + 1) / (df + 1)) + 1
 
@@ -34,7 +47,7 @@ def query_scores(docs: DataFrame, queries: DataFrame, keys: Sequence[str]) -> Da
     counts = term_counts(docs, keys)
     asked = queries.select(*keys, F.explode(terms(F.col("query"))).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("asked"))
     sizes = docs.groupBy(*keys).agg((F.count(F.lit(1)) + 1).alias("n"))
-    having = counts.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("having"))
+    having = documents_having(counts, keys)
     # every term of documents or query, with its weight for each occurrence
     known = having.join(asked, [*keys, "term"], "full").join(sizes, keys)
     df = F.coalesce("having", F.lit(0)) + F.col("asked").isNotNull().cast("int")
@@ -57,7 +70,7 @@ def centrality_scores(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     counts = term_counts(docs, keys)
     sizes = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    having = counts.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("having"))
+    having = documents_having(counts, keys)
     weights = having.join(sizes, keys).select(*keys, "term", "n", idf(F.col("n"), F.col("having")).alias("idf"))
     vectors = counts.join(weights, [*keys, "term"]).withColumn("w", F.col("count") * F.col("idf"))
     norms = vectors.groupBy(*keys, "pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))

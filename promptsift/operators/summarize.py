@@ -10,6 +10,7 @@ from promptsift.functions.text import sentences, token_count
 from promptsift.operators.ranking import centrality_scores, query_scores
 from promptsift.operators.relevance import DIGITS
 from promptsift.schema import KEY, RELEVANT, SUMMARIZED
+from promptsift.shared import saved
 
 MIN_TOKENS, KEEP_SHARE = 120, 0.4
 KINDS = ("text", "log")
@@ -21,7 +22,8 @@ def sentence_scores(texts: DataFrame, queries: DataFrame) -> DataFrame:
     The score is half the sentence's cosine with the query, half its mean with the others.
     """
     keys = ["request_id", "chunk"]
-    parts = texts.select("request_id", F.col("pos").alias("chunk"), F.posexplode(sentences(F.col("text"))).alias("pos", "text"))
+    # read for the counts and sizes of both scores: split once
+    parts = saved(texts.select("request_id", F.col("pos").alias("chunk"), F.posexplode(sentences(F.col("text"))).alias("pos", "text")))
     asked = texts.select("request_id", F.col("pos").alias("chunk")).join(queries.select("request_id", "query"), "request_id")
     near = query_scores(parts, asked, keys).withColumnRenamed("score", "near")
     central = centrality_scores(parts, keys).withColumnRenamed("score", "central")
