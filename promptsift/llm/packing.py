@@ -31,6 +31,8 @@ CAPACITY = 2048
 #: Ids that are packed together.
 HELD = 1 << 20
 END = 1
+#: Chunks whose ids a Python worker keeps.
+KNOWN = 600_000
 #: Cost of a piece of n ids: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -115,7 +117,7 @@ def packed(docs: DataFrame, path: str) -> DataFrame:
     end = END.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library(path, False)
+        encoder = library(path, False, KNOWN)
         number = TaskContext.get().partitionId() << 32
         doc_ids: list = []
         ids: list[bytes] = []

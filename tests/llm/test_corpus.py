@@ -106,7 +106,7 @@ def test_near_copies(spark):
 
 def test_similarity_estimate():
     rng = np.random.default_rng(12)
-    pool = rng.permutation(np.unique(rng.integers(0, 1 << 63, 9000, dtype=np.uint64)))
+    pool = rng.permutation(np.unique(rng.integers(0, 1 << 32, 9000, dtype=np.uint64))).astype("<u4")
     least = lambda x: np.sort(x)[: near_copies.SKETCH].tobytes()
     for n, both in ((300, 250), (4000, 3600), (500, 500)):
         a, b = pool[:n], pool[n - both : 2 * n - both]
