@@ -7,10 +7,12 @@ is tested by the Jaccard similarity of its texts' ``SKETCH`` least shingle hashe
 all shingles of a text with no more of them.
 
 Copies of equal words are one content and meet nobody twice. In a band's key of up to
-``CROWD`` contents all pairs are candidates. In a larger one every content is tested against
-the least of the key and against the least of its parts of the key (one of ``PARTS`` in each
-of ``WAYS``, by the content's hash), in each band that they share. So the rows stay in
-proportion to the contents, and no task needs all of a key.
+``CROWD`` contents all pairs are candidates. In a larger one every content is first tested
+against the least of the key and against the least of its parts of the key (one of ``PARTS``
+in each of ``WAYS``, by the content's hash). Those links join most of a key; what they leave
+apart is then compared exactly: the contents outside the key's largest component with all of
+another component, over all their shingles, in cells of two blocks of ``BLOCK`` contents. A
+cell returns only the links that join components, so its rows are fewer than its contents.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
-from promptsift.llm.common import saved, shared_dir
+from promptsift.llm.common import saved, shared_dir, text_column
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -34,6 +36,8 @@ BANDS, ROWS = 16, 4
 SKETCH = 512
 CROWD = 12
 PARTS, WAYS = 32, 2
+#: Contents of a side of a cell.
+BLOCK = 256
 _RNG = np.random.default_rng(5)
 _SCALE = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -41,17 +45,22 @@ _MIX = _RNG.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint
 _PART = 1 << 13
 
 
-def sketch(words: list[bytes], joined: bytes) -> tuple[bytes | None, list[int], bytes]:
-    """Of a text's words, and them joined by spaces: their digest, the bands' keys, the least shingle hashes' upper halves."""
-    if not words:
-        return None, [], b""
+def shingles(words: list[bytes], joined: bytes) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending."""
     if len(words) <= SHINGLE:
         hashes = [xxhash.xxh64_intdigest(joined)]
     else:
         ends = list(accumulate(map((1).__add__, map(len, words))))
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a : b - 1]) for a, b in zip([0, *ends], ends[SHINGLE - 1 :])]
-    found = np.unique(np.array(hashes, np.uint64))
+    return np.unique(np.array(hashes, np.uint64))
+
+
+def sketch(words: list[bytes], joined: bytes) -> tuple[bytes | None, list[int], bytes]:
+    """Of a text's words, and them joined by spaces: their digest, the bands' keys, the least shingle hashes' upper halves."""
+    if not words:
+        return None, [], b""
+    found = shingles(words, joined)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(found), _PART):
         part = found[None, k : k + _PART] * _SCALE[:, None] + _SHIFT[:, None]
@@ -77,11 +86,15 @@ def _similar(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([similarity(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
 
-def candidates(contents: DataFrame) -> DataFrame:
-    """a < b of contents (digest, bands) that share a band."""
+def meetings(contents: DataFrame) -> DataFrame:
+    """Per content of contents (digest, bands) and band's key that it shares: key, digest, count of the key."""
     keyed = contents.select("digest", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").count().filter("count > 1")
-    met = saved(keyed.join(shared, "key"))
+    return saved(keyed.join(shared, "key"))
+
+
+def candidates(met: DataFrame) -> DataFrame:
+    """a < b of contents that share a key: all pairs of the small ones, representatives of the crowded ones."""
     few = met.filter(F.col("count") <= CROWD)
     a, b = few.select("key", F.col("digest").alias("a")), few.select("key", F.col("digest").alias("b"))
     pairs = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b"))).select("a", "b")
@@ -96,15 +109,120 @@ def candidates(contents: DataFrame) -> DataFrame:
     return pairs.unionByName(star).unionByName(stars).filter("a < b").distinct()
 
 
-def links(sketched: DataFrame) -> DataFrame:
-    """a < b, fingerprints of near copies among sketched (fp, digest, bands, sketch)."""
+def whole(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """digest, all shingle hashes of the long texts among docs whose digest is in need.
+
+    The needed digests' first three bytes go to the tasks as a bitmap of 2 MB, so that few other texts are shingled or shuffled.
+    """
+    bit = F.conv(F.hex(F.substring("digest", 1, 3)), 16, 10).cast("long")
+    parts = need.select(bit.alias("bit")).groupBy(F.shiftright("bit", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767).cast("long"))).alias("bits"))
+    table = np.zeros(1 << 21, np.uint8)
+    for part, bits in parts.collect():
+        table[part << 12 : part + 1 << 12] = np.frombuffer(bits, np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+
+    def row(text: str | None) -> tuple:
+        words = (text or "").encode("utf-8").lower().split()
+        joined = b" ".join(words)
+        digest = xxhash.xxh3_128_digest(joined)
+        at = int.from_bytes(digest[:3], "big")
+        return (digest, shingles(words, joined).view(np.int64)) if words and sent.value[at >> 3] >> (at & 7) & 1 else (None, None)
+
+    column = text_column(lambda texts: [row(t) for t in texts], "digest binary, shingles array<long>")
+    # so many different shingles that a text of over SKETCH can be near it take more than so many characters
+    long = docs.filter(F.length("text") > int(2 * SIMILARITY * SKETCH) - 20)
+    found = long.select(column(F.col("text")).alias("s")).select("s.*").filter("digest is not null")
+    return found.groupBy("digest").agg(F.first("shingles").alias("shingles")).join(need, "digest", "left_semi")
+
+
+def cell_links(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Whether each of left and each of right have the similarity, over whole sets of numbers."""
+    sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+    ids, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    cut = int(sizes[0].sum())
+    owners = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    columns = [at[:cut], at[cut:]]
+    # those of both sides, numbered anew
+    common = np.bincount(columns[0], minlength=len(ids)).astype(bool) & np.bincount(columns[1], minlength=len(ids)).astype(bool)
+    number = np.cumsum(common) - 1
+    kept = [common[c] for c in columns]
+    owners, columns = [o[k] for o, k in zip(owners, kept)], [number[c[k]] for c, k in zip(columns, kept)]
+    orders = [np.argsort(c, kind="stable") for c in columns]
+    owners, columns = [o[k] for o, k in zip(owners, orders)], [c[k] for c, k in zip(columns, orders)]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for k in range(0, int(common.sum()), _PART):
+        parts = []
+        for side in (0, 1):
+            a, b = np.searchsorted(columns[side], (k, k + _PART))
+            part = np.zeros((len(sizes[side]), _PART), np.float32)
+            part[owners[side][a:b], columns[side][a:b] - k] = 1
+            parts.append(part)
+        both += parts[0] @ parts[1].T
+    union = sizes[0][:, None] + sizes[1][None, :] - both.astype(np.float64)
+    return both / np.maximum(union, 1) >= SIMILARITY
+
+
+def _cell(rows: pa.Table) -> pa.Table:
+    """Links (fingerprints) that join components of one cell."""
+    own, fp, label, i, j = (rows.column(n).to_numpy() for n in ("own", "fp", "label", "i", "j"))
+    a, b = [], []
+    if len(np.unique(label)) > 1:
+        lists = zip(rows.column("shingles"), rows.column("sketch"))
+        sets = [np.unique((x.values.to_numpy().view(np.uint64) >> np.uint64(32)).astype("<u4")) if x.is_valid else np.unique(np.frombuffer(y.as_py(), "<u4")) for x, y in lists]
+        sides = [np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])]
+        if all(map(len, sides)):
+            near = cell_links(*([sets[k] for k in side] for side in sides)) & (label[sides[0]][:, None] != label[sides[1]][None, :])
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while (up := root.get(x, x)) != x:
+                    root[x] = x = root.get(up, up)
+                return x
+
+            for x, y in zip(*np.nonzero(near)):
+                x, y = sides[0][x], sides[1][y]
+                if (p := find(int(label[x]))) != (q := find(int(label[y]))):
+                    root[p] = q
+                    a.append(min(fp[x], fp[y]))
+                    b.append(max(fp[x], fp[y]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def crossings(crowd: DataFrame, contents: DataFrame, full: DataFrame, found: DataFrame) -> DataFrame:
+    """The links between components of found that meet in a crowded key (key, digest), or others that join the same ones."""
+    from promptsift.llm.simhash import components
+
+    labels = components(found).withColumnRenamed("node", "fp")
+    members = crowd.select("key", "digest").join(contents.select("digest", "fp"), "digest").join(labels, "fp", "left")
+    members = saved(members.select("key", "digest", "fp", F.coalesce("root", "fp").alias("label")))
+    sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    keys = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("labels"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    apart = keys.filter("labels > 1").select("key", "major", blocks(F.col("all") - F.col("most")).alias("minors"), blocks(F.col("most")).alias("majors"))
+    is_major, hashed = F.col("label") == F.col("major"), F.xxhash64("digest")
+    own = F.when(is_major, F.col("minors") + F.pmod(hashed, F.col("majors"))).otherwise(F.pmod(hashed, F.col("minors"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("minors") + F.when(is_major, 0).otherwise(F.col("majors")) - 1))
+    dealt = members.join(apart, "key").select("key", "digest", "fp", "label", own.alias("own"), other.alias("other"))
+    dealt = dealt.select("key", "digest", "fp", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    short = F.when(~F.col("long"), F.col("sketch")).alias("sketch")
+    filled = dealt.join(contents.select("digest", short), "digest").join(full, "digest", "left")
+    return filled.groupBy("key", "i", "j").applyInArrow(_cell, "a long, b long").distinct()
+
+
+def links(sketched: DataFrame, docs: DataFrame) -> DataFrame:
+    """a < b, fingerprints of near copies among sketched (fp, digest, bands, sketch), or a path between them; docs has the texts."""
     spark = sketched.sparkSession
     folder = f"{shared_dir(spark)}/near-{uuid.uuid4().hex}"
     named = sketched.filter("digest is not null").groupBy("digest").agg(F.min("fp").alias("fp"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
-    named.write.parquet(folder)
+    named.withColumn("long", F.length("sketch") >= 4 * SKETCH).write.parquet(folder)
     contents = spark.read.parquet(folder)
-    pairs = candidates(contents.select("digest", "bands"))
+    met = meetings(contents.select("digest", "bands"))
     side = lambda s: contents.select(F.col("digest").alias(s), F.col("fp").alias(f"fp_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter("fp_a <> fp_b")
+    both = candidates(met).join(side("a"), "a").join(side("b"), "b").filter("fp_a <> fp_b")
     close: Column = _similar.asNondeterministic()("sketch_a", "sketch_b") >= SIMILARITY
-    return both.filter(close).select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).distinct()
+    found = saved(both.filter(close).select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).distinct())
+    crowd = met.filter(F.col("count") > CROWD)
+    if crowd.isEmpty():
+        return found
+    need = saved(crowd.select("digest").distinct().join(contents.filter("long").select("digest"), "digest"))
+    return found.unionByName(crossings(crowd, contents, saved(whole(docs, need)), found)).distinct()

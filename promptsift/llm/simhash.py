@@ -176,7 +176,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     folder = f"{shared_dir(docs.sparkSession)}/sketches-{uuid.uuid4().hex}"
     docs.select(F.col("doc_id").cast("long").alias("doc_id"), column(F.col("text")).alias("s")).select("doc_id", "s.*").write.parquet(folder)
     sketched = docs.sparkSession.read.parquet(folder)
-    least = rooted(sketched.select("doc_id", "fp"), near_copies.links(sketched)).groupBy("root").agg(F.min(ids_first).alias("first"))
+    least = rooted(sketched.select("doc_id", "fp"), near_copies.links(sketched, docs)).groupBy("root").agg(F.min(ids_first).alias("first"))
     keys = [fresh(docs, name) for name in ("none", "id", "fp")]
     doc_id, column = F.col("doc_id").cast("long"), text_column(lambda texts: [(fingerprint(t),) for t in texts], "fp long")
     own = (doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), column(F.col("text"))["fp"])

@@ -114,6 +114,37 @@ def test_similarity_estimate():
         assert abs(near_copies.similarity(least(a), least(b)) - want) < (0.06 if n > 400 and both < n else 1e-9)
 
 
+def test_crowds_of_edited_copies(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 100)
+    rng = np.random.default_rng(21)
+    texts = []
+    for n, count, most in ((200, 1100, 6),):
+        base = [f"w{rng.integers(10**6)}" for _ in range(n)]
+        for _ in range(count):
+            w = list(base)
+            for k in rng.choice(n, rng.integers(1, most + 1), replace=False):
+                w[k] = f"x{rng.integers(10**9)}"
+            texts.append(w)
+    sets = [frozenset(zip(*(w[k:] for k in range(5)))) for w in texts]
+    root = list(range(len(sets)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) and (x := find(a)) != (y := find(b)):
+                root[max(x, y)] = min(x, y)
+    sketched = spark.createDataFrame([(k, *near_copies.sketch(w := " ".join(t).encode().split(), b" ".join(w))) for k, t in enumerate(texts)], "fp long, digest binary, bands array<long>, sketch binary")
+    named = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    labels = {r.node: r.root for r in simhash.components(near_copies.links(sketched, named)).collect()}
+    pairs = {(find(k), labels.get(k, k)) for k in range(len(texts))}
+    assert len(pairs) == len({w for w, _ in pairs}) == len({g for _, g in pairs})
+
+
 @pytest.mark.parametrize("crowd", [1, 16, 10**6])
 def test_crowded_keys_lose_no_link(spark, monkeypatch, crowd):
     monkeypatch.setattr(simhash, "CROWD", crowd)
