@@ -23,7 +23,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
@@ -32,6 +32,7 @@ from promptsift.llm.common import saved, shared_dir, text_column
 
 SHINGLE = 5
 SIMILARITY = 0.8
+ROUGH = 0.7
 BANDS, ROWS = 16, 4
 SKETCH = 512
 CROWD = 12
@@ -135,6 +136,15 @@ def whole(docs: DataFrame, need: DataFrame) -> DataFrame:
     return found.groupBy("digest").agg(F.first("shingles").alias("shingles")).join(need, "digest", "left_semi")
 
 
+def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """The pairs (a, b, digests) with the similarity over all shingles in full (digest, shingles)."""
+    side = lambda s: full.select(F.col("digest").alias(s), F.col("shingles").alias(f"all_{s}"))
+    both = F.size(F.array_intersect("all_a", "all_b"))
+    counted = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", both)
+    close = F.col("both") / (F.size("all_a") + F.size("all_b") - F.col("both")) >= SIMILARITY
+    return counted.filter(close).drop("all_a", "all_b", "both")
+
+
 def cell_links(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Whether each of left and each of right have the similarity, over whole sets of numbers."""
     sizes = [np.array([len(x) for x in side]) for side in (left, right)]
@@ -217,12 +227,14 @@ def links(sketched: DataFrame, docs: DataFrame) -> DataFrame:
     named.withColumn("long", F.length("sketch") >= 4 * SKETCH).write.parquet(folder)
     contents = spark.read.parquet(folder)
     met = meetings(contents.select("digest", "bands"))
-    side = lambda s: contents.select(F.col("digest").alias(s), F.col("fp").alias(f"fp_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    side = lambda s: contents.select(F.col("digest").alias(s), F.col("fp").alias(f"fp_{s}"), F.col("sketch").alias(f"sketch_{s}"), F.col("long").alias(f"long_{s}"))
     both = candidates(met).join(side("a"), "a").join(side("b"), "b").filter("fp_a <> fp_b")
-    close: Column = _similar.asNondeterministic()("sketch_a", "sketch_b") >= SIMILARITY
-    found = saved(both.filter(close).select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).distinct())
+    value, long = _similar.asNondeterministic()("sketch_a", "sketch_b"), F.col("long_a") | F.col("long_b")
+    tested = both.select("a", "b", F.least("fp_a", "fp_b").alias("fp_a"), F.greatest("fp_a", "fp_b").alias("fp_b"), long.alias("long"), value.alias("value"))
+    tested = saved(tested.filter(F.col("value") >= F.when(F.col("long"), ROUGH).otherwise(SIMILARITY)))
     crowd = met.filter(F.col("count") > CROWD)
-    if crowd.isEmpty():
-        return found
-    need = saved(crowd.select("digest").distinct().join(contents.filter("long").select("digest"), "digest"))
-    return found.unionByName(crossings(crowd, contents, saved(whole(docs, need)), found)).distinct()
+    unsure = tested.filter("long")
+    need = unsure.select(F.explode(F.array("a", "b")).alias("digest")).unionByName(crowd.join(contents.filter("long").select("digest"), "digest").select("digest"))
+    full = saved(whole(docs, saved(need.distinct())))
+    found = saved(tested.filter("not long").unionByName(verified(unsure, full)).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct())
+    return found if crowd.isEmpty() else found.unionByName(crossings(crowd, contents, full, found)).distinct()

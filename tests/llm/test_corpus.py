@@ -118,7 +118,7 @@ def test_crowds_of_edited_copies(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "BLOCK", 100)
     rng = np.random.default_rng(21)
     texts = []
-    for n, count, most in ((200, 1100, 6),):
+    for n, count, most in ((200, 1100, 6), (700, 150, 22)):
         base = [f"w{rng.integers(10**6)}" for _ in range(n)]
         for _ in range(count):
             w = list(base)
@@ -145,6 +145,26 @@ def test_crowds_of_edited_copies(spark, monkeypatch):
     assert len(pairs) == len({w for w, _ in pairs}) == len({g for _, g in pairs})
 
 
+def test_long_texts_are_decided_over_all_shingles(spark):
+    rng = np.random.default_rng(22)
+    texts, want = [], set()
+    for n in (1500, 3000):
+        for k in range(24):
+            # each of so many words alone takes five shingles: just at the similarity or just below it
+            changed = int((n - 4) / 9 / 5) + k % 2
+            base = [f"w{rng.integers(10**9)}" for _ in range(n)]
+            copy = list(base)
+            for x in np.linspace(10, n - 10, changed).astype(int):
+                copy[x] = f"x{rng.integers(10**9)}"
+            a, b = ({tuple(w[x : x + 5]) for x in range(n - 4)} for w in (base, copy))
+            if len(a & b) / len(a | b) >= 0.8:
+                want.add((len(texts), len(texts) + 1))
+            texts += [base, copy]
+    sketched = spark.createDataFrame([(k, *near_copies.sketch(w := " ".join(t).encode().split(), b" ".join(w))) for k, t in enumerate(texts)], "fp long, digest binary, bands array<long>, sketch binary")
+    named = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert len(want) == 24 and {tuple(r) for r in near_copies.links(sketched, named).collect()} == want
+
+
 @pytest.mark.parametrize("crowd", [1, 16, 10**6])
 def test_crowded_keys_lose_no_link(spark, monkeypatch, crowd):
     monkeypatch.setattr(simhash, "CROWD", crowd)
