@@ -5,10 +5,14 @@ from the characters it has (hexadecimal, base32, base36, base62, base64). Agains
 draw from that alphabet it is tested by a chi-squared of character classes and of equal
 slices of the alphabet, by the runs above and below the alphabet's middle, and by the serial
 correlation of neighbours; Fisher's method joins the four. A token that fails this battery
-isn't random. Those that pass may still be ordinary text too short to fail it: for each, the
-binomial tail of its digits and capitals under ordinary text gives a second p-value, and the
-tokens of a document go through the Benjamini-Hochberg procedure, each p-value weighted by
-its token's length. What it lets through is added to the spans, unless it overlaps a base one.
+isn't random. Those that pass may still be ordinary text too short to fail it: its p-value is
+the likelihood ratio of ordinary text against the uniform draw from its encoding's alphabet. If
+the token were ordinary, the ratio would be so small with a chance of no more than itself.
+Ordinary text is a chain: classes follow each other as in words, identifiers, paths and dates,
+and letters as in a sample of four languages, so that the ratio weighs the use of the alphabet,
+runs and neighbours at once. The tokens of a document go through the Benjamini-Hochberg
+procedure, each p-value weighted by its token's length. What it lets through is added to the
+spans, unless it overlaps a base one.
 
 Results for edge cases: a null or empty text has no spans; equal texts have equal spans; a
 text of any length is scanned whole. Spans are in code points, ends exclusive.
@@ -19,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +43,6 @@ _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 RANDOM = 0.001
 #: Expected share of ordinary text among the spans that are added.
 FALSE = 0.001
-#: Share of digits and capitals in ordinary text.
-ORDINARY = 0.15
-
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Encodings from the narrowest: characters in order, and the lengths of the classes among them.
 ENCODINGS = {
@@ -53,6 +55,26 @@ ENCODINGS = {
     "base64": (_DIGITS + _UPPER + _LOWER + "+/", (10, 26, 26, 2)),
     "base64url": (_DIGITS + _UPPER + _LOWER + "-_", (10, 26, 26, 2)),
 }
+#: Chances in ordinary text of a lower-case letter, capital, digit or symbol (columns) after each (rows).
+_FOLLOWS = ((0.92, 0.025, 0.015, 0.04), (0.44, 0.46, 0.03, 0.07), (0.1, 0.08, 0.7, 0.12), (0.5, 0.2, 0.2, 0.1))
+#: Ordinary words, of which pairs of letters are counted.
+_SAMPLE = """
+the people who came to this country from other places were looking for work and a better life and they found that nothing
+would be given without effort however much they wished it every question should have an answer which can be checked against
+what is known by others since knowledge grows through discussion and quick judgement just makes people believe the wrong things
+request response user name password account message server client database connection configuration value object index query
+function return string number list file path directory system network process thread memory cache update delete create insert
+error warning exception timeout default option project version release package module library test example javascript python
+http https www index html com org net article title category image download upload search results page content view
+international organization information application development environment management performance availability
+die menschen die in dieses land gekommen sind haben arbeit und ein besseres leben gesucht und mussten feststellen dass ohne
+anstrengung nichts zu bekommen ist obwohl sie es sich so sehr wünschten jede frage sollte eine antwort haben die man prüfen kann
+gesellschaft wirtschaft verwaltung schifffahrt donaudampf verkehrsverbindung rechtsprechung zwischen zukunft möglichkeit
+les gens qui sont venus dans ce pays cherchaient du travail et une vie meilleure et ils ont appris que rien ne serait donné sans
+effort chaque question devrait avoir une réponse que l'on peut vérifier auprès des autres quand la connaissance grandit aujourd'hui
+las personas que llegaron a este país buscaban trabajo y una vida mejor y supieron que nada se consigue sin esfuerzo cada
+pregunta debe tener una respuesta que se pueda comprobar porque el conocimiento crece cuando hablamos desarrollo jugador hacia
+"""
 _SETS = {name: frozenset(chars) for name, (chars, _) in ENCODINGS.items()}
 COLUMNS = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
@@ -130,11 +152,42 @@ def joint(p_values) -> float:
     return math.exp(-half) * total
 
 
+def _letter_logs() -> dict[str, float]:
+    """Of each pair of letters, and of each letter alone as the first: the logarithm of its chance."""
+    words = re.findall("[a-z]+", _SAMPLE.lower())
+    one, two = Counter("".join(words)), Counter(a + b for w in words for a, b in zip(w, w[1:]))
+    total = sum(one.values()) + len(_LOWER)
+    alone = {c: (one[c] + 1) / total for c in _LOWER}
+    after = {c: sum(two[c + d] for d in _LOWER) for c in _LOWER}
+    pair = {c + d: (two[c + d] + 10 * alone[d]) / (after[c] + 10) for c in _LOWER for d in _LOWER}
+    return {x: math.log(p) for x, p in (alone | pair).items()}
+
+
+_LETTERS = _letter_logs()
+_CLASS = {c: k for k, chars in enumerate((_LOWER, _UPPER, _DIGITS, "+/_-")) for c in chars}
+_CLASS_LOGS = [[math.log(p) for p in row] for row in _FOLLOWS]
+
+
 def ordinary(token: str) -> float:
-    """The chance of so many digits and capitals in ordinary text of this length."""
-    n, odd = len(token), sum(c.isdigit() or c.isupper() for c in token)
-    log = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(ORDINARY) + (n - k) * math.log(1 - ORDINARY) for k in range(odd, n + 1)]
-    return min(1.0, math.fsum(map(math.exp, log)))
+    """The logarithm of the token's likelihood in ordinary text."""
+    total, before, letter = 0.0, 3, ""
+    for c, low in zip(token, token.lower()):
+        kind = _CLASS[c]
+        total += _CLASS_LOGS[before][kind]
+        total += _LETTERS[letter + low] if kind < 2 else -math.log(10 if kind == 2 else 4)
+        before, letter = kind, low if kind < 2 else ""
+    return total
+
+
+def p_value(token: str) -> float:
+    """Of the token as ordinary text; 1 for one that isn't random or has no encoding."""
+    encoding = encoding_of(token)
+    if encoding is None or _UUID.fullmatch(token):
+        return 1.0
+    ratio = ordinary(token) + len(token) * math.log(len(ENCODINGS[encoding][0]))
+    if ratio >= 0:
+        return 1.0
+    return math.exp(ratio) if joint(battery(token, encoding).values()) >= RANDOM else 1.0
 
 
 def discoveries(tokens: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
@@ -145,13 +198,9 @@ def discoveries(tokens: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
     if not tokens:
         return []
     mean = sum(len(t) for _, _, t in tokens) / len(tokens)
-    ranked = sorted((ordinary(t) * mean / len(t), start, end, t) for start, end, t in tokens)
+    ranked = sorted((p_value(t) * mean / len(t), start, end) for start, end, t in tokens)
     last = max((k for k, x in enumerate(ranked, 1) if x[0] <= FALSE * k / len(ranked)), default=0)
-    found = []
-    for _, start, end, token in ranked[:last]:
-        if (encoding := encoding_of(token)) and not _UUID.fullmatch(token) and joint(battery(token, encoding).values()) >= RANDOM:
-            found.append((start, end))
-    return found
+    return [(start, end) for _, start, end in ranked[:last]]
 
 
 def spans_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -303,6 +303,18 @@ def test_randomness_battery():
     assert secret_scan.discoveries([(0, len(t), t) for t in text]) == []
 
 
+@pytest.mark.parametrize("n", [20, 24, 32, 40])
+@pytest.mark.parametrize("name", secret_scan.ENCODINGS)
+def test_secrets_of_each_encoding_are_found(name, n):
+    rng = np.random.default_rng(n)
+    secret = lambda: "".join(rng.choice(list(secret_scan.ENCODINGS[name][0]), n))
+    plain = ["internationalization_of_words", "getUserNameFromDatabase", "docs/2024/01/15/some-article-title", "THIS_IS_A_LONG_CONSTANT"]
+    for others in (0, 19, 199):
+        tokens = [(100 * k, 100 * k + len(t), t) for k, t in enumerate(plain[k % 4] for k in range(others))]
+        found = [secret_scan.discoveries([(-100, n - 100, secret()), *tokens]) for _ in range(60)]
+        assert all(set(f) <= {(-100, n - 100)} for f in found) and np.mean([len(f) for f in found]) > 0.9
+
+
 # quality
 
 
