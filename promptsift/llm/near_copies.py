@@ -10,8 +10,8 @@ Copies of equal words are one content and meet nobody twice. In a band's key of
 ``CROWD`` contents all pairs are candidates. In a larger one every content is first tested
 against the least of the key and against the least of its parts of the key (one of ``PARTS``
 in each of ``WAYS``, by the content's hash). Those links join most of a key; what they leave
-apart is then compared exactly: the contents outside the key's largest component with all of
-another component, over all their shingles, in cells of two blocks of ``BLOCK`` contents. A
+apart is then compared exactly: the contents outside the key's largest group of linked ones with all of
+another group, over all their shingles, in cells of two blocks of ``BLOCK`` contents. A
 cell returns only the links that join components, so its rows are fewer than its contents.
 """
 
@@ -111,9 +111,9 @@ def candidates(met: DataFrame) -> DataFrame:
 
 
 def whole(docs: DataFrame, need: DataFrame) -> DataFrame:
-    """digest, all shingle hashes of the long texts among docs whose digest is in need.
+    """digest, all shingle hashes of the long texts among docs whose digest is in need, and of a few others.
 
-    The needed digests' first three bytes go to the tasks as a bitmap of 2 MB, so that few other texts are shingled or shuffled.
+    The needed digests' first three bytes go to the tasks as a bitmap of 2 MB, so that few texts are shingled and shuffled.
     """
     bit = F.conv(F.hex(F.substring("digest", 1, 3)), 16, 10).cast("long")
     parts = need.select(bit.alias("bit")).groupBy(F.shiftright("bit", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767).cast("long"))).alias("bits"))
@@ -133,7 +133,7 @@ def whole(docs: DataFrame, need: DataFrame) -> DataFrame:
     # so many different shingles that a text of over SKETCH can be near it take more than so many characters
     long = docs.filter(F.length("text") > int(2 * SIMILARITY * SKETCH) - 20)
     found = long.select(column(F.col("text")).alias("s")).select("s.*").filter("digest is not null")
-    return found.groupBy("digest").agg(F.first("shingles").alias("shingles")).join(need, "digest", "left_semi")
+    return found.groupBy("digest").agg(F.first("shingles").alias("shingles"))
 
 
 def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -199,10 +199,11 @@ def _cell(rows: pa.Table) -> pa.Table:
 
 
 def crossings(crowd: DataFrame, contents: DataFrame, full: DataFrame, found: DataFrame) -> DataFrame:
-    """The links between components of found that meet in a crowded key (key, digest), or others that join the same ones."""
-    from promptsift.llm.simhash import components
-
-    labels = components(found).withColumnRenamed("node", "fp")
+    """The links that found lacks within crowded keys (key, digest), or others that join the same components."""
+    # equal labels are connected; those of one component may still differ, which only makes more cells
+    near = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b"))
+    parent = near.select(F.col("a").alias("fp"), F.least("a", "b").alias("root"))
+    labels = parent.join(parent.select(F.col("fp").alias("root"), F.col("root").alias("above")), "root").select("fp", F.col("above").alias("root"))
     members = crowd.select("key", "digest").join(contents.select("digest", "fp"), "digest").join(labels, "fp", "left")
     members = saved(members.select("key", "digest", "fp", F.coalesce("root", "fp").alias("label")))
     sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -235,6 +236,6 @@ def links(sketched: DataFrame, docs: DataFrame) -> DataFrame:
     crowd = met.filter(F.col("count") > CROWD)
     unsure = tested.filter("long")
     need = unsure.select(F.explode(F.array("a", "b")).alias("digest")).unionByName(crowd.join(contents.filter("long").select("digest"), "digest").select("digest"))
-    full = saved(whole(docs, saved(need.distinct())))
+    full = saved(whole(docs, need))
     found = saved(tested.filter("not long").unionByName(verified(unsure, full)).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct())
     return found if crowd.isEmpty() else found.unionByName(crossings(crowd, contents, full, found)).distinct()
