@@ -19,7 +19,7 @@ Passes over the corpus, none of which brings texts, words or scores to the drive
    document by their number in the block, the words' tokens, and a row with the training
    count of each word of the block. The tokens are counted alongside, for the choice above.
 2. What the values need is counted over all blocks; its size depends on the vocabulary only.
-3. Each block trains the weights from the same start, on every ``STRIDE``-th window of its
+3. Each block trains the weights from the same start, on all windows of its
    training texts; the driver gets their mean.
 4. Word counts are added up over the corpus and joined back to the blocks' words, and each
    block scores its documents with both models.
@@ -62,8 +62,6 @@ WIDTH = 8
 BLOCK = 10_000_000
 #: Words whose tokens a Python worker keeps.
 KNOWN_WORDS = 250_000
-#: Of how many windows one is trained on.
-STRIDE = 8
 RATE = 2.0
 #: Windows of a training step.
 STEP = 64
@@ -258,7 +256,7 @@ class Model:
         return np.add.reduceat(logs, s.starts)
 
     def train(self, s: Stream) -> np.ndarray:
-        """Weights after one pass over every STRIDE-th window of the training texts."""
+        """Weights after one pass over all windows of the training texts."""
         model = Model.__new__(Model)
         model.__dict__ |= self.__dict__ | {"weights": self.weights.copy()}
         model.query, model.key = model.weights[: 2 * SIZE * WIDTH].reshape(2, SIZE, WIDTH)
@@ -271,8 +269,8 @@ class Model:
         learn = learn.reshape(len(windows), -1)
         seen = np.ones((2, SIZE), np.float32)  # squares of gradients so far, for the rate
         scale = np.float32(1 / np.sqrt(WIDTH))
-        for k in range(0, len(windows), STEP * STRIDE):
-            rows = slice(k, k + STEP * STRIDE, STRIDE)
+        for k in range(0, len(windows), STEP):
+            rows = slice(k, k + STEP)
             w, p, ok = windows[rows], place[rows], learn[rows]
             value, weight, prob = model.attention(w, p, lambda last, before: np.einsum("ijd,ijd->ij", model.query[last], model.key[before]) * scale)
             # of log prob by each score: weight * (value / prob - 1)

@@ -500,6 +500,18 @@ def test_windows_equal_one_position_at_a_time():
         assert got == pytest.approx(log, rel=1e-4)
 
 
+def test_every_window_trains():
+    s, m = model()
+    windows, _ = m.windows(s)
+    step = attention_lm.WINDOW - attention_lm.CONTEXT
+    learns = s.training & (s.place > 0)
+    assert len(windows) > 1
+    for k in range(len(windows)):
+        s.training = np.zeros_like(learns)
+        s.training[k * step : (k + 1) * step] = learns[k * step : (k + 1) * step]
+        assert s.training.any() == (m.train(s) != m.weights).any()
+
+
 # URLs
 
 
