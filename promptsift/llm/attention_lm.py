@@ -2,16 +2,20 @@
 
 Texts are lower-cased (A-Z) words, each cut into subwords: the tokens of a public byte-level
 tokenizer, each taken apart along its merges until the parts are bytes or among the
-``MERGES`` tokens that the training texts hold most often. An end follows.
+``MERGES`` tokens that the training texts hold most often. A word's first subword has the
+space before it. An end follows the words.
 
 The model predicts an id as a mixture over the ``CONTEXT`` positions before it: the query of
 the last position and the keys of all of them, with a bias for the distance, give causal
 attention weights by a masked softmax, and a position's value is the distribution of ids at
-its distance after its own id. A further slot without a position, whose value is the
-distribution of all ids, can take weight, too. The values are counted over the training texts
-(so the mixture is a probability as it is), and queries, keys and biases are trained by
-gradient ascent on the log probability. Long texts are cut into windows that overlap by the
-context, and every window scores the positions after its first ``CONTEXT``: each id once.
+its distance after its own id. Each distance has values of its own, the nearest one further
+ones by the last position's place in its word (of ``PLACES``), and so have the biases. A slot
+without a position, whose value is the distribution of all ids, can take weight, too. The
+values are counted over all training texts (so the mixture is a probability as it is), and
+queries, keys and biases are trained by gradient ascent on the log probability, over all
+windows of the training texts, with each position's own count left out of the values. A block's documents are one stream, cut into windows of
+``WINDOW`` positions, each led in by the ``CONTEXT`` positions before it: attention is masked
+where it would reach another document, and each id is scored once.
 
 Passes over the corpus, none of which brings texts, words or scores to the driver:
 
@@ -19,88 +23,122 @@ Passes over the corpus, none of which brings texts, words or scores to the drive
    document by their number in the block, the words' tokens, and a row with the training
    count of each word of the block. The tokens are counted alongside, for the choice above.
 2. What the values need is counted over all blocks; its size depends on the vocabulary only.
-3. Each block trains the weights from the same start, on all windows of its
-   training texts; the driver gets their mean.
-4. Word counts are added up over the corpus and joined back to the blocks' words, and each
-   block scores its documents with both models.
+3. Each block trains the weights from the same start, on all windows of its training texts;
+   the driver gets their mean.
+4. Word counts are added up over the corpus and joined back to the blocks' words (a word has
+   a row for each block at most), and each block scores its documents with both models.
 
 The base score is that of single words, with 0.1 added to counts. Documents whose crc32 of
 their id as text is 0 modulo 10 are held out of all counts and of training.
 
 Results for edge cases: a null or empty text is an end alone. A null doc_id counts as empty
 text there, and so is held out. Repeated rows count and are scored each. Without training
-texts all counts are 0 and the model is uniform.
+texts all counts are 0 and the model is uniform. Words of over ``PIECE`` characters are cut
+into pieces of so many before they are taken apart.
 """
 
 from __future__ import annotations
 
+import base64
 import io
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptsift.llm.bpe import Ranks
-from promptsift.llm.common import shared_dir
-from promptsift.llm.library import library
+from promptsift.llm.common import dropped, shared_dir
 
-MERGES = 766
+MERGES = 1278
 #: Ids: bytes, merges, the end of a text, its start.
 END, START = 256 + MERGES, 257 + MERGES
 SIZE = 258 + MERGES
 CONTEXT = 8
-WINDOW = 64
-WIDTH = 8
+WINDOW = 1 << 16
+WIDTH = 16
+#: Places in a word that are told apart; the last one stands for all later ones.
+PLACES = 4
+#: Tables of values: the nearest distance by place, then each other distance.
+TABLES = PLACES + CONTEXT - 1
 #: Characters of texts in a block, or those of one longer text.
 BLOCK = 10_000_000
-#: Words whose tokens a Python worker keeps.
-KNOWN_WORDS = 250_000
-RATE = 2.0
-#: Windows of a training step.
-STEP = 64
+PIECE = 64
+RATE, BIAS_RATE = 2.0, 32.0
+#: Steps of training in a block at least; fewer windows are gone through again.
+STEPS = 64
 ADDED = 0.1
-#: Distances with values of their own; from the last of them on they are shared.
-TABLES = 2
-#: Weight of the distribution of all ids in a value, as a count.
-PRIOR = 5.0
-#: Groups that add up what blocks counted or trained.
+#: Weight of the distribution that a value falls back on, as a count.
+PRIOR = 20.0
+#: Groups that add up a table that tasks counted.
 GROUPS = 32
+#: Values are kept as halves, times this, so that small ones keep their digits.
+HALVES = np.float32(1 << 15)
 
 
-@lru_cache(maxsize=1)
-def merges_of(path: str) -> Ranks:
-    return Ranks(path)
+class Tokens:
+    """A file of ranks: the bytes of each token and the tokenizer."""
+
+    def __init__(self, path: str):
+        pairs = (line.split() for line in Path(path).read_bytes().splitlines() if line)
+        self.ranks = {base64.b64decode(data): int(rank) for data, rank in pairs}
+        self.size = max(self.ranks.values()) + 1
+        self.encoding = tiktoken.Encoding("words", pat_str=f" [^ ]{{1,{PIECE}}}|[^ ]{{1,{PIECE}}}", mergeable_ranks=self.ranks, special_tokens={})
+        self.spaced = np.zeros(self.size, bool)
+        self.spaced[[rank for data, rank in self.ranks.items() if data[:1] == b" "]] = True
+
+    def of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all words, each with a space before it, and how many each word has."""
+        ids = self.encoding.encode_to_numpy((b" " + b" ".join(words)).decode()) if words else np.zeros(0, np.uint32)
+        starts = np.flatnonzero(self.spaced[ids])
+        return ids, np.diff(np.append(starts, len(ids)))
 
+    def parts(self, token: bytes) -> tuple[bytes, bytes]:
+        """The two that the token is merged of."""
+        pieces = [token[k : k + 1] for k in range(len(token))]
+        while len(pieces) > 2:
+            joined = [self.ranks.get(a + b, self.size) for a, b in zip(pieces, pieces[1:])]
+            k = joined.index(min(joined))
+            pieces[k : k + 2] = [pieces[k] + pieces[k + 1]]
+        return pieces[0], pieces[1]
+
+
+@lru_cache(maxsize=1)
+def tokens_of(path: str) -> Tokens:
+    return Tokens(path)
 
-def chosen_tokens(path: str, counts: np.ndarray) -> list[int]:
-    """The MERGES most frequent tokens of more than one byte, ties in the order of their ids."""
-    made = set(merges_of(path).made)
-    return [i for i in np.argsort(-counts, kind="stable").tolist() if i in made][:MERGES]
 
+class Subwords:
+    """The subwords of each token: where they start among all, all of them, and which begin a word."""
 
-def subword_map(path: str, chosen: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """For each id of the vocabulary file: where its subwords start, and all subwords."""
-    ranks = merges_of(path)
-    small = {i: k for k, i in enumerate([*ranks.first, *chosen])}
-    parts = {ranks.made[r]: (key >> 20, key & ((1 << 20) - 1)) for key, r in ranks.pair.items()}
-    known: dict[int, list[int]] = {}
+    def __init__(self, tokens: Tokens, counts: np.ndarray):
+        """counts: of the tokens; the most frequent of several bytes stay whole, ties in the order of their ids."""
+        text = {rank: data for data, rank in tokens.ranks.items()}
+        chosen = [i for i in np.argsort(-counts.astype(np.int64), kind="stable").tolist() if len(text.get(i, b"")) > 1][:MERGES]
+        small = {data: k for k, data in enumerate([*sorted(d for d in tokens.ranks if len(d) == 1), *(text[i] for i in chosen)])}
+        known: dict[bytes, list[int]] = {}
 
-    def subwords(i: int) -> list[int]:
-        if i not in known:
-            known[i] = [small[i]] if i in small else [x for part in parts[i] for x in subwords(part)]
-        return known[i]
+        def subwords(data: bytes) -> list[int]:
+            if data not in known:
+                known[data] = [small[data]] if data in small else [x for part in tokens.parts(data) for x in subwords(part)]
+            return known[data]
 
-    found = [subwords(i) if i in small or i in parts else [] for i in range(max(ranks.text) + 1)]
-    starts = np.zeros(len(found) + 1, np.int64)
-    np.cumsum([len(x) for x in found], out=starts[1:])
-    return starts, np.array([x for f in found for x in f], np.uint16)
+        used = set(np.flatnonzero(counts).tolist())
+        found = [subwords(text[i]) if i in text and i in used else [small[text[i][k : k + 1]] for k in range(len(text[i]))] if i in text else [] for i in range(tokens.size)]
+        self.starts = np.zeros(len(found) + 1, np.int64)
+        np.cumsum([len(x) for x in found], out=self.starts[1:])
+        self.ids = np.array([x for f in found for x in f], np.uint16)
+        self.begins = np.zeros(SIZE, bool)
+        self.begins[[k for data, k in small.items() if data[:1] == b" "]] = True
+        self.begins[[END, START]] = True
 
 
 def gathered(starts: np.ndarray, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +158,7 @@ def held_out(doc_id: int | None) -> bool:
 def _dumped(**arrays: np.ndarray) -> bytes:
     out = io.BytesIO()
     np.savez(out, **arrays)
-    return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
+    return zstandard.ZstdCompressor(level=1).compress(out.getbuffer())
 
 
 def _loaded(data: bytes) -> dict[str, np.ndarray]:
@@ -128,289 +166,325 @@ def _loaded(data: bytes) -> dict[str, np.ndarray]:
         return dict(found)
 
 
-class _Numbers(dict):
-    """A number for each word, from 0."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 class Stream:
-    """The subword ids of a block's documents, one after the other, each with its start and end."""
+    """The subword ids of a block's documents, one after the other, each with its start and end.
 
-    def __init__(self, block: dict[str, np.ndarray], subwords: tuple[np.ndarray, np.ndarray]):
+    ``CONTEXT`` starts lead in. place: of an id in its document, as far as the context reaches;
+    in_word: its place in its word.
+    """
+
+    def __init__(self, block: dict[str, np.ndarray], subwords: Subwords):
         self.doc_ids, self.missing = block["doc_ids"], block["missing"]
         self.held, self.words = block["held"], block["words"]
         self.n_words = block["n_words"].astype(np.int64)
-        tokens, of_word = block["tokens"], block["n_tokens"]
-        subs_of, sizes = gathered(*subwords, tokens)
-        word_of = np.repeat(np.arange(len(of_word)), of_word)
-        starts = np.concatenate(([0], np.cumsum(np.bincount(word_of, sizes, len(of_word)).astype(np.int64))))
+        of_word = block["n_tokens"]
+        subs_of, sizes = gathered(subwords.starts, subwords.ids, block["tokens"])
+        firsts = np.concatenate(([0], np.cumsum(of_word, dtype=np.int64)))
+        starts = np.concatenate(([0], np.cumsum(sizes)))[firsts]
         subs, lengths = gathered(starts, subs_of, self.words)
         # ids of each document, without its start and end
         bounds = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(self.n_words)))]
         sizes = np.diff(bounds) + 2
-        self.stops = np.cumsum(sizes)
+        self.stops = CONTEXT + np.cumsum(sizes)
         self.starts = self.stops - sizes
-        self.ids = np.empty(int(self.stops[-1]) if len(sizes) else 0, np.uint16)
-        inner = np.ones(len(self.ids), bool)
-        inner[self.starts] = inner[self.stops - 1] = False
+        n = int(self.stops[-1]) if len(sizes) else CONTEXT
+        self.ids = np.full(n, START, np.int32)
+        inner = np.ones(n, bool)
+        inner[:CONTEXT] = inner[self.starts] = inner[self.stops - 1] = False
         self.ids[inner] = subs
-        self.ids[self.starts], self.ids[self.stops - 1] = START, END
-        # capped, as nothing looks farther back than the context
-        self.place = np.full(len(self.ids), CONTEXT, np.uint8)
+        self.ids[self.stops - 1] = END
+        self.place = np.full(n, CONTEXT, np.uint8)
+        self.place[:CONTEXT] = 0
         for k in range(CONTEXT):
-            at = self.starts[sizes > k] + k
-            self.place[at] = k
-        self.training = np.repeat(~self.held, sizes)
-
-
-class Counts:
-    """How often an id follows another at each distance, and the ids altogether."""
-
-    def __init__(self):
-        self.pairs = np.zeros((TABLES, SIZE * SIZE), np.float64)
-        self.ids = np.zeros(SIZE, np.float64)
-
-    def add(self, s: Stream) -> None:
-        ids = s.ids.astype(np.int32)
-        self.ids += np.bincount(ids[s.training & (s.place > 0)], minlength=SIZE)
-        for k in range(TABLES):
-            lag = k + 1
-            ok = np.flatnonzero(s.training[lag:] & (s.place[lag:] >= lag))
-            self.pairs[k] += np.bincount(ids.take(ok) * SIZE + ids.take(ok + lag), minlength=SIZE * SIZE)
+            self.place[self.starts[sizes > k] + k] = k
+        self.in_word = np.full(n, PLACES - 1, np.uint8)
+        first = np.flatnonzero(subwords.begins[self.ids])
+        for k in reversed(range(PLACES - 1)):
+            at = first + k
+            self.in_word[at[: np.searchsorted(at, n)]] = k
+        self.learns = np.zeros(n, bool)
+        self.learns[CONTEXT:] = np.repeat(~self.held, sizes)
+        self.learns[self.starts] = False  # nothing predicts a start
+
+    def windows(self) -> Iterator[tuple[int, int]]:
+        for low in range(CONTEXT, len(self.ids), WINDOW):
+            yield low, min(low + WINDOW, len(self.ids))
+
+
+def counted(s: Stream) -> Iterator[np.ndarray]:
+    """How often an id follows another, for each table of values; then the ids altogether."""
+    square = SIZE * SIZE
+    for lag in range(1, CONTEXT + 1):
+        ok = s.learns[lag:] & (s.place[lag:] >= lag)
+        for at in [np.flatnonzero(ok)] if lag > 1 else [np.flatnonzero(ok & (s.in_word[:-1] == w)) for w in range(PLACES)]:
+            yield np.bincount(s.ids.take(at) * SIZE + s.ids.take(at + lag), minlength=square)
+    yield np.bincount(s.ids[s.learns], minlength=SIZE)
 
 
 class Model:
     """Values, queries, keys and biases."""
 
-    def __init__(self, counts: Counts, weights: np.ndarray | None = None):
-        total = counts.ids + ADDED
+    def __init__(self, counts: dict[int, np.ndarray], weights: np.ndarray | None = None):
+        """counts: as counted() has them, by number; those that lack are zero."""
+        total = counts.get(TABLES, np.zeros(SIZE)) + ADDED
         total[START] = 0
         self.all = (total / total.sum()).astype(np.float32)
-        values = counts.pairs.reshape(TABLES, SIZE, SIZE).astype(np.float32)
-        seen = values.sum(2, keepdims=True)
-        values += PRIOR * self.all
-        values /= seen + PRIOR
-        self.values = values.reshape(TABLES, SIZE * SIZE)
-        if weights is None:
-            noise = np.random.default_rng(0).normal(0, 0.3, (2 * SIZE, WIDTH))
-            bias = np.array([-1.0, *(2.0 / k for k in range(1, CONTEXT + 1))])
-            weights = np.concatenate((noise.ravel(), bias))
+        self.values = np.empty((TABLES, SIZE * SIZE), np.float16)
+        #: For each id: what its values lose as one count is taken away.
+        self.own = np.empty((TABLES, SIZE), np.float32)
+        nearest = np.zeros((SIZE, SIZE), np.float32)
+        for k in range(PLACES):
+            if k in counts:
+                nearest += counts[k].reshape(SIZE, SIZE)
+        self._smooth(nearest, self.all, nearest)
+        nearest /= HALVES
+        for k in range(TABLES):
+            table = counts[k].reshape(SIZE, SIZE).astype(np.float32) if k in counts else np.zeros((SIZE, SIZE), np.float32)
+            self.own[k] = 1 / (table.sum(1) + np.float32(PRIOR - 1))
+            self._smooth(table, nearest if k < PLACES else self.all, self.values[k].reshape(SIZE, SIZE))
+        self.set(self.start() if weights is None else weights)
+
+    @staticmethod
+    def _smooth(table: np.ndarray, other: np.ndarray, out: np.ndarray) -> None:
+        """HALVES times the distribution of each row of counts, with PRIOR of the other one."""
+        seen = table.sum(1, keepdims=True)
+        table += np.float32(PRIOR) * other
+        np.multiply(table, HALVES / (seen + np.float32(PRIOR)), out=out, casting="unsafe")
+
+    @staticmethod
+    def start() -> np.ndarray:
+        """The weights before training."""
+        noise = np.random.default_rng(0).normal(0, 0.3, (2 * SIZE, WIDTH))
+        bias = np.repeat([-1.0, *(2.0 / k for k in range(1, CONTEXT + 1))], PLACES)
+        return np.concatenate((noise.ravel(), bias))
+
+    def set(self, weights: np.ndarray) -> None:
         self.weights = weights.astype(np.float32)
         self.query, self.key = self.weights[: 2 * SIZE * WIDTH].reshape(2, SIZE, WIDTH)
-        self.bias = self.weights[2 * SIZE * WIDTH :]
-        self.table = None
+        self.bias = self.weights[2 * SIZE * WIDTH :].reshape(CONTEXT + 1, PLACES)
+
+    def matches(self) -> np.ndarray:
+        """All queries by all keys."""
+        return (self.query @ self.key.T / np.float32(np.sqrt(WIDTH))).ravel()
 
-    def attention(self, windows: np.ndarray, place: np.ndarray, match: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For the positions after the context: values and weights by slot (the free one, then each distance), and the probability.
+    def attention(self, s: Stream, low: int, high: int, matches: np.ndarray, without: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the positions low to high: values and weights by slot (the free one, then each distance), the probability, and the matches' numbers by distance.
 
-        windows: rows of WINDOW ids; place: positions in their documents; match: the products of
-        queries and keys of ids.
+        without: each position's own count is taken out of the values, as it would be of a text that isn't counted.
         """
-        last = windows[:, CONTEXT - 1 : -1].astype(np.int32)
-        target = windows[:, CONTEXT:]
-        where = place[:, CONTEXT:]
-        shape = (CONTEXT + 1, *target.shape)
-        value, weight = np.empty(shape, np.float32), np.empty(shape, np.float32)
+        n = high - low
+        target, last = s.ids[low:high], s.ids[low - 1 : high - 1] * SIZE
+        in_word, place = s.in_word[low - 1 : high - 1].astype(np.intp), s.place[low:high]
+        value, weight = np.empty((CONTEXT + 1, n), np.float32), np.empty((CONTEXT + 1, n), np.float32)
+        pair = np.empty((CONTEXT, n), np.int32)
         value[0] = self.all.take(target)
-        weight[0] = self.bias[0]
+        weight[0] = self.bias[0].take(in_word)
+        nearest = self.values[:PLACES].reshape(-1)
         for lag in range(1, CONTEXT + 1):
-            before = windows[:, CONTEXT - lag : windows.shape[1] - lag].astype(np.int32)
-            value[lag] = self.values[min(lag, TABLES) - 1].take(before * SIZE + target)
-            weight[lag] = match(last, before) + self.bias[lag]
-            weight[lag][where < lag] = -np.inf  # another document
+            before = s.ids[low - lag : high - lag]
+            at = before * SIZE
+            at += target
+            value[lag] = self.values[PLACES + lag - 2].take(at) if lag > 1 else nearest.take(in_word * (SIZE * SIZE) + at)
+            value[lag] *= 1 / HALVES
+            if without:
+                value[lag] += (value[lag] - 1) * (self.own[PLACES + lag - 2].take(before) if lag > 1 else self.own[:PLACES].reshape(-1).take(in_word * SIZE + before))
+                np.maximum(value[lag], 0, out=value[lag])
+            np.add(last, before, out=pair[lag - 1])
+            matches.take(pair[lag - 1], out=weight[lag], mode="clip")
+            weight[lag] += self.bias[lag].take(in_word)
+            weight[lag][place < lag] = -np.inf  # another document
         weight -= weight.max(0)
         np.exp(weight, out=weight)
         weight /= weight.sum(0)
-        return value, weight, np.einsum("kij,kij->ij", value, weight)
-
-    def matches(self) -> Callable:
-        """All queries by all keys, to be looked up."""
-        if self.table is None:
-            self.table = (self.query @ self.key.T / np.float32(np.sqrt(WIDTH))).ravel()
-        return lambda last, before: self.table.take(last * SIZE + before)
-
-    def windows(self, s: Stream) -> tuple[np.ndarray, np.ndarray]:
-        """Overlapping windows of ids and places; the stream is led in by a context and filled up."""
-        step = WINDOW - CONTEXT
-        n = -(-len(s.ids) // step)
-        ids, place = np.full(CONTEXT + n * step, START, np.uint16), np.zeros(CONTEXT + n * step, np.uint8)
-        ids[CONTEXT : CONTEXT + len(s.ids)], place[CONTEXT : CONTEXT + len(s.ids)] = s.ids, s.place
-        view = np.lib.stride_tricks.sliding_window_view
-        return view(ids, WINDOW)[::step], view(place, WINDOW)[::step]
+        return value, weight, np.einsum("kj,kj->j", value, weight), pair
 
     def score(self, s: Stream) -> np.ndarray:
         """log10 probability of each document."""
-        if not len(s.ids):
-            return np.zeros(0)
-        match = self.matches()
-        windows, place = self.windows(s)
-        out = np.empty((len(windows), WINDOW - CONTEXT), np.float32)
-        for k in range(0, len(windows), 256):
+        matches, logs = self.matches(), np.zeros(len(s.ids))
+        for low, high in s.windows():
             with np.errstate(divide="ignore"):
-                out[k : k + 256] = np.log10(self.attention(windows[k : k + 256], place[k : k + 256], match)[2])
-        logs = out.ravel()[: len(s.ids)].astype(np.float64)
-        logs[s.starts] = 0  # nothing predicts a start
-        return np.add.reduceat(logs, s.starts)
-
-    def train(self, s: Stream) -> np.ndarray:
-        """Weights after one pass over all windows of the training texts."""
-        model = Model.__new__(Model)
-        model.__dict__ |= self.__dict__ | {"weights": self.weights.copy()}
-        model.query, model.key = model.weights[: 2 * SIZE * WIDTH].reshape(2, SIZE, WIDTH)
-        model.bias = model.weights[2 * SIZE * WIDTH :]
-        if not len(s.ids):
-            return model.weights
-        windows, place = self.windows(s)
-        learn = np.zeros(len(windows) * (WINDOW - CONTEXT), bool)
-        learn[: len(s.ids)] = s.training & (s.place > 0)
-        learn = learn.reshape(len(windows), -1)
-        seen = np.ones((2, SIZE), np.float32)  # squares of gradients so far, for the rate
-        scale = np.float32(1 / np.sqrt(WIDTH))
-        for k in range(0, len(windows), STEP):
-            rows = slice(k, k + STEP)
-            w, p, ok = windows[rows], place[rows], learn[rows]
-            value, weight, prob = model.attention(w, p, lambda last, before: np.einsum("ijd,ijd->ij", model.query[last], model.key[before]) * scale)
+                logs[low:high] = np.log10(self.attention(s, low, high, matches)[2])
+        logs[s.starts] = 0
+        return np.add.reduceat(logs, s.starts) if len(s.starts) else np.zeros(0)
+
+    def train(self, s: Stream, steps: int = STEPS) -> np.ndarray:
+        """Weights after as many passes over all windows of the training texts as take so many steps, one for each window."""
+        kept, scale = self.weights, np.float32(1 / np.sqrt(WIDTH))
+        self.set(kept.copy())
+        seen = np.ones((2, SIZE, 1), np.float32)  # squares of gradients so far, for the rate
+        windows = [(low, high) for low, high in s.windows() if s.learns[low:high].any()]
+        for low, high in windows * -(-steps // max(1, len(windows))):
+            learns = s.learns[low:high]
+            slope, weight, prob, pair = self.attention(s, low, high, self.matches(), True)
             # of log prob by each score: weight * (value / prob - 1)
-            slope = weight * (value / np.maximum(prob, 1e-12) - 1)
-            slope[:, ~ok] = 0
-            model.bias += np.float32(RATE) * slope.sum((1, 2)) / max(1, int(ok.sum()))
-            last = w[:, CONTEXT - 1 : -1].astype(np.int32)
-            before = np.stack([w[:, CONTEXT - lag : w.shape[1] - lag] for lag in range(1, CONTEXT + 1)]).astype(np.int32)
-            each = slope[1:, :, :, None] * scale
-            to_query = (each * model.key[before]).sum(0)
-            to_key = each * model.query[last]
-            for n, (ids, step) in enumerate(((last, to_query), (before, to_key))):
-                step = np.stack([np.bincount(ids.ravel(), step[..., d].ravel(), SIZE) for d in range(WIDTH)], 1).astype(np.float32)
-                seen[n] += (step * step).sum(1)
-                (model.query, model.key)[n][:] += np.float32(RATE) * step / np.sqrt(seen[n])[:, None]
-        return model.weights
-
-
-_PASS1 = pa.schema([("block", pa.int64()), ("word", pa.binary()), ("number", pa.int32()), ("count", pa.int64()), ("data", pa.binary()), ("counts", pa.binary())])
+            slope /= np.maximum(prob, 1e-12)
+            slope -= 1
+            slope *= weight
+            slope *= learns
+            in_word = s.in_word[low - 1 : high - 1]
+            by_place = [np.bincount(in_word, x, PLACES) for x in slope]
+            by_pair = np.bincount(pair.ravel(), slope[1:].ravel(), SIZE * SIZE).astype(np.float32).reshape(SIZE, SIZE)
+            self.bias += np.float32(BIAS_RATE / np.count_nonzero(learns)) * np.array(by_place, np.float32)
+            slopes = by_pair @ self.key * scale, by_pair.T @ self.query * scale
+            for part, step, squares in zip((self.query, self.key), slopes, seen):
+                squares += (step * step).sum(1, keepdims=True)
+                part += np.float32(RATE) * step / np.sqrt(squares)
+        found = self.weights
+        self.set(kept)
+        return found
+
+
+_PASS1 = pa.schema([("block", pa.int64()), ("word", pa.binary()), ("number", pa.int32()), ("count", pa.int64()), ("data", pa.binary())])
+_ROWS1 = "block long, word binary, number int, count long, data binary"
+_SUMS = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _ROWS = 1 << 16
+#: Numbers of the rows that aren't words: a block's documents, a task's tokens.
+_DOCUMENTS, _TOKENS = -1, -2
 
 
-def _block_writer(path: str):
-    size = max(merges_of(path).text) + 1
+def numbered(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct lower-case words, the texts' words by their number among them, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    coded = lists.flatten().dictionary_encode()
+    numbers, n_words = coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy()
+    names, empty = coded.dictionary, pc.index(coded.dictionary, "").as_py()
+    if empty >= 0:  # at white space at a text's ends
+        real = numbers != empty
+        n_words = np.bincount(np.repeat(np.arange(len(n_words)), n_words)[real], minlength=len(n_words))
+        numbers = numbers[real]
+        numbers = numbers - (numbers > empty)
+        names = pa.concat_arrays([names[:empty], names[empty + 1 :]])
+    return names.cast(pa.large_binary()).cast(pa.binary()), numbers.astype(np.uint32), n_words.astype(np.uint32)
 
-    def block_rows(block: int, doc_ids: list, words: list[np.ndarray], numbers: _Numbers, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+
+def _block_writer(path: str):
+    def block_rows(block: int, doc_ids: list, texts: pa.Array, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        names, words, n_words = numbered(texts)
+        tokens, n_tokens = tokens_of(path).of_words(names.to_pylist())
         held = np.array([held_out(d) for d in doc_ids], bool)
-        all_words = np.concatenate(words) if words else np.zeros(0, np.uint32)
-        n_words = np.array([len(w) for w in words], np.int64)
-        names = list(numbers)
-        found = library(path, True, KNOWN_WORDS).after_space([w.decode("utf-8", "surrogatepass") for w in names])
-        tokens, n_tokens = np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
-        known = np.bincount(all_words[np.repeat(~held, n_words)], minlength=len(names))
-        total += np.bincount(tokens, np.repeat(known, n_tokens), size).astype(np.int64)
+        known = np.bincount(words[np.repeat(~held, n_words)], minlength=len(names))
+        total += np.bincount(tokens, np.repeat(known, n_tokens), len(total)).astype(np.int64)
         for k in range(0, len(names), _ROWS):
-            n = len(names[k : k + _ROWS])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(names[k : k + n], pa.binary()), pa.array(np.arange(k, k + n, dtype=np.int32)), pa.array(known[k : k + n]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=_PASS1)
+            n = min(_ROWS, len(names) - k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), names[k : k + n], pa.array(np.arange(k, k + n, dtype=np.int32)), pa.array(known[k : k + n]), pa.nulls(n, pa.binary())], schema=_PASS1)
         missing = np.array([d is None for d in doc_ids], bool)
-        data = _dumped(doc_ids=np.array([d or 0 for d in doc_ids], np.int64), missing=missing, held=held, n_words=n_words.astype(np.uint32), words=all_words.astype(np.uint32), n_tokens=n_tokens.astype(np.uint32), tokens=tokens)
-        yield pa.RecordBatch.from_pylist([{"block": block, "number": -1, "count": int((~held).sum()), "data": data}], schema=_PASS1)
+        data = _dumped(doc_ids=np.array([d or 0 for d in doc_ids], np.int64), missing=missing, held=held, n_words=n_words, words=words, n_tokens=n_tokens.astype(np.uint32), tokens=tokens)
+        yield pa.RecordBatch.from_pylist([{"block": block, "number": _DOCUMENTS, "count": int((~held).sum()), "data": data}], schema=_PASS1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        total, numbers = np.zeros(size, np.int64), _Numbers()
+        block = first = TaskContext.get().partitionId() << 32
+        total = np.zeros(tokens_of(path).size, np.int64)
         doc_ids: list = []
-        words: list[np.ndarray] = []
-        chars, some = 0, False
+        parts: list[pa.Array] = []
+        chars = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-                words.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
-                doc_ids.append(doc_id)
-                chars += len(text or "")
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            sizes = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy())
+            at = 0
+            while at < len(ids):  # as many documents as fill the block
+                before = int(sizes[at - 1]) if at else 0
+                to = min(len(ids), int(np.searchsorted(sizes, before + BLOCK - chars)) + 1)
+                doc_ids += ids[at:to]
+                parts.append(texts[at:to])
+                chars, at = chars + int(sizes[to - 1]) - before, to
                 if chars >= BLOCK:
-                    yield from block_rows(block, doc_ids, words, numbers, total)
-                    block, some = block + 1, True
-                    doc_ids, words, numbers, chars = [], [], _Numbers(), 0
+                    yield from block_rows(block, doc_ids, pa.concat_arrays(parts), total)
+                    block, doc_ids, parts, chars = block + 1, [], [], 0
         if doc_ids:
-            yield from block_rows(block, doc_ids, words, numbers, total)
-            some = True
-        if some:
-            yield pa.RecordBatch.from_pylist([{"block": block, "number": -2, "counts": _dumped(tokens=total)}], schema=_PASS1)
+            yield from block_rows(block, doc_ids, pa.concat_arrays(parts), total)
+            block += 1
+        if block > first:
+            yield pa.RecordBatch.from_pylist([{"block": first, "number": _TOKENS, "data": _dumped(a=total)}], schema=_PASS1)
 
     return run
 
 
-def _sums(**arrays: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([{"sums": _dumped(**arrays)}], schema=pa.schema([("sums", pa.binary())]))
+def _sum_row(part: int, n: int, array: np.ndarray) -> pa.RecordBatch:
+    if array.dtype.kind in "iu" and array.max(initial=0) < 1 << 32:
+        array = array.astype(np.uint32)
+    return pa.RecordBatch.from_pylist([{"part": part, "n": n, "data": _dumped(a=array)}], schema=_SUMS)
 
 
-def _added(rows: DataFrame, column: str) -> dict[str, np.ndarray]:
-    """The sum of the rows' arrays: in groups on the executors, then of the groups."""
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of each part's arrays; rows come in the order of the parts."""
+    part, n, total = None, 0, None
+    for batch in batches:
+        for k, m, data in zip(*(c.to_pylist() for c in batch.columns)):
+            array = _loaded(data)["a"]
+            if k != part:
+                if total is not None:
+                    yield _sum_row(part, n, total)
+                part, n, total = k, 0, np.zeros(len(array), np.result_type(array.dtype, np.int64))
+            total += array
+            n += m
+    if total is not None:
+        yield _sum_row(part, n, total)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                found = _loaded(data)
-                total = {k: total[k] + v for k, v in found.items()} if total else found
-        if total:
-            yield _sums(**total)
 
-    groups = rows.select(F.col(column).alias("sums")).repartition(GROUPS).mapInArrow(add, "sums binary").coalesce(1).mapInArrow(add, "sums binary")
-    found = groups.collect()
-    return _loaded(found[0]["sums"]) if found else {}
+def _added(rows: DataFrame) -> dict[int, tuple[int, bytes]]:
+    """Per part of rows (part, n, data): the sums of n and of the arrays, by way of GROUPS groups on the executors."""
+    ddl = "part int, n long, data binary"
+    one = rows.select("part", "n", "data", F.spark_partition_id().alias("task")).withColumn("group", F.pmod("task", F.lit(GROUPS)))
+    one = one.repartition("part", "group").sortWithinPartitions("part", "group").select("part", "n", "data").mapInArrow(_add, ddl)
+    two = one.repartition("part").sortWithinPartitions("part").mapInArrow(_add, ddl)
+    return {r.part: (r.n, r.data) for r in two.collect()}
 
 
 def scored(docs: DataFrame, path: str) -> DataFrame:
-    """Per document: SCORES."""
+    """Per document: SCORES. path: a file of a byte-level tokenizer's ranks."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = chosen.mapInArrow(_block_writer(path), "block long, word binary, number int, count long, data binary, counts binary")
-    made.write.option("parquet.block.size", 32 << 20).option("parquet.block.size.row.check.min", 1).option("compression", "zstd").parquet(folder)
-    rows = spark.read.parquet(folder)
-    blocks = rows.filter("number = -1").select("block", "data")
+    made = chosen.mapInArrow(_block_writer(path), _ROWS1)
+    made.write.option("parquet.block.size", 32 << 20).option("parquet.block.size.row.check.min", 1).option("compression", "zstd").parquet(f"{folder}/blocks")
+    rows = spark.read.parquet(f"{folder}/blocks")
+    blocks = rows.filter(F.col("number") == _DOCUMENTS).select("block", "data")
 
-    tokens = _added(rows.filter("number = -2"), "counts").get("tokens")
-    chosen = [] if tokens is None else chosen_tokens(path, tokens)
+    found = _added(rows.filter(F.col("number") == _TOKENS).select(F.lit(0).alias("part"), F.lit(1).cast("long").alias("n"), "data"))
+    tokens = tokens_of(path)
+    # all bounded by the vocabulary, not by the corpus
+    subwords = spark.sparkContext.broadcast(Subwords(tokens, _loaded(found[0][1])["a"] if found else np.zeros(tokens.size, np.int64)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = subwords = None
+        totals: list[np.ndarray] = []
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                subwords = subwords or subword_map(path, chosen)
-                counts = counts or Counts()
-                counts.add(Stream(_loaded(data), subwords))
-        if counts:
-            yield _sums(pairs=counts.pairs, ids=counts.ids)
+                s = Stream(_loaded(data), subwords.value)
+                for k, array in enumerate(counted(s)):
+                    if k == len(totals):
+                        # a block has fewer ids than its smallest whole number of 32 bits counts
+                        totals.append(np.zeros(len(array), np.uint32 if k < TABLES else np.int64))
+                    totals[k] += array.astype(totals[k].dtype)
+        for k, array in enumerate(totals):
+            yield _sum_row(k, 1, array)
 
-    sums = _added(blocks.select("data").mapInArrow(count, "sums binary"), "sums")
-    # bounded by the vocabulary of subwords
-    counted = spark.sparkContext.broadcast(_dumped(**{k: v.astype(np.float32) for k, v in (sums or vars(Counts())).items()}))
+    sums = spark.sparkContext.broadcast({k: data for k, (_, data) in _added(blocks.select("data").mapInArrow(count, "part int, n long, data binary")).items()})
 
     def model_of(weights: np.ndarray | None = None) -> Model:
-        counts = Counts()
-        vars(counts).update(_loaded(counted.value))
-        return Model(counts, weights)
+        return Model({k: _loaded(data)["a"] for k, data in sums.value.items()}, weights)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = subwords = total = None
+        model = total = None
         n = 0
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                model, subwords = model or model_of(), subwords or subword_map(path, chosen)
-                weights = model.train(Stream(_loaded(data), subwords)).astype(np.float64)
-                total, n = weights if total is None else total + weights, n + 1
+                s = Stream(_loaded(data), subwords.value)
+                if s.learns.any():
+                    model = model or model_of()
+                    weights = model.train(s).astype(np.float64)
+                    total, n = weights if total is None else total + weights, n + 1
         if n:
-            yield _sums(weights=total, n=np.array(n))
+            yield _sum_row(0, n, total)
 
-    trained = _added(blocks.select("data").mapInArrow(train, "sums binary"), "sums")
-    weights = spark.sparkContext.broadcast(trained["weights"] / trained["n"] if trained else None)
+    trained = _added(blocks.select("data").mapInArrow(train, "part int, n long, data binary"))
+    weights = spark.sparkContext.broadcast(_loaded(trained[0][1])["a"] / trained[0][0] if trained else None)
 
     words = rows.filter("number >= 0").select("block", "word", "number", "count")
-    totals = f"{folder}-words"
-    words.groupBy("word").agg(F.sum("count").alias("known"), F.count(F.lit(1)).alias("blocks")).write.option("compression", "zstd").parquet(totals)
-    known = spark.read.parquet(totals)
-    texts = rows.filter("number = -1").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first()["n"]
+    words.groupBy("word").agg(F.sum("count").alias("known"), F.count(F.lit(1)).alias("blocks")).write.option("compression", "zstd").parquet(f"{folder}/words")
+    known = spark.read.parquet(f"{folder}/words")
+    texts = rows.filter(F.col("number") == _DOCUMENTS).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first()["n"]
     total, distinct = known.filter("known > 0").agg(F.coalesce(F.sum("known"), F.lit(0)), F.count(F.lit(1))).first()
     n_all, v_all = total + texts, distinct + (texts > 0)
     # a block knows the counts of the words that are in no other
@@ -419,25 +493,23 @@ def scored(docs: DataFrame, path: str) -> DataFrame:
     parts = parts.unionByName(blocks.select("block", F.lit(1 << 30).alias("number"), F.lit(0).cast("long").alias("known"), "data"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = subwords = None
+        model = None
         held: list[tuple[np.ndarray, np.ndarray]] = []
         below = n_all + ADDED * (v_all + 1)
         for batch in batches:
             numbers, seen = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            ends = np.flatnonzero(numbers == 1 << 30).tolist()
             at = 0
-            for end in ends:
+            for end in np.flatnonzero(numbers == 1 << 30).tolist():
                 held.append((numbers[at:end], seen[at:end]))
                 at = end + 1
-                model, subwords = model or model_of(weights.value), subwords or subword_map(path, chosen)
-                s = Stream(_loaded(batch.column(2)[end].as_py()), subwords)
+                model = model or model_of(weights.value)
+                s = Stream(_loaded(batch.column(2)[end].as_py()), subwords.value)
                 count = np.bincount(s.words[np.repeat(~s.held, s.n_words)], minlength=int(s.words.max()) + 1 if len(s.words) else 0)
                 for where, what in held:
                     count[where] = what
                 held = []
-                logs = np.log10((count + ADDED) / below)
-                sums = np.concatenate(([0.0], np.cumsum(logs[s.words])))
-                hits = np.concatenate(([0], np.cumsum(count[s.words] > 0)))
+                sums = np.concatenate(([0.0], np.cumsum(np.log10((count + ADDED) / below).take(s.words))))
+                hits = np.concatenate(([0], np.cumsum((count > 0).take(s.words))))
                 stops = np.cumsum(s.n_words)
                 first = stops - s.n_words
                 base = sums[stops] - sums[first] + np.log10((texts + ADDED) / below)
@@ -447,4 +519,6 @@ def scored(docs: DataFrame, path: str) -> DataFrame:
             held.append((numbers[at:].copy(), seen[at:].copy()))
 
     dealt = parts.repartition("block").sortWithinPartitions("block", "number")
-    return dealt.select("number", "known", "data").mapInArrow(score, SCORES)
+    dealt.select("number", "known", "data").mapInArrow(score, SCORES).write.parquet(f"{folder}/scores")
+    dropped(spark, f"{folder}/blocks", f"{folder}/words")
+    return spark.read.schema(SCORES).parquet(f"{folder}/scores")

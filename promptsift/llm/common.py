@@ -10,7 +10,7 @@ from pyspark.sql.functions import arrow_udf
 
 from promptsift.shared import saved, shared_dir
 
-__all__ = ["fresh", "per_text", "saved", "shared_dir", "table", "text_column"]
+__all__ = ["dropped", "fresh", "per_text", "saved", "shared_dir", "table", "text_column"]
 
 #: Characters that separate words: space and the controls 9 to 13, as ``bytes.split()`` has it.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -53,6 +53,13 @@ def text_column(each: Callable, returns: str) -> Callable[..., Column]:
     return per_text(each, returns, field_names(returns))
 
 
+def dropped(spark: SparkSession, *folders: str) -> None:
+    """Removes folders of the shared folder that nothing reads any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, in either case."""
     taken = {c.lower() for c in df.columns}

@@ -49,7 +49,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attention_lm.scored(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return attention_lm.scored(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:

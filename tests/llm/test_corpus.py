@@ -7,13 +7,16 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from promptsift.llm import attention_lm, bpe, chat, media, near_copies, packing, quality, registry, secret_scan, simhash, url_rules, wavelet
 
 BYTE, WORD = registry.vocabulary("byte_bpe_50k.json"), registry.vocabulary("word_bpe_49k.json")
+RANKS = registry.vocabulary("byte_bpe_50k.tiktoken")
 SPACES = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = "all work and no play " * 4000 + "x" * 3000
 #: Nulls, empty and odd texts, ties, repeated rows, columns with names that operators use.
@@ -449,67 +452,147 @@ def test_lm_tells_texts_from_scrambled_ones(spark, docs):
     unseen = [t for k, t in docs.items() if k not in known and len(words(t)) > 30]
     twins = dict(zip(held[::2], unseen)) | {k: " ".join(w[::-1] for w in words(t)) for k, t in zip(held[1::2], unseen)}
     rows = spark.createDataFrame(list((known | twins).items()), "doc_id long, text string")
-    score = {r.doc_id: r.score for r in attention_lm.scored(rows, BYTE).collect()}
+    score = {r.doc_id: r.score for r in attention_lm.scored(rows, RANKS).collect()}
     better = [score[a] > score[b] for a, b, _ in zip(held[::2], held[1::2], unseen)]
     assert len(better) > 10 and np.mean(better) > 0.9
 
 
-def test_lm_edges(edges, none):
-    got = attention_lm.scored(edges, BYTE).collect()
-    assert len(got) == len(EDGES) and attention_lm.scored(none, BYTE).count() == 0
-    assert {(r.n_tokens, round(r.score, 9)) for r in got if r.doc_id in (1, 2, 3)}.__len__() == 1 and len({r.score for r in got if r.doc_id == 5}) == 1
+def test_lm_beats_single_words_on_held_out_texts(spark):
+    got = registry.queries()["op8_attention_lm"](spark, "/root/testdata/sf0.1").filter("held_out")
+    model_, base = got.agg(F.sum("score"), F.sum("base_score")).first()
+    assert model_ > base
 
 
-def model():
+def test_lm_edges(edges, none):
+    got = attention_lm.scored(edges, RANKS).collect()
+    assert len(got) == len(EDGES) and attention_lm.scored(none, RANKS).count() == 0
+    assert len({(r.n_tokens, round(r.score, 9)) for r in got if r.doc_id in (1, 2, 3)}) == 1 and len({r.score for r in got if r.doc_id == 5}) == 1
+
+
+def test_blocks_split_scores_alike(spark, docs, monkeypatch):
+    rows = [(k, t) for k, t in docs.items()][:40] + [(10_000, LONG)]
+    made = attention_lm._block_writer(RANKS)
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([t for _, t in rows])], names=["doc_id", "text"])
+    monkeypatch.setattr(attention_lm.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 1})())
+
+    def blocks(size):
+        monkeypatch.setattr(attention_lm, "BLOCK", size)
+        return [r for b in made([batch]) for r in b.to_pylist()]
+
+    def scores(rows, model_):
+        return np.concatenate([model_.score(attention_lm.Stream(attention_lm._loaded(r["data"]), subwords)) for r in rows if r["number"] == -1])
+
+    one, many = blocks(1 << 40), blocks(5000)
+    assert sum(r["number"] == -1 for r in one) == 1 and sum(r["number"] == -1 for r in many) > 3
+    tokens = [attention_lm._loaded(r["data"])["a"] for rows in (one, many) for r in rows if r["number"] == -2]
+    assert (tokens[0] == tokens[1]).all()
+    counts = [Counter(), Counter()]
+    for c, found in zip(counts, (one, many)):
+        for r in found:
+            if r["number"] >= 0:
+                c[r["word"]] += r["count"]
+    assert counts[0] == counts[1]
+    subwords = attention_lm.Subwords(attention_lm.tokens_of(RANKS), tokens[0])
+    s = attention_lm.Stream(attention_lm._loaded(next(r["data"] for r in one if r["number"] == -1)), subwords)
+    model_ = attention_lm.Model(dict(enumerate(attention_lm.counted(s))))
+    assert scores(one, model_) == pytest.approx(scores(many, model_), rel=1e-6)
+
+
+def test_word_numbers_and_tokens():
+    texts = [" a\x1cB  c\x0b D\n", None, "", "a c É é\x85x " + "y" * 200, "\tq"]
+    names, numbers, n_words = attention_lm.numbered(pa.array(texts, pa.string()))
+    split = [(t or "").encode().lower().split() for t in texts]
+    assert n_words.tolist() == [len(x) for x in split] and [names[int(k)].as_py() for k in numbers] == [w for x in split for w in x]
+    tokens = attention_lm.tokens_of(RANKS)
+    ids, sizes = tokens.of_words(names.to_pylist())
+    text = {i: data for data, i in tokens.ranks.items()}
+    ends = np.cumsum(sizes)
+    assert [b"".join(text[i] for i in ids[e - n : e]) for e, n in zip(ends, sizes)] == [b" " + w.as_py() for w in names]
+    few = attention_lm.Subwords(tokens, np.bincount(ids, minlength=tokens.size))
+    whole = {k: x for k, x in enumerate(sorted(x for x in text.values() if len(x) == 1))}
+    used = sorted({int(i) for i in ids if len(text[i]) > 1}, key=lambda i: (-int(np.count_nonzero(ids == i)), i))
+    whole |= {256 + k: text[i] for k, i in enumerate(used)}
+    for i in set(ids.tolist()):
+        assert b"".join(whole[x] for x in few.ids[few.starts[i] : few.starts[i + 1]].tolist()) == text[i]
+
+
+def model(n=(500, 300, 100)):
     rng = np.random.default_rng(2)
-    words_ = rng.integers(0, 40, 900).astype(np.uint32)
-    block = {"doc_ids": np.arange(3), "missing": np.zeros(3, bool), "held": np.array([False, False, True]), "n_words": np.array([500, 300, 100], np.uint32), "words": words_, "n_tokens": np.ones(40, np.uint32), "tokens": np.arange(40, dtype=np.uint32)}
-    subwords = attention_lm.subword_map(BYTE, [])
-    s = attention_lm.Stream(block, subwords)
-    counts = attention_lm.Counts()
-    counts.add(s)
-    return s, attention_lm.Model(counts)
+    words_ = rng.integers(0, 40, sum(n)).astype(np.uint32)
+    tokens = attention_lm.tokens_of(RANKS)
+    ids, sizes = tokens.of_words([b"word%d" % k for k in range(40)])
+    block = {"doc_ids": np.arange(len(n)), "missing": np.zeros(len(n), bool), "held": np.array([False] * (len(n) - 1) + [True]), "n_words": np.array(n, np.uint32), "words": words_, "n_tokens": sizes.astype(np.uint32), "tokens": ids}
+    s = attention_lm.Stream(block, attention_lm.Subwords(tokens, np.bincount(ids, minlength=tokens.size)))
+    return s, attention_lm.Model(dict(enumerate(attention_lm.counted(s))))
 
 
 def test_attention_is_causal_and_sums_to_one():
     s, m = model()
-    ids, place = m.windows(s)
-    total = np.zeros((1, attention_lm.WINDOW - attention_lm.CONTEXT))
+    low, high = attention_lm.CONTEXT, 200
+    total, ids = 0.0, s.ids.copy()
     for k in range(attention_lm.SIZE):
-        probe = ids[3:4].copy()
-        probe[:, -1] = k
-        total[0, -1] += m.attention(probe, place[3:4], m.matches())[2][0, -1]
-    assert total[0, -1] == pytest.approx(1, abs=1e-3)
-    later = ids[3:4].copy()
-    later[:, 40:] = 5
-    assert (m.attention(later, place[3:4], m.matches())[2][0, : 40 - attention_lm.CONTEXT] == m.attention(ids[3:4], place[3:4], m.matches())[2][0, : 40 - attention_lm.CONTEXT]).all()
+        s.ids[high - 1] = k
+        total += m.attention(s, low, high, m.matches())[2][-1]
+    assert total == pytest.approx(1, abs=1e-3)
+    s.ids = ids
+    before = m.attention(s, low, high, m.matches())[2]
+    s.ids = np.concatenate((ids[:100], ids[100:][::-1]))
+    assert (m.attention(s, low, high, m.matches())[2][: 100 - low] == before[: 100 - low]).all()
 
 
-def test_windows_equal_one_position_at_a_time():
+def test_windows_equal_one_position_at_a_time(monkeypatch):
     s, m = model()
+    monkeypatch.setattr(attention_lm, "WINDOW", 64)
+    places, size = attention_lm.PLACES, attention_lm.SIZE
     q, k, scale = m.query.astype(float), m.key.astype(float), math.sqrt(attention_lm.WIDTH)
     for a, b, got in zip(s.starts, s.stops, m.score(s)):
         log = 0.0
         for t in range(a + 1, b):
-            slots = [(m.bias[0], m.all[s.ids[t]])]
+            w = int(s.in_word[t - 1])
+            slots = [(m.bias[0, w], m.all[s.ids[t]])]
             for lag in range(1, min(attention_lm.CONTEXT, t - a) + 1):
                 x = int(s.ids[t - lag])
-                slots.append((q[s.ids[t - 1]] @ k[x] / scale + m.bias[lag], m.values[min(lag, attention_lm.TABLES) - 1][x * attention_lm.SIZE + int(s.ids[t])]))
+                table = w if lag == 1 else places + lag - 2
+                slots.append((q[s.ids[t - 1]] @ k[x] / scale + m.bias[lag, w], float(m.values[table][x * size + int(s.ids[t])]) / float(attention_lm.HALVES)))
             weight = np.exp([w - max(w for w, _ in slots) for w, _ in slots])
             log += math.log10(sum(w * v for w, (_, v) in zip(weight, slots)) / weight.sum())
         assert got == pytest.approx(log, rel=1e-4)
 
 
-def test_every_window_trains():
+def test_values_are_counted_distributions():
     s, m = model()
-    windows, _ = m.windows(s)
-    step = attention_lm.WINDOW - attention_lm.CONTEXT
-    learns = s.training & (s.place > 0)
-    assert len(windows) > 1
-    for k in range(len(windows)):
-        s.training = np.zeros_like(learns)
-        s.training[k * step : (k + 1) * step] = learns[k * step : (k + 1) * step]
-        assert s.training.any() == (m.train(s) != m.weights).any()
+    seen = {k: Counter() for k in range(attention_lm.TABLES)}
+    for a, b, held in zip(s.starts, s.stops, s.held):
+        for t in range(a + 1, b) if not held else ():
+            for lag in range(1, min(attention_lm.CONTEXT, t - a) + 1):
+                table = int(s.in_word[t - 1]) if lag == 1 else attention_lm.PLACES + lag - 2
+                seen[table][int(s.ids[t - lag]), int(s.ids[t])] += 1
+    for k, array in enumerate(attention_lm.counted(s)):
+        if k < attention_lm.TABLES:
+            at = np.flatnonzero(array).tolist()
+            assert {divmod(x, attention_lm.SIZE): int(array[x]) for x in at} == dict(seen[k])
+    rows = m.values.reshape(attention_lm.TABLES, attention_lm.SIZE, -1).astype(np.float64).sum(2) / float(attention_lm.HALVES)
+    assert rows == pytest.approx(np.ones_like(rows), abs=1e-3)
+
+
+def test_every_window_trains_and_training_helps(monkeypatch):
+    s, m = model((3000, 2000, 500))
+    learns = s.learns.copy()
+    monkeypatch.setattr(attention_lm, "WINDOW", 256)
+    ranges = list(s.windows())
+    assert len(ranges) > 10
+    for low, high in ranges:
+        s.learns = np.zeros_like(learns)
+        s.learns[low:high] = learns[low:high]
+        assert s.learns.any() == (m.train(s, 1) != m.weights).any()
+    s.learns = learns
+    held = []
+    for steps in (0, len(ranges), 4 * len(ranges)):
+        start = m.weights
+        m.set(m.train(s, steps))
+        held.append(m.score(s)[s.held].sum())
+        m.set(start)
+    assert held[0] < held[1] < held[2]
 
 
 # URLs
