@@ -74,7 +74,7 @@ BLOCK = 10_000_000
 PIECE = 64
 RATE, BIAS_RATE = 2.0, 32.0
 #: Steps of training in a block at least; fewer windows are gone through again.
-STEPS = 64
+STEPS = 32
 ADDED = 0.1
 #: Weight of the distribution that a value falls back on, as a count.
 PRIOR = 20.0
