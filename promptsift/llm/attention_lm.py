@@ -432,6 +432,49 @@ def _added(rows: DataFrame) -> dict[int, tuple[int, bytes]]:
     return {r.part: (r.n, r.data) for r in two.collect()}
 
 
+_KNOWN = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("known", pa.int64())])
+#: Stands in for a block in the row that says how many words of a partition are in training texts.
+_DISTINCT = -1
+
+
+def _totalled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (word, block, number, count) by word: the word's count in all blocks, for words of several blocks; last, the partition's known words."""
+    last, total, distinct = None, 0, 0
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def of_last() -> Iterator[pa.RecordBatch]:
+        blocks, numbers = (np.concatenate(x) for x in zip(*held))
+        if len(blocks) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(numbers), pa.array(np.full(len(blocks), total))], schema=_KNOWN)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        words, (blocks, numbers, counts) = batch.column(0), (c.to_numpy() for c in batch.columns[1:])
+        starts = np.concatenate(([0], 1 + np.flatnonzero(pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False))))
+        stops = np.append(starts[1:], len(words))
+        sums = np.add.reduceat(counts, starts)
+        if words[0].as_py() == last:  # goes on from the batch before
+            held.append((blocks[: stops[0]], numbers[: stops[0]]))
+            total += int(sums[0])
+            if len(starts) == 1:
+                continue
+            starts, stops, sums = starts[1:], stops[1:], sums[1:]
+        if held:
+            yield from of_last()
+            distinct += total > 0
+        last, total, held = words[int(starts[-1])].as_py(), int(sums[-1]), [(blocks[starts[-1] :], numbers[starts[-1] :])]
+        sizes, sums = (stops - starts)[:-1], sums[:-1]
+        distinct += int(np.count_nonzero(sums))
+        several = np.repeat(sizes > 1, sizes)
+        inner = slice(int(starts[0]), int(starts[-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (blocks[inner], numbers[inner], np.repeat(sums, sizes))], schema=_KNOWN)
+    if held:
+        yield from of_last()
+        distinct += total > 0
+        yield pa.RecordBatch.from_pylist([{"block": _DISTINCT, "number": 0, "known": distinct}], schema=_KNOWN)
+
+
 def scored(docs: DataFrame, path: str) -> DataFrame:
     """Per document: SCORES. path: a file of a byte-level tokenizer's ranks."""
     spark = docs.sparkSession
@@ -481,15 +524,15 @@ def scored(docs: DataFrame, path: str) -> DataFrame:
     trained = _added(blocks.select("data").mapInArrow(train, "part int, n long, data binary"))
     weights = spark.sparkContext.broadcast(_loaded(trained[0][1])["a"] / trained[0][0] if trained else None)
 
-    words = rows.filter("number >= 0").select("block", "word", "number", "count")
-    words.groupBy("word").agg(F.sum("count").alias("known"), F.count(F.lit(1)).alias("blocks")).write.option("compression", "zstd").parquet(f"{folder}/words")
+    words = rows.filter("number >= 0").select("word", "block", "number", "count")
+    totals = words.repartition("word").sortWithinPartitions("word").mapInArrow(_totalled, "block long, number int, known long")
+    totals.write.option("compression", "zstd").parquet(f"{folder}/words")
     known = spark.read.parquet(f"{folder}/words")
-    texts = rows.filter(F.col("number") == _DOCUMENTS).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first()["n"]
-    total, distinct = known.filter("known > 0").agg(F.coalesce(F.sum("known"), F.lit(0)), F.count(F.lit(1))).first()
-    n_all, v_all = total + texts, distinct + (texts > 0)
+    n_all, texts = rows.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("number") == _DOCUMENTS, F.col("count"))), F.lit(0))).first()
+    distinct = known.filter(F.col("block") == _DISTINCT).agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
+    v_all = distinct + (texts > 0)
     # a block knows the counts of the words that are in no other
-    spread = known.filter("blocks > 1").select("word", "known")
-    parts = words.select("block", "word", "number").join(spread.hint("shuffle_hash"), "word").select("block", "number", "known", F.lit(None).cast("binary").alias("data"))
+    parts = known.filter(F.col("block") != _DISTINCT).select("block", "number", "known", F.lit(None).cast("binary").alias("data"))
     parts = parts.unionByName(blocks.select("block", F.lit(1 << 30).alias("number"), F.lit(0).cast("long").alias("known"), "data"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
