@@ -52,7 +52,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import tiktoken
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -308,9 +308,9 @@ class Model:
         return np.add.reduceat(logs, s.starts) if len(s.starts) else np.zeros(0)
 
     def train(self, s: Stream, steps: int = STEPS) -> np.ndarray:
-        """Weights after as many passes over all windows of the training texts as take so many steps, one for each window."""
+        """The weights that start() gives after as many passes over all windows of the training texts as take so many steps, one for each window."""
         kept, scale = self.weights, np.float32(1 / np.sqrt(WIDTH))
-        self.set(kept.copy())
+        self.set(self.start())
         seen = np.ones((2, SIZE, 1), np.float32)  # squares of gradients so far, for the rate
         windows = [(low, high) for low, high in s.windows() if s.learns[low:high].any()]
         for low, high in windows * -(-steps // max(1, len(windows))):
@@ -437,6 +437,18 @@ _KNOWN = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("known", pa.
 _DISTINCT = -1
 
 
+_models: dict[str, Model] = {}
+
+
+def _model(run: str, sums: Broadcast) -> Model:
+    """The untrained model of a run, which a Python worker makes once and keeps in place of any other's."""
+    if run not in _models:
+        _models.clear()
+        tokens_of.cache_clear()
+        _models[run] = Model({k: _loaded(data)["a"] for k, data in sums.value.items()})
+    return _models[run]
+
+
 def _totalled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (word, block, number, count) by word: the word's count in all blocks, for words of several blocks; last, the partition's known words."""
     last, total, distinct = None, 0, 0
@@ -505,18 +517,13 @@ def scored(docs: DataFrame, path: str) -> DataFrame:
 
     sums = spark.sparkContext.broadcast({k: data for k, (_, data) in _added(blocks.select("data").mapInArrow(count, "part int, n long, data binary")).items()})
 
-    def model_of(weights: np.ndarray | None = None) -> Model:
-        return Model({k: _loaded(data)["a"] for k, data in sums.value.items()}, weights)
-
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = total = None
-        n = 0
+        total, n = None, 0
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 s = Stream(_loaded(data), subwords.value)
                 if s.learns.any():
-                    model = model or model_of()
-                    weights = model.train(s).astype(np.float64)
+                    weights = _model(folder, sums).train(s).astype(np.float64)
                     total, n = weights if total is None else total + weights, n + 1
         if n:
             yield _sum_row(0, n, total)
@@ -536,7 +543,8 @@ def scored(docs: DataFrame, path: str) -> DataFrame:
     parts = parts.unionByName(blocks.select("block", F.lit(1 << 30).alias("number"), F.lit(0).cast("long").alias("known"), "data"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = None
+        model = _model(folder, sums)
+        model.set(Model.start() if weights.value is None else weights.value)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         below = n_all + ADDED * (v_all + 1)
         for batch in batches:
@@ -545,17 +553,16 @@ def scored(docs: DataFrame, path: str) -> DataFrame:
             for end in np.flatnonzero(numbers == 1 << 30).tolist():
                 held.append((numbers[at:end], seen[at:end]))
                 at = end + 1
-                model = model or model_of(weights.value)
                 s = Stream(_loaded(batch.column(2)[end].as_py()), subwords.value)
                 count = np.bincount(s.words[np.repeat(~s.held, s.n_words)], minlength=int(s.words.max()) + 1 if len(s.words) else 0)
                 for where, what in held:
                     count[where] = what
                 held = []
-                sums = np.concatenate(([0.0], np.cumsum(np.log10((count + ADDED) / below).take(s.words))))
+                logs = np.concatenate(([0.0], np.cumsum(np.log10((count + ADDED) / below).take(s.words))))
                 hits = np.concatenate(([0], np.cumsum((count > 0).take(s.words))))
                 stops = np.cumsum(s.n_words)
                 first = stops - s.n_words
-                base = sums[stops] - sums[first] + np.log10((texts + ADDED) / below)
+                base = logs[stops] - logs[first] + np.log10((texts + ADDED) / below)
                 n = len(stops)
                 columns = [[None if m else int(d) for d, m in zip(s.doc_ids, s.missing)], s.held, s.n_words + 1, hits[stops] - hits[first] + (texts > 0), np.full(n, n_all), base, model.score(s)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SCORES.types)], schema=_SCORES)
