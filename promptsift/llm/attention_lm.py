@@ -450,7 +450,7 @@ def _model(run: str, sums: Broadcast) -> Model:
 
 
 def _totalled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (word, block, number, count) by word: the word's count in all blocks, for words of several blocks; last, the partition's known words."""
+    """Of rows (word, block, number, count), equal words together: the word's count in all blocks, for words of several blocks; last, the partition's known words."""
     last, total, distinct = None, 0, 0
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -532,7 +532,7 @@ def scored(docs: DataFrame, path: str) -> DataFrame:
     weights = spark.sparkContext.broadcast(_loaded(trained[0][1])["a"] / trained[0][0] if trained else None)
 
     words = rows.filter("number >= 0").select("word", "block", "number", "count")
-    totals = words.repartition("word").sortWithinPartitions("word").mapInArrow(_totalled, "block long, number int, known long")
+    totals = words.repartition("word").sortWithinPartitions(F.xxhash64("word"), "word").mapInArrow(_totalled, "block long, number int, known long")
     totals.write.option("compression", "zstd").parquet(f"{folder}/words")
     known = spark.read.parquet(f"{folder}/words")
     n_all, texts = rows.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("number") == _DOCUMENTS, F.col("count"))), F.lit(0))).first()
