@@ -45,6 +45,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
+from operator import itemgetter
 from pathlib import Path
 
 import numpy as np
@@ -432,9 +434,9 @@ def _added(rows: DataFrame) -> dict[int, tuple[int, bytes]]:
     return {r.part: (r.n, r.data) for r in two.collect()}
 
 
-_KNOWN = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("known", pa.int64())])
-#: Stands in for a block in the row that says how many words of a partition are in training texts.
-_DISTINCT = -1
+_KNOWN = pa.schema([("block", pa.int64()), ("numbers", pa.binary()), ("known", pa.binary()), ("distinct", pa.int64())])
+#: Counts that a task gathers before it deals them out to their blocks.
+_GATHER = 1 << 20
 
 
 _models: dict[str, Model] = {}
@@ -449,15 +451,29 @@ def _model(run: str, sums: Broadcast) -> Model:
     return _models[run]
 
 
+def _dealt(blocks: np.ndarray, numbers: np.ndarray, known: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each block: its words' numbers and counts."""
+    order = np.argsort(blocks, kind="stable")
+    blocks, numbers, known = blocks[order], numbers[order].astype("<i4"), known[order].astype("<i8")
+    starts = np.concatenate(([0], 1 + np.flatnonzero(blocks[1:] != blocks[:-1])))
+    ends = np.append(starts[1:], len(blocks)).tolist()
+    cut = [slice(a, b) for a, b in zip(starts.tolist(), ends)]
+    yield pa.RecordBatch.from_arrays([pa.array(blocks[starts]), pa.array([numbers[c].tobytes() for c in cut], pa.binary()), pa.array([known[c].tobytes() for c in cut], pa.binary()), pa.array(np.zeros(len(cut), np.int64))], schema=_KNOWN)
+
+
 def _totalled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (word, block, number, count), equal words together: the word's count in all blocks, for words of several blocks; last, the partition's known words."""
+    """Of rows (word, block, number, count), equal words together: by block, the counts in all blocks of its words that are in several; last, how many words are known."""
     last, total, distinct = None, 0, 0
     held: list[tuple[np.ndarray, np.ndarray]] = []
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def of_last() -> Iterator[pa.RecordBatch]:
+    def end() -> None:
+        """Takes the word that batches have in common."""
+        nonlocal distinct
         blocks, numbers = (np.concatenate(x) for x in zip(*held))
         if len(blocks) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(numbers), pa.array(np.full(len(blocks), total))], schema=_KNOWN)
+            found.append((blocks, numbers, np.full(len(blocks), total)))
+        distinct += total > 0
 
     for batch in batches:
         if not batch.num_rows:
@@ -473,18 +489,22 @@ def _totalled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             starts, stops, sums = starts[1:], stops[1:], sums[1:]
         if held:
-            yield from of_last()
-            distinct += total > 0
+            end()
         last, total, held = words[int(starts[-1])].as_py(), int(sums[-1]), [(blocks[starts[-1] :], numbers[starts[-1] :])]
         sizes, sums = (stops - starts)[:-1], sums[:-1]
         distinct += int(np.count_nonzero(sums))
         several = np.repeat(sizes > 1, sizes)
         inner = slice(int(starts[0]), int(starts[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (blocks[inner], numbers[inner], np.repeat(sums, sizes))], schema=_KNOWN)
+        found.append((blocks[inner][several], numbers[inner][several], np.repeat(sums, sizes)[several]))
+        if sum(len(x[0]) for x in found) >= _GATHER:
+            yield from _dealt(*map(np.concatenate, zip(*found)))
+            found = []
     if held:
-        yield from of_last()
-        distinct += total > 0
-        yield pa.RecordBatch.from_pylist([{"block": _DISTINCT, "number": 0, "known": distinct}], schema=_KNOWN)
+        end()
+    if sum(len(x[0]) for x in found):
+        yield from _dealt(*map(np.concatenate, zip(*found)))
+    if distinct:
+        yield pa.RecordBatch.from_pylist([{"distinct": distinct}], schema=_KNOWN)
 
 
 def scored(docs: DataFrame, path: str) -> DataFrame:
@@ -532,43 +552,41 @@ def scored(docs: DataFrame, path: str) -> DataFrame:
     weights = spark.sparkContext.broadcast(_loaded(trained[0][1])["a"] / trained[0][0] if trained else None)
 
     words = rows.filter("number >= 0").select("word", "block", "number", "count")
-    totals = words.repartition("word").sortWithinPartitions(F.xxhash64("word"), "word").mapInArrow(_totalled, "block long, number int, known long")
+    totals = words.repartition("word").sortWithinPartitions(F.xxhash64("word"), "word").mapInArrow(_totalled, "block long, numbers binary, known binary, distinct long")
     totals.write.option("compression", "zstd").parquet(f"{folder}/words")
     known = spark.read.parquet(f"{folder}/words")
     n_all, texts = rows.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("number") == _DOCUMENTS, F.col("count"))), F.lit(0))).first()
-    distinct = known.filter(F.col("block") == _DISTINCT).agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
-    v_all = distinct + (texts > 0)
+    v_all = known.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0] + (texts > 0)
     # a block knows the counts of the words that are in no other
-    parts = known.filter(F.col("block") != _DISTINCT).select("block", "number", "known", F.lit(None).cast("binary").alias("data"))
-    parts = parts.unionByName(blocks.select("block", F.lit(1 << 30).alias("number"), F.lit(0).cast("long").alias("known"), "data"))
+    none = F.lit(None).cast("binary")
+    parts = known.filter("block is not null").select("block", "numbers", "known", none.alias("data")).unionByName(blocks.select("block", none.alias("numbers"), none.alias("known"), "data"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(folder, sums)
         model.set(Model.start() if weights.value is None else weights.value)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
         below = n_all + ADDED * (v_all + 1)
-        for batch in batches:
-            numbers, seen = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            at = 0
-            for end in np.flatnonzero(numbers == 1 << 30).tolist():
-                held.append((numbers[at:end], seen[at:end]))
-                at = end + 1
-                s = Stream(_loaded(batch.column(2)[end].as_py()), subwords.value)
-                count = np.bincount(s.words[np.repeat(~s.held, s.n_words)], minlength=int(s.words.max()) + 1 if len(s.words) else 0)
-                for where, what in held:
-                    count[where] = what
-                held = []
-                logs = np.concatenate(([0.0], np.cumsum(np.log10((count + ADDED) / below).take(s.words))))
-                hits = np.concatenate(([0], np.cumsum((count > 0).take(s.words))))
-                stops = np.cumsum(s.n_words)
-                first = stops - s.n_words
-                base = logs[stops] - logs[first] + np.log10((texts + ADDED) / below)
-                n = len(stops)
-                columns = [[None if m else int(d) for d, m in zip(s.doc_ids, s.missing)], s.held, s.n_words + 1, hits[stops] - hits[first] + (texts > 0), np.full(n, n_all), base, model.score(s)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SCORES.types)], schema=_SCORES)
-            held.append((numbers[at:].copy(), seen[at:].copy()))
-
-    dealt = parts.repartition("block").sortWithinPartitions("block", "number")
-    dealt.select("number", "known", "data").mapInArrow(score, SCORES).write.parquet(f"{folder}/scores")
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        for _, of_block in groupby(rows, itemgetter(0)):
+            data, held = None, []
+            for _, numbers, seen, block in of_block:
+                if block is None:
+                    held.append((np.frombuffer(numbers, "<i4"), np.frombuffer(seen, "<i8")))
+                else:
+                    data = block
+            s = Stream(_loaded(data), subwords.value)
+            count = np.bincount(s.words[np.repeat(~s.held, s.n_words)], minlength=int(s.words.max()) + 1 if len(s.words) else 0)
+            for where, what in held:
+                count[where] = what
+            logs = np.concatenate(([0.0], np.cumsum(np.log10((count + ADDED) / below).take(s.words))))
+            hits = np.concatenate(([0], np.cumsum((count > 0).take(s.words))))
+            stops = np.cumsum(s.n_words)
+            first = stops - s.n_words
+            base = logs[stops] - logs[first] + np.log10((texts + ADDED) / below)
+            n = len(stops)
+            columns = [[None if m else int(d) for d, m in zip(s.doc_ids, s.missing)], s.held, s.n_words + 1, hits[stops] - hits[first] + (texts > 0), np.full(n, n_all), base, model.score(s)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SCORES.types)], schema=_SCORES)
+
+    dealt = parts.repartition("block").sortWithinPartitions("block")
+    dealt.mapInArrow(score, SCORES).write.parquet(f"{folder}/scores")
     dropped(spark, f"{folder}/blocks", f"{folder}/words")
     return spark.read.schema(SCORES).parquet(f"{folder}/scores")

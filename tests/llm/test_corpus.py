@@ -498,17 +498,19 @@ def test_blocks_split_scores_alike(spark, docs, monkeypatch):
     assert scores(one, model_) == pytest.approx(scores(many, model_), rel=1e-6)
 
 
-def test_word_totals_over_batches():
+def test_word_totals_over_batches(monkeypatch):
     rng = np.random.default_rng(3)
     rows = sorted((b"w%d" % rng.integers(0, 60), int(rng.integers(0, 9)), k, int(rng.integers(0, 3))) for k in range(400))
-    for size in (1, 7, 400):
+    for size, gather in ((1, 5), (7, 50), (400, 1 << 20)):
+        monkeypatch.setattr(attention_lm, "_GATHER", gather)
         batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + size]), (pa.binary(), pa.int64(), pa.int32(), pa.int64()))], names=list("wbnc")) for k in range(0, 400, size)]
-        got = [tuple(r.values()) for b in attention_lm._totalled(batches) for r in b.to_pylist()]
+        made = [r for b in attention_lm._totalled(batches) for r in b.to_pylist()]
+        got = [x for r in made[:-1] for x in zip([r["block"]] * 1000, np.frombuffer(r["numbers"], "<i4").tolist(), np.frombuffer(r["known"], "<i8").tolist())]
         total, times = Counter(), Counter(w for w, *_ in rows)
         for w, _, _, c in rows:
             total[w] += c
-        assert sorted(got[:-1]) == sorted((b, n, total[w]) for w, b, n, _ in rows if times[w] > 1)
-        assert got[-1] == (-1, 0, sum(x > 0 for x in total.values()))
+        assert sorted(got) == sorted((b, n, total[w]) for w, b, n, _ in rows if times[w] > 1)
+        assert made[-1]["block"] is None and made[-1]["distinct"] == sum(x > 0 for x in total.values())
     assert list(attention_lm._totalled([])) == []
 
 
