@@ -12,13 +12,12 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from promptsift.functions.hooks import hooks_from_env
-from promptsift.functions.text import contains_all, token_count
 from promptsift.operators import evals
-from promptsift.plans import api
+from promptsift.plans import api, suites
 from promptsift.plans.funnel import report
 from promptsift.plans.profiles import PROFILES
-from promptsift.shared import ship
-from promptsift.sources import fixtures, texts
+from promptsift.shared import saved, ship
+from promptsift.sources import texts
 
 
 def parser() -> argparse.ArgumentParser:
@@ -30,20 +29,15 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--profile", default="passthrough", choices=sorted(PROFILES), help="JSON keys to drop")
     p.add_argument("--report", action="store_true", help="the stages' sizes, on standard error")
     p.add_argument("--evals", action="store_true", help="run the built-in evaluation")
+    p.add_argument("--suite", default="tier1", choices=sorted(suites.SUITES), help="with --evals: which cases")
     p.add_argument("--fail-on-regression", action="store_true", help="with --evals: exit with 1 if an answer is lost")
     return p
 
 
-def run_evals(spark: SparkSession) -> tuple[str, int]:
-    """The built-in case: does a fatal line survive among thousands? Its report and its regressions."""
-    given = fixtures.as_text(fixtures.needle_log(spark), "crashloop-fatal")
-    query = "What FATAL error occurred?"
-    prompts = api.reduce_texts(given.withColumn("query", F.lit(query)), api.Options(max_tokens=1000))
-    raw = given.select(F.col("request_id").alias("case_id"), F.col("text").alias("context"), F.lit(query).alias("query"))
-    after = prompts.select(F.col("request_id").alias("case_id"), F.col("prompt").alias("context"), F.lit(query).alias("query"))
-    sizes = raw.select("case_id", token_count(F.col("context")).alias("raw_tokens")).join(after.select("case_id", token_count(F.col("context")).alias("funneled_tokens")), "case_id")
-    results = evals.compared(sizes, evals.answers(raw), evals.answers(after), contains_all(F.col("answer"), ["FATAL", "connection refused"]))
-    return evals.report(results), evals.suite(results).first()["regressions"]
+def run_evals(spark: SparkSession, suite: str) -> tuple[str, int]:
+    """A suite's report and its regressions."""
+    found = saved(suites.results(spark, suite, suites.judge_from_env()))
+    return evals.report(found), evals.suite(found).first()["regressions"]
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -51,9 +45,12 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.getOrCreate()
     ship(spark)
     if args.evals:
-        table, lost = run_evals(spark)
+        table, lost = run_evals(spark, args.suite)
         print(table)
-        return int(args.fail_on_regression and lost > 0)
+        if args.fail_on_regression and lost:
+            print(f"\nFAIL: {lost} case(s) regressed under compression", file=sys.stderr)
+            return 1
+        return 0
     embedder, llm = hooks_from_env() if args.query.strip() else (None, None)
     options = api.Options(args.budget, args.keep, args.profile, embedder=embedder, llm=llm)
     if args.path:

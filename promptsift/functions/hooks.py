@@ -18,6 +18,12 @@ from pyspark.sql.functions import arrow_udf
 Embedder = Callable[[list[str]], list[list[float]]]
 Llm = Callable[[str], str]
 Post = Callable[[str, dict, Mapping[str, str]], dict]
+Get = Callable[[str], dict]
+
+#: Texts and characters that go to an embedder in one call; a longer text goes alone.
+CALL_TEXTS, CALL_CHARS = 64, 100_000
+#: Seconds that a server has to show that it is there.
+PING_SECONDS = 2.0
 
 
 def http_post(url: str, payload: dict, headers: Mapping[str, str], timeout: float = 30.0) -> dict:
@@ -26,6 +32,20 @@ def http_post(url: str, payload: dict, headers: Mapping[str, str], timeout: floa
         return json.load(answer)
 
 
+def http_get(url: str, timeout: float = PING_SECONDS) -> dict:
+    with urllib.request.urlopen(url, timeout=timeout) as answer:
+        return json.load(answer)
+
+
+def reachable(call: Callable[[], object]) -> bool:
+    """Whether the call answers."""
+    try:
+        call()
+    except Exception:  # noqa: BLE001  any failure of a remote model
+        return False
+    return True
+
+
 def with_fallback(hook: Callable, otherwise: Callable) -> Callable:
     """hook, or what otherwise gives when it fails."""
 
@@ -46,12 +66,27 @@ def safe_llm(llm: Llm) -> Llm:
     return with_fallback(llm, lambda _: "")
 
 
-def embedded(embedder: Embedder) -> Callable[[Column], Column]:
-    """A column function that embeds a batch of texts with one call."""
+def calls(texts: list[str], most: int = CALL_TEXTS, chars: int = CALL_CHARS) -> Iterator[list[str]]:
+    """The texts in order, in as many calls as the two bounds ask for."""
+    held: list[str] = []
+    size = 0
+    for text in texts:
+        if held and (len(held) == most or size + len(text) > chars):
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
+def embedded(embedder: Embedder, most: int = CALL_TEXTS) -> Callable[[Column], Column]:
+    """A column function that embeds texts, a bounded number with each call, so that one call's failure leaves the others' vectors."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array(embedder([t or "" for t in texts.to_pylist()]) if len(texts) else [], pa.list_(pa.float64()))
+            found = [v for call in calls([t or "" for t in texts.to_pylist()], most) for v in embedder(call)]
+            yield pa.array(found, pa.list_(pa.float64()))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return arrow_udf(run, "array<double>")
@@ -68,6 +103,24 @@ def answered(llm: Llm) -> Callable[[Column], Column]:
     return arrow_udf(run, "string")
 
 
+def tried(llm: Llm) -> Callable[[Column], Column]:
+    """A column function: prompts to (answer, error), of which one is null."""
+
+    def ask(prompt: str | None) -> tuple[str | None, str | None]:
+        try:
+            return (None if prompt is None else llm(prompt)), None
+        except Exception as e:  # noqa: BLE001  a case's failure is its result
+            return None, f"{e}"
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for prompts in batches:
+            found = [ask(p) for p in prompts.to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["answer", "error"])
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return arrow_udf(run, "answer string, error string")
+
+
 def ollama(host: str, embed_model: str, llm_model: str, post: Post = http_post, stable: bool = False) -> tuple[Embedder, Llm]:
     """Hooks of an Ollama server; stable asks for temperature 0."""
     options = {"options": {"temperature": 0}} if stable else {}
@@ -81,8 +134,8 @@ def ollama(host: str, embed_model: str, llm_model: str, post: Post = http_post,
     return safe_embedder(embed), safe_llm(ask)
 
 
-def azure(endpoint: str, key: str, embed_model: str, llm_model: str, version: str = "2024-06-01", post: Post = http_post, stable: bool = False) -> tuple[Embedder, Llm]:
-    """Hooks of an Azure OpenAI resource: one call for a batch, answers put in order by index."""
+def azure(endpoint: str, key: str, embed_model: str, llm_model: str, version: str = "2024-10-21", post: Post = http_post, stable: bool = False) -> tuple[Embedder, Llm]:
+    """Hooks of an Azure OpenAI resource: one call for several texts, answers put in order by index."""
     base, headers = f"{endpoint.rstrip('/')}/openai/deployments", {"api-key": key}
     options = {"temperature": 0} if stable else {}
 
@@ -97,14 +150,35 @@ def azure(endpoint: str, key: str, embed_model: str, llm_model: str, version: st
     return safe_embedder(embed), safe_llm(ask)
 
 
-def hooks_from_env(env: Mapping[str, str] | None = None, post: Post = http_post) -> tuple[Embedder | None, Llm | None]:
-    """Hooks of the backend that the environment names: forced, else Azure, else Ollama, else none."""
+def azure_ping(endpoint: str, key: str, model: str, version: str, post: Post = http_post) -> bool:
+    """Whether the deployment answers a message of one token."""
+    url = f"{endpoint.rstrip('/')}/openai/deployments/{model}/chat/completions?api-version={version}"
+    return reachable(lambda: post(url, {"messages": [{"role": "user", "content": "ping"}], "max_tokens": 1}, {"api-key": key}))
+
+
+def ollama_ping(host: str, get: Get = http_get) -> bool:
+    """Whether a server lists its models there."""
+    return reachable(lambda: get(f"{host.rstrip('/')}/api/tags"))
+
+
+def hooks_from_env(env: Mapping[str, str] | None = None, post: Post = http_post, get: Get = http_get) -> tuple[Embedder | None, Llm | None]:
+    """Hooks of the backend that the environment names and that answers: forced, else Azure, else Ollama, else none.
+
+    Azure needs an endpoint, a key and at least one deployment; a hook without its deployment
+    is None.
+    """
     env = os.environ if env is None else env
     forced = env.get("PROMPTSIFT_BACKEND", "").lower()
-    stable = env.get("PROMPTSIFT_CACHE_STABLE", "") in ("1", "true", "on")
-    embed, llm = env.get("PROMPTSIFT_EMBED_MODEL"), env.get("PROMPTSIFT_LLM_MODEL")
-    if forced in ("", "azure") and env.get("AZURE_OPENAI_ENDPOINT") and env.get("AZURE_OPENAI_API_KEY"):
-        return azure(env["AZURE_OPENAI_ENDPOINT"], env["AZURE_OPENAI_API_KEY"], embed or "text-embedding-3-small", llm or "gpt-4o-mini", post=post, stable=stable)
-    if forced in ("", "ollama") and env.get("OLLAMA_HOST"):
-        return ollama(env["OLLAMA_HOST"], embed or "nomic-embed-text", llm or "llama3.2", post=post, stable=stable)
+    stable = env.get("PROMPTSIFT_CACHE_STABLE", "").strip().lower() in ("on", "1", "yes", "true", "enabled")
+    endpoint, key = env.get("AZURE_OPENAI_ENDPOINT"), env.get("AZURE_OPENAI_API_KEY")
+    embed, llm = env.get("AZURE_OPENAI_EMBED_DEPLOYMENT"), env.get("AZURE_OPENAI_LLM_DEPLOYMENT")
+    if forced in ("", "azure") and endpoint and key and (embed or llm):
+        version = env.get("AZURE_OPENAI_API_VERSION", "2024-10-21")
+        if not llm or azure_ping(endpoint, key, llm, version, post):
+            hooks = azure(endpoint, key, embed or "", llm or "", version, post, stable)
+            return hooks[0] if embed else None, hooks[1] if llm else None
+    if forced in ("", "ollama"):
+        host = env.get("OLLAMA_HOST", "http://localhost:11434")
+        if ollama_ping(host, get):
+            return ollama(host, env.get("PROMPTSIFT_EMBED_MODEL", "nomic-embed-text"), env.get("PROMPTSIFT_LLM_MODEL", "llama3.2:3b"), post, stable)
     return None, None

@@ -126,6 +126,11 @@ def contains_all(text: Column, needles: list[str], ignore_case: bool = True) ->
     return found
 
 
+def contains_each(text: Column, needles: Column) -> Column:
+    """The same with the needles of a column, in any case."""
+    return F.forall(needles, lambda n: F.contains(F.lower(text), F.lower(n)))
+
+
 def matches(text: Column, pattern: str, ignore_case: bool = True) -> Column:
     """The must-match grader."""
     return text.rlike(("(?i)" if ignore_case else "") + pattern)

@@ -20,6 +20,11 @@ NOISY = (
 SPILL_FILE = r"copilot-tool-output-[A-Za-z0-9_-]+\.txt"
 PROFILES_BY_COMMAND = {"k8s": ("kubectl", "oc", "helm"), "postgres": ("psql", "mysql", "sqlite3"), "azure": ("az", "gcloud", "aws")}
 WRAPPER = "promptsift"
+NUDGE = " small reads this session. For bulk pattern analysis, prefer bash like `grep -A 5 PATTERN file` or `cat file | head -N` — bash outputs auto-funnel via promptsift (often 90%+ savings on logs).]"
+SUMMARY_LEAD = " (file is dedup-able; consider asking for the pattern rather than line-by-line reads):\n"
+SUMMARY_END = "\n--- requested slice below ---]"
+#: Why a result isn't looked at.
+DISABLED, PASSED, BOOKKEEPING, LISTED, REDUCED = "disabled", "passed", "internal-bookkeeping", "user-skip-list", "already-funneled"
 FETCH_HINT = "[promptsift] web_fetch bypasses postToolUse; consider Invoke-RestMethod via powershell for funneling"
 
 
@@ -35,9 +40,13 @@ def is_view(tool: Column) -> Column:
     return tool.isin(*VIEW_TOOLS)
 
 
+def is_bookkeeping(tool: Column) -> Column:
+    return tool.isin(*SKIPPED_TOOLS) | tool.startswith("todo_")
+
+
 def is_skipped(tool: Column, more: Sequence[str] = ()) -> Column:
     """Bookkeeping tools, and those that a user lists."""
-    return tool.isin(*SKIPPED_TOOLS, *(m.replace(" ", "") for m in more)) | tool.startswith("todo_")
+    return is_bookkeeping(tool) | tool.isin(*(m.replace(" ", "") for m in more))
 
 
 def is_reduced(text: Column) -> Column:
@@ -48,6 +57,14 @@ def is_reduced(text: Column) -> Column:
     return (at > 0) & (size <= 200)
 
 
+def guard(tool: Column, result_type: Column, result: Column, more: Sequence[str] = (), disabled: bool = False) -> Column:
+    """Why a result passes as it is, whatever its session; empty where the session decides."""
+    silent = (tool == "") | (result == "") | (result_type != "success")
+    listed = tool.isin(*(m.replace(" ", "") for m in more))
+    found = F.when(silent, PASSED).when(is_bookkeeping(tool), BOOKKEEPING).when(listed, LISTED).when(is_reduced(result), REDUCED).otherwise("")
+    return F.lit(DISABLED) if disabled else found
+
+
 def is_noisy(command: Column, more: str = "") -> Column:
     """The command begins with one whose output is long as a rule."""
     left = F.regexp_replace(command, r"(?U)\A\s+", "")
@@ -77,5 +94,28 @@ def rewritten(tool: Column, command: Column, query: str = "", budget: int = 2000
     return F.concat(inner, F.lit(f" | {WRAPPER} {asked}--profile "), profile_of(command), F.lit(f" --budget {budget} --keep {keep}"))
 
 
-def hint(tool: Column) -> Column:
-    return F.when(tool == "web_fetch", F.lit(FETCH_HINT))
+def is_muted(setting: str) -> bool:
+    """What users write to turn a log or a hint off. Fixed values."""
+    return setting in ("off", "OFF", "disabled", "DISABLED", "0")
+
+
+def hint(tool: Column, setting: str = "on") -> Column:
+    return F.when((tool == "web_fetch") & F.lit(not is_muted(setting)), F.lit(FETCH_HINT))
+
+
+def allowed(tool: Column, args: Column, query: str = "", budget: int = 2000, keep: int = 5, more: str = "", hints: str = "on", disabled: bool = False) -> Column:
+    """What a hook says before a tool runs, as JSON: to go on, with a hint or with the command rewritten.
+
+    args: the tool's arguments as JSON; all but the command stay as they are.
+    """
+    fields = F.from_json(args, "map<string, variant>")
+    command = F.coalesce(F.get_json_object(args, "$.command"), F.lit(""))
+    new = rewritten(tool, command, query, budget, keep)
+    changed = F.transform_values(fields, lambda k, v: F.when(k == "command", new.cast("variant")).otherwise(v))
+    plain = F.lit('{"permissionDecision":"allow"}')
+    if disabled:
+        return plain
+    go_on = F.lit("allow").alias("permissionDecision")
+    said = F.to_json(F.struct(go_on, hint(tool, hints).alias("additionalContext")))
+    wrapped = F.to_json(F.struct(go_on, changed.alias("modifiedArgs"), F.concat(F.lit(f"[{WRAPPER}:pre-bash:"), profile_of(command), F.lit("]")).alias("additionalContext")))
+    return F.when(hint(tool, hints).isNotNull(), said).when(is_rewritten(tool, command, more), wrapped).otherwise(plain)

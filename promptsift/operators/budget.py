@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptsift.functions.text import chunk_id, head_of, token_count
@@ -64,53 +64,80 @@ def filled(chunks: DataFrame, cap: int = MAX_TOKENS) -> DataFrame:
     return ordered.select("request_id", "pos", "tokens", "room").mapInArrow(_fill_batches, _FILLED)
 
 
+#: What an added copy must share with a deferred row for both to be one.
+_SAME = ("request_id", "digest", "kind", "source", "severity", "relevance", "summarized")
+
+
+def decisions(chunks: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """On each live chunk: verdict, room, place, whether its request's pinned chunks alone exceed the cap, whether an equal row is deferred already.
+
+    Only narrow rows are shuffled, with a text's digest in its stead.
+    """
+    digest = F.sha2(F.encode("text", "UTF-8"), 256).alias("digest")
+    rows = chunks.select(*KEY, "tier", digest, *_SAME[2:], token_count(F.col("text")).alias("tokens"))
+    live = rows.filter(is_live())
+    pinned = rows.filter(F.col("tier") == CRITICAL).groupBy("request_id").agg((F.sum("tokens") > max_tokens).alias("over"))
+    there = rows.filter(F.col("tier") == DEFERRED).select(*(F.col(c).alias(f"old_{c}") for c in _SAME)).distinct().withColumn("there", F.lit(True))
+    equal = [F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in _SAME]
+    found = live.join(there, equal, "left").join(filled(chunks, max_tokens), list(KEY), "left").join(pinned, "request_id", "left")
+    over = (F.col("tier") == CRITICAL) & F.coalesce("over", F.lit(False))
+    return found.select(*KEY, F.coalesce("verdict", F.lit(KEEP)).alias("verdict"), "room", "place", over.alias("over"), F.coalesce("there", F.lit(False)).alias("there"))
+
+
 def budget(chunks: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Chunks in place, with heads cut to fit; then the deferred originals, numbered by seq.
 
-    A deferred copy that equals a row that is there already isn't added.
+    A deferred copy that equals a row that is there already isn't added. Texts are shuffled
+    once, to their verdicts.
     """
-    verdicts = filled(chunks, max_tokens)
-    used = chunks.filter(F.col("tier") == CRITICAL).groupBy("request_id").agg((F.sum(token_count(F.col("text"))) > max_tokens).alias("over"))
-    own = chunks.join(verdicts, list(KEY), "left")
-    head = F.col("verdict") == HEAD
-    over = (F.col("tier") == CRITICAL) & F.coalesce("over", F.lit(False))
-    in_place = own.filter(F.coalesce("verdict", F.lit(KEEP)) != DEFER).join(used, "request_id", "left").withColumns({
-        "original_tokens": F.when(head, token_count(F.col("text"))).otherwise(F.col("original_tokens")),
-        "kept_tokens": F.when(head, F.col("room")).otherwise(F.col("kept_tokens")),
-        "truncated": F.when(head, F.lit(True)).otherwise(F.col("truncated")),
-        "critical_overflow": F.when(over, F.lit(True)).otherwise(F.col("critical_overflow")),
-        "text": F.when(head, head_of(F.col("text"), F.col("source"), F.col("room"))).otherwise(F.col("text")),
-    })
-    same = ["request_id", "text", "kind", "source", "severity", "relevance", "summarized"]
-    there = chunks.filter(F.col("tier") == DEFERRED).select(*same).distinct()
-    added = own.filter(F.col("verdict").isin(HEAD, DEFER)).withColumns({"tier": F.lit(DEFERRED), "seq": F.col("place")}).alias("new")
-    equal = [F.col(f"new.{c}").eqNullSafe(F.col(f"old.{c}")) for c in same]
-    added = added.join(there.alias("old"), equal, "left_anti")
-    return in_place.select(*chunks.columns).unionByName(added.select(*chunks.columns))
+    names = chunks.columns
+    keys = [F.col(f"c.{k}") == F.col(f"v.{k}") for k in KEY]
+    own = chunks.alias("c").join(decisions(chunks, max_tokens).alias("v"), [*keys, F.col("c.tier") < DEFERRED], "left")
+    verdict, head = F.coalesce("v.verdict", F.lit(KEEP)), F.coalesce(F.col("v.verdict") == HEAD, F.lit(False))
+    cut = {"original_tokens": token_count(F.col("c.text")), "kept_tokens": F.col("v.room"), "truncated": F.lit(True), "text": head_of(F.col("c.text"), F.col("c.source"), F.col("v.room"))}
+    here = {c: F.when(head, x).otherwise(F.col(f"c.{c}")) for c, x in cut.items()}
+    here["critical_overflow"] = F.when(F.col("v.over"), F.lit(True)).otherwise(F.col("c.critical_overflow"))
+    added = {"tier": F.lit(DEFERRED), "seq": F.col("v.place")}
+    row = lambda changed: F.struct(*(changed.get(c, F.col(f"c.{c}")).cast(chunks.schema[c].dataType).alias(c) for c in names))
+    in_place = F.when(verdict != DEFER, row(here))
+    copy = F.when(verdict.isin(HEAD, DEFER) & ~F.col("v.there"), row(added))
+    return own.select(F.explode(F.filter(F.array(in_place, copy), lambda x: x.isNotNull())).alias("r")).select("r.*")
+
+
+def deferred(chunks: DataFrame) -> DataFrame:
+    """The deferred rows, numbered by place in their request: request_id, place, id, source, kind, tokens."""
+    entry = chunks.filter(F.col("tier") == DEFERRED).select("request_id", *(k.alias(f"at_{n}") for n, k in enumerate(order_keys())), chunk_id(F.col("source"), F.col("text")).alias("id"), "source", "kind", token_count(F.col("text")).alias("tokens"))
+    order = Window.partitionBy("request_id").orderBy("at_0", "at_1", "id")
+    return entry.select("request_id", (F.row_number().over(order) - 1).cast("long").alias("place"), "id", "source", "kind", "tokens")
+
+
+def manifest(chunks: DataFrame) -> DataFrame:
+    """Each deferred id of a request once, where it first stands."""
+    first = F.min(F.struct("place", "source", "kind", "tokens")).alias("first")
+    return deferred(chunks).groupBy("request_id", "id").agg(first).select("request_id", "first.place", "id", "first.source", "first.kind", "first.tokens")
 
 
 def assemble(chunks: DataFrame) -> DataFrame:
-    """One row for each request: prompt, deferred, deferred_ids, critical_overflow, manifest.
+    """One row for each request: prompt, deferred (a number), critical_overflow.
 
     Live chunks stand under their source, sources in the order in which they first occur; the
-    footer counts what was deferred. The manifest has each deferred id once.
+    footer counts what was deferred and names its sources. What was deferred has rows of its
+    own: ``deferred``, and ``manifest`` with each id once. Only live texts, which the budget
+    bounds, are brought together.
     """
     numbered = F.struct(*order_keys())
-    live = chunks.filter(is_live())
-    members = live.groupBy("request_id", "source").agg(F.min(numbered).alias("first"), F.array_sort(F.collect_list(F.struct(numbered.alias("at"), "text"))).alias("members"))
+    members = chunks.filter(is_live()).groupBy("request_id", "source").agg(F.min(numbered).alias("first"), F.array_sort(F.collect_list(F.struct(numbered.alias("at"), "text"))).alias("members"))
     section = F.concat(F.lit("### "), F.col("source"), F.lit("\n\n"), F.array_join(F.transform("members", lambda x: x["text"]), "\n\n"))
     sections = members.select("request_id", F.struct("first", section.alias("section")).alias("s")).groupBy("request_id").agg(F.array_sort(F.collect_list("s")).alias("sections"))
     bodies = sections.select("request_id", F.array_join(F.transform("sections", lambda x: x["section"]), "\n\n").alias("body"))
-    entry = F.struct(numbered.alias("at"), chunk_id(F.col("source"), F.col("text")).alias("id"), "source", "kind", token_count(F.col("text")).alias("tokens"))
     is_out = F.col("tier") == DEFERRED
-    all_rows = chunks.groupBy("request_id").agg(
-        F.array_sort(F.collect_list(F.when(is_out, entry))).alias("out"),
-        F.array_join(F.array_sort(F.collect_set(F.when(is_out, F.col("source")))), ", ").alias("sources"),
-        F.bool_or(F.coalesce(F.col("critical_overflow"), F.lit(False)) & (F.col("tier") == CRITICAL)).alias("critical_overflow"),
+    # by source first, so that the names are gathered once each
+    by_source = chunks.groupBy("request_id", "source").agg(F.count_if(is_out).alias("out"), F.bool_or(F.coalesce(F.col("critical_overflow"), F.lit(False)) & (F.col("tier") == CRITICAL)).alias("over"))
+    all_rows = by_source.groupBy("request_id").agg(
+        F.sum("out").alias("deferred"),
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("out") > 0, F.col("source")))), ", ").alias("sources"),
+        F.bool_or("over").alias("critical_overflow"),
     )
-    footer = F.concat(F.lit("\n\n### deferred ("), F.size("out").cast("string"), F.lit(" chunks)\nSources omitted: "), F.col("sources"), F.lit(".\nRetrievable on request by id."))
-    prompt = F.concat(F.coalesce("body", F.lit("")), F.when(F.size("out") > 0, footer).otherwise(""))
-    ids = F.transform("out", lambda x: x["id"])
-    first_of = F.filter("out", lambda x, i: F.array_position(ids, x["id"]) == i + 1)
-    manifest = F.transform(first_of, lambda x: F.struct(x["id"].alias("id"), x["source"].alias("source"), x["kind"].alias("kind"), x["tokens"].alias("tokens")))
-    return all_rows.join(bodies, "request_id", "left").select("request_id", prompt.alias("prompt"), F.size("out").alias("deferred"), ids.alias("deferred_ids"), "critical_overflow", manifest.alias("manifest"))
+    footer = F.concat(F.lit("\n\n### deferred ("), F.col("deferred").cast("string"), F.lit(" chunks)\nSources omitted: "), F.col("sources"), F.lit(".\nRetrievable on request by id."))
+    prompt = F.concat(F.coalesce("body", F.lit("")), F.when(F.col("deferred") > 0, footer).otherwise(""))
+    return all_rows.join(bodies, "request_id", "left").select("request_id", prompt.alias("prompt"), "deferred", "critical_overflow")

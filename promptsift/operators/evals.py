@@ -1,7 +1,7 @@
 """Evaluation: does the answer survive the reduction?
 
-A context is split into lines once; a question's best lines and their neighbours are the
-mock judge's answer. Everything runs for many cases at once.
+A question's best lines and their neighbours are the mock judge's answer, found inside the
+context's row. Everything runs for many cases at once.
 """
 
 from __future__ import annotations
@@ -31,28 +31,50 @@ def best_lines(contexts: DataFrame, top: int = TOP) -> DataFrame:
 
 def answers(contexts: DataFrame, top: int = TOP, near: int = NEAR) -> DataFrame:
     """case_id, answer."""
-    hits = best_lines(contexts, top).select("case_id", F.explode(F.sequence(F.col("idx") - near, F.col("idx") + near)).alias("idx")).distinct()
-    lines = lines_of(contexts).withColumn("line", stripped(F.col("line"))).filter("line <> ''")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "line"))), lambda x: x["line"]), "\n")
-    found = lines.join(hits, ["case_id", "idx"]).groupBy("case_id").agg(joined.alias("found"))
-    hit = hits.select("case_id").distinct().withColumn("hit", F.lit(True))
-    first = lines.groupBy("case_id").agg(F.min_by("line", "idx").alias("first"))
-    out = contexts.join(found, "case_id", "left").join(first, "case_id", "left").join(hit, "case_id", "left")
-    none = (F.size(judge_terms(F.col("query"))) == 0) | (F.length("context") == 0)
-    answer = F.when(none, F.substring("context", 1, FALLBACK_CHARS)).when(F.col("hit"), F.coalesce("found", F.lit(""))).otherwise(F.coalesce("first", F.lit("")))
-    return out.select("case_id", answer.alias("answer"))
+    text = F.regexp_replace("context", "(?:" + LINE_END + r")\z", "")
+    asked = judge_terms(F.col("query"))
+    # inside the row: no line leaves it
+    lines = contexts.select("case_id", "context", asked.alias("asked"), F.when(F.length("context") > 0, F.split(text, LINE_END, -1)).alias("lines"))
+    scores = F.transform("lines", lambda line, i: F.struct((-F.size(F.array_intersect("asked", judge_terms(line)))).alias("score"), i.alias("idx")))
+    hits = F.slice(F.array_sort(F.filter(scores, lambda x: x["score"] < 0)), 1, top)
+    chosen = lines.withColumn("near", F.flatten(F.transform(hits, lambda x: F.sequence(x["idx"] - near, x["idx"] + near))))
+    found = F.filter(F.transform(F.filter(F.array_sort(F.array_distinct("near")), lambda i: (i >= 0) & (i < F.size("lines"))), lambda i: stripped(F.get("lines", i))), lambda line: line != "")
+    first = F.get(F.filter("lines", lambda line: stripped(line) != ""), F.lit(0))
+    none = (F.size("asked") == 0) | (F.coalesce(F.length("context"), F.lit(0)) == 0)
+    answer = F.when(none, F.substring("context", 1, FALLBACK_CHARS)).when(F.size("near") > 0, F.array_join(found, "\n")).otherwise(F.coalesce(stripped(first), F.lit("")))
+    return chosen.select("case_id", answer.alias("answer"))
 
 
 def compared(cases: DataFrame, raw: DataFrame, funneled: DataFrame, grader: Column) -> DataFrame:
-    """Per case: tokens, whether each answer is right, compression, delta.
+    """Per case: tokens, whether each answer is right, compression, delta, error.
 
-    cases: case_id, raw_tokens, funneled_tokens; raw and funneled: case_id, answer; grader: of
-    the column answer.
+    cases: case_id, raw_tokens, funneled_tokens and what the grader looks at besides the column
+    answer; raw and funneled: case_id, answer and optionally error. A case without an answer of
+    a judge, or without a prompt, is wrong there, says why, and doesn't stop the others. Where
+    the raw answer or the prompt is missing, the tokens count as not reduced.
     """
-    both = cases.join(raw.withColumn("raw_correct", grader).drop("answer"), "case_id").join(funneled.withColumn("funneled_correct", grader).drop("answer"), "case_id")
+
+    def side(answers: DataFrame, name: str) -> DataFrame:
+        error = F.col("error") if "error" in answers.columns else F.lit(None).cast("string")
+        return answers.select("case_id", F.col("answer").alias(f"{name}_answer"), error.alias(f"{name}_error"))
+
+    def right(name: str) -> Column:
+        return F.coalesce(F.col(f"{name}_correct"), F.lit(False))
+
+    both = cases.join(side(raw, "raw"), "case_id", "left").join(side(funneled, "funneled"), "case_id", "left")
+    for name in ("raw", "funneled"):
+        both = both.withColumn("answer", F.col(f"{name}_answer")).withColumn(f"{name}_correct", grader).drop("answer")
+    no_raw, no_prompt = F.col("raw_error").isNotNull(), F.col("funneled_tokens").isNull()
+    error = F.when(no_raw, F.concat(F.lit("raw judge failed: "), "raw_error")).when(no_prompt, "funnel produced no assembled chunk").when(F.col("funneled_error").isNotNull(), F.concat(F.lit("funneled judge failed: "), "funneled_error"))
+    both = both.withColumns({
+        "funneled_tokens": F.when(no_raw | no_prompt, F.col("raw_tokens")).otherwise(F.col("funneled_tokens")),
+        "raw_correct": right("raw"),
+        "funneled_correct": right("funneled") & ~no_raw,
+        "error": error,
+    })
     squeezed = F.when(F.col("raw_tokens") == 0, F.lit(0.0)).otherwise(1 - F.col("funneled_tokens") / F.col("raw_tokens"))
     delta = F.col("funneled_correct").cast("int") - F.col("raw_correct").cast("int")
-    return both.withColumns({"compression": squeezed, "delta": delta})
+    return both.withColumns({"compression": squeezed, "delta": delta}).drop("raw_error", "funneled_error")
 
 
 def suite(results: DataFrame) -> DataFrame:
@@ -75,7 +97,7 @@ def report(results: DataFrame) -> str:
 
     said = ("FAIL", "OK")
     head = line(*(name for name, _ in REPORT))
-    body = [line(r.case_id, f"{r.compression:.1%}", said[r.raw_correct], said[r.funneled_correct], "=+-"[r.delta]) for r in rows]
+    body = [line(r.case_id, f"{r.compression:.1%}", said[r.raw_correct], said[r.funneled_correct], "=+-"[r.delta]) + (f"  ({r.error})" if r.error else "") for r in rows]
     totals = {"raw accuracy": sum(r.raw_correct for r in rows), "funneled accuracy": sum(r.funneled_correct for r in rows)}
     ends = [f"{k}: {v}/{len(rows)}" for k, v in totals.items()] + [f"regressions: {sum(r.delta < 0 for r in rows)}"]
     return "\n".join([head, "-" * len(head), *body, "", "   ".join(ends)])

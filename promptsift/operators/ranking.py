@@ -59,24 +59,3 @@ def query_scores(docs: DataFrame, queries: DataFrame, keys: Sequence[str]) -> Da
     cosine = F.when(F.col("norm") * F.col("query_norm") > 0, F.col("dot") / (F.col("norm") * F.col("query_norm"))).otherwise(0.0)
     scored = by_doc.join(lengths, keys).select(*keys, "pos", cosine.alias("score"))
     return docs.select(*keys, "pos").join(scored, [*keys, "pos"], "left").select(*keys, "pos", F.coalesce("score", F.lit(0.0)).alias("score"))
-
-
-def centrality_scores(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, pos, score: the mean cosine of every document with the others of its keys.
-
-    With unit vectors and their sum this takes one aggregation rather than all pairs: a
-    document's vector times the sum, less its own part, over the others' number.
-    """
-    keys = list(keys)
-    counts = term_counts(docs, keys)
-    sizes = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    having = documents_having(counts, keys)
-    weights = having.join(sizes, keys).select(*keys, "term", "n", idf(F.col("n"), F.col("having")).alias("idf"))
-    vectors = counts.join(weights, [*keys, "term"]).withColumn("w", F.col("count") * F.col("idf"))
-    norms = vectors.groupBy(*keys, "pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = vectors.join(norms, [*keys, "pos"]).select(*keys, "pos", "term", "n", (F.col("w") / F.col("norm")).alias("u"))
-    sums = unit.groupBy(*keys, "term").agg(F.sum("u").alias("total"))
-    products = unit.join(sums, [*keys, "term"]).groupBy(*keys, "pos").agg(F.sum(F.col("u") * F.col("total")).alias("dot"), F.max("n").alias("n"))
-    mean = F.when(F.col("n") > 1, (F.col("dot") - 1) / (F.col("n") - 1)).otherwise(0.0)
-    scored = products.select(*keys, "pos", mean.alias("score"))
-    return docs.select(*keys, "pos").join(scored, [*keys, "pos"], "left").select(*keys, "pos", F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptsift.functions.hooks import Embedder, embedded
 from promptsift.functions.vectors import cosine
 from promptsift.operators.ranking import query_scores
 from promptsift.schema import DEFERRED, KEY, RELEVANT
+from promptsift.shared import saved
 
 #: Digits of a score that count for the order, so that no order of summation decides it.
 DIGITS = 9
 
 
-def ranked(scored: DataFrame, keep: int | Column) -> DataFrame:
-    """Of rows (request_id, pos, score): adds kept."""
+def best(scored: DataFrame, keep: int) -> DataFrame:
+    """request_id, pos of each request's best, of rows (request_id, pos, score).
+
+    Spark limits a rank that is compared with a number before it shuffles, so that a request
+    brings no more than ``keep`` rows of each task together.
+    """
     order = Window.partitionBy("request_id").orderBy(F.round("score", DIGITS).desc(), "pos")
-    return scored.withColumn("kept", F.row_number().over(order) <= keep)
+    return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep).select("request_id", "pos")
+
+
+def ranked(scored: DataFrame, keep: int) -> DataFrame:
+    """Of rows (request_id, pos, score): adds kept."""
+    return scored.join(best(scored, keep).withColumn("kept", F.lit(True)), list(KEY), "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
 def relevance(chunks: DataFrame, queries: DataFrame, keep: int = 5, embedder: Embedder | None = None) -> DataFrame:
@@ -37,7 +47,7 @@ def relevance(chunks: DataFrame, queries: DataFrame, keep: int = 5, embedder: Em
         own = candidates.select("request_id", "pos", embed("text").alias("a"))
         theirs = asked.join(crowded, "request_id", "left_semi").select("request_id", embed("query").alias("b"))
         scored = own.join(theirs, "request_id").select("request_id", "pos", cosine(F.col("a"), F.col("b")).alias("score"))
-    found = ranked(scored, keep)
-    out = chunks.join(found, list(KEY), "left")
+    scored = saved(scored)
+    out = chunks.join(ranked(scored, keep), list(KEY), "left")
     changed = {"relevance": F.coalesce("score", "relevance"), "tier": F.when(~F.coalesce("kept", F.lit(True)), DEFERRED).otherwise(F.col("tier"))}
     return out.withColumns(changed).select(*chunks.columns)

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from promptsift.functions.text import chunk_id, token_count
 from promptsift.schema import DEFERRED, order_keys
+from promptsift.shared import replace_folder
 
 TTL = 3600.0
 KEYS = ("workspace_key", "request_id", "chunk_id")
 COLUMNS = (*KEYS, "text", "kind", "source", "tokens", "stored_at", "seq")
+ROWS = "workspace_key string, request_id string, chunk_id string, text string, kind string, source string, tokens long, stored_at double, seq long"
 
 
 def rows_of(chunks: DataFrame, now: float | Column, workspace_key: str = "") -> DataFrame:
@@ -62,9 +64,27 @@ def evicted(store: DataFrame, now: float, ttl: float = TTL) -> DataFrame:
     return current(store).agg(F.count_if(F.lit(now) - F.col("stored_at") > ttl).alias("removed"))
 
 
+def evict(spark: SparkSession, path: str, now: float, ttl: float = TTL) -> int:
+    """Rewrites the stored table without what has expired; how many keys went.
+
+    The rows that stay are written beside it and then take its place, file by file of its
+    workspaces, so that a failure before that leaves the table as it was.
+    """
+    held = load(spark, path)
+    removed = evicted(held, now, ttl).first()["removed"]
+    if removed:
+        fresh = f"{path.rstrip('/')}.kept"
+        keep = current(held).filter(F.lit(now) - F.col("stored_at") <= ttl).select(*COLUMNS[:-1], F.col("first")["seq"].alias("seq"))
+        keep.write.mode("overwrite").partitionBy("workspace_key").parquet(fresh)
+        replace_folder(spark, fresh, path)
+    return removed
+
+
 def append(rows: DataFrame, path: str) -> None:
     rows.select(*COLUMNS).write.mode("append").partitionBy("workspace_key").parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).withColumn("workspace_key", F.coalesce(F.col("workspace_key").cast("string"), F.lit(""))).select(*COLUMNS)
+    """The stored rows; none where everything has been evicted."""
+    rows = spark.read.schema(ROWS).parquet(path)
+    return rows.withColumn("workspace_key", F.coalesce(F.col("workspace_key").cast("string"), F.lit(""))).select(*COLUMNS)

@@ -2,65 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptsift.functions.hooks import Llm, answered
-from promptsift.functions.text import sentences, token_count
-from promptsift.operators.ranking import centrality_scores, query_scores
-from promptsift.operators.relevance import DIGITS
-from promptsift.schema import KEY, RELEVANT, SUMMARIZED
-from promptsift.shared import saved
+from promptsift.functions.text import token_count
+from promptsift.operators.sentences import summary
+from promptsift.schema import RELEVANT, SUMMARIZED
 
 MIN_TOKENS, KEEP_SHARE = 120, 0.4
 KINDS = ("text", "log")
 
 
-def sentence_scores(texts: DataFrame, queries: DataFrame) -> DataFrame:
-    """Of texts (request_id, pos, text): request_id, chunk, pos of the sentence, text, score, n.
-
-    The score is half the sentence's cosine with the query, half its mean with the others.
-    """
-    keys = ["request_id", "chunk"]
-    # read for the counts and sizes of both scores: split once
-    parts = saved(texts.select("request_id", F.col("pos").alias("chunk"), F.posexplode(sentences(F.col("text"))).alias("pos", "text")))
-    asked = texts.select("request_id", F.col("pos").alias("chunk")).join(queries.select("request_id", "query"), "request_id")
-    near = query_scores(parts, asked, keys).withColumnRenamed("score", "near")
-    central = centrality_scores(parts, keys).withColumnRenamed("score", "central")
-    score = (0.5 * F.col("near") + 0.5 * F.col("central")).alias("score")
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return parts.join(near, [*keys, "pos"]).join(central, [*keys, "pos"]).select(*keys, "pos", "text", score, n.alias("n"))
+def extracted(texts: DataFrame, queries: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
+    """request_id, pos, summary for the texts (request_id, pos, text) of two or more sentences."""
+    asked = texts.select("request_id", "pos", "text").join(queries.select("request_id", "query"), "request_id", "left")
+    found = asked.select("request_id", "pos", summary(F.col("text"), F.coalesce("query", F.lit("")), keep_share).alias("summary"))
+    return found.filter(F.col("summary").isNotNull())
 
 
-def extracted(texts: DataFrame, queries: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
-    """request_id, pos, summary for the texts of two or more sentences."""
-    best = Window.partitionBy("request_id", "chunk").orderBy(F.round("score", DIGITS).desc(), "pos")
-    keep = F.greatest(F.lit(1), F.bround(F.col("n") * keep_share).cast("int"))
-    chosen = sentence_scores(texts, queries).withColumn("place", F.row_number().over(best)).filter((F.col("n") > 1) & (F.col("place") <= keep))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
-    return chosen.groupBy("request_id", "chunk").agg(joined.alias("summary")).withColumnRenamed("chunk", "pos")
+def quoted(query: Column) -> Column:
+    """The query in quotes, with the escapes that show control characters, quotes and backslashes."""
+    out = F.replace(query, F.lit("\\"), F.lit("\\\\"))
+    for char, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(char), F.lit(shown))
+    for code in (*range(9), 11, 12, *range(14, 32), *range(127, 161), 173):
+        out = F.replace(out, F.lit(chr(code)), F.lit(f"\\x{code:02x}"))
+    single, double = F.contains(query, F.lit("'")), F.contains(query, F.lit('"'))
+    plain = F.concat(F.lit("'"), F.replace(out, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(single & ~double, F.concat(F.lit('"'), out, F.lit('"'))).otherwise(plain)
 
 
 def prompt_for(query: Column, text: Column) -> Column:
     """What a model is asked. Fixed text."""
-    lead = F.lit("Compress the following text to its bare-minimum relevant facts for the query: '")
-    return F.concat(lead, query, F.lit("'. Preserve numeric values, error codes, and identifiers verbatim.\n\n"), text)
+    lead = F.lit("Compress the following text to its bare-minimum relevant facts for the query: ")
+    return F.concat(lead, quoted(query), F.lit(". Preserve numeric values, error codes, and identifiers verbatim.\n\n"), text)
 
 
 def summarize(chunks: DataFrame, queries: DataFrame, min_tokens: int = MIN_TOKENS, keep_share: float = KEEP_SHARE, llm: Llm | None = None) -> DataFrame:
-    """Long RELEVANT texts and logs, which become SUMMARIZED.
+    """Long RELEVANT texts and logs, which become SUMMARIZED, inside their rows.
 
     A text of one sentence keeps its text; so does one for which a model has no answer, lest
     a failing model empties a prompt.
     """
     guard = (F.col("tier") == RELEVANT) & F.col("kind").isin(*KINDS) & (token_count(F.col("text")) >= min_tokens)
-    long = chunks.filter(guard).select("request_id", "pos", "text")
-    if llm is None:
-        found = extracted(long, queries, keep_share)
-    else:
-        asked = long.join(queries.select("request_id", "query"), "request_id")
-        found = asked.select("request_id", "pos", F.nullif(answered(llm)(prompt_for(F.col("query"), F.col("text"))), F.lit("")).alias("summary"))
-    out = chunks.withColumn("long", guard).join(found, list(KEY), "left")
+    long, query = F.when(guard, F.col("text")), F.coalesce("asked", F.lit(""))
+    found = summary(long, query, keep_share) if llm is None else F.nullif(answered(llm)(prompt_for(query, long)), F.lit(""))
+    out = chunks.join(queries.select("request_id", F.col("query").alias("asked")), "request_id", "left").withColumns({"long": guard, "summary": found})
     changed = {
         "text": F.when(F.col("long"), F.coalesce("summary", "text")).otherwise(F.col("text")),
         "tier": F.when(F.col("long"), SUMMARIZED).otherwise(F.col("tier")),

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptsift.functions import tools
-from promptsift.functions.hooks import Embedder, Llm
-from promptsift.functions.text import is_blank, token_count
+from promptsift.functions.hooks import Embedder, Llm, tried
+from promptsift.functions.text import is_blank, stripped, token_count
 from promptsift.operators import budget as b
 from promptsift.operators import store as st
 from promptsift.plans.funnel import Funnel, default_funnel, lite_funnel
@@ -60,9 +60,10 @@ def reduce_specs(specs: DataFrame, queries: DataFrame, options: Options = Option
     asked = specs.join(queries.select("request_id", "query"), "request_id", "left")
     chunks = texts.ingested(asked, patterns=list(options.patterns))
     funnel = options.full()
-    last = funnel.steps(chunks, queries)[-1]
-    kept = st.put(store, last, time.time() if now is None else now, workspace_key)
-    return Reduced(b.assemble(last), kept, funnel.metrics(chunks, queries))
+    steps = funnel.steps(chunks, queries)
+    kept = st.put(store, steps[-1], time.time() if now is None else now, workspace_key)
+    prompts = saved(b.assemble(steps[-1]))
+    return Reduced(prompts, kept, funnel.metrics_of(steps, prompts))
 
 
 def reduce_texts(found: DataFrame, options: Options = Options()) -> DataFrame:
@@ -75,57 +76,61 @@ def reduce_texts(found: DataFrame, options: Options = Options()) -> DataFrame:
     return lite.unionByName(full)
 
 
+def reduce_alike(found: DataFrame, query: str = "", options: Options = Options()) -> DataFrame:
+    """A prompt for each text (request_id, text), all asked the same; the lite funnel without a query."""
+    queries = found.select("request_id", F.lit(query).alias("query"))
+    return (options.full() if query.strip() else options.lite()).run(texts.blocks(found), queries)
+
+
 def file_summaries(files: DataFrame) -> DataFrame:
     """path and summary of files (path, text): their lite reduction, null where it isn't worth showing."""
-    sized = files.filter(F.length("text").between(*gate.FILE_CHARS)).select(F.col("path").alias("request_id"), "text", F.lit("").alias("query"))
-    prompts = reduce_texts(sized, Options(max_tokens=SUMMARY_BUDGET, keep=3)).select(F.col("request_id").alias("path"), "prompt")
+    sized = files.filter(F.length("text").between(*gate.FILE_CHARS)).select(F.col("path").alias("request_id"), "text")
+    prompts = reduce_alike(sized, options=Options(max_tokens=SUMMARY_BUDGET, keep=3)).select(F.col("request_id").alias("path"), "prompt")
     out = files.select("path", F.length("text").alias("n")).join(prompts, "path", "left")
     return out.select("path", gate.worth_showing(F.col("n"), F.coalesce("prompt", F.lit(""))).alias("summary"))
 
 
-def tool_results(results: DataFrame, options: Options = Options(), settings: gate.Settings = gate.Settings(), files: DataFrame | None = None) -> DataFrame:
-    """Decisions on tool results (event_id, session, at, payload), and the text that replaces each, if any.
+def tool_results(results: DataFrame, options: Options = Options(), settings: gate.Settings = gate.Settings(), files: DataFrame | None = None, query: str = "", disabled: bool = False) -> DataFrame:
+    """A decision on every tool result (event_id, session, at, payload), the text that replaces it, if any, and the hook's answer.
 
-    Results that may be reduced (successful, not of a skipped tool, not reduced before) go
-    through the lite funnel with their command's profile; the gate then decides session by
-    session.
+    Results that may be reduced go through the funnel with their command's profile: the lite
+    one without a query. The gate then decides session by session. Rows of equal event_id are
+    events of their own.
     """
-    parsed = payloads.parsed(results).filter((F.col("tool") != "") & (F.col("result") != "") & (F.col("result_type") == "success"))
-    parsed = saved(parsed.filter(~tools.is_skipped(F.col("tool"), settings.skipped) & ~tools.is_reduced(F.col("result"))).withColumn("profile", F.when(F.col("tool").isin("bash", "shell", "powershell"), tools.profile_of(F.col("command"))).otherwise("passthrough")))
+    parsed = payloads.parsed(results.select("event_id", "session", "at", "payload"))
+    by_command = F.when(F.col("tool").isin("bash", "shell", "powershell"), tools.profile_of(F.col("command"))).otherwise("passthrough")
+    guard = tools.guard(F.col("tool"), F.col("result_type"), F.col("result"), settings.skipped, disabled)
+    parsed = saved(parsed.drop("payload").withColumns({"profile": by_command, "guard": guard, "row": F.monotonically_increasing_id().cast("string")}))
     reduced = None
     for name in ("passthrough", *tools.PROFILES_BY_COMMAND):
-        own = parsed.filter(F.col("profile") == name).select(F.col("event_id").cast("string").alias("request_id"), F.col("result").alias("text"), F.lit("").alias("query"))
-        prompts = reduce_texts(own, Options(options.max_tokens, options.keep, name)).select(F.col("request_id").alias("event"), "prompt")
+        own = parsed.filter((F.col("profile") == name) & (F.col("guard") == "")).select(F.col("row").alias("request_id"), F.col("result").alias("text"))
+        prompts = reduce_alike(own, query, Options(options.max_tokens, options.keep, name, options.max_array, options.embedder, options.llm)).select(F.col("request_id").alias("row"), "prompt")
         reduced = prompts if reduced is None else reduced.unionByName(prompts)
-    joined = parsed.withColumn("event", F.col("event_id").cast("string")).join(reduced, "event", "left").withColumnRenamed("prompt", "cleaned_text")
-    summaries = None if files is None else file_summaries(files)
-    joined = joined.withColumn("summary", F.lit(None).cast("string")) if summaries is None else joined.join(summaries, "path", "left")
+    joined = parsed.join(reduced, "row", "left").withColumnRenamed("prompt", "cleaned_text")
+    joined = joined.withColumn("summary", F.lit(None).cast("string")) if files is None else joined.join(file_summaries(files), "path", "left")
     # tokens as the gate counts them: a quarter of the characters
     quarter = lambda c: F.floor(F.length(c) / 4).cast("long")
-    shrinks = F.length("cleaned_text") < F.length("result")
-    cleaned = F.when(F.col("cleaned_text").isNull() | (F.col("cleaned_text") == ""), F.lit(None)).when(shrinks, F.least(quarter("cleaned_text"), quarter("result") - 1)).otherwise(quarter("result"))
-    events = saved(joined.withColumns({"tokens": quarter("result"), "cleaned": cleaned}))
-    decisions = gate.decided(events, settings)
-    same = ["session", "at", "tool", "tokens"]
-    nudge = F.when(F.col("nudged"), F.concat(F.lit("[" + tools.WRAPPER + " tip: "), F.col("views").cast("string"), F.lit(" small reads this session. For bulk pattern analysis, prefer one command whose output is reduced.]")))
-    shown = F.when(F.col("summarised"), F.concat(F.lit("[" + tools.WRAPPER + " summary of "), F.col("path"), F.lit(":\n"), F.col("summary"), F.lit("\n--- requested slice below ---]")))
-    text = gate.notice(F.col("verdict"), F.col("tool"), F.col("profile"), F.col("tokens"), F.col("cleaned"), F.col("cleaned_text"), F.col("result"), F.concat_ws("\n", nudge, shown))
-    return decisions.join(events, same).select("event_id", *same, "verdict", "reason", "total", text.alias("replacement"))
+    sizes = {"tokens": quarter("result"), "cleaned": quarter(F.nullif("cleaned_text", F.lit(""))), "shrinks": F.length("cleaned_text") < F.length("result")}
+    events = saved(joined.withColumns(sizes))
+    decisions = gate.decided(events.withColumn("event_id", F.col("row")), settings).select(F.col("event_id").alias("row"), "verdict", "reason", "total", "views", "nudged", "file")
+    before = gate.injected(F.col("nudged"), F.col("views"), F.col("file"), F.col("path"), F.col("summary"))
+    text = gate.notice(F.col("verdict"), F.col("tool"), F.col("profile"), F.col("tokens"), F.col("cleaned"), F.col("cleaned_text"), F.col("result"), before)
+    both = decisions.join(events, "row").withColumn("replacement", text)
+    return both.select("event_id", "session", "at", "tool", "tokens", "verdict", "reason", "total", "nudged", "file", "replacement", gate.answer(F.col("replacement")).alias("answer"))
 
 
 def log_decisions(decisions: DataFrame, path: str, muted: str = "") -> None:
     """Appends the verdicts to a table, unless the setting mutes it."""
-    if muted.lower() not in ("off", "disabled", "0"):
-        decisions.select("session", "at", "tool", "tokens", "verdict", "reason").write.mode("append").parquet(path)
+    if not tools.is_muted(muted):
+        decisions.select("session", "at", "tool", "tokens", "verdict", "reason", "nudged", "file").write.mode("append").parquet(path)
 
 
 def judged_by(llm: Llm) -> Callable[[DataFrame], DataFrame]:
-    """A judge that asks a model: a function of contexts (case_id, context, query)."""
-    from promptsift.functions.hooks import answered
+    """A judge that asks a model: a function of contexts (case_id, context, query) that gives case_id, answer, error."""
 
     def run(contexts: DataFrame) -> DataFrame:
         prompt: Column = F.concat(F.lit("Answer the question using only the context below.\n\nContext:\n"), F.col("context"), F.lit("\n\nQuestion: "), F.col("query"), F.lit("\n\nAnswer:"))
-        return contexts.select("case_id", F.trim(answered(llm)(prompt)).alias("answer"))
+        return contexts.select("case_id", tried(llm)(prompt).alias("a")).select("case_id", stripped(F.col("a")["answer"]).alias("answer"), F.col("a")["error"].alias("error"))
 
     return run
 

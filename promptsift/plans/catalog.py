@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from promptsift.functions import pinning, text, tools, vectors
-from promptsift.operators import budget, evals, lossless, ranking, relevance, store, summarize
-from promptsift.plans import catalog_sql, inputs
+from promptsift.functions import hooks, pinning, text, tools, vectors
+from promptsift.operators import budget, evals, lossless, ranking, relevance, sentences, store, summarize
+from promptsift.plans import api, catalog_sql, inputs, profiles
 from promptsift.plans.funnel import default_funnel, lite_funnel
 from promptsift.schema import DEFERRED, is_live
 from promptsift.sources import fixtures, payloads, texts
@@ -114,6 +114,13 @@ def crash_loop_dedup(spark, d):
     return log.select(text.token_count(F.col("text")).alias("tokens"), text.deduplicated_lines(F.col("text")).alias("text"))
 
 
+def ingested_specs(spark, d):
+    """Documents as specs of their sources: pinned by severity, the query's words or a pattern."""
+    severity = F.when(F.col("doc_id") % 10 == 0, "crit").when(F.col("doc_id") % 10 == 1, "info")
+    specs = docs(spark, d).select(F.col("source").alias("request_id"), F.col("doc_id").alias("pos"), "text", severity.alias("severity"), F.col("lang").alias("source"))
+    return texts.ingested(specs, "of the", ["tok[e]n"]).select("request_id", "pos", "tier", "kind", "source")
+
+
 # lossless stages
 
 
@@ -143,6 +150,10 @@ def prune_orders(spark, d):
     return lossless.prune(inputs.order_json(spark, d), {"uid"}).select("request_id", "text")
 
 
+def prune_profile(spark, d):
+    return lossless.prune(inputs.order_json(spark, d), profiles.profile("k8s")).select("request_id", "text")
+
+
 # ranking
 
 
@@ -186,9 +197,8 @@ def embedding_topk(spark, d):
 
 
 def centrality(spark, d):
-    parts = docs(spark, d).select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("pos", "text"))
-    scores = ranking.centrality_scores(parts, ["doc_id"])
-    return scores.select("doc_id", F.col("pos").cast("long").alias("pos"), F.round("score", DIGITS).alias("score"))
+    found = docs(spark, d).select("doc_id", sentences.sentence_scores(F.col("text"), F.lit(""))["central"].alias("central"))
+    return found.select("doc_id", F.posexplode("central").alias("pos", "score")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.round("score", DIGITS).alias("score"))
 
 
 def extractive_summary(spark, d):
@@ -203,6 +213,34 @@ def summarize_stage(spark, d):
     return out.select("request_id", "pos", "tier", F.coalesce("summarized", F.lit(False)).alias("summarized"))
 
 
+def _lengths(many):
+    """Stands in for a service: a vector of a text's length and its words, a failure for texts in one word."""
+    if any(" " not in t for t in many):
+        raise OSError("down")
+    return [[float(len(t)), float(len(t.split(" ")))] for t in many]
+
+
+def embedder_topk(spark, d):
+    """Relevance by an injected embedder; a call that fails gives vectors of zero similarity."""
+    chunks = inputs.conversations(spark, d)
+    embed = hooks.with_fallback(lambda many: _lengths(many), lambda many: [[0.0, 0.0] for _ in many])
+    out = relevance.relevance(chunks, inputs.queries_of(chunks, "the and of"), 4, lambda many: [v for t in many for v in embed([t])])
+    return out.select("request_id", "pos", "tier", F.round("relevance", DIGITS).alias("relevance"))
+
+
+def model_summaries(spark, d):
+    """Summaries by an injected model, which has none for texts whose last character is a digit or a full stop after an e."""
+    chunks = inputs.conversations(spark, d)
+    llm = hooks.safe_llm(lambda prompt: "" if prompt.endswith("e.") else prompt[-40:])
+    out = summarize.summarize(chunks, inputs.queries_of(chunks, "the and of"), llm=llm)
+    return out.select("request_id", "pos", "tier", "text")
+
+
+def model_prompts(spark, d):
+    query = F.concat(F.lit("it's\t"), F.when(F.col("doc_id") % 2 == 0, '"quoted"').otherwise("a\\b"))
+    return docs(spark, d).select("doc_id", summarize.prompt_for(query, F.col("text")).alias("prompt"))
+
+
 # budget and assembly
 
 
@@ -221,13 +259,25 @@ def budget_overflow(spark, d):
 
 
 def assemble_prompts(spark, d):
-    return budget.assemble(inputs.conversations(spark, d)).select("request_id", "prompt", F.col("deferred").cast("long").alias("deferred"))
+    return budget.assemble(inputs.conversations(spark, d)).select("request_id", "prompt", "deferred")
+
+
+def _deferred_ids(chunks):
+    """Each request's deferred ids in order, and how many different ones there are."""
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]), ",")
+    return budget.deferred(chunks).groupBy("request_id").agg(ids.alias("deferred_ids"))
 
 
 def deferred_footer(spark, d):
     chunks = inputs.conversations(spark, d).withColumn("tier", F.when(F.col("pos") % 2 == 1, F.lit(DEFERRED)).otherwise(F.col("tier")))
-    out = budget.assemble(chunks)
-    return out.select("request_id", "prompt", F.array_join("deferred_ids", ",").alias("deferred_ids"), F.size("manifest").cast("long").alias("entries"))
+    entries = budget.manifest(chunks).groupBy("request_id").agg(F.count(F.lit(1)).alias("entries"))
+    out = budget.assemble(chunks).join(_deferred_ids(chunks), "request_id", "left").join(entries, "request_id", "left")
+    return out.select("request_id", "prompt", F.coalesce("deferred_ids", F.lit("")).alias("deferred_ids"), F.coalesce("entries", F.lit(0)).cast("long").alias("entries"))
+
+
+def deferred_rows(spark, d):
+    chunks = inputs.conversations(spark, d).withColumn("tier", F.when(F.col("pos") % 2 == 1, F.lit(DEFERRED)).otherwise(F.col("tier")))
+    return budget.deferred(chunks)
 
 
 # funnels
@@ -235,13 +285,15 @@ def deferred_footer(spark, d):
 
 def funnel_lite(spark, d):
     chunks = inputs.event_logs(spark, d)
-    return lite_funnel(CAP).run(chunks, inputs.queries_of(chunks)).select("request_id", "prompt", F.col("deferred").cast("long").alias("deferred"))
+    return lite_funnel(CAP).run(chunks, inputs.queries_of(chunks)).select("request_id", "prompt", "deferred")
 
 
 def funnel_sources(spark, d):
     """The whole funnel over the documents of each source."""
     chunks = inputs.by_source(spark, d)
-    return default_funnel(CAP, KEEP).run(chunks, inputs.queries_of(chunks)).select("request_id", "prompt", F.col("deferred").cast("long").alias("deferred"), F.array_join("deferred_ids", ",").alias("deferred_ids"), "critical_overflow")
+    last = default_funnel(CAP, KEEP).steps(chunks, inputs.queries_of(chunks))[-1]
+    out = budget.assemble(last).join(_deferred_ids(last), "request_id", "left")
+    return out.select("request_id", "prompt", "deferred", F.coalesce("deferred_ids", F.lit("")).alias("deferred_ids"), "critical_overflow")
 
 
 def funnel_metrics(spark, d):
@@ -289,9 +341,21 @@ def store_evict(spark, d):
     return store.evicted(_store(spark, d), NOW, 1800.0)
 
 
+def store_workspaces(spark, d):
+    """Two workspaces with the same requests, of which one was stored too long ago."""
+    chunks = inputs.conversations(spark, d).withColumn("tier", F.lit(DEFERRED))
+    both = store.rows_of(chunks, F.lit(NOW) - 10, "a").unionByName(store.rows_of(chunks.filter("pos < 2"), F.lit(NOW) - 20, "b")).unionByName(store.rows_of(chunks, F.lit(NOW) - 2 * TTL, "c"))
+    return store.manifest(both, NOW, TTL).select("workspace_key", "request_id", F.col("place").cast("long").alias("place"), "id", "tokens")
+
+
 # tool calls and sessions
 
 
+def tool_tokens(spark, d):
+    """The estimate that the gate compares with its limits."""
+    return docs(spark, d).select("doc_id", F.floor(F.length("text") / 4).cast("long").alias("tokens"))
+
+
 def gate_thresholds(spark, d):
     calls = inputs.tool_calls(spark, d)
     return calls.select("event_id", tools.threshold(F.col("tool")).cast("long").alias("threshold"), tools.is_view(F.col("tool")).alias("is_view"), tools.is_skipped(F.col("tool"), ["bash "]).alias("skipped"))
@@ -317,12 +381,42 @@ def gate_sessions_days(spark, d):
 
 
 def _sessions(spark, d, ttl):
-    calls = inputs.tool_calls(spark, d)
-    events = calls.select("session", (F.col("micros") / 1e6).alias("at"), "tool", "tokens", "cleaned", F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("summary"))
-    out = gate.decided(events, gate.Settings(threshold=3000, cumulative=4000, ttl=ttl))
+    out = gate.decided(inputs.tool_calls(spark, d).withColumn("at", F.col("micros") / 1e6), gate.Settings(threshold=3000, cumulative=4000, ttl=ttl))
     return out.select("session", F.round("at", 3).alias("at"), "verdict", "reason", "total", "views", "nudged")
 
 
+def gate_views(spark, d):
+    """Views of files: each file's summary comes once a session, where it is worth showing."""
+    calls = inputs.tool_calls(spark, d)
+    path = F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("f"), (F.col("event_id") % 3).cast("string")))
+    summary = F.when(F.col("event_id") % 3 != 0, F.lit("s"))
+    events = calls.filter("tool <> 'sql'").select("session", (F.col("micros") / 1e6).alias("at"), "event_id", F.lit("view").alias("tool"), "tokens", "cleaned", path.alias("path"), summary.alias("summary"))
+    out = gate.decided(events, gate.Settings(threshold=3000, cumulative=0, nudge_after=3, ttl=1e12))
+    return out.select("session", F.col("event_id").cast("long").alias("event_id"), "verdict", "reason", "total", "views", "nudged", "file")
+
+
+def gate_guards(spark, d):
+    """Why results pass unseen."""
+    calls = inputs.tool_calls(spark, d)
+    result = F.when(F.col("event_id") % 6 == 0, "").when(F.col("event_id") % 6 == 1, "### in/0\n\nx").otherwise("x")
+    kind = F.when(F.col("event_id") % 11 == 0, "failure").otherwise("success")
+    return calls.select("event_id", tools.guard(F.col("tool"), kind, result, ["mcp:logs", " bash"]).alias("guard"))
+
+
+def tool_answers(spark, d):
+    """Every turn as a tool's result, said five times over: the decisions and what takes the results' place."""
+    out = api.tool_results(inputs.tool_results(spark, d), api.Options(max_tokens=100), gate.Settings(threshold=150, cumulative=0, nudge_after=2))
+    return out.select("event_id", "session", "verdict", "reason", "total", "nudged", "replacement", F.get_json_object("answer", "$.modifiedResult.textResultForLlm").alias("answered"))
+
+
+def pre_tool_answers(spark, d):
+    """What is said before a tool runs: the command rewritten among its other arguments, or a hint."""
+    calls = inputs.tool_calls(spark, d)
+    tool = F.when(F.col("event_id") % 9 == 0, "web_fetch").when(F.col("event_id") % 9 == 1, "view").when(F.col("event_id") % 9 == 2, "powershell").otherwise("mcp.acme.bash")
+    args = F.concat(F.lit('{"timeout": '), F.col("event_id").cast("string"), F.lit(', "command": "'), F.col("command"), F.lit('", "env": {"A": [1, null, "x"]}}'))
+    return calls.select("event_id", tools.allowed(tool, args, "why").alias("answer"))
+
+
 # evaluation
 
 
@@ -338,13 +432,22 @@ def judge_answers(spark, d):
     return evals.answers(_contexts(spark, d))
 
 
-def eval_suite(spark, d):
-    """Every document as a case, reduced to its first half."""
+def _evaluated(spark, d):
+    """Every document as a case, reduced by the lite funnel to 200 tokens."""
     contexts = _contexts(spark, d)
-    half = contexts.withColumn("context", F.expr("substring(context, 1, cast(length(context) / 2 as int))"))
-    sizes = contexts.select("case_id", text.token_count(F.col("context")).alias("raw_tokens")).join(half.select("case_id", text.token_count(F.col("context")).alias("funneled_tokens")), "case_id")
-    results = evals.compared(sizes, evals.answers(contexts), evals.answers(half), text.contains_all(F.col("answer"), ["the", "and"]))
-    return evals.suite(results)
+    prompts = api.reduce_alike(contexts.select(F.col("case_id").alias("request_id"), F.col("context").alias("text")), options=api.Options(max_tokens=200))
+    after = prompts.select(F.col("request_id").alias("case_id"), F.col("prompt").alias("context"), F.lit(JUDGED).alias("query"))
+    sizes = contexts.select("case_id", text.token_count(F.col("context")).alias("raw_tokens")).join(after.select("case_id", text.token_count(F.col("context")).alias("funneled_tokens")), "case_id", "left")
+    return evals.compared(sizes, evals.answers(contexts), evals.answers(after), text.contains_all(F.col("answer"), ["the", "and"]))
+
+
+def eval_suite(spark, d):
+    return evals.suite(_evaluated(spark, d))
+
+
+def eval_compression(spark, d):
+    found = _evaluated(spark, d)
+    return found.select("case_id", "raw_tokens", "funneled_tokens", F.round("compression", DIGITS).alias("compression"), F.col("delta").cast("long").alias("delta"))
 
 
 def queries() -> dict:
@@ -353,9 +456,10 @@ def queries() -> dict:
         sentence_list, chunk_ids, truncated_heads, saved_ratio, graders, chunk_blocks, pinned_severity, pinned_query, pinned_patterns,
         payload_fields, crash_loop_dedup, dedup_runs, dedup_text, dedup_event_log, prune_props, prune_orders, term_frequencies, tfidf_scores,
         relevance_topk, relevance_noop, embedding_cosine, embedding_topk, centrality, extractive_summary, summarize_stage, budget_fill,
-        budget_stage, budget_overflow, assemble_prompts, deferred_footer, funnel_lite, funnel_metrics, live_sizes, store_put, store_alive,
+        budget_stage, budget_overflow, assemble_prompts, deferred_footer, deferred_rows, funnel_lite, funnel_metrics, live_sizes, store_put, store_alive,
         store_retrieve, store_manifest, store_evict, gate_thresholds, gate_commands, gate_reduced, gate_sessions, gate_sessions_days,
-        judge_lines, judge_answers, eval_suite,
+        gate_views, gate_guards, tool_answers, pre_tool_answers, judge_lines, judge_answers, eval_suite, eval_compression, ingested_specs,
+        prune_profile, embedder_topk, model_summaries, model_prompts, tool_tokens, store_workspaces,
     )
     return {f.__name__: f for f in chosen}
 

@@ -158,7 +158,7 @@ def sessions(ttl: float) -> str:
         SELECT *, CASE WHEN tool = 'sql' THEN 'skipped' WHEN reason = '' THEN CASE WHEN nudge THEN 'injection-only' ELSE 'under-threshold' END
             WHEN cleaned IS NULL THEN 'funnel-empty' WHEN cleaned >= tokens THEN 'funnel-noop' ELSE 'fired' END AS verdict
         FROM (
-          SELECT *, CASE WHEN tool = 'sql' THEN '' WHEN tokens >= 3000 THEN 'per-call' WHEN was + tokens >= 4000 THEN 'cumulative' ELSE '' END AS reason,
+          SELECT *, CASE WHEN tool = 'sql' THEN 'internal-bookkeeping' WHEN tokens >= 3000 THEN 'per-call' WHEN was + tokens >= 4000 THEN 'cumulative' ELSE '' END AS reason,
             is_view AND seen >= 4 AND NOT sent_was AS nudge, sent_was OR (is_view AND seen >= 4) AS sent_now
           FROM (
             SELECT o.session, o.n, o.t, o.tool, o.tokens, o.cleaned, w.updated_at, o.tool IN ('view', 'read_file') AS is_view,
@@ -169,6 +169,100 @@ def sessions(ttl: float) -> str:
     SELECT session, round(t, 3) AS at, verdict, reason, total, views, nudged FROM walk WHERE n > 0"""
 
 
+def views() -> str:
+    """Views with files: their summaries come once, where event_id isn't a multiple of 3."""
+    return f"""
+    WITH RECURSIVE ordered AS MATERIALIZED (
+      SELECT session, event_id, tokens, cleaned, CASE WHEN event_id % 4 <> 0 THEN 'f' || (event_id % 3) ELSE '' END AS path, event_id % 3 <> 0 AS worth,
+        row_number() OVER (PARTITION BY session ORDER BY micros, tokens, CAST(event_id AS VARCHAR)) AS n FROM ({CALLS}) WHERE tool <> 'sql'),
+    walk AS (
+      SELECT DISTINCT session, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS event_id, '' AS verdict, '' AS reason, CAST(0 AS BIGINT) AS total, false AS nudged, '' AS file, CAST([] AS VARCHAR[]) AS seen FROM ordered
+      UNION ALL
+      SELECT session, n, event_id, CASE WHEN tokens < 3000 THEN CASE WHEN nudged OR file = 'summary-computed' THEN 'injection-only' ELSE 'under-threshold' END
+          WHEN cleaned IS NULL THEN 'funnel-empty' WHEN cleaned >= tokens THEN 'funnel-noop' ELSE 'fired' END,
+        CASE WHEN tokens < 3000 THEN '' ELSE 'per-call' END,
+        was + CASE WHEN tokens < 3000 THEN tokens WHEN cleaned < tokens THEN cleaned ELSE 0 END, nudged, file, CASE WHEN path = '' THEN seen ELSE list_append(seen, path) END
+      FROM (
+        SELECT o.session, o.n, o.event_id, o.tokens, o.cleaned, o.path, w.total AS was, o.n = 3 AS nudged, w.seen,
+          CASE WHEN o.path = '' THEN '' WHEN list_contains(w.seen, o.path) THEN 'summary-already-shown' WHEN o.worth THEN 'summary-computed' ELSE 'summary-skipped' END AS file
+        FROM walk w JOIN ordered o ON o.session = w.session AND o.n = w.n + 1))
+    SELECT session, event_id, verdict, reason, total, n AS views, nudged, file FROM walk WHERE n > 0"""
+
+
+def tool_answers(results: str) -> str:
+    """Of results (event_id, session, turn, result, prompt): decisions with a limit of 150 tokens; every second view's session gets its tip."""
+    tip = "'[promptsift tip: 2" + tools.NUDGE.replace("'", "''") + "'"
+    heading = "'[promptsift: ' || tokens || ' → ' || cleaned || ' tok | tool=' || tool || ' profile=' || CASE WHEN tool = 'bash' AND turn % 2 = 1 THEN 'k8s' ELSE 'passthrough' END || ']' || chr(10) || prompt"
+    gap = "chr(10) || chr(10)"
+    return f"""
+    WITH sized AS (
+      SELECT *, CASE turn % 3 WHEN 0 THEN 'view' WHEN 1 THEN 'bash' ELSE 'sql' END AS tool, length(result) // 4 AS tokens, length(prompt) // 4 AS cleaned, length(prompt) < length(result) AS shrinks FROM ({results})),
+    told AS (
+      SELECT *, tool = 'view' AND sum(CASE WHEN tool = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY turn) = 2 AS nudged,
+        CASE WHEN tool = 'sql' THEN 'skipped' WHEN tokens >= 150 THEN CASE WHEN shrinks THEN 'fired' ELSE 'funnel-noop' END ELSE '' END AS base FROM sized),
+    decided AS (
+      SELECT *, CASE WHEN base <> '' THEN base WHEN nudged THEN 'injection-only' ELSE 'under-threshold' END AS verdict, CASE base WHEN 'skipped' THEN 'internal-bookkeeping' WHEN '' THEN '' ELSE 'per-call' END AS reason FROM told),
+    said AS (
+      SELECT *, CASE verdict WHEN 'fired' THEN CASE WHEN nudged THEN {tip} || {gap} ELSE '' END || {heading} WHEN 'injection-only' THEN {tip} || {gap} || result END AS replacement,
+        sum(CASE WHEN verdict IN ('under-threshold', 'injection-only') THEN tokens WHEN verdict = 'fired' THEN cleaned ELSE 0 END) OVER (PARTITION BY session ORDER BY turn) AS total FROM decided)
+    SELECT event_id, session, verdict, reason, CAST(total AS BIGINT) AS total, nudged, replacement, replacement AS answered FROM said"""
+
+
+def lite_prompts(rows: str, cap: int, source: str, log: bool = True) -> str:
+    """Of rows (id, text), texts of one block, logs or not: what the lite funnel makes of each; tokens before the budget."""
+    clean = f"SELECT id, {normalized('text')} AS text FROM ({rows})"
+    clean = deduplicated(clean) if log else clean
+    head = "regexp_replace(substr(text, 1, CAST(room * 4 AS BIGINT)), '\\s+$', '') || chr(10) || chr(10) || '[... +' || (tokens - room) || ' tokens truncated. Full source retrievable as ' || " + chunk_id("source", "text") + " || '.]'"
+    return f"""
+    SELECT id, tokens, {head} AS head, CASE WHEN tokens <= {cap} THEN 0 ELSE 1 END AS deferred,
+      '### {source}' || chr(10) || chr(10) || CASE WHEN tokens <= {cap} THEN text
+        ELSE {head} || chr(10) || chr(10) || '### deferred (1 chunks)' || chr(10) || 'Sources omitted: {source}.' || chr(10) || 'Retrievable on request by id.' END AS prompt
+    FROM (SELECT id, text, {cap} AS room, '{source}' AS source, {tok('text')} AS tokens FROM ({clean}))"""
+
+
+JUDGE_QUERY = "the session and of retry then"
+WORDS = "list_distinct(list_transform(list_filter(regexp_extract_all({}, '[A-Za-z0-9_]+'), lambda w: length(w) >= 2), lambda w: lower(w)))"
+
+
+def judge(contexts: str) -> str:
+    """CTEs over contexts (case_id, context): lines, best (with place), answers."""
+    asked = WORDS.format(f"'{JUDGE_QUERY}'")
+    return f"""
+    contexts AS MATERIALIZED ({contexts}),
+    lines AS MATERIALIZED (SELECT case_id, unnest(range(len(l))) AS idx, unnest(l) AS line FROM (SELECT case_id, string_split(regexp_replace(context, '\\n$', ''), chr(10)) AS l FROM contexts WHERE length(context) > 0)),
+    best AS (
+      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, idx) AS place FROM (
+        SELECT case_id, idx, CAST(len(list_intersect({asked}, {WORDS.format('line')})) AS BIGINT) AS score FROM lines) WHERE score > 0) WHERE place <= 3),
+    near AS (SELECT DISTINCT l.case_id, l.idx, regexp_replace(l.line, '^\\s+|\\s+$', '', 'g') AS line FROM lines l JOIN best b ON l.case_id = b.case_id AND l.idx BETWEEN b.idx - 2 AND b.idx + 2),
+    found AS (SELECT case_id, coalesce(string_agg(line, chr(10) ORDER BY idx) FILTER (line <> ''), '') AS answer FROM near GROUP BY case_id),
+    firsts AS (SELECT case_id, arg_min(line, idx) AS line FROM (SELECT case_id, idx, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line FROM lines) WHERE line <> '' GROUP BY case_id),
+    answers AS (SELECT c.case_id, CASE WHEN length(context) = 0 THEN '' ELSE coalesce(f.answer, s.line, '') END AS answer FROM contexts c LEFT JOIN found f USING (case_id) LEFT JOIN firsts s USING (case_id))"""
+
+
+STORE = f"""SELECT '{'w'}' AS w, request_id, {chunk_id('source', 'text')} AS chunk_id, text, 'text' AS kind, source, {tok('text')} AS tokens, 1000000.0::DOUBLE - pos * 600 AS stored_at, pos + 1 AS seq FROM ({TURNS})
+  UNION ALL SELECT 'w', request_id, {chunk_id('source', 'text')}, text, 'text', source, {tok('text')}, 1000000.0::DOUBLE - 60, row_number() OVER (PARTITION BY request_id ORDER BY pos) FROM ({TURNS}) WHERE pos % 3 = 0"""
+CURRENT = "SELECT request_id, chunk_id, arg_max(text, (stored_at, seq)) AS text, arg_max(kind, (stored_at, seq)) AS kind, arg_max(source, (stored_at, seq)) AS source, arg_max(tokens, (stored_at, seq)) AS tokens, max(stored_at) AS stored_at FROM ({}) GROUP BY request_id, chunk_id"
+ALIVE = f"SELECT * FROM ({STORE}) WHERE 1000000.0 - stored_at <= 3600"
+
+
+def _in(names) -> str:
+    return "(" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+def oracle_sql() -> dict[str, str]:
+    low = "lower(text)"
+    severity = f"CASE WHEN upper(coalesce(event_type, '')) IN {_in(pinning.CRITICAL_SEVERITIES)} THEN 0 ELSE 1 END"
+    left = "regexp_replace(command, '^\\s+', '')"
+    noisy = f"regexp_matches({left}, '(?i)^({tools.NOISY}) ')"
+    profile = "CASE " + " ".join(f"WHEN regexp_matches({left}, '^({'|'.join(v)})') THEN '{k}'" for k, v in tools.PROFILES_BY_COMMAND.items()) + " ELSE 'passthrough' END"
+    head = "regexp_replace(substr(text, 1, CAST(room * 4 AS BIGINT)), '\\s+$', '') || chr(10) || chr(10) || '[... +' || (tokens - room) || ' tokens truncated. Full source retrievable as ' || " + chunk_id("source", "text") + " || '.]'"
+    return f"""
+    SELECT id, tokens, {head} AS head, CASE WHEN tokens <= {cap} THEN 0 ELSE 1 END AS deferred,
+      '### {source}' || chr(10) || chr(10) || CASE WHEN tokens <= {cap} THEN text
+        ELSE {head} || chr(10) || chr(10) || '### deferred (1 chunks)' || chr(10) || 'Sources omitted: {source}.' || chr(10) || 'Retrievable on request by id.' END AS prompt
+    FROM (SELECT id, text, {cap} AS room, '{source}' AS source, {tok('text')} AS tokens FROM ({clean}))"""
+
+
 JUDGE_QUERY = "the session and of retry then"
 WORDS = "list_distinct(list_transform(list_filter(regexp_extract_all({}, '[A-Za-z0-9_]+'), lambda w: length(w) >= 2), lambda w: lower(w)))"
 
@@ -230,13 +324,19 @@ def oracle_sql() -> dict[str, str]:
         CASE WHEN verdict = 'head' THEN {tok('text')} END AS original_tokens, CASE WHEN verdict = 'head' THEN room END AS kept_tokens
       FROM chunks LEFT JOIN verdicts USING (request_id, pos) WHERE verdict IS NULL OR verdict <> 'defer'
       UNION ALL SELECT request_id, pos, 3, place, text, false, NULL, NULL FROM chunks JOIN verdicts USING (request_id, pos) WHERE verdict <> 'keep'"""
-    # of one chunk for each request: the head stays, the whole is deferred
-    lite_prompts = f"""WITH chunks AS MATERIALIZED ({lite}), v AS MATERIALIZED (SELECT *, 4000 AS room, {tok('text')} AS tokens FROM chunks)
-      SELECT request_id, CASE WHEN tokens <= 4000 THEN '### events' || chr(10) || chr(10) || text
-        ELSE '### events' || chr(10) || chr(10) || {head} || chr(10) || chr(10) || '### deferred (1 chunks)' || chr(10) || 'Sources omitted: events.' || chr(10) || 'Retrievable on request by id.' END AS prompt,
-        CAST(CASE WHEN tokens <= 4000 THEN 0 ELSE 1 END AS BIGINT) AS deferred, tokens, {head} AS head FROM v"""
+    logs = lite_prompts(f"SELECT request_id AS id, text FROM ({EVENT_LOGS})", 4000, "events")
+    documents = lite_prompts("SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents", 200, "in/0", False)
+    crash = f"""SELECT 0 AS id, string_agg(strftime(moment, '%Y-%m-%dT%H:%M:%S') || CASE WHEN micros % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(micros % 1000000 AS VARCHAR), 6, '0') END
+        || 'Z payments[' || (1000 + i % 41) || '] ERROR connection refused: upstream postgres unreachable (req=' || lpad(lower(to_hex(i)), 8, '0') || lpad(lower(to_hex(31 * i)), 8, '0') || ') attempt=' || i, chr(10) ORDER BY i) || chr(10) AS text
+      FROM (SELECT i, 37000 * i AS micros, make_timestamp(1768478400000000 + 37000 * i) AS moment FROM range(4000) t(i))"""
+    turns = "SELECT conv_id * 1000 + turn AS event_id, CAST(conv_id AS VARCHAR) AS session, turn, repeat('2026-01-01 00:00:00 ' || regexp_replace(text, '\\n+', chr(10), 'g') || chr(10), 5) AS result FROM conversations"
+    results = f"SELECT r.*, p.prompt FROM ({turns}) r LEFT JOIN ({lite_prompts(f'SELECT event_id AS id, result AS text FROM ({turns})', 100, 'in/0')}) p ON p.id = r.event_id"
+    tool = "CASE event_id % 9 WHEN 0 THEN 'web_fetch' WHEN 1 THEN 'view' WHEN 2 THEN 'powershell' ELSE 'mcp.acme.bash' END"
+    wrapped = f"CASE WHEN {tool} = 'powershell' THEN '& {{ ' || command || ' }} 2>&1' ELSE '( ' || command || ' ) 2>&1' END || ' | promptsift --query ''why'' --profile ' || {profile} || ' --budget 2000 --keep 5'"
+    size, ask = "[CAST(length(text) AS DOUBLE), CAST(len(string_split(text, ' ')) AS DOUBLE)]", "[10.0::DOUBLE, 3.0::DOUBLE]"
+    near = f"CASE WHEN contains(text, ' ') THEN list_cosine_similarity({size}, {ask}) ELSE 0 END"
     judged = judge("SELECT CAST(doc_id AS VARCHAR) AS case_id, text AS context FROM documents")
-    halves = judge("SELECT CAST(doc_id AS VARCHAR) AS case_id, substr(text, 1, length(text) // 2) AS context FROM documents")
+    reduced = judge(f"SELECT id AS case_id, prompt AS context FROM ({documents})")
     right = "contains(lower(answer), 'the') AND contains(lower(answer), 'and')"
     block_text = "text || chr(10) || chr(10) || chr(10) || '{\"a\": [1, 2]}' || chr(10) || chr(10) || '2026-01-01 00:00:00 started' || chr(10) || chr(10) || '  ' || chr(10) || chr(10) || 'def run():' || chr(10) || '  pass' || chr(10) || chr(10) || '[not json' || chr(10) || chr(10) || '[12:00:00] tick'"
     stages = (("normalize", "t0", "t1"), ("dedup", "t1", "t2"), ("prune", "t2", "t2"), ("budget", "t2", "t3"), ("assemble", "t3", "t4"))
@@ -244,6 +344,8 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT request_id, CAST({k} AS INTEGER) AS stage_no, '{name}' AS stage, {a} AS tokens_in, {b} AS tokens_out, CAST(1 AS BIGINT) AS chunks_in, CAST(1 AS BIGINT) AS chunks_out, {a} - {b} AS saved, round(CASE WHEN {a} = 0 THEN 0 ELSE ({a} - {b}) / {a} END, 6) AS ratio FROM sizes"
         for k, (name, a, b) in enumerate(stages)
     )
+    pruned = f"""SELECT CAST(o_custkey AS VARCHAR) AS request_id, '{{' || chr(10) || ' "custkey": ' || o_custkey || ',' || chr(10) || ' "orders": [' || chr(10) ||
+            array_to_string(list_transform(keys[1:10], lambda k: '  ' || k), ',' || chr(10)) || CASE WHEN len(keys) > 10 THEN ',' || chr(10) || '  "<+' || (len(keys) - 10) || ' more items omitted>"' ELSE '' END || chr(10) || ' ]' || chr(10) || '}}' AS text FROM ({ORDERS})"""
     return {
         "token_count": f"SELECT doc_id, {tok('text')} AS tokens FROM documents",
         "tokens_by_source": f"SELECT source, CAST(sum({tok('text')}) AS BIGINT) AS tokens, count(*) AS chunks FROM documents GROUP BY source",
@@ -265,15 +367,15 @@ def oracle_sql() -> dict[str, str]:
         "pinned_query": "SELECT doc_id, CAST(CASE WHEN contains(text, 'the and') THEN 0 ELSE 1 END AS INTEGER) AS tier FROM documents",
         "pinned_patterns": "SELECT doc_id, CAST(CASE WHEN regexp_matches(text, 'tok[e]n') OR contains(text, '[unclosed') OR contains(text, '### ') THEN 0 ELSE 1 END AS INTEGER) AS tier FROM documents",
         "payload_fields": "SELECT event_id, event_type AS tool, 'success' AS result_type, 'r' || event_id AS result, CASE WHEN event_id % 2 = 0 THEN 'ls ' || event_id ELSE '' END AS command, CASE WHEN event_id % 2 = 1 THEN 'f' || user_id END AS path FROM events",
-        "crash_loop_dedup": "SELECT CAST(134715 AS BIGINT) AS tokens, '2026-01-15T12:00:00Z payments[1000] ERROR connection refused: upstream postgres unreachable (req=0000000000000000) attempt=0   (x4000)' || chr(10) AS text",
+        "crash_loop_dedup": f"WITH log AS MATERIALIZED ({crash}) SELECT {tok('l.text')} AS tokens, d.text FROM log l JOIN ({deduplicated('SELECT id, text FROM log')}) d USING (id)",
         "dedup_runs": f"""SELECT doc_id, CAST(run AS BIGINT) AS run, arg_min(line, line_no) AS line, count(*) AS n FROM (
             SELECT doc_id, line_no, line, sum(fresh) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM (
               SELECT *, CASE WHEN line_no > 0 AND key = lag(key) OVER (PARTITION BY doc_id ORDER BY line_no) THEN 0 ELSE 1 END AS fresh FROM (SELECT *, {template('line')} AS key FROM ({LINES})))) GROUP BY doc_id, run""",
         "dedup_text": f"SELECT id AS doc_id, text FROM ({deduplicated('SELECT doc_id AS id, text FROM documents')})",
         "dedup_event_log": f"SELECT id AS request_id, text FROM ({deduplicated(f'SELECT request_id AS id, text FROM ({EVENT_LOGS})')})",
         "prune_props": "SELECT CAST(event_id AS VARCHAR) AS request_id, regexp_replace(props, '^\\{\"k\": (.*)\\}$', '{' || chr(10) || ' \"k\": \\1' || chr(10) || '}') AS text FROM events",
-        "prune_orders": f"""SELECT CAST(o_custkey AS VARCHAR) AS request_id, '{{' || chr(10) || ' "custkey": ' || o_custkey || ',' || chr(10) || ' "orders": [' || chr(10) ||
-            array_to_string(list_transform(keys[1:10], lambda k: '  ' || k), ',' || chr(10)) || CASE WHEN len(keys) > 10 THEN ',' || chr(10) || '  "<+' || (len(keys) - 10) || ' more items omitted>"' ELSE '' END || chr(10) || ' ]' || chr(10) || '}}' AS text FROM ({ORDERS})""",
+        "prune_orders": pruned,
+        "prune_profile": pruned,
         "term_frequencies": f"SELECT request_id, term, count(DISTINCT pos) AS docs, count(*) AS n FROM (SELECT request_id, pos, unnest({terms('text')}) AS term FROM ({BY_SOURCE})) GROUP BY ALL",
         "tfidf_scores": f"SELECT request_id, pos, round(score, 6) AS score FROM ({query_scores(BY_SOURCE, QUERY)})",
         "relevance_topk": topk(query_scores(f"SELECT * FROM ({BY_SOURCE}) WHERE tier = 1", QUERY), 5, f"""
@@ -293,10 +395,11 @@ def oracle_sql() -> dict[str, str]:
         "budget_overflow": f"SELECT request_id, coalesce(sum(CASE WHEN tier = 0 THEN {tok('text')} END), 0) > 500 AS overflow FROM ({BY_SOURCE}) GROUP BY request_id",
         "assemble_prompts": f"SELECT request_id, prompt, deferred FROM ({assembled(f"SELECT *, 1 AS tier FROM ({TURNS})")})",
         "deferred_footer": f"SELECT request_id, prompt, deferred_ids, entries FROM ({assembled(f"SELECT *, CASE WHEN pos % 2 = 1 THEN 3 ELSE 1 END AS tier FROM ({TURNS})")})",
+        "deferred_rows": f"SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY pos) - 1 AS place, {chunk_id('source', 'text')} AS id, source, 'text' AS kind, {tok('text')} AS tokens FROM ({TURNS}) WHERE pos % 2 = 1",
         "funnel_sources": funnel,
-        "funnel_lite": f"SELECT request_id, prompt, deferred FROM ({lite_prompts})",
-        "funnel_metrics": f"""WITH logs AS MATERIALIZED (SELECT request_id, text, {normalized('text')} AS clean FROM ({EVENT_LOGS})), p AS MATERIALIZED ({lite_prompts}),
-            sizes AS (SELECT request_id, {tok('l.text')} AS t0, {tok('l.clean')} AS t1, p.tokens AS t2, CASE WHEN p.deferred = 0 THEN p.tokens ELSE {tok('p.head')} END AS t3, {tok('p.prompt')} AS t4 FROM logs l JOIN p USING (request_id)) {metrics}""",
+        "funnel_lite": f"SELECT id AS request_id, prompt, CAST(deferred AS BIGINT) AS deferred FROM ({logs})",
+        "funnel_metrics": f"""WITH logs AS MATERIALIZED (SELECT request_id, text, {normalized('text')} AS clean FROM ({EVENT_LOGS})), p AS MATERIALIZED ({logs}),
+            sizes AS (SELECT request_id, {tok('l.text')} AS t0, {tok('l.clean')} AS t1, p.tokens AS t2, CASE WHEN p.deferred = 0 THEN p.tokens ELSE {tok('p.head')} END AS t3, {tok('p.prompt')} AS t4 FROM logs l JOIN p ON p.id = l.request_id) {metrics}""",
         "live_sizes": f"SELECT request_id, CAST(tier AS INTEGER) AS tier, CAST(sum({tok('text')}) AS BIGINT) AS tokens, count(*) AS chunks FROM ({BY_SOURCE}) GROUP BY request_id, tier",
         "store_put": f"SELECT request_id, chunk_id, kind, source, tokens, stored_at FROM ({CURRENT.format(STORE)})",
         "store_alive": f"SELECT request_id, count(*) AS n FROM ({ALIVE}) GROUP BY request_id",
@@ -311,6 +414,23 @@ def oracle_sql() -> dict[str, str]:
         "gate_sessions_days": sessions(3 * 86400.0),
         "judge_lines": f"WITH {judged} SELECT case_id, idx, score, place FROM best",
         "judge_answers": f"WITH {judged} SELECT case_id, answer FROM answers",
-        "eval_suite": f"""WITH raw AS (WITH {judged} SELECT case_id, {right} AS ok FROM answers), half AS (WITH {halves} SELECT case_id, {right} AS ok FROM answers)
-            SELECT count(*) AS cases, count(*) FILTER (r.ok) AS raw_correct, count(*) FILTER (h.ok) AS funneled_correct, count(*) FILTER (r.ok AND NOT h.ok) AS regressions FROM raw r JOIN half h USING (case_id)""",
+        "gate_views": views(),
+        "gate_guards": "SELECT event_id, CASE WHEN event_id % 6 = 0 OR event_id % 11 = 0 THEN 'passed' WHEN tool = 'sql' THEN 'internal-bookkeeping' WHEN tool IN ('mcp:logs', 'bash') THEN 'user-skip-list' WHEN event_id % 6 = 1 THEN 'already-funneled' ELSE '' END AS guard FROM (" + CALLS + ")",
+        "tool_answers": tool_answers(results),
+        "pre_tool_answers": f"""SELECT event_id, CASE WHEN {tool} = 'web_fetch' THEN '{{"permissionDecision":"allow","additionalContext":"{tools.FETCH_HINT}"}}'
+            WHEN {tool} <> 'view' AND {noisy} AND NOT regexp_matches(command, '\\| ?promptsift( |$)') THEN '{{"permissionDecision":"allow","modifiedArgs":{{"timeout":' || event_id || ',"command":"' || {wrapped} || '","env":{{"A":[1,null,"x"]}}}},"additionalContext":"[promptsift:pre-bash:' || {profile} || ']"}}'
+            ELSE '{{"permissionDecision":"allow"}}' END AS answer FROM ({CALLS})""",
+        "ingested_specs": "SELECT source AS request_id, doc_id AS pos, CAST(CASE WHEN doc_id % 10 = 0 OR contains(text, 'of the') OR regexp_matches(text, 'tok[e]n') THEN 0 ELSE 1 END AS INTEGER) AS tier, 'text' AS kind, lang AS source FROM documents",
+        "embedder_topk": topk(f"SELECT request_id, pos, {near} AS score FROM ({TURNS})", 4, """
+            SELECT request_id, pos, CAST(CASE WHEN n > KEEP AND place > KEEP THEN 3 ELSE 1 END AS INTEGER) AS tier, CASE WHEN n > KEEP THEN round(score, 6) END AS relevance FROM ranked"""),
+        "model_summaries": f"SELECT request_id, pos, CAST(CASE WHEN {tok('text')} >= 120 THEN 2 ELSE 1 END AS INTEGER) AS tier, CASE WHEN {tok('text')} >= 120 AND NOT ends_with(text, 'e.') THEN right(text, 40) ELSE text END AS text FROM ({TURNS})",
+        "model_prompts": "SELECT doc_id, 'Compress the following text to its bare-minimum relevant facts for the query: ' || CASE WHEN doc_id % 2 = 0 THEN chr(39) || 'it' || chr(92) || chr(39) || 's' || chr(92) || 't\"quoted\"' || chr(39) ELSE '\"it' || chr(39) || 's' || chr(92) || 'ta' || chr(92) || chr(92) || 'b\"' END || '. Preserve numeric values, error codes, and identifiers verbatim.' || chr(10) || chr(10) || text AS prompt FROM documents",
+        "tool_tokens": "SELECT doc_id, length(text) // 4 AS tokens FROM documents",
+        "store_workspaces": f"""SELECT w.workspace_key, request_id, row_number() OVER (PARTITION BY w.workspace_key, request_id ORDER BY first, id) AS place, id, tokens
+            FROM (SELECT request_id, {chunk_id('source', 'text')} AS id, min(pos) AS first, max({tok('text')}) AS tokens FROM ({TURNS}) GROUP BY request_id, id) JOIN (VALUES ('a', 1000000), ('b', 2)) w(workspace_key, most) ON first < most""",
+        "eval_suite": f"""WITH raw AS (WITH {judged} SELECT case_id, {right} AS ok FROM answers), after AS (WITH {reduced} SELECT case_id, {right} AS ok FROM answers)
+            SELECT count(*) AS cases, count(*) FILTER (r.ok) AS raw_correct, count(*) FILTER (a.ok) AS funneled_correct, count(*) FILTER (r.ok AND NOT coalesce(a.ok, false)) AS regressions FROM raw r LEFT JOIN after a USING (case_id)""",
+        "eval_compression": f"""WITH raw AS (WITH {judged} SELECT case_id, {right} AS ok FROM answers), after AS (WITH {reduced} SELECT case_id, {right} AS ok FROM answers),
+            p AS MATERIALIZED ({documents}), sizes AS (SELECT CAST(doc_id AS VARCHAR) AS case_id, {tok('d.text')} AS raw_tokens, {tok('p.prompt')} AS funneled_tokens FROM documents d JOIN p ON p.id = CAST(doc_id AS VARCHAR))
+            SELECT case_id, raw_tokens, funneled_tokens, round(1 - funneled_tokens / raw_tokens, 6) AS compression, CAST(a.ok AS BIGINT) - CAST(r.ok AS BIGINT) AS delta FROM sizes JOIN raw r USING (case_id) JOIN after a USING (case_id)""",
     }

@@ -41,9 +41,11 @@ class Funnel:
         """The chunks before the first stage and after each."""
         out = [chunks]
         for name, stage in self.stages:
-            before = out[-1] if name in NARROW else saved(out[-1])
-            out.append(stage(before, queries))
-        return [*out[:-1], saved(out[-1])]
+            if name not in NARROW:
+                out[-1] = saved(out[-1])
+            out.append(stage(out[-1], queries))
+        out[-1] = saved(out[-1])
+        return out
 
     def run(self, chunks: DataFrame, queries: DataFrame) -> DataFrame:
         """One row with the prompt of each request."""
@@ -52,7 +54,11 @@ class Funnel:
     def metrics(self, chunks: DataFrame, queries: DataFrame) -> DataFrame:
         """Per request and stage: live tokens and chunks before and after, and what was saved."""
         steps = self.steps(chunks, queries)
-        prompts = b.assemble(steps[-1]).select("request_id", token_count(F.col("prompt")).alias("tokens"), F.lit(1).cast("long").alias("chunks"))
+        return self.metrics_of(steps, b.assemble(steps[-1]))
+
+    def metrics_of(self, steps: list[DataFrame], assembled: DataFrame) -> DataFrame:
+        """The metrics of steps that were run, and of their prompts."""
+        prompts = assembled.select("request_id", token_count(F.col("prompt")).alias("tokens"), F.lit(1).cast("long").alias("chunks"))
         sizes = [*(measured(s) for s in steps), prompts]
         names = [*(name for name, _ in self.stages), "assemble"]
         rows = []

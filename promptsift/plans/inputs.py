@@ -60,6 +60,16 @@ def order_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_chunks(orders.select(F.col("o_custkey").alias("request_id"), F.lit(0).alias("pos"), text.alias("text"), F.lit("json").alias("kind"), F.lit("orders").alias("source")))
 
 
+def tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads (event_id, session, at, payload): each turn five times over, as what a tool returned."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace("text", "\n+", "\n").alias("text"))
+    tool = F.when(F.col("turn") % 3 == 0, "view").when(F.col("turn") % 3 == 1, "bash").otherwise("sql")
+    args = F.struct(F.when(F.col("turn") % 2 == 0, "ls").otherwise("kubectl get pods").alias("command"))
+    result = F.struct(F.lit("success").alias("resultType"), F.repeat(F.concat(F.lit("2026-01-01 00:00:00 "), "text", F.lit("\n")), 5).alias("textResultForLlm"))
+    payload = F.to_json(F.struct(tool.alias("toolName"), args.alias("toolArgs"), result.alias("toolResult")))
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("event_id"), F.col("conv_id").cast("string").alias("session"), F.col("turn").cast("double").alias("at"), payload.alias("payload"))
+
+
 def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tool call for each event: its session is the user, its tool and command follow from the event."""
     kinds = table(spark, sf_dir, "events")

@@ -30,6 +30,15 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def replace_folder(spark: SparkSession, new: str, old: str) -> None:
+    """Moves the folder new to the place of old, whose files go."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(old).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(path(old), True)
+    if not files.rename(path(new), path(old)):
+        raise OSError(f"{new} can't be moved to {old}")
+
+
 def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package where they wouldn't find it by themselves."""
     root = Path(__file__).resolve().parent.parent

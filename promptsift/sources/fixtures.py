@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +20,25 @@ def crash_loop(spark: SparkSession, lines: int = 4000) -> DataFrame:
 
 
 def needle_log(spark: SparkSession) -> DataFrame:
-    """Health checks, one fatal line, retries: rows (i, line)."""
+    """Heartbeats, one fatal line, retries: rows (i, line)."""
     i = F.col("i")
-    health = F.format_string("2026-06-04T12:00:%02dZ payments[%d] INFO health-check ok", i % 60, 1000 + i)
-    fatal = F.lit("2026-06-04T12:30:15Z payments[1500] FATAL connection refused to db.internal:5432")
-    retry = F.format_string("2026-06-04T12:01:%02dZ payments[%d] DEBUG retry connection attempt", (i - 1901) % 60, 2000 + i - 1901)
-    return spark.range(3901).select(F.col("id").alias("i")).select("i", F.when(i < 1900, health).when(i == 1900, fatal).otherwise(retry).alias("line"))
+    beat = F.format_string("2026-03-09T08:15:%02dZ ledger[%d] INFO heartbeat in time", i % 60, 400 + i)
+    fatal = F.lit("2026-03-09T08:47:02Z ledger[77] FATAL write of segment refused: disk quota exceeded")
+    retry = F.format_string("2026-03-09T08:48:%02dZ ledger[%d] DEBUG waits before the next attempt", i % 60, 5000 + i)
+    return spark.range(4000).select(F.col("id").alias("i")).select("i", F.when(i < 1800, beat).when(i == 1800, fatal).otherwise(retry).alias("line"))
+
+
+def pod_json(spark: SparkSession, request_id: str) -> DataFrame:
+    """One row (request_id, text): a pod whose state stands among long fields that a profile drops."""
+    waiting = {"reason": "CrashLoopBackOff", "message": "the ledger's container was restarted too often"}
+    pod = {
+        "kind": "Pod",
+        "apiVersion": "v1",
+        "metadata": {"name": "ledger-0", "uid": "0" * 36, "annotations": {f"note-{k}": "a" * 700 for k in range(5)}, "managedFields": [{"manager": "m", "fieldsV1": {"f:status": "b" * 2500}}]},
+        "spec": {"containers": [{"name": "ledger", "image": "ledger:9"}]},
+        "status": {"containerStatuses": [{"name": "ledger", "restartCount": 31, "state": {"waiting": waiting}}]},
+    }
+    return spark.createDataFrame([(request_id, json.dumps(pod, indent=2))], "request_id string, text string")
 
 
 def as_text(lines: DataFrame, request_id: str, end: str = "") -> DataFrame:

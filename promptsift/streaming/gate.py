@@ -5,8 +5,10 @@ summarised. It expires after a time without events. What a result adds depends o
 (a reduced one adds its reduced size), so the state is a fold and no running sum. The same
 ``step`` serves batches, streamed through sorted partitions, and Structured Streaming.
 
-Events: session, at (seconds), tool, tokens, cleaned (tokens after reduction; null: the
-funnel gave nothing), path and summary (the file's reduction; null: not worth showing).
+Events: event_id (breaks ties of time), session, at (seconds), tool, tokens, cleaned (tokens
+after reduction; null: the funnel gave nothing), shrinks (whether that is shorter; null: told
+by the tokens), path and summary (the file's reduction; null: not worth showing), guard (why
+the result isn't looked at; see ``tools.guard``).
 """
 
 from __future__ import annotations
@@ -25,8 +27,12 @@ from promptsift.functions import tools
 NOT_SHOWN = "(not dedupable)"
 #: Sizes of files that are summarised, and of summaries that are worth it.
 FILE_CHARS, SUMMARY_CHARS = (1500, 1_048_576), 500
-EVENT = ("session", "at", "tool", "tokens", "cleaned", "path", "summary")
-DECISION = "session string, at double, tool string, tokens long, verdict string, reason string, total long, views long, nudged boolean, summarised boolean"
+#: What became of a viewed file's summary.
+SHOWN, SHOWN_BEFORE, NOT_WORTH = "summary-computed", "summary-already-shown", "summary-skipped"
+#: Columns of an event and what those that are missing hold.
+EVENT = {"session": "string", "at": "double", "event_id": "string", "tool": "string", "tokens": "long", "cleaned": "long", "shrinks": "boolean", "path": "string", "summary": "string", "guard": "string"}
+ORDER = ("session", "at", "tool", "tokens", "event_id")
+DECISION = "event_id string, session string, at double, tool string, tokens long, verdict string, reason string, total long, views long, nudged boolean, file string"
 STATE = "updated_at double, total long, views long, nudged boolean, summaries string"
 
 
@@ -63,18 +69,26 @@ class Session:
 
 def step(state: Session, event: tuple, s: Settings) -> tuple[Session, tuple]:
     """The state after an event, and its row of DECISION."""
-    session, at, tool, tokens, cleaned, path, summary = event
-    if tool in tools.SKIPPED_TOOLS or tool.startswith("todo_") or tool in s.skipped:
-        return state, (session, at, tool, tokens, "skipped", "", state.alive(at, s.ttl).total, state.alive(at, s.ttl).views, False, False)
+    session, at, event_id, tool, tokens, cleaned, shrinks, path, summary, guard = event
+    if not guard and (tool in tools.SKIPPED_TOOLS or tool.startswith("todo_")):
+        guard = tools.BOOKKEEPING
+    if not guard and tool in s.skipped:
+        guard = tools.LISTED
     now = state.alive(at, s.ttl)
-    nudged = summarised = False
+    if guard:
+        verdict, reason = (guard, "") if guard in (tools.DISABLED, tools.PASSED) else ("skipped", guard)
+        return state, (event_id, session, at, tool, tokens, verdict, reason, now.total, now.views, False, "")
+    nudged, file = False, ""
     if tool in tools.VIEW_TOOLS:
         now = Session(at, now.total, now.views + 1, now.nudged, dict(now.summaries))
         if 0 < s.nudge_after <= now.views and not now.nudged:
             nudged = now.nudged = True
-        if s.summaries and path and path not in now.summaries:
-            now.summaries[path] = NOT_SHOWN if summary is None else summary
-            summarised = summary is not None
+        if s.summaries and path:
+            if path in now.summaries:
+                file = SHOWN_BEFORE
+            else:
+                file = SHOWN if summary else NOT_WORTH
+                now.summaries[path] = summary or NOT_SHOWN
     if tokens >= s.limit(tool):
         reason = "per-call"
     elif 0 < s.cumulative <= now.total + tokens:
@@ -82,16 +96,21 @@ def step(state: Session, event: tuple, s: Settings) -> tuple[Session, tuple]:
     else:
         reason = ""
     if not reason:
-        verdict, added = ("injection-only" if nudged or summarised else "under-threshold"), tokens
+        verdict, added = ("injection-only" if nudged or file == SHOWN else "under-threshold"), tokens
     elif cleaned is None:
         verdict, added = "funnel-empty", None
-    elif cleaned >= tokens:
+    elif not (cleaned < tokens if shrinks is None else shrinks):
         verdict, added = "funnel-noop", None
     else:
         verdict, added = "fired", cleaned
     if added is not None:
         now = Session(at, now.total + added, now.views, now.nudged, now.summaries)
-    return now, (session, at, tool, tokens, verdict, reason, now.total, now.views, nudged, summarised)
+    return now, (event_id, session, at, tool, tokens, verdict, reason, now.total, now.views, nudged, file)
+
+
+def as_events(df: DataFrame) -> DataFrame:
+    """df with every column of an event."""
+    return df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in EVENT.items()))
 
 
 _KINDS = {"string": pa.string(), "double": pa.float64(), "long": pa.int64(), "boolean": pa.bool_()}
@@ -113,30 +132,40 @@ def decided(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
             columns = list(zip(*out)) or [()] * len(_SCHEMA)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SCHEMA.types)], schema=_SCHEMA)
 
-    ordered = events.select(*EVENT).repartition("session").sortWithinPartitions("session", "at", "tool", "tokens")
+    ordered = as_events(events).repartition("session").sortWithinPartitions(*ORDER)
     return ordered.mapInArrow(run, DECISION)
 
 
-def decided_stream(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The same over a stream, with the sessions in the state store."""
+def decided_stream(events: DataFrame, settings: Settings = Settings(), late: str = "1 hour") -> DataFrame:
+    """The same over a stream, with the sessions in the state store.
+
+    Events may come ``late`` by so much; a session's state goes once the watermark is past its
+    time to live, when no event could find it alive.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         state = Session()
         if held.exists:
             updated_at, total, views, nudged, summaries = held.get
             state = Session(updated_at, total, views, nudged, json.loads(summaries))
         rows = []
-        events = pd.concat(list(frames)).sort_values(["at", "tool", "tokens"], kind="stable")
-        for row in events[list(EVENT)].astype(object).where(events[list(EVENT)].notna(), None).itertuples(index=False, name=None):
-            session, at, tool, tokens, cleaned, path, summary = row
-            event = (session, float(at), tool, int(tokens), None if cleaned is None else int(cleaned), path, summary)
+        found = pd.concat(list(frames)).sort_values(list(ORDER[1:]), kind="stable")[list(EVENT)].astype(object)
+        for row in found.where(found.notna(), None).itertuples(index=False, name=None):
+            session, at, event_id, tool, tokens, cleaned, shrinks, *rest = row
+            event = (session, float(at), event_id, tool, int(tokens), None if cleaned is None else int(cleaned), None if shrinks is None else bool(shrinks), *rest)
             state, decision = step(state, event, settings)
             rows.append(decision)
-        held.update((state.updated_at, state.total, state.views, state.nudged, json.dumps(state.summaries)))
+        if state.updated_at > float("-inf"):
+            held.update((state.updated_at, state.total, state.views, state.nudged, json.dumps(state.summaries)))
+            held.setTimeoutTimestamp(max(int((state.updated_at + settings.ttl) * 1000), held.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(rows, columns=_SCHEMA.names)
 
-    return events.groupBy("session").applyInPandasWithState(run, DECISION, STATE, "append", GroupStateTimeout.NoTimeout)
+    timed = as_events(events).withColumn("event_time", F.timestamp_seconds("at")).withWatermark("event_time", late)
+    return timed.groupBy("session").applyInPandasWithState(run, DECISION, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def worth_showing(file_chars: Column, summary: Column) -> Column:
@@ -146,8 +175,21 @@ def worth_showing(file_chars: Column, summary: Column) -> Column:
     return F.when(good, summary)
 
 
-def notice(verdict: Column, tool: Column, profile: Column, tokens: Column, cleaned_tokens: Column, cleaned: Column, original: Column, injected: Column) -> Column:
+def injected(nudged: Column, views: Column, file: Column, path: Column, summary: Column) -> Column:
+    """What is put before a result: the one nudge, the file's summary, or both with a blank line between; else empty."""
+    nudge = F.when(nudged, F.concat(F.lit("[" + tools.WRAPPER + " tip: "), views.cast("string"), F.lit(tools.NUDGE)))
+    shown = F.when(file == SHOWN, F.concat(F.lit("[" + tools.WRAPPER + " summary of "), path, F.lit(tools.SUMMARY_LEAD), summary, F.lit(tools.SUMMARY_END)))
+    return F.concat_ws("\n\n", nudge, shown)
+
+
+def notice(verdict: Column, tool: Column, profile: Column, tokens: Column, cleaned_tokens: Column, cleaned: Column, original: Column, injection: Column) -> Column:
     """The text that replaces a tool's result; null where the result stays."""
-    heading = F.concat(F.lit("[" + tools.WRAPPER + ": "), tokens.cast("string"), F.lit(" → "), cleaned_tokens.cast("string"), F.lit(" tok | tool="), tool, F.lit(" profile="), profile, F.lit("]"))
-    fired = F.concat_ws("\n", F.nullif(injected, F.lit("")), heading, cleaned)
-    return F.when(verdict == "fired", fired).when(verdict == "injection-only", F.concat_ws("\n", injected, original))
+    heading = F.concat(F.lit("[" + tools.WRAPPER + ": "), tokens.cast("string"), F.lit(" → "), cleaned_tokens.cast("string"), F.lit(" tok | tool="), tool, F.lit(" profile="), profile, F.lit("]\n"))
+    before = F.nullif(injection, F.lit(""))
+    return F.when(verdict == "fired", F.concat_ws("\n\n", before, F.concat(heading, cleaned))).when(verdict == "injection-only", F.concat_ws("\n\n", before, original))
+
+
+def answer(replacement: Column) -> Column:
+    """What a hook says after a tool: the replaced result as JSON, or an empty object."""
+    result = F.struct(F.struct(F.lit("success").alias("resultType"), replacement.alias("textResultForLlm")).alias("modifiedResult"))
+    return F.when(replacement.isNotNull(), F.to_json(result)).otherwise("{}")

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from promptsift.functions import json_text, pinning, text, tools, vectors
+from promptsift.operators import summarize
 
 
 def values(spark, expression, rows, column="t"):
@@ -106,3 +107,20 @@ def test_tools(spark):
     marks = ["x\n### y", "### y", "[promptsift: 1", "a" * 197 + "\n### y", "a" * 195 + "\n### y", "é" * 98 + "\n### y"]
     assert values(spark, tools.is_reduced, marks) == [True, True, True, False, True, False]
     assert values(spark, lambda c: tools.rewritten(c, F.lit("ls")), ["powershell", "bash"]) == ["& { ls } 2>&1 | promptsift --profile passthrough --budget 2000 --keep 5", "( ls ) 2>&1 | promptsift --profile passthrough --budget 2000 --keep 5"]
+
+
+def test_answers_before_tools(spark):
+    rows = [("bash", '{"b": 1.50, "command": "kubectl get pods", "a": [1, {"x": null}]}'), ("bash", '{"command": "ls"}'), ("web_fetch", "{}"), ("view", None), ("powershell", '{"command": "aws s3 ls"}'), ("bash", '{"command": "kubectl x | promptsift "}'), ("bash", "no json")]
+    frame = spark.createDataFrame(rows, "t string, a string")
+    got = [json.loads(r.j) for r in frame.select(tools.allowed(F.col("t"), F.col("a"), budget=9, keep=1).alias("j")).collect()]
+    assert got[0] == {"permissionDecision": "allow", "modifiedArgs": {"b": 1.5, "command": "( kubectl get pods ) 2>&1 | promptsift --profile k8s --budget 9 --keep 1", "a": [1, {"x": None}]}, "additionalContext": "[promptsift:pre-bash:k8s]"}
+    assert got[2] == {"permissionDecision": "allow", "additionalContext": tools.FETCH_HINT}
+    assert got[4]["modifiedArgs"]["command"].startswith("& { aws s3 ls } 2>&1") and all(g == {"permissionDecision": "allow"} for g in (got[1], got[3], *got[5:]))
+    muted = frame.select(tools.allowed(F.col("t"), F.col("a"), hints="off").alias("h"), tools.allowed(F.col("t"), F.col("a"), disabled=True).alias("d")).collect()
+    assert json.loads(muted[2].h) == json.loads(muted[0].d) == {"permissionDecision": "allow"}
+
+
+def test_queries_are_quoted_in_prompts(spark):
+    texts = ["plain", "it's", 'say "x"', "it's \"x\"", "a\\b\n\t\r\x00\x7f\xa0\xad é", "'"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(summarize.quoted(F.col("t")).alias("q")).collect()
+    assert [r.q for r in got] == [repr(t) for t in texts]

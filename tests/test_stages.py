@@ -2,12 +2,13 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from helpers import asked, chunks
 from pyspark.sql import functions as F
 
 from promptsift.functions.text import token_count
-from promptsift.operators import budget, lossless, ranking, relevance, summarize
+from promptsift.operators import budget, lossless, ranking, relevance, sentences, summarize
 from promptsift.plans.funnel import default_funnel, lite_funnel, report
 from promptsift.plans.profiles import PROFILES, profile
 from promptsift.schema import CRITICAL, DEFERRED, RELEVANT, SUMMARIZED
@@ -51,9 +52,8 @@ def test_query_scores_against_lists(spark):
         assert [r.score for r in got] == pytest.approx(by_hand(docs, query))
 
 
-def test_centrality_equals_all_pairs(spark):
-    docs = ["a b c", "a b", "x y", "", "a x"]
-    bags = [Counter(t.split()) for t in docs]
+def all_pairs(docs):
+    bags = [Counter(t) for t in docs]
     df = Counter(w for b in bags for w in b)
     vs = [{w: c * (math.log((len(docs) + 1) / (df[w] + 1)) + 1) for w, c in b.items()} for b in bags]
 
@@ -61,9 +61,25 @@ def test_centrality_equals_all_pairs(spark):
         n = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
         return sum(x * b.get(w, 0) for w, x in a.items()) / n if n else 0
 
-    want = [sum(cos(v, w) for j, w in enumerate(vs) if j != i) / (len(docs) - 1) for i, v in enumerate(vs)]
-    got = [r.score for r in rows(ranking.centrality_scores(chunks(spark, [{"text": t} for t in docs]), ["request_id"]))]
-    assert got[:3] + got[4:] == pytest.approx(want[:3] + want[4:]) and got[3] == 0
+    return [sum(cos(v, w) for j, w in enumerate(vs) if j != i) / max(1, len(docs) - 1) for i, v in enumerate(vs)]
+
+
+def test_sentence_scores_against_lists(spark, monkeypatch):
+    rng = random.Random(6)
+    words = "alpha beta gamma delta epsilon zeta".split()
+    rows = [([[rng.choice(words) for _ in range(rng.randint(1, 6))] for _ in range(rng.randint(0, 7))], rng.choice([["alpha", "zeta", "zeta", "other"], ["none"], []])) for _ in range(40)]
+    rows += [([["a", "b"], [], ["a"]], ["a"])]
+    parts, asked = pa.array([r[0] for r in rows], pa.list_(pa.list_(pa.string()))), pa.array([r[1] for r in rows], pa.list_(pa.string()))
+    for size in (1, 30, 1 << 21):
+        monkeypatch.setattr(sentences, "PART", size)
+        near, central = [], []
+        for s in sentences._slices(parts):
+            found = sentences.scores(parts[s], asked[s])
+            near += found[1].tolist()
+            central += found[2].tolist()
+        assert near == pytest.approx([x for p, q in rows for x in (by_hand([" ".join(t) for t in p], " ".join(q)) if p else [])])
+        want = [x for p, _ in rows[:-1] for x in all_pairs(p)]
+        assert central[:-3] == pytest.approx(want) and central[-2] == 0
 
 
 def test_relevance_demotes_exactly(spark):
@@ -124,11 +140,23 @@ def test_budget_drops_equal_copies_and_flags_overflow(spark):
     assert [r.tier for r in out] == [DEFERRED, CRITICAL] and out[1].critical_overflow
 
 
+def test_budget_of_many_deferred_rows(spark):
+    """One request with a hundred thousand deferred rows, which nothing gathers."""
+    from promptsift.schema import as_chunks
+
+    given = as_chunks(spark.range(100_000).select(F.lit("r").alias("request_id"), F.col("id").alias("pos"), F.concat(F.lit("text "), (F.col("id") % 50_000).cast("string")).alias("text"), F.when(F.col("id") > 0, DEFERRED).otherwise(RELEVANT).alias("tier")))
+    row = budget.assemble(given).first()
+    assert row.deferred == 99_999 and row.prompt.startswith("### unknown\n\ntext 0\n\n### deferred (99999 chunks)")
+    assert budget.deferred(given).agg(F.max("place")).first()[0] == 99_998 and budget.manifest(given).count() == 50_000
+
+
 def test_assemble(spark):
     given = [{"text": "1", "source": "b"}, {"text": "2", "source": "a"}, {"text": "3", "source": "b"}, {"text": "4", "source": "z", "tier": DEFERRED}, {"text": "4", "source": "z", "tier": DEFERRED}]
     row = budget.assemble(chunks(spark, given)).first()
     assert row.prompt == "### b\n\n1\n\n3\n\n### a\n\n2\n\n### deferred (2 chunks)\nSources omitted: z.\nRetrievable on request by id."
-    assert row.deferred == 2 and len(row.deferred_ids) == 2 and len(row.manifest) == 1 and not row.critical_overflow
+    assert row.deferred == 2 and not row.critical_overflow
+    assert [(r.place, r.source) for r in budget.deferred(chunks(spark, given)).orderBy("place").collect()] == [(0, "z"), (1, "z")]
+    assert [(r.place, r.tokens) for r in budget.manifest(chunks(spark, given)).collect()] == [(0, 1)]
 
 
 def scenario(spark):
