@@ -58,7 +58,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptsift.llm.common import dropped, shared_dir
+from promptsift.llm.common import dropped, gathered, shared_dir
 
 MERGES = 1278
 #: Ids: bytes, merges, the end of a text, its start.
@@ -143,16 +143,6 @@ class Subwords:
         self.begins[[END, START]] = True
 
 
-def gathered(starts: np.ndarray, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """values[starts[k]:starts[k + 1]] for each k of at, joined, and their lengths."""
-    lengths = np.diff(starts)[at]
-    stops = np.cumsum(lengths)
-    kind = np.int32 if max(len(values), int(stops[-1]) if len(stops) else 0) < 1 << 31 else np.int64
-    where = np.repeat((starts[at] - (stops - lengths)).astype(kind), lengths)
-    where += np.arange(len(where), dtype=kind)
-    return values.take(where), lengths
-
-
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
 

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from promptsift.shared import saved, shared_dir
 
-__all__ = ["dropped", "fresh", "per_text", "saved", "shared_dir", "table", "text_column"]
+__all__ = ["dropped", "fresh", "gathered", "looked_up", "per_text", "saved", "shared_dir", "table", "text_column"]
 
+#: Keys of more than this share of the rows are looked up by broadcast.
+HOT = 1 / 1000
 #: Characters that separate words: space and the controls 9 to 13, as ``bytes.split()`` has it.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -60,6 +64,30 @@ def dropped(spark: SparkSession, *folders: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def gathered(starts: np.ndarray, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values[starts[k]:starts[k + 1]] for each k of at, joined, and their lengths."""
+    lengths = np.diff(starts)[at]
+    stops = np.cumsum(lengths)
+    kind = np.int32 if max(len(values), int(stops[-1]) if len(stops) else 0) < 1 << 31 else np.int64
+    where = np.repeat((starts[at] - (stops - lengths)).astype(kind), lengths)
+    where += np.arange(len(where), dtype=kind)
+    return values.take(where), lengths
+
+
+def looked_up(rows: DataFrame, known: DataFrame, key: str, value: str) -> DataFrame:
+    """rows with known's value of their key, or null; known: key, value, n (how many of rows have the key).
+
+    Keys of more than a HOT share of the rows are fewer than its inverse: they are looked up
+    by broadcast, and neither their rows nor those without a key are shuffled.
+    """
+    bound = rows.count() * HOT
+    hot = known.filter(F.col("n") > bound).select(key, F.lit(True).alias("is_hot"), F.col(value).alias("hot_value"))
+    at_hot = rows.join(F.broadcast(hot), key, "left")
+    settled = F.col("is_hot").isNotNull() | F.col(key).isNull()
+    rest = at_hot.filter(~settled).select(*rows.columns).join(known.filter(F.col("n") <= bound).select(key, value), key, "left")
+    return at_hot.filter(settled).withColumn(value, F.col("hot_value")).select(*rows.columns, value).unionByName(rest.select(*rows.columns, value))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, in either case."""
     taken = {c.lower() for c in df.columns}

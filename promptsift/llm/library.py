@@ -1,10 +1,12 @@
 """Ids by the tokenizers library, quickly: each distinct chunk of text is encoded once.
 
 Texts are cut where no token can reach over: at white space for a tokenizer that drops it,
-at single spaces and line ends for a byte-level one. What was encoded is kept by chunk, up
-to ``CACHE`` entries for a Python worker. Texts with other white space at such places are
-encoded whole by the library. New words of letters alone go to it in one line, which is
-cut again at the tokens that begin or end a word.
+at single spaces and line ends for a byte-level one. Arrow cuts and numbers the chunks of
+about ``GROUP`` characters of texts, only distinct ones become Python strings, and numpy
+gathers their ids. What was encoded is kept by chunk, up to ``CACHE`` entries for a Python
+worker. Texts with other white space at such places are encoded whole by the library. New
+words of letters alone go to it in one line, which is cut again at the tokens that begin or
+end a word.
 """
 
 from __future__ import annotations
@@ -17,26 +19,17 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from promptsift.llm.common import gathered
 
 CACHE = 1_200_000
 #: Of these, whatever ends a chunk after a word is a piece of its own.
 MARKS = string.punctuation
 #: Characters of text that are encoded together.
-GROUP = 2_000_000
+GROUP = 4_000_000
 _ODD = re.compile(r"[^\S \n]|[\x1c-\x1f]")
-_CONTROL = re.compile(r"[\x1c-\x1f]")
-
-
-def spaced_chunks(text: str) -> list[str] | None:
-    """Of a byte-level tokenizer's text; the first one is without a space. None: not to be cut."""
-    if "  " in text or " \n" in text or "\n\n" in text or "\n " in text or text[-1:] == " ":
-        return None
-    return text.replace("\n", " \n").split(" ")
-
-
-def dropped_chunks(text: str) -> list[str] | None:
-    """Of a tokenizer's text that drops white space."""
-    return None if _CONTROL.search(text) else text.split()
 
 
 class Library:
@@ -50,7 +43,6 @@ class Library:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.byte_level, self.limit = byte_level, limit
-        self.chunks = spaced_chunks if byte_level else dropped_chunks
         self.cache: dict[str, bytes | None] = {}
         # tokens that begin (byte-level) or else end a word of a line of plain words
         vocab = self.tokenizer.get_vocab()
@@ -81,11 +73,10 @@ class Library:
         spaced = [" " + w for w in words]
         return self._cut("".join(spaced), self.edge, spaced, False)
 
-    def _learn(self, new: set[str], texts: list[list[str] | None]) -> None:
+    def _learn(self, new: set[str], used: list[str]) -> None:
         cache = self.cache
         if len(cache) + len(new) > self.limit:  # keep what is in use
-            used = set().union(*(c for c in texts if c is not None))
-            self.cache = cache = {c: cache[c] for c in used & cache.keys()}
+            self.cache = cache = {c: cache[c] for c in used if c in cache}
         line, starts, rest, parted = set(), set(), [], []
         for chunk in new:
             stem = chunk.rstrip(MARKS)
@@ -112,52 +103,91 @@ class Library:
         else:
             cache.update(zip(rest, self.whole(rest)))
 
-    def _group(self, texts: list[str]) -> list[bytes]:
-        cut = [self.chunks(t) for t in texts]
-        firsts: dict[int, bytes] = {}
-        if self.byte_level:
-            at = [k for k, c in enumerate(cut) if c is not None]
-            firsts = dict(zip(at, self.whole([cut[k].pop(0) for k in at])))
-        new: set[str] = set()
-        found: list[tuple[list, list[int]]] = []
-        for chunks in cut:
-            got = list(map(self.cache.get, chunks or ()))
-            gaps = [i for i, g in enumerate(got) if g is None] if None in got else []
-            new.update(chunks[i] for i in gaps)
-            found.append((got, gaps))
-        self._learn(new, cut)
-        out: list[bytes] = []
-        for k, (chunks, (got, gaps)) in enumerate(zip(cut, found)):
-            for i in gaps:
-                got[i] = self.cache[chunks[i]]
-            try:
-                out.append(self.whole([texts[k]])[0] if chunks is None else firsts.get(k, b"") + b"".join(got))
-            except TypeError:  # a chunk with odd white space
-                out.append(self.whole([texts[k]])[0])
-        return out
-
-    def after_space(self, words: list[str]) -> list[bytes]:
-        """The ids of each word, a byte-level chunk, with a space before it."""
-        out = list(map(self.cache.get, words))
-        self._learn({w for w, x in zip(words, out) if x is None}, [words])
-        for k, x in enumerate(out):
+    def _chunks(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Lists of the texts' chunks, null for those that can't be cut; a byte-level text's first chunk is without a space."""
+        if not self.byte_level:
+            odd = pc.match_substring_regex(texts, "[\x1c-\x1f]")
+            return pc.utf8_split_whitespace(pc.if_else(odd, "", texts)), odd.to_numpy(zero_copy_only=False)
+        odd = pc.ends_with(texts, " ")
+        for pair in ("  ", " \n", "\n\n", "\n "):
+            odd = pc.or_(odd, pc.match_substring(texts, pair))
+        return pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", texts), "\n", " \n"), " "), odd.to_numpy(zero_copy_only=False)
+
+    def _group(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by the end id, and how many each has with it."""
+        lists, odd = self._chunks(texts)
+        coded = lists.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        codes, sizes = coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy()
+        stops = np.cumsum(sizes)
+        got = list(map(self.cache.get, names))
+        self._learn({w for w, x in zip(names, got) if x is None}, names)
+        for k, x in enumerate(got):
             if x is None:
-                found = self.cache[words[k]]
-                out[k] = self.whole([" " + words[k]])[0] if found is None else found
-        return out
-
-    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, in order."""
-        group: list[str] = []
-        size = 0
-        for text in texts:
-            group.append(text)
-            size += len(text)
-            if size >= GROUP:
-                yield from self._group(group)
-                group, size = [], 0
-        if group:
-            yield from self._group(group)
+                got[k] = self.cache[names[k]]
+        unknown = [k for k, x in enumerate(got) if x is None]  # with odd white space
+        if unknown:
+            lacks = np.zeros(len(names), bool)
+            lacks[unknown] = True
+            odd[np.repeat(np.arange(len(sizes)), sizes)[lacks[codes]]] = True
+            got = [x or b"" for x in got]
+        # besides the chunks: the first ones, whole texts and the end
+        tail = len(names)
+        extra: list[bytes] = []
+        if self.byte_level and len(sizes):
+            firsts = coded.take(pa.array(stops - sizes)).cast(pa.large_string()).to_pylist()
+            extra = self.whole(firsts)
+            codes = codes.copy()
+            codes[stops - sizes] = tail + np.arange(len(sizes))
+        at = np.flatnonzero(odd)
+        if len(at):
+            whole = self.whole([t or "" for t in texts.take(pa.array(at)).to_pylist()])
+            drop = np.repeat(odd, sizes)
+            codes, kept = codes[~drop], np.where(odd, 0, sizes)
+            codes = np.insert(codes, (np.cumsum(kept) - kept)[at], tail + len(extra) + np.arange(len(at)))
+            sizes = np.where(odd, 1, sizes)
+            stops, extra = np.cumsum(sizes), extra + whole
+        codes = np.insert(codes, stops, tail + len(extra))
+        every = [*got, *extra, end.to_bytes(4, "little")]
+        starts = np.zeros(len(every) + 1, np.int64)
+        np.cumsum([len(x) // 4 for x in every], out=starts[1:])
+        ids, lengths = gathered(starts, np.frombuffer(b"".join(every), "<u4"), codes)
+        ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], stops + np.arange(1, len(stops) + 1)))]
+        return ids, np.diff(ends)
+
+    def encode(self, texts: pa.Array, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of the texts in order (null: empty), in groups: all ids, each text followed by the end id, and how many each has with it."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        stops = np.cumsum(pc.utf8_length(texts).to_numpy())
+        at = 0
+        while at < len(texts):
+            before = int(stops[at - 1]) if at else 0
+            to = min(len(texts), int(np.searchsorted(stops, before + GROUP)) + 1)
+            yield self._group(texts[at:to], end)
+            at = to
+
+    def blocks(self, batches: Iterable[pa.RecordBatch], size: int, end: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+        """Of batches (doc_id, text): documents of size ids or a little more at a time, as their doc_ids, all ids and how many each has."""
+        doc_ids: list = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+        for batch in batches:
+            names, at = batch.column(0).to_pylist(), 0
+            for ids, lengths in self.encode(batch.column(1), end):
+                stops = np.cumsum(lengths)
+                first, done = 0, 0
+                while first < len(lengths):
+                    to = min(len(lengths), int(np.searchsorted(stops, done + size - n)) + 1)
+                    stop = int(stops[to - 1])
+                    doc_ids += names[at + first : at + to]
+                    held.append((ids[done:stop], lengths[first:to]))
+                    n, first, done = n + stop - done, to, stop
+                    if n >= size:
+                        yield doc_ids, *map(np.concatenate, zip(*held))
+                        doc_ids, held, n = [], [], 0
+                at += len(lengths)
+        if doc_ids:
+            yield doc_ids, *map(np.concatenate, zip(*held))
 
 
 @lru_cache(maxsize=2)

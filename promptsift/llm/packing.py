@@ -20,7 +20,9 @@ import heapq
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -95,15 +97,16 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[Placed]:
     return placed
 
 
-def _rows(doc_ids: list, ids: list[bytes], first: int) -> tuple[pa.RecordBatch, int]:
-    lengths = [len(x) // 4 for x in ids]
+def _rows(doc_ids: list, ids: np.ndarray, lengths: np.ndarray, first: int) -> tuple[pa.RecordBatch, int]:
+    lengths = lengths.tolist()
+    starts = [0, *accumulate(lengths)]
     placed = pack(lengths)
     schema = pa.schema([(c.split()[0], pa.int64()) for c in COLUMNS.split(", ")])
     columns = [
         [doc_ids[p.doc] for p in placed],
         [p.start for p in placed],
         [p.length for p in placed],
-        [zlib.crc32(ids[p.doc][4 * p.start : 4 * (p.start + p.length)]) for p in placed],
+        [zlib.crc32(ids[starts[p.doc] + p.start : starts[p.doc] + p.start + p.length]) for p in placed],
         [lengths[p.doc] for p in placed],
         [first + p.sequence for p in placed],
         [p.offset for p in placed],
@@ -114,26 +117,12 @@ def _rows(doc_ids: list, ids: list[bytes], first: int) -> tuple[pa.RecordBatch,
 
 def packed(docs: DataFrame, path: str) -> DataFrame:
     """Per piece: COLUMNS. A sequence's id is unique over all partitions."""
-    end = END.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library(path, False, KNOWN)
         number = TaskContext.get().partitionId() << 32
-        doc_ids: list = []
-        ids: list[bytes] = []
-        held = 0
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            for doc_id, found in zip(names, encoder.encode(t or "" for t in batch.column(1).to_pylist())):
-                doc_ids.append(doc_id)
-                ids.append(found + end)
-                held += len(found) // 4 + 1
-                if held >= HELD:
-                    out, made = _rows(doc_ids, ids, number)
-                    yield out
-                    number += made
-                    doc_ids, ids, held = [], [], 0
-        if ids:
-            yield _rows(doc_ids, ids, number)[0]
+        for block in library(path, False, KNOWN).blocks(batches, HELD, END):
+            out, made = _rows(*block, number)
+            yield out
+            number += made
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, COLUMNS)

@@ -3,7 +3,9 @@
 A file holds an alphabet (the ids that occur, in order), one bit plane for each bit of an
 alphabet code with its ones counted up to every 512th bit, and its documents' ids and
 lengths. Plane by plane, codes with a 0 bit go before those with a 1 bit, each in their old
-order. Access, rank, count and select then take one step for each plane.
+order. Access, rank, count and select then take one step for each plane: the counts give the
+ones before a place, and by binary search the block of the nth one or zero. ``tokens_at``,
+``counts`` and ``occurrences`` ask a whole table of files.
 
 The files are rows of a Parquet table, in ascending doc_id: the shards are the partitions of
 a range partitioning by doc_id, and a shard has a file for each ``FILE_IDS`` ids or so, so
@@ -18,7 +20,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +28,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from promptsift.llm.common import shared_dir
+from promptsift.llm.common import dropped, shared_dir
 from promptsift.llm.library import library
 
 FILE_IDS = 1 << 19
+#: Bytes of input of a shard.
+SHARD_BYTES = 64 << 20
 END = 2
 _MAGIC = b"WMX1"
 _HEAD = struct.Struct("<4sQIII")
 _BLOCK = 512
 
 
-def write_matrix(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
+def write_matrix(ids: np.ndarray, doc_ids: list[int | None], lengths: Sequence[int]) -> bytes:
     """The file of these documents' ids, all in one array."""
     count = np.bincount(ids) if len(ids) else np.zeros(1, np.int64)
     alphabet = np.flatnonzero(count).astype("<u4")
@@ -132,19 +136,29 @@ class Matrix:
         if not 0 <= k < high - low:
             return -1
         at = low + k
+        for level in range(self.levels - 1, -1, -1):
+            bit = code >> (self.levels - 1 - level) & 1
+            at = self._nth(level, bit, at - self.planes[level][2] if bit else at)
+        return at
+
+    def _nth(self, level: int, bit: int, k: int) -> int:
+        """The place of occurrence k of bit in a plane: its block by the counts before blocks, then inside the block."""
+        ones, bits, _ = self.planes[level]
+        before = ones.astype(np.int64) if bit else np.arange(len(ones), dtype=np.int64) * _BLOCK - ones
+        block = int(np.searchsorted(before[: len(ones) - 1], k, "right")) - 1
+        start = block * _BLOCK
+        part = np.unpackbits(bits[start // 8 : (start + _BLOCK) // 8], bitorder="little", count=min(_BLOCK, self.n - start))
+        return start + int(np.flatnonzero(part == bit)[k - before[block]])
+
+    def positions(self, token: int) -> np.ndarray:
+        """All places of a token, ascending: its run below the last plane, taken back plane by plane."""
+        if (code := self._code(token)) is None:
+            return np.zeros(0, np.int64)
+        at = np.arange(*self._range(code, self.n))
         for level in range(self.levels - 1, -1, -1):
             _, bits, zeros = self.planes[level]
             bit = code >> (self.levels - 1 - level) & 1
-            nth = at - zeros if bit else at
-            left, right = 0, self.n
-            while left < right:  # the least p with nth + 1 such bits before p + 1
-                mid = (left + right) // 2
-                ones = self._ones(level, mid + 1)
-                if (ones if bit else mid + 1 - ones) > nth:
-                    right = mid
-                else:
-                    left = mid + 1
-            at = left
+            at = np.flatnonzero(np.unpackbits(bits, bitorder="little", count=self.n) == bit)[at - zeros if bit else at]
         return at
 
     def ids(self) -> np.ndarray:
@@ -164,44 +178,44 @@ _FILES = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int
 _READ = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("doc_id", pa.int64()), ("inside", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
+def shards_for(docs: DataFrame) -> int:
+    """So many that each has about SHARD_BYTES of the input, by the optimizer's estimate, and no fewer than the session's shuffle partitions.
+
+    Rows that come from elsewhere than files have no estimate, which is then beyond all sizes.
+    """
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES) if size < 1 << 60 else 1)
+
+
 def write_files(docs: DataFrame, path: str, folder: str, shards: int | None = None) -> None:
     """Encodes all texts and writes their files into folder, as a Parquet table."""
-    end = END.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library(path, True)
-        shard, seq = TaskContext.get().partitionId(), 0
-        doc_ids: list = []
-        ids: list[bytes] = []
-        held = 0
-
-        def file() -> pa.RecordBatch:
-            whole = np.frombuffer(b"".join(ids), "<u4")
-            data = write_matrix(whole, doc_ids, [len(x) // 4 for x in ids])
-            columns = [[shard], [seq], [len(whole)], [data]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FILES.types)], schema=_FILES)
-
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            for doc_id, found in zip(names, encoder.encode(t or "" for t in batch.column(1).to_pylist())):
-                doc_ids.append(doc_id)
-                ids.append(found + end)
-                held += len(found) // 4 + 1
-                if held >= FILE_IDS:
-                    yield file()
-                    seq += 1
-                    doc_ids, ids, held = [], [], 0
-        if ids:
-            yield file()
+        shard = TaskContext.get().partitionId()
+        for seq, (doc_ids, ids, lengths) in enumerate(library(path, True).blocks(batches, FILE_IDS, END)):
+            columns = [[shard], [seq], [len(ids)], [write_matrix(ids, doc_ids, lengths)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FILES.types)], schema=_FILES)
 
-    spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    chosen = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    dealt = chosen.repartitionByRange(shards or shards_for(chosen), "doc_id").sortWithinPartitions("doc_id", "text")
     # row groups are closed by size, however few rows they have
     writer = dealt.mapInArrow(run, "shard int, seq int, n_ids long, file binary").write
     writer.option("parquet.block.size", 32 << 20).option("parquet.block.size.row.check.min", 1).option("parquet.page.size.row.check.min", 1).parquet(folder)
 
 
+def _offsets(files: DataFrame) -> DataFrame:
+    """shard, seq, first: how many ids lie before each file.
+
+    The window over all shards has a row for each partition of the writer; that over a shard,
+    a row for each of its files.
+    """
+    up_to = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("before"))
+    within = Window.partitionBy("shard").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    found = files.select("shard", "seq", "n_ids", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("earlier")).join(shards, "shard")
+    return found.select("shard", "seq", (F.col("before") + F.col("earlier")).alias("first"))
+
+
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
 
@@ -219,18 +233,69 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
 
     files = spark.read.parquet(folder)
     per_doc = files.select("shard", "seq", "file").mapInArrow(run, "shard int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long")
-    # the window over all shards has a row for each partition of the writer; that over a shard, a row for each of its files
-    up_to = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("before"))
-    within = Window.partitionBy("shard").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.select("shard", "seq", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("earlier")).join(shards, "shard")
-    start = (F.col("before") + F.col("earlier") + F.col("inside")).alias("start")
-    return per_doc.join(offsets, ["shard", "seq"]).select("doc_id", start, "n_tokens", "ids_crc32")
+    start = (F.col("first") + F.col("inside")).alias("start")
+    return per_doc.join(_offsets(files), ["shard", "seq"]).select("doc_id", start, "n_tokens", "ids_crc32")
+
+
+_FOUND = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("doc_id", pa.int64()), ("token", pa.int64()), ("inside", pa.int64()), ("offset", pa.int64()), ("n", pa.int64())])
+_FOUND_DDL = "shard int, seq int, doc_id long, token long, inside long, offset long, n long"
+
+
+def _asked(files: DataFrame, each: Callable[[Matrix, int, int], dict[str, list]]) -> DataFrame:
+    """What each(matrix, first, number of ids) finds in every file; first is 0 unless files has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, seq, first, file in zip(*(c.to_pylist() for c in batch.columns)):
+                matrix = Matrix(file)
+                found = each(matrix, first, matrix.n)
+                n = len(next(iter(found.values())))
+                found |= {"shard": [shard] * n, "seq": [seq] * n}
+                yield pa.RecordBatch.from_arrays([pa.array(found.get(f.name, [None] * n), f.type) for f in _FOUND], schema=_FOUND)
+
+    return files.select("shard", "seq", "first", "file").mapInArrow(run, _FOUND_DDL)
+
+
+def counts(spark: SparkSession, folder: str, tokens: list[int]) -> DataFrame:
+    """token, n: how often each of the asked tokens occurs in all files, by ranks alone."""
+    asked = sorted(set(tokens))
+    files = spark.read.parquet(folder).withColumn("first", F.lit(0).cast("long"))
+    found = _asked(files, lambda m, first, n: {"token": asked, "n": [m.count(t) for t in asked]})
+    return found.groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def occurrences(spark: SparkSession, folder: str, token: int) -> DataFrame:
+    """doc_id, offset in the document, start: every place of a token among all ids."""
+
+    def each(m: Matrix, first: int, n: int) -> dict[str, list]:
+        at = m.positions(token)
+        stops = np.cumsum(m.lengths)
+        doc = np.searchsorted(stops, at, "right")
+        return {"doc_id": [m.doc_ids[k] for k in doc.tolist()], "offset": (at - (stops - m.lengths)[doc]).tolist(), "inside": at.tolist()}
+
+    files = spark.read.parquet(folder)
+    found = _asked(files.withColumn("first", F.lit(0).cast("long")), each)
+    return found.join(_offsets(files), ["shard", "seq"]).select("doc_id", "offset", (F.col("first") + F.col("inside")).alias("start"))
+
+
+def tokens_at(spark: SparkSession, folder: str, places: list[int]) -> DataFrame:
+    """start, token of the asked places among all ids; none for those beyond them."""
+    asked = np.array(sorted(set(places)), np.int64)
+    files = spark.read.parquet(folder)
+
+    def each(m: Matrix, first: int, n: int) -> dict[str, list]:
+        own = asked[(asked >= first) & (asked < first + n)].tolist()
+        return {"inside": own, "token": [m.access(p - first) for p in own]}
+
+    found = _asked(files.join(_offsets(files), ["shard", "seq"]), each)
+    return found.select(F.col("inside").alias("start"), "token")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Writes the documents' files into the shared folder and reads them back."""
+    """Writes the documents' files into the shared folder and reads them back; what was read stays there."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/wavelet-{uuid.uuid4().hex}"
-    write_files(docs, path, folder)
-    return read_files(spark, folder)
+    write_files(docs, path, f"{folder}/files")
+    read_files(spark, f"{folder}/files").write.parquet(f"{folder}/read")
+    dropped(spark, f"{folder}/files")
+    return spark.read.schema("doc_id long, start long, n_tokens long, ids_crc32 long").parquet(f"{folder}/read")
