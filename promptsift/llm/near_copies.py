@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
-from promptsift.llm.common import saved, shared_dir, text_column
+from promptsift.llm.common import dropped, saved, shared_dir, text_column
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -238,4 +238,7 @@ def links(sketched: DataFrame, docs: DataFrame) -> DataFrame:
     need = unsure.select(F.explode(F.array("a", "b")).alias("digest")).unionByName(crowd.join(contents.filter("long").select("digest"), "digest").select("digest"))
     full = saved(whole(docs, need))
     found = saved(tested.filter("not long").unionByName(verified(unsure, full)).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct())
-    return found if crowd.isEmpty() else found.unionByName(crossings(crowd, contents, full, found)).distinct()
+    if not crowd.isEmpty():
+        found = saved(found.unionByName(crossings(crowd, contents, full, found)).distinct())
+    dropped(spark, folder)
+    return found

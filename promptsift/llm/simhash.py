@@ -19,7 +19,8 @@ Results for edge cases: a null or empty text, or one of white space, has the fin
 and is linked like any other; under three words, the whole sequence is the shingle. Repeated
 rows are in one class. A null doc_id names no component: its row gets its class's. In
 ``deduplicated``, one row of each component stays: of the least doc_id, then the least
-fingerprint; one without a doc_id only where no row of its component has one.
+fingerprint, then the least hash of its text; one without a doc_id only where no row of its
+component has one.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptsift.llm import near_copies
-from promptsift.llm.common import fresh, saved, shared_dir, text_column
+from promptsift.llm.common import dropped, fresh, looked_up, saved, shared_dir, text_column
 
 SEED = 42
 SHINGLE = 3
@@ -41,8 +42,6 @@ DISTANCE = 2
 BLOCKS = 4
 #: Classes of one key that are still joined in pairs.
 CROWD = 16
-#: A class with more than this share of the rows is looked up by broadcast; there are fewer than its inverse.
-HOT = 1 / 1000
 _BITS = 64 // BLOCKS
 
 
@@ -121,8 +120,7 @@ def links(classes: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Per node of edges (a, b): node, root, which is equal within a component only."""
-    edges = saved(edges)
+    """Per node of edges (a, b), which are read several times: node, root, which is equal within a component only."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = saved(both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")))
     while not edges.isEmpty():
@@ -141,28 +139,15 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def rooted(fps: DataFrame, more: DataFrame | None = None) -> DataFrame:
-    """Per fingerprint of fps (doc_id, fp): its least doc_id, its rows n, its component's root and least doc_id.
-
-    more: links besides those of links().
-    """
-    classes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    edges = links(classes.select("fp"))
-    labels = components(edges if more is None else edges.unionByName(more).distinct()).withColumnRenamed("node", "fp")
-    found = classes.join(labels, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return found.join(found.groupBy("root").agg(F.min("least").alias("component_id")), "root")
-
-
 def grouped(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, fingerprint as 16 hexadecimal digits, component_id."""
     fps = saved(fingerprints(docs))
-    known = saved(rooted(fps).select("fp", "n", "component_id"))
-    # the classes of most rows are fewer than 1 / HOT; their rows aren't shuffled by their key
-    bound = fps.count() * HOT
-    hot = known.filter(F.col("n") > bound).select("fp", F.lit(True).alias("is_hot"), F.col("component_id").alias("hot_id"))
-    at_hot = fps.join(F.broadcast(hot), "fp", "left")
-    rest = at_hot.filter("is_hot is null").select("doc_id", "fp").join(known.filter(F.col("n") <= bound).select("fp", "component_id"), "fp")
-    both = at_hot.filter("is_hot").select("doc_id", "fp", F.col("hot_id").alias("component_id")).unionByName(rest.select("doc_id", "fp", "component_id"))
+    classes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    labels = components(saved(links(classes.select("fp")))).withColumnRenamed("node", "fp")
+    rooted = saved(classes.join(labels, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    ids = saved(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    known = saved(looked_up(rooted.select("fp", "root", F.col("n").alias("rows")), ids, "root", "component_id").select("fp", F.col("rows").alias("n"), "component_id"))
+    both = looked_up(fps, known, "fp", "component_id")
     return both.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -171,15 +156,21 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Besides fingerprints, five-word shingles of a similarity of 0.8 or more link documents.
     """
-    ids_first = F.struct(F.col("least").isNull(), "least", "fp")
+    spark = docs.sparkSession
+    doc_id, text = F.col("doc_id").cast("long"), F.xxhash64("text")
     column = text_column(lambda texts: [_sketched(t) for t in texts], "fp long, digest binary, bands array<long>, sketch binary")
-    folder = f"{shared_dir(docs.sparkSession)}/sketches-{uuid.uuid4().hex}"
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), column(F.col("text")).alias("s")).select("doc_id", "s.*").write.parquet(folder)
-    sketched = docs.sparkSession.read.parquet(folder)
-    least = rooted(sketched.select("doc_id", "fp"), near_copies.links(sketched, docs)).groupBy("root").agg(F.min(ids_first).alias("first"))
-    keys = [fresh(docs, name) for name in ("none", "id", "fp")]
-    doc_id, column = F.col("doc_id").cast("long"), text_column(lambda texts: [(fingerprint(t),) for t in texts], "fp long")
-    own = (doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), column(F.col("text"))["fp"])
-    first = (F.col("first")["least"].isNull(), F.coalesce(F.col("first")["least"], F.lit(0)), F.col("first")["fp"])
-    stay = least.select(*(x.alias(k) for k, x in zip(keys, first)))
+    folder = f"{shared_dir(spark)}/sketches-{uuid.uuid4().hex}"
+    docs.select(doc_id.alias("doc_id"), text.alias("text_hash"), column(F.col("text")).alias("s")).select("doc_id", "text_hash", "s.*").write.parquet(folder)
+    sketched = spark.read.parquet(folder)
+    ids_first = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")
+    classes = saved(sketched.groupBy("fp").agg(F.min(ids_first).alias("first")))
+    edges = saved(links(classes.select("fp")).unionByName(near_copies.links(sketched, docs)).distinct())
+    labels = components(edges).withColumnRenamed("node", "fp")
+    root = F.coalesce("root", "fp")
+    least = classes.join(labels, "fp", "left").groupBy(root).agg(F.min(F.struct("first.none", "first.id", "fp", "first.text_hash")).alias("first"))
+    stay = saved(least.select("first.*"))
+    dropped(spark, folder)
+    keys = [fresh(docs, name) for name in ("none", "id", "text_hash")]
+    own = (doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), text)
+    stay = stay.select(*(F.col(c).alias(k) for c, k in zip(("none", "id", "text_hash"), keys)))
     return docs.withColumns(dict(zip(keys, own))).join(stay, keys, "left_semi").dropDuplicates(keys).drop(*keys)
