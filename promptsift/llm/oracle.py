@@ -32,7 +32,7 @@ _SPACE = r"[\x20\x09-\x0D]+"
 
 
 def _repeated(n: int) -> str:
-    """doc_id, and the words and bytes inside n-grams that occur twice or more in their text."""
+    """doc_id, and the words and characters inside n-grams that occur twice or more in their text."""
     return f"""SELECT doc_id, count(*) AS words, sum(size) AS bytes FROM (
       SELECT doc_id, k, any_value(size) AS size FROM (
         SELECT w.doc_id, w.k, w.size FROM word_rows w JOIN (
@@ -48,10 +48,10 @@ def _op5() -> str:
     return f"""
 WITH texts AS MATERIALIZED (
   SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda w: w <> '') AS words FROM documents),
-word_rows AS MATERIALIZED (SELECT doc_id, unnest(range(1, len(words) + 1)) AS k, strlen(unnest(words)) AS size FROM texts),
+word_rows AS MATERIALIZED (SELECT doc_id, unnest(range(1, len(words) + 1)) AS k, length(unnest(words)) AS size FROM texts),
 totals AS (SELECT doc_id, sum(size) AS total FROM word_rows GROUP BY doc_id),
 lines AS (SELECT doc_id, k, line, regexp_replace(line, '{_SPACE}', '', 'g') AS body FROM (SELECT doc_id, unnest(range(len(l))) AS k, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM texts))),
-dups AS (SELECT doc_id, count(*) AS n, sum(strlen(body)) AS bytes FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS nth FROM lines WHERE body <> '') WHERE nth > 1 GROUP BY doc_id),
+dups AS (SELECT doc_id, count(*) AS n, sum(length(body)) AS bytes FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS nth FROM lines WHERE body <> '') WHERE nth > 1 GROUP BY doc_id),
 measured AS (
   SELECT doc_id, CAST(len(texts.words) AS BIGINT) AS n_words, CAST(length(array_to_string(texts.words, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
     CAST(coalesce(d.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(g.words, 0) AS BIGINT) AS n_repeat_words, coalesce(d.bytes, 0) / greatest(1, coalesce(total, 0)) AS line_coverage, greatest(0.0::DOUBLE, {worst}) AS coverage
@@ -77,7 +77,7 @@ seen AS MATERIALIZED (SELECT row_number() OVER () AS row, page_id, url, host, pa
 by_page AS (SELECT doc_id, bool_or(coalesce(quality = 0 OR toxic = 1, false)) AS bad FROM labels GROUP BY doc_id),
 known AS MATERIALIZED (SELECT row, own, bad FROM seen JOIN by_page ON doc_id = page_id),
 bound AS (SELECT count(*) AS n, ceil(greatest({url_rules.SUPPORT}, {url_rules.LEAST} / greatest(1, count(*))) * count(*) - 1e-9) AS least FROM known),
-sets AS (SELECT list_sort(list_filter(own, lambda t, i: (mask >> (i - 1)) & 1 = 1)) AS tokens, bad FROM (SELECT own, bad, unnest(range(1, 1 << len(own))) AS mask FROM known)),
+sets AS (SELECT list_sort(list_filter(own, lambda t, i: (mask >> (i - 1)) & 1 = 1)) AS tokens, bad FROM (SELECT own, bad, unnest(range(1, 1 << len(own))) AS mask FROM known) WHERE bit_count(mask) <= {url_rules.MOST}),
 rules AS MATERIALIZED (SELECT tokens FROM sets, bound GROUP BY tokens, n, least HAVING n >= {url_rules.LEAST} AND count(*) FILTER (bad) >= least AND count(*) FILTER (bad) >= {url_rules.CONFIDENCE} * count(*)),
 hits AS (SELECT DISTINCT row FROM seen JOIN rules ON list_has_all(own, tokens))
 SELECT page_id, host, path, rule, coalesce(listed, CASE WHEN h.row IS NOT NULL THEN 'block' END, 'allow') AS verdict FROM seen s LEFT JOIN hits h USING (row)"""

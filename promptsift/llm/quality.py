@@ -80,6 +80,11 @@ def repeated(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def _points(word: bytes) -> int:
+    """A word's code points."""
+    return len(word) if word.isascii() else len(word.decode("utf-8", "surrogatepass"))
+
+
 def measure(text: str | None) -> tuple:
     """The values of COLUMNS for one text."""
     data = (text or "").encode("utf-8", "surrogatepass")
@@ -93,20 +98,19 @@ def measure(text: str | None) -> tuple:
     for line in data.split(b"\n"):
         if line in seen:
             dup_lines += 1
-            dup_chars += sum(map(len, line.split()))
+            dup_chars += sum(map(_points, line.split()))
         elif line and not line.isspace():
             seen.add(line)
     number: dict[bytes, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
     worst, n_repeat = 0.0, 0
-    line_cover = dup_chars / max(1, sum(map(len, words)))
+    line_cover = dup_chars / max(1, chars)
     if len(number) < n:
         hashes = _mixed(ids)
-        lengths = np.fromiter(map(len, words), np.int64, n)
-        total = int(lengths.sum())
+        lengths = np.fromiter(map(len if data.isascii() else _points, number), np.int64, len(number))[ids]
         n_repeat = int(repeated(hashes, WINDOW).sum())
         for size, most in COVERAGE.items():
-            worst = max(worst, int(lengths[repeated(hashes, size)].sum()) / total / most)
+            worst = max(worst, int(lengths[repeated(hashes, size)].sum()) / chars / most)
     failed = n < MIN_WORDS or 100 * n_repeat > MAX_REPEATED * n
     kept = not failed and worst <= 1 and line_cover <= LINE_COVERAGE and symbols <= SYMBOLS * n
     return n, chars, symbols, dup_lines, n_repeat, failed, kept, worst, line_cover

@@ -2,14 +2,21 @@
 
 A URL's tokens are the labels of its host, the segments of its path and the parts of its
 query, without bare numbers. A labelled page (one that ``labels`` has under its id) is a
-transaction of its tokens and its label. FP-growth finds the token combinations that occur
-often enough, and the rules from tokens to the bad label that are confident enough; a rule
-with more tokens than another that it can't beat is dropped. A URL is matched by an inverted
-index: every rule stands under its rarest token, a URL looks up its own tokens, and the rules
-it finds there are tested against all of them. Matching is done once for each distinct URL.
+transaction. Tokens that the same pages have are one item, as no rule tells them apart: a URL
+has the item if it has one of them. FP-growth over the bad pages finds the combinations of at
+most ``MOST`` items that occur often enough; they are counted among all pages, and those that
+are confident enough are rules. A rule with more items than another that it can't beat is
+dropped. A URL is matched by an inverted index: every rule stands under its rarest item, a URL
+looks up its own items, and the rules it finds there are tested against all of them. Matching
+is done once for each distinct URL.
+
+FP-growth lists every subset of a basket that repeats, so no basket may be long: one of over
+``MOST`` times ``PART`` items is given as pieces, which are all choices of MOST of its parts of
+PART items. Every combination of MOST items lies in a piece; its count among pieces is at
+least that among pages, and the count among pages decides.
 
 Everything runs on DataFrame expressions and the JVM's FP-growth. What FP-growth brings to
-the driver are the frequent tokens: at most a URL's tokens over the support.
+the driver are the frequent items: at most a URL's tokens over the support.
 
 Results for edge cases: a null URL, or one without ``://``, has an empty host and path, no
 rule and the verdict allow. Repeated pages are judged each. Without enough labelled pages
@@ -19,18 +26,21 @@ of them is.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptsift.llm.common import saved
+from promptsift.llm.common import looked_up, saved
 
 #: Host, path and verdict of the rule list.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Share of the labelled pages that hold a combination, and their least number.
 SUPPORT, LEAST = 0.002, 25
 CONFIDENCE = 0.6
-BAD = "=bad"
+#: Items of a rule, and of a part of a long basket.
+MOST, PART = 3, 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -74,34 +84,65 @@ def listed(pages: DataFrame) -> DataFrame:
     return parsed.withColumns({"rule": rule, "listed": verdict})
 
 
-def mined_rules(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """tokens, key (the rarest token), confidence, support of the rules to the bad label."""
+def pieces(items: Column) -> Column:
+    """The basket itself, or all choices of MOST of its parts."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / PART).cast("int")), lambda k: F.slice(items, k * PART + 1, PART))
+
+    def chosen(found: Column, n: int) -> Column:
+        """found: (joined, next) of n fewer parts."""
+        if n == 0:
+            return F.transform(found, lambda x: x["joined"])
+        more = lambda x: F.transform(F.filter(F.sequence(x["next"], F.size(parts)), lambda k: k < F.size(parts)), lambda k: F.struct(F.concat(x["joined"], F.get(parts, k)).alias("joined"), (k + 1).alias("next")))
+        return chosen(F.flatten(F.transform(found, more)), n - 1)
+
+    none = F.array(F.struct(F.array().cast("array<string>").alias("joined"), F.lit(0).alias("next")))
+    return F.when(F.size(items) <= MOST * PART, F.array(items)).otherwise(chosen(none, MOST))
+
+
+def mined_rules(pages: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rules to the bad label (items, key: the rarest of them, confidence, support), and the tokens' items (token, item)."""
     bad = F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))
     by_page = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.bool_or(bad).alias("bad"))
     known = pages.select("page_id", tokens(F.coalesce("url", F.lit(""))).alias("tokens")).join(by_page, "page_id")
-    label = F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))
-    baskets = saved(known.select("tokens", F.concat("tokens", label).alias("items")))
+    baskets = saved(known.select(F.monotonically_increasing_id().alias("page"), "tokens", "bad"))
     n = baskets.count()
-    if n < LEAST:
-        return baskets.filter("false").select("tokens", F.lit("").alias("key"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support"))
-    support = max(SUPPORT, LEAST / n)
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=CONFIDENCE).fit(baskets)
-    rules = saved(model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"))
-    # each rule against those on its sub-combinations: rows for every token left out, not all pairs
-    less = rules.select("tokens", "confidence", F.explode("tokens").alias("out")).select("tokens", "confidence", F.array_remove("tokens", F.col("out")).alias("fewer"))
-    beaten = less.join(rules.select(F.col("tokens").alias("fewer"), F.col("confidence").alias("was")), "fewer").filter("was >= confidence").select("tokens").distinct()
-    single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    rarest = rules.select("tokens", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens").agg(F.min_by("token", F.struct("freq", "token")).alias("key"))
-    return rules.join(beaten, "tokens", "left_anti").join(rarest, "tokens").select("tokens", "key", "confidence", "support")
+    least = max(LEAST, math.ceil(SUPPORT * n - 1e-9))
+    flat = baskets.select("page", "bad", F.explode("tokens").alias("token"))
+    # of the pages that have a token: their number and two sums that tell sets of pages apart
+    same = {"x": F.bit_xor(F.xxhash64("page")), "y": F.bit_xor(F.xxhash64(F.lit(1), "page"))}
+    found = flat.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"), *(c.alias(k) for k, c in same.items()))
+    one = Window.partitionBy("n", "x", "y")
+    items = saved(found.filter(F.col("n_bad") >= least).select("token", F.min("token").over(one).alias("item"), "n"))
+    none = items.filter("false").select(F.array("item").alias("items"), F.col("item").alias("key"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support"))
+    if items.isEmpty():
+        return none, items.select("token", "item")
+    held = saved(flat.join(items, "token").groupBy("page", "bad").agg(F.array_sort(F.collect_set("item")).alias("items")))
+    parts = saved(held.filter("bad").select(F.explode(pieces(F.col("items"))).alias("items")))
+    model = FPGrowth(itemsCol="items", minSupport=least / max(least, parts.count())).fit(parts)
+    several = saved(model.freqItemsets.filter(F.size("items") <= MOST).select(F.array_sort("items").alias("items")))
+    single = items.groupBy(F.col("item").alias("key")).agg(F.max("n").alias("n"))
+    rarest = F.min_by("key", F.struct("n", "key")).alias("key")
+    candidates = several.select("items", F.explode("items").alias("key")).join(single, "key").groupBy("items").agg(rarest)
+    own = held.select("bad", F.col("items").alias("own"), F.explode("items").alias("key"))
+    having = own.join(candidates, "key").filter(F.size(F.array_except("items", "own")) == 0)
+    counted = having.groupBy("items", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"))
+    confidence, support = (F.col("n_bad") / F.col("n")).alias("confidence"), (F.col("n_bad") / n).alias("support")
+    rules = saved(counted.filter((F.col("n_bad") >= least) & (F.col("n_bad") >= CONFIDENCE * F.col("n"))).select("items", "key", confidence, support))
+    # each rule against those on its sub-combinations: rows for every item left out, not all pairs
+    less = rules.select("items", "confidence", F.explode("items").alias("out")).select("items", "confidence", F.array_remove("items", F.col("out")).alias("fewer"))
+    beaten = less.join(rules.select(F.col("items").alias("fewer"), F.col("confidence").alias("was")), "fewer").filter("was >= confidence").select("items").distinct()
+    return rules.join(beaten, "items", "left_anti"), items.select("token", "item")
 
 
 def judged(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict."""
-    rules = mined_rules(pages, labels)
+    rules, items = mined_rules(pages, labels)
     seen = listed(pages.select("page_id", "url"))
-    open_urls = seen.filter("rule is null and url is not null").select("url").distinct()
-    looked = open_urls.select("url", tokens(F.col("url")).alias("own")).select("url", "own", F.explode("own").alias("key"))
-    index = rules.select("key", F.col("tokens").alias("needed"))
-    hit = looked.join(index, "key").filter(F.size(F.array_except("needed", "own")) == 0).select("url").distinct().withColumn("mined", F.lit("block"))
+    urls = seen.filter("rule is null and url is not null").groupBy("url").agg(F.count(F.lit(1)).alias("n"))
+    looked = urls.select("url", F.explode(tokens(F.col("url"))).alias("token")).join(items, "token")
+    own = looked.groupBy("url").agg(F.collect_set("item").alias("own"))
+    index = rules.select("key", F.col("items").alias("needed"))
+    hit = own.select("url", "own", F.explode("own").alias("key")).join(index, "key").filter(F.size(F.array_except("needed", "own")) == 0).select("url").distinct()
+    known = hit.withColumn("mined", F.lit("block")).join(urls, "url")
     verdict = F.coalesce("listed", "mined", F.lit("allow")).alias("verdict")
-    return seen.join(hit, "url", "left").select("page_id", "host", "path", "rule", verdict)
+    return looked_up(seen, saved(known), "url", "mined").select("page_id", "host", "path", "rule", verdict)
