@@ -4,8 +4,9 @@ The encoder writes 8-bit RGB rows of 64 pixels, each filtered by none, by its le
 upper neighbour, whichever leaves the least, deflated into chunks with their checksums. The
 decoder takes any 8-bit grey, grey with alpha, RGB or RGBA file without interlace: it tests
 each checksum, inflates, and undoes the five filters in numpy, runs of rows at a time for the
-filters that allow it. A file that fails a test raises ValueError. The feature is the sign of
-the lowest cosine frequencies of the image, against their median.
+filters that allow it. A file that fails a test raises ValueError; in a column it gives a row
+of nulls with the error. The feature is the sign of the lowest cosine frequencies of the image,
+against their median.
 
 Results for edge cases: a null text counts as empty, whose payload is 192 spaces; equal texts
 have equal files and features; texts of any length are stored whole.
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptsift.llm.common import text_column
+from promptsift.llm.common import fresh, text_column
 
 ROW = 192
 WIDTH = 64
@@ -95,11 +96,22 @@ def _unfilter(kinds: np.ndarray, rows: np.ndarray, bpp: int) -> np.ndarray:
     return out
 
 
+def _header(data: bytes) -> tuple[int, int, int]:
+    """Width, height and samples of a pixel."""
+    if len(data) != 13:
+        raise ValueError("PNG header of another size")
+    width, height, depth, colour, method, filters, interlace = struct.unpack(">IIBBBBB", data)
+    if depth != 8 or colour not in CHANNELS or method or filters or interlace or not width or not height:
+        raise ValueError("PNG of a form that isn't read")
+    return width, height, CHANNELS[colour]
+
+
 def samples_of(media: bytes) -> np.ndarray:
     """The samples of a PNG file: height, width, channels."""
     if media[:8] != SIGNATURE:
         raise ValueError("not a PNG file")
     at, head, inflate, raw, ended = 8, None, zlib.decompressobj(), [], False
+    size = got = 0
     while at < len(media) and not ended:
         if at + 12 > len(media):
             raise ValueError("PNG chunk cut short")
@@ -108,22 +120,26 @@ def samples_of(media: bytes) -> np.ndarray:
         if len(data) < n or zlib.crc32(kind + data) != int.from_bytes(media[at + 8 + n : at + 12 + n], "big"):
             raise ValueError(f"PNG checksum of {kind!r}")
         if kind == b"IHDR":
-            head = struct.unpack(">IIBBBBB", data)
+            head = _header(data)
+            size = head[1] * (head[0] * head[2] + 1)
         elif kind == b"IDAT":
-            raw.append(inflate.decompress(data))
+            if head is None:
+                raise ValueError("PNG data before its header")
+            try:
+                # no more than the header says, and a byte to tell
+                part = inflate.decompress(data, size + 1 - got) if got <= size else b""
+            except zlib.error as e:
+                raise ValueError("PNG data that can't be inflated") from e
+            raw.append(part)
+            got += len(part)
         ended = kind == b"IEND"
         at += 12 + n
     if head is None or not ended:
         raise ValueError("PNG without its header or end")
-    width, height, depth, colour, _, _, interlace = head
-    if depth != 8 or colour not in CHANNELS or interlace:
-        raise ValueError("PNG of a form that isn't read")
-    bpp = CHANNELS[colour]
-    try:
-        raw.append(inflate.flush())
-        lines = np.frombuffer(b"".join(raw), np.uint8).reshape(height, width * bpp + 1)
-    except (zlib.error, ValueError) as e:
-        raise ValueError("PNG data of another size") from e
+    width, height, bpp = head
+    if got != size or not inflate.eof:
+        raise ValueError("PNG data of another size")
+    lines = np.frombuffer(b"".join(raw), np.uint8).reshape(height, width * bpp + 1)
     return _unfilter(lines[:, 0], lines[:, 1:], bpp).reshape(height, width, bpp)
 
 
@@ -157,12 +173,17 @@ def _stored(texts: list[str | None]) -> list[tuple]:
 def _read(files: list[bytes | None]) -> list[tuple]:
     rows = []
     for media in files:
-        if media is None:
-            rows.append((None,) * 6)
+        try:
+            samples = None if media is None else samples_of(media)
+        except ValueError as e:
+            samples, error = None, f"{e}"
+        else:
+            error = None
+        if samples is None:
+            rows.append((*(None,) * 6, error))
             continue
-        samples = samples_of(media)
         payload = samples.tobytes()
-        rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), low_frequencies(samples)))
+        rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), low_frequencies(samples), None))
     return rows
 
 
@@ -172,16 +193,18 @@ def store_column():
 
 
 def read_column():
-    """A column function: a PNG file's bytes to a struct of digests and the feature; null for null."""
-    return text_column(_read, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """A column function: a PNG file's bytes to a struct of digests and the feature; null for null, and an error for a bad file."""
+    return text_column(_read, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
 
 
 def stored(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, media."""
-    return docs.select("doc_id", store_column()(F.col("text")).alias("m")).select("doc_id", "m.*")
+    return docs.select("doc_id", store_column()(F.col("text")).alias("stored")).select("doc_id", "stored.*")
 
 
 def features(images: DataFrame) -> DataFrame:
-    """Per image: its other columns, and what is read from its media column."""
-    others = [c for c in images.columns if c != "media"]
-    return images.select(*others, read_column()(F.col("media")).alias("r")).select(*others, "r.*")
+    """Per image: its other columns, and what is read from its media column, in place of columns of the same names."""
+    made = ("media", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error")
+    others = [c for c in images.columns if c.lower() not in made]
+    r = fresh(images, "read")
+    return images.select(*others, read_column()(F.col("media")).alias(r)).select(*others, f"{r}.*")
