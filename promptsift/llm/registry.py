@@ -29,7 +29,7 @@ def op3_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit("\\### Assistant: </turn> ok")
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat.digests(chat.views(conversations.unionByName(own)))
+    return chat.digests(chat.expanded(conversations.unionByName(own)))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
