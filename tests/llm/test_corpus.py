@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from promptsift.llm import attention_lm, bpe, chat, media, near_copies, packing, quality, registry, secret_scan, simhash, url_rules, wavelet
+from promptsift.llm import attention_lm, bpe, chat, library, media, near_copies, packing, quality, registry, secret_scan, simhash, url_rules, wavelet
 
 BYTE, WORD = registry.vocabulary("byte_bpe_50k.json"), registry.vocabulary("word_bpe_49k.json")
 RANKS = registry.vocabulary("byte_bpe_50k.tiktoken")
@@ -209,6 +209,54 @@ def test_media_edges(edges, none):
     assert by_id[1].media_sha256 == by_id[2].media_sha256 != by_id[3].payload_sha256 and media.features(media.stored(none)).count() == 0
 
 
+def test_media_of_bad_files_and_clashing_columns(spark, edges):
+    good = media.png_of(payload("abc"))
+    rows = [(1, good), (2, None), (3, b"no file"), (4, good[:-12]), (5, good[:20] + b"\x01" + good[21:]), (6, b"")]
+    frame = spark.createDataFrame([(k, f, "r", "f", 7) for k, f in rows], "doc_id long, media binary, r string, feature string, `read` int")
+    got = {x.doc_id: x for x in media.features(frame).collect()}
+    assert got[1].payload_sha256 == hashlib.sha256(payload("abc")).hexdigest() and got[1].error is None and got[1].r == "r" and got[1]["read"] == 7
+    assert all(got[k].feature is None for k in range(2, 7)) and got[2].error is None and all("PNG" in got[k].error for k in range(3, 7))
+
+
+def chunked(*parts):
+    return media.SIGNATURE + b"".join(media._chunk(k, d) for k, d in parts)
+
+
+def test_png_forms_that_are_refused():
+    head = lambda w=64, h=1, depth=8, colour=2, rest=b"\0\0\0": w.to_bytes(4, "big") + h.to_bytes(4, "big") + bytes([depth, colour]) + rest
+    data = zlib.compress(b"\0" * 193)
+    end = (b"IEND", b"")
+    assert media.samples_of(chunked((b"IHDR", head()), (b"IDAT", data), end)).shape == (1, 64, 3)
+    bad = [
+        [(b"IHDR", head()[:5]), (b"IDAT", data), end], [(b"IHDR", head()), (b"IDAT", b"\x78\x9cjunk"), end], [(b"IHDR", head()), (b"IDAT", data[:-6]), end], [(b"IDAT", data), (b"IHDR", head()), end],
+        [(b"IHDR", head(h=2)), (b"IDAT", data), end], [(b"IHDR", head(h=0)), (b"IDAT", data), end], [(b"IHDR", head(depth=16)), (b"IDAT", data), end], [(b"IHDR", head(colour=3)), (b"IDAT", data), end],
+        [(b"IHDR", head(rest=b"\0\0\1")), (b"IDAT", data), end], [(b"IHDR", head()), (b"IDAT", zlib.compress(b"\0" * 10_000_000)), end], [(b"IHDR", head()), (b"IDAT", zlib.compress(b"\7" + b"\0" * 192)), end], [(b"IHDR", head()), (b"IDAT", data)], [end],
+    ]
+    for parts in bad:
+        with pytest.raises(ValueError):
+            media.samples_of(chunked(*parts))
+
+
+def test_cosine_hash_against_sums():
+    """The feature by its definition: a 32 by 32 image of means or repeated pixels, and each of its 64 lowest frequencies summed up."""
+    rng = np.random.default_rng(8)
+    for h in (1, 5, 32, 77):
+        samples = rng.integers(0, 256, (h, 64, 3))
+        grey = samples.sum(2).tolist()
+
+        def shrunk(lines, n):
+            if n < 32:
+                return [lines[k * n // 32] for k in range(32)]
+            cuts = [k * n // 32 for k in range(32)] + [n]
+            return [[sum(col) / (b - a) for col in zip(*lines[a:b])] for a, b in zip(cuts, cuts[1:])]
+
+        rows_ = shrunk(grey, h)
+        image = list(zip(*shrunk([list(c) for c in zip(*rows_)], 64)))
+        low = [round(sum(image[y][x] * math.cos(math.pi / 32 * (y + 0.5) * u) * math.cos(math.pi / 32 * (x + 0.5) * v) for y in range(32) for x in range(32)), 6) for u in range(8) for v in range(8)]
+        middle = sorted(low[1:])[31]
+        assert media.low_frequencies(samples.astype(np.uint8)) == f"{int(''.join('01'[x > middle] for x in low), 2):016x}"
+
+
 @pytest.mark.parametrize("kind", range(5))
 def test_png_filters(kind):
     x = np.random.default_rng(kind).integers(0, 256, (6, 12)).astype(int)
@@ -251,18 +299,22 @@ def test_op3(spark, sf_dir):
 def test_chat_examples_and_edges(spark):
     odd = ["\\", "</turn>", "<\\/turn>", "####", "## ###x", "", None, ": ", "a\nb\\### c: </turn>\n"]
     rows = [(1, k, "assistant" if k % 2 else "us: er\\", t, "extra") for k, t in enumerate(odd)] + [(None, None, None, None, "e"), (2, 0, "system", "only", "e")]
-    views = chat.views(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string"))
-    got = sorted((r for r in views.collect() if r.conv_id == 1), key=lambda r: r.pos)
-    stream = "".join(r.formatted for r in got)
-    for r, t in zip(got, odd):
-        if r.loss_start is not None:
-            context, reply = chat.example_text([(x.formatted, x.start) for x in got], r.loss_start, r.loss_end)
-            assert chat.unescaped(reply) == (t or "") and stream.startswith(context)
-        assert "</turn>" not in r.formatted[: -len(chat.CLOSE)] and "###" not in r.formatted[len(chat.OPEN) :]
-    done = {r.conv_id: r for r in chat.digests(views).collect()}
+    made = chat.expanded(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string"))
+    turns = sorted((r for r in made.collect() if r.conv_id == 1 and not r.is_example), key=lambda r: r.pos)
+    stream = "".join(r.formatted for r in turns)
+    assert all("</turn>" not in r.formatted[: -len(chat.CLOSE)] and "###" not in r.formatted[len(chat.OPEN) :] for r in turns)
+    # every assistant turn has an example: its context is all turns before it, and nothing else is trainable
+    found = {r.target: r for r in chat.examples(made).collect()}
+    assert sorted(found) == [k for k in range(len(odd)) if k % 2] and all(r.context_turns == k for k, r in found.items())
+    whole = {r.target: r for r in chat.example_texts(made).collect()}
+    assert whole.keys() == found.keys()
+    for k, r in whole.items():
+        assert r.text == "".join(x.formatted for x in turns[: k + 1]) and r.text[: found[k].context_chars] == "".join(x.formatted for x in turns[:k])
+        assert chat.unescaped(r.text[r.loss_start : r.loss_end]) == (odd[k] or "") and found[k].context_chars <= r.loss_start
+    done = {r.conv_id: r for r in chat.digests(made).collect()}
     assert tuple(done[1])[1:5] == spoken([(k, r[2], r[3]) for k, r in enumerate(rows[: len(odd)])]) and done[1].formatted_chars == len(stream)
     assert (done[2].n_turns, done[2].loss_chars, done[None].n_turns) == (1, 0, 1)
-    assert chat.digests(views.filter("false")).count() == 0
+    assert chat.digests(made.filter("false")).count() == 0 and chat.examples(made.filter("false")).count() == 0
 
 
 # secrets
@@ -417,6 +469,52 @@ def test_wavelet_edges(edges, none, monkeypatch):
     assert got == [(sum(sizes[:k]), n) for k, n in enumerate(sizes)] and wavelet.round_trip(none, BYTE).count() == 0
 
 
+def test_wavelet_tables(spark, docs, tmp_path, monkeypatch):
+    """Questions to a table of several files against the ids themselves."""
+    t = Tokenizer.from_file(BYTE)
+    few = dict(sorted(docs.items())[:60])
+    frame = spark.createDataFrame(list(few.items()), "doc_id long, text string")
+    wavelet.write_files(frame, BYTE, str(tmp_path / "w"), 5)
+    every = [(k, x) for k, text in few.items() for x in enumerate([*t.encode(text, add_special_tokens=False).ids, 2])]
+    ids = [x for _, (_, x) in every]
+    assert spark.read.parquet(str(tmp_path / "w")).count() > 1
+    asked = [ids[0], 2, 262, 49999]
+    assert {r.token: r.n for r in wavelet.counts(spark, str(tmp_path / "w"), asked + [2]).collect()} == {x: ids.count(x) for x in asked}
+    for token in asked:
+        got = sorted(tuple(r) for r in wavelet.occurrences(spark, str(tmp_path / "w"), token).collect())
+        assert got == [(k, o, at) for at, (k, (o, x)) in enumerate(every) if x == token]
+    places = [0, 7, len(ids) // 2, len(ids) - 1, len(ids), 10**9]
+    assert {r.start: r.token for r in wavelet.tokens_at(spark, str(tmp_path / "w"), places).collect()} == {p: ids[p] for p in places[:4]}
+
+
+def test_wavelet_shards_follow_the_size(spark, docs, monkeypatch):
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    small = wavelet.shards_for(frame)
+    monkeypatch.setattr(wavelet, "SHARD_BYTES", 10_000)
+    assert small == 4 and wavelet.shards_for(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")) > 100
+
+
+ODD = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u2028", "\u3000", "a", "B", "é", "漢", "😀", "́", "'s", "'LL", "1", "12345", ".", "...", "</w>", "<|endoftext|>", "_", "#", "\x00", "ǅ", "İ", "ß", "the", "The", "ing", "\n\n", "\n ", "-", "ﬁ"]
+
+
+def test_library_equals_the_tokenizers(monkeypatch):
+    """The wrapper against the library itself, over odd texts, small groups and a cache that is emptied."""
+    rng = np.random.default_rng(12)
+    texts = ["".join(rng.choice(ODD, rng.integers(0, 14))) for _ in range(3000)] + [t for _, t in EDGES]
+    for path, byte_level in ((BYTE, True), (WORD, False)):
+        t = Tokenizer.from_file(path)
+        want = [t.encode(x or "", add_special_tokens=False).ids + [3] for x in texts]
+        for group, limit in ((1 << 22, 1 << 20), (300, 50)):
+            monkeypatch.setattr(library, "GROUP", group)
+            ids, lengths = map(np.concatenate, zip(*library.Library(path, byte_level, limit).encode(pa.array(texts, pa.string()), 3)))
+            stops = np.cumsum(lengths).tolist()
+            assert [ids[a:b].tolist() for a, b in zip([0, *stops], stops)] == want
+    batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([x], pa.string())], names=["d", "t"]) for k, x in enumerate(texts[:40])]
+    made = list(library.Library(WORD, False).blocks(batches, 20, 1))
+    assert [k for names, _, _ in made for k in names] == list(range(40)) and all(len(i) >= 20 and len(i) - n[-1] < 20 for _, i, n in made[:-1])
+    assert list(library.Library(WORD, False).blocks([], 20, 1)) == []
+
+
 def test_wavelet_queries():
     rng = np.random.default_rng(9)
     for n, most in ((0, 1), (1, 5), (700, 1), (3000, 60000)):
@@ -425,7 +523,7 @@ def test_wavelet_queries():
         assert (m.ids() == ids).all() and [m.access(k) for k in range(0, n, 97)] == ids[::97].tolist()
         for token in {*ids[:3].tolist(), 77777}:
             at = np.flatnonzero(ids == token).tolist()
-            assert m.count(token) == len(at) and [m.select(token, k) for k in range(0, len(at) + 1, max(1, len(at)))] == [*at[:1], -1][: len(at) + 1] or at
+            assert m.count(token) == len(at) and [m.select(token, k) for k in range(len(at) + 1)] == [*at, -1] and m.positions(token).tolist() == at
             assert m.rank(token, n // 2) == sum(x < n // 2 for x in at)
 
 
@@ -637,7 +735,7 @@ def tokens(url):
 
 
 def mined_by_hand(pages, labels):
-    """All token combinations of the labelled pages that are frequent and confident, by enumeration."""
+    """All combinations of up to MOST tokens of the labelled pages that are frequent and confident, by enumeration."""
     from itertools import combinations
 
     known = [(tokens(u), labels[k]) for k, u in pages if k in labels]
@@ -646,7 +744,7 @@ def mined_by_hand(pages, labels):
     least = math.ceil(max(url_rules.SUPPORT, url_rules.LEAST / len(known)) * len(known) - 1e-9)
     bad, every = Counter(), Counter()
     for found, label in known:
-        for n in range(1, len(found) + 1):
+        for n in range(1, url_rules.MOST + 1):
             for c in combinations(sorted(found), n):
                 every[c] += 1
                 bad[c] += label
@@ -678,3 +776,24 @@ def test_url_edges(spark):
     rules = check_urls(spark, made, spark.createDataFrame([(k, 1 - v, 0) for k, v in label.items()], "doc_id long, quality int, toxic int"), label)
     assert {frozenset(r) for r in rules} >= {frozenset({"h:bad-x", "p:pills"})}
     assert url_rules.judged(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_long_and_popular_urls(spark):
+    """Pages of one URL with many tokens, and long URLs that share most of theirs: no listing of all subsets."""
+    label = {k: int(k % 3 > 0) for k in range(120)}
+    marked = spark.createDataFrame([(k, 1 - v, 0) for k, v in label.items()], "doc_id long, quality int, toxic int")
+    same = "http://t.example.com/" + "/".join(f"seg{j}x" for j in range(40))
+    rules = check_urls(spark, [(k, same if k % 3 else "http://ok.example.com/a") for k in range(130)], marked, label)
+    assert rules
+    rng = np.random.default_rng(4)
+    made = [(k, "http://t.com/" + "/".join(f"s{j}" + "x" * j for j in rng.permutation(18)[:16])) for k in range(130)]
+    check_urls(spark, made, marked, label)
+
+
+def test_pieces_hold_every_combination(spark):
+    from itertools import combinations
+
+    for n in (1, 12, 13, 21):
+        items = [f"i{k:02d}" for k in range(n)]
+        got = spark.createDataFrame([(items,)], "items array<string>").select(url_rules.pieces(F.col("items")).alias("p")).first().p
+        assert all(len(set(p)) == len(p) <= 12 for p in got) and all(any(set(c) <= set(p) for p in got) for c in combinations(items, min(n, url_rules.MOST)))
