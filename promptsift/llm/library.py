@@ -1,19 +1,18 @@
 """Ids by the tokenizers library, quickly: each distinct chunk of text is encoded once.
 
-Texts are cut where no token can reach over: at white space for a tokenizer that drops it,
-at single spaces and line ends for a byte-level one. Arrow cuts and numbers the chunks of
-about ``GROUP`` characters of texts, only distinct ones become Python strings, and numpy
-gathers their ids. What was encoded is kept by chunk, up to ``CACHE`` entries for a Python
-worker. Texts with other white space at such places are encoded whole by the library. New
-words of letters alone go to it in one line, which is cut again at the tokens that begin or
-end a word.
+Texts are cut where no token can reach over: at white space for a tokenizer that drops it;
+before single spaces and around line ends for a byte-level one; for both before punctuation
+that follows a letter or digit. Arrow cuts and numbers the chunks of about ``GROUP``
+characters of texts, only distinct ones become Python strings, and numpy gathers their ids.
+What was encoded is kept by chunk, up to ``CACHE`` entries for a Python worker. Texts with
+other white space at such places are encoded whole by the library. New words of letters alone
+go to it in one line, which is cut again at the tokens that begin or end a word.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import string
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -25,10 +24,12 @@ import pyarrow.compute as pc
 from promptsift.llm.common import gathered
 
 CACHE = 1_200_000
-#: Of these, whatever ends a chunk after a word is a piece of its own.
-MARKS = string.punctuation
 #: Characters of text that are encoded together.
-GROUP = 4_000_000
+GROUP = 8_000_000
+#: A letter that lower-casing leaves one, or a digit, and ASCII punctuation.
+_BORDER = r"([\p{Ll}A-Za-z0-9])([!-/:-@\[-`{-~])"
+#: Stands between a byte-level text's chunks.
+_GAP = "\x01"
 _ODD = re.compile(r"[^\S \n]|[\x1c-\x1f]")
 
 
@@ -43,7 +44,11 @@ class Library:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.byte_level, self.limit = byte_level, limit
-        self.cache: dict[str, bytes | None] = {}
+        self.cache: dict[str, bytes] = {}
+        #: Chunks with odd white space: their texts are encoded whole.
+        self.odd: set[str] = set()
+        #: Strings that are tokens wherever they stand.
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # tokens that begin (byte-level) or else end a word of a line of plain words
         vocab = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocab.values()) + 1, bool)
@@ -66,52 +71,46 @@ class Library:
         data = ids.tobytes()
         return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Of words of letters alone, with the space before them if this is byte-level."""
-        if not self.byte_level:
-            return self._cut(" ".join(words), self.edge, words, True)
-        spaced = [" " + w for w in words]
-        return self._cut("".join(spaced), self.edge, spaced, False)
-
-    def _learn(self, new: set[str], used: list[str]) -> None:
-        cache = self.cache
-        if len(cache) + len(new) > self.limit:  # keep what is in use
-            self.cache = cache = {c: cache[c] for c in used if c in cache}
-        line, starts, rest, parted = set(), set(), [], []
-        for chunk in new:
-            stem = chunk.rstrip(MARKS)
-            group = line if stem.isalpha() else starts if self.byte_level and stem[:1] == "\n" and stem[1:].isalpha() else None
-            # lower-casing may end a word by a mark, which then goes with what follows
-            if group is None or stem is not chunk and not (stem.isascii() or stem[-1].lower().isalpha()):
-                rest.append(chunk)
-                continue
-            if stem not in cache:
-                group.add(stem)
-            if stem is not chunk:
-                parted.append((chunk, stem, chunk[len(stem) :]))
-        line, starts = list(line), list(starts)
-        cache.update(zip(line, self._words(line)))
-        cache.update(zip(starts, self._cut("".join(starts), self.line_end, starts, False)))
-        marks = list({x[2] for x in parted})
-        after = dict(zip(marks, self.whole(marks)))
-        cache.update((chunk, cache[stem] + after[mark]) for chunk, stem, mark in parted)
+    def _learn(self, new: list[str], used: list[str]) -> None:
+        """Encodes new chunks; where the cache is full, keeps what is in use."""
+        if len(self.cache) + len(new) > self.limit:
+            self.cache = {c: self.cache[c] for c in used if c in self.cache}
+            self.odd.intersection_update(used)
+        line: list[str] = []
+        starts: list[str] = []
+        rest: list[str] = []
         if self.byte_level:
-            odd = {c for c in rest if _ODD.search(c)}
-            cache.update(dict.fromkeys(odd))
-            rest = [c for c in rest if c not in odd]
-            cache.update(zip(rest, self.whole([c if c[:1] == "\n" else " " + c for c in rest])))
+            for chunk in new:
+                if chunk[:1] == " ":
+                    (line if chunk[1:].isalpha() else rest).append(chunk)
+                else:
+                    (starts if chunk.isalpha() else rest).append(chunk)
+            odd = [c for c in rest if _ODD.search(c)]
+            self.odd.update(odd)
+            rest = [c for c in rest if c not in self.odd] if odd else rest
+            self.cache.update(zip(line, self._cut("".join(line), self.edge, line, False)))
+            # words at a text's or line's start, behind line ends, whose ids are taken off
+            behind = ["\n" + c for c in starts]
+            self.cache.update((c, x[4:]) for c, x in zip(starts, self._cut("".join(behind), self.line_end, behind, False)))
         else:
-            cache.update(zip(rest, self.whole(rest)))
+            for chunk in new:
+                (line if chunk.isalpha() else rest).append(chunk)
+            self.cache.update(zip(line, self._cut(" ".join(line), self.edge, line, True)))
+        self.cache.update(zip(rest, self.whole(rest)))
 
     def _chunks(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        """Lists of the texts' chunks, null for those that can't be cut; a byte-level text's first chunk is without a space."""
+        """Lists of the texts' chunks, and which texts can't be cut."""
+        odd = pc.match_substring_regex(texts, "[\x1c-\x1f]")
+        for mark in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, mark))
         if not self.byte_level:
-            odd = pc.match_substring_regex(texts, "[\x1c-\x1f]")
-            return pc.utf8_split_whitespace(pc.if_else(odd, "", texts)), odd.to_numpy(zero_copy_only=False)
-        odd = pc.ends_with(texts, " ")
+            return pc.utf8_split_whitespace(pc.replace_substring_regex(pc.if_else(odd, "", texts), _BORDER, r"\1 \2")), odd.to_numpy(zero_copy_only=False)
+        odd = pc.or_(odd, pc.or_(pc.ends_with(texts, " "), pc.match_substring(texts, _GAP)))
         for pair in ("  ", " \n", "\n\n", "\n "):
             odd = pc.or_(odd, pc.match_substring(texts, pair))
-        return pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", texts), "\n", " \n"), " "), odd.to_numpy(zero_copy_only=False)
+        cut = pc.replace_substring_regex(pc.if_else(odd, "", texts), _BORDER, rf"\1{_GAP}\2")
+        cut = pc.replace_substring(pc.replace_substring(cut, " ", _GAP + " "), "\n", f"{_GAP}\n{_GAP}")
+        return pc.split_pattern(cut, _GAP), odd.to_numpy(zero_copy_only=False)
 
     def _group(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by the end id, and how many each has with it."""
@@ -119,38 +118,31 @@ class Library:
         coded = lists.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()
         codes, sizes = coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy()
-        stops = np.cumsum(sizes)
         got = list(map(self.cache.get, names))
-        self._learn({w for w, x in zip(names, got) if x is None}, names)
-        for k, x in enumerate(got):
-            if x is None:
-                got[k] = self.cache[names[k]]
-        unknown = [k for k, x in enumerate(got) if x is None]  # with odd white space
-        if unknown:
-            lacks = np.zeros(len(names), bool)
-            lacks[unknown] = True
-            odd[np.repeat(np.arange(len(sizes)), sizes)[lacks[codes]]] = True
-            got = [x or b"" for x in got]
-        # besides the chunks: the first ones, whole texts and the end
-        tail = len(names)
-        extra: list[bytes] = []
-        if self.byte_level and len(sizes):
-            firsts = coded.take(pa.array(stops - sizes)).cast(pa.large_string()).to_pylist()
-            extra = self.whole(firsts)
-            codes = codes.copy()
-            codes[stops - sizes] = tail + np.arange(len(sizes))
+        missing = [k for k, x in enumerate(got) if x is None]
+        if missing:
+            self._learn([names[k] for k in missing if names[k] not in self.odd], names)
+            for k in missing:
+                got[k] = self.cache.get(names[k], b"")
+            lacks = [k for k in missing if names[k] in self.odd]
+            if lacks:
+                is_odd = np.zeros(len(names), bool)
+                is_odd[lacks] = True
+                odd = odd.copy()
+                odd[np.repeat(np.arange(len(sizes)), sizes)[is_odd[codes]]] = True
+        # besides the chunks: texts that are encoded whole, and the end
         at = np.flatnonzero(odd)
+        whole = self.whole(texts.take(pa.array(at)).to_pylist()) if len(at) else []
         if len(at):
-            whole = self.whole([t or "" for t in texts.take(pa.array(at)).to_pylist()])
-            drop = np.repeat(odd, sizes)
-            codes, kept = codes[~drop], np.where(odd, 0, sizes)
-            codes = np.insert(codes, (np.cumsum(kept) - kept)[at], tail + len(extra) + np.arange(len(at)))
+            kept = np.where(odd, 0, sizes)
+            codes = codes[~np.repeat(odd, sizes)]
+            codes = np.insert(codes, (np.cumsum(kept) - kept)[at], len(names) + np.arange(len(at)))
             sizes = np.where(odd, 1, sizes)
-            stops, extra = np.cumsum(sizes), extra + whole
-        codes = np.insert(codes, stops, tail + len(extra))
-        every = [*got, *extra, end.to_bytes(4, "little")]
+        stops = np.cumsum(sizes)
+        codes = np.insert(codes, stops, len(names) + len(whole))
+        every = [*got, *whole, end.to_bytes(4, "little")]
         starts = np.zeros(len(every) + 1, np.int64)
-        np.cumsum([len(x) // 4 for x in every], out=starts[1:])
+        np.cumsum(np.fromiter(map(len, every), np.int64, len(every)) >> 2, out=starts[1:])
         ids, lengths = gathered(starts, np.frombuffer(b"".join(every), "<u4"), codes)
         ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], stops + np.arange(1, len(stops) + 1)))]
         return ids, np.diff(ends)
