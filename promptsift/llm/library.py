@@ -23,9 +23,9 @@ import pyarrow.compute as pc
 
 from promptsift.llm.common import gathered
 
-CACHE = 1_200_000
+CACHE = 800_000
 #: Characters of text that are encoded together.
-GROUP = 8_000_000
+GROUP = 4_000_000
 #: A letter that lower-casing leaves one, or a digit, and ASCII punctuation.
 _BORDER = r"([\p{Ll}A-Za-z0-9])([!-/:-@\[-`{-~])"
 #: Stands between a byte-level text's chunks.
