@@ -3,7 +3,8 @@
 Each stage takes the documents that its predecessor kept and returns documents with the same
 columns; the last returns the pieces of the sequences. Between stages, ``run`` writes the
 documents as Parquet into the shared folder and reads them again, so that no stage's work is
-done twice and a lost executor costs the work of its tasks only.
+done twice and a lost executor costs the work of its tasks only. A folder goes when the next
+one is written; the last stays for whoever reads the result.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from promptsift.llm import packing, quality, secret_scan, simhash
-from promptsift.llm.common import shared_dir, table
+from promptsift.llm.common import dropped, shared_dir, table
 from promptsift.llm.registry import vocabulary
 
 
@@ -44,11 +45,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
             docs.write.parquet(folder)
             docs = spark.read.parquet(folder)
+            if before:
+                dropped(spark, before)
+            before = folder
     return docs
