@@ -7,14 +7,15 @@ from __future__ import annotations
 
 import argparse
 import sys
+from itertools import groupby
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from promptsift.functions.hooks import hooks_from_env
-from promptsift.operators import evals
+from promptsift.operators import budget, evals
 from promptsift.plans import api, suites
-from promptsift.plans.funnel import report
+from promptsift.plans.funnel import report_of
 from promptsift.plans.profiles import PROFILES
 from promptsift.shared import saved, ship
 from promptsift.sources import texts
@@ -57,14 +58,18 @@ def main(argv: list[str] | None = None) -> int:
         found = texts.read_texts(spark, args.path)
     else:
         found = spark.createDataFrame([("stdin", sys.stdin.read())], "request_id string, text string")
-    found = found.withColumn("query", F.lit(args.query))
-    for row in api.reduce_texts(found, options).orderBy("request_id").toLocalIterator():
+    # all requests in one run, and its steps measured
+    asked = bool(args.query.strip())
+    queries = found.select("request_id", F.lit(args.query).alias("query"))
+    funnel = options.full() if asked else options.lite()
+    steps = funnel.steps(texts.blocks(found), queries)
+    prompts = saved(budget.assemble(steps[-1]))
+    for row in prompts.orderBy("request_id").toLocalIterator():
         print(row.prompt)
     if args.report:
-        funnel = options.full() if args.query.strip() else options.lite()
-        for row in found.select("request_id").orderBy("request_id").toLocalIterator():
-            one = found.filter(F.col("request_id") == row.request_id)
-            print(report(funnel.metrics(texts.blocks(one), one.select("request_id", "query"))), file=sys.stderr)
+        metrics = funnel.metrics_of(steps, prompts).orderBy("request_id", "stage_no")
+        for _, rows in groupby(metrics.toLocalIterator(), lambda r: r.request_id):
+            print(report_of(list(rows)), file=sys.stderr)
     return 0
 
 

@@ -1,36 +1,54 @@
 """TF-IDF scores of documents, as joins and aggregations.
 
-Documents are rows of (key columns, pos, terms); keys say what is ranked together. Only
-(keys, pos, term) rows are shuffled, never texts.
+Documents are rows of (key columns, pos, terms); keys say what is ranked together. A
+document's terms are counted inside its row, and only (keys, pos, term) rows are shuffled,
+never texts. A term that a third of all documents share makes one key of the join with the
+terms' weights; its rows are of the streamed side, which adaptive execution splits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from promptsift.functions.text import terms
+from promptsift.shared import saved
+
+
+def _count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for lists in batches:
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        size = len(coded.dictionary) + 1
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        pairs, count = np.unique(rows * size + coded.indices.to_numpy(), return_counts=True)
+        starts = pa.array(np.searchsorted(pairs // size, np.arange(len(sizes) + 1)), pa.int32())
+        found = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(pairs % size)), pa.array(count, pa.int64())], names=["term", "count"])
+        yield pa.ListArray.from_arrays(starts, found)
+
+
+_count.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+
+
+def counted(text: Column) -> Column:
+    """The distinct terms of a text and how often it has each: array<struct<term, count>>."""
+    return arrow_udf(_count, "array<struct<term: string, count: bigint>>")(terms(text))
 
 
 def term_counts(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """keys, pos, term, count."""
-    words = docs.select(*keys, "pos", F.explode(terms(F.col(text))).alias("term"))
-    # as joins would add to some of the readers, which would then not share the shuffle
-    for name in (*keys, "pos", "term"):
-        words = words.filter(F.col(name).isNotNull())
-    return words.groupBy(*keys, "pos", "term").agg(F.count(F.lit(1)).alias("count"))
+    """keys, pos, term, count of documents whose (keys, pos) are distinct."""
+    return docs.select(*keys, "pos", F.explode(counted(F.col(text))).alias("t")).select(*keys, "pos", "t.term", "t.count")
 
 
 def documents_having(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, term, having: how many documents have a term.
-
-    It reads the counts' own column as well, so that its plan up to the shuffle equals that
-    of their other readers, and Spark takes texts apart and shuffles terms once.
-    """
-    found = counts.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("having"), F.sum("count").alias("occurrences"))
-    return found.filter("occurrences > 0").drop("occurrences")
+    """keys, term, having: how many documents have a term."""
+    return counts.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("having"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -44,7 +62,7 @@ def query_scores(docs: DataFrame, queries: DataFrame, keys: Sequence[str]) -> Da
     have a term. docs: keys, pos, text; queries: keys, query.
     """
     keys = list(keys)
-    counts = term_counts(docs, keys)
+    counts = saved(term_counts(docs, keys))
     asked = queries.select(*keys, F.explode(terms(F.col("query"))).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("asked"))
     sizes = docs.groupBy(*keys).agg((F.count(F.lit(1)) + 1).alias("n"))
     having = documents_having(counts, keys)
@@ -55,7 +73,8 @@ def query_scores(docs: DataFrame, queries: DataFrame, keys: Sequence[str]) -> Da
     in_query = F.coalesce("asked", F.lit(0)) * F.col("idf")
     lengths = weights.groupBy(*keys).agg(F.sqrt(F.sum(in_query * in_query)).alias("query_norm"))
     each = F.col("count") * F.col("idf")
-    by_doc = counts.join(weights.drop("having"), [*keys, "term"]).groupBy(*keys, "pos").agg(F.sqrt(F.sum(each * each)).alias("norm"), F.sum(each * in_query).alias("dot"))
+    # a hash table of the weights: their keys are distinct, and nothing is sorted
+    by_doc = counts.join(weights.drop("having").hint("shuffle_hash"), [*keys, "term"]).groupBy(*keys, "pos").agg(F.sqrt(F.sum(each * each)).alias("norm"), F.sum(each * in_query).alias("dot"))
     cosine = F.when(F.col("norm") * F.col("query_norm") > 0, F.col("dot") / (F.col("norm") * F.col("query_norm"))).otherwise(0.0)
     scored = by_doc.join(lengths, keys).select(*keys, "pos", cosine.alias("score"))
     return docs.select(*keys, "pos").join(scored, [*keys, "pos"], "left").select(*keys, "pos", F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from promptsift.functions import hooks, pinning, text, tools, vectors
 from promptsift.operators import budget, evals, lossless, ranking, relevance, sentences, store, summarize
 from promptsift.plans import api, catalog_sql, inputs, profiles
-from promptsift.plans.funnel import default_funnel, lite_funnel
+from promptsift.plans.funnel import Funnel, default_funnel, lite_funnel
 from promptsift.schema import DEFERRED, is_live
 from promptsift.sources import fixtures, payloads, texts
 from promptsift.streaming import gate
@@ -288,6 +288,14 @@ def funnel_lite(spark, d):
     return lite_funnel(CAP).run(chunks, inputs.queries_of(chunks)).select("request_id", "prompt", "deferred")
 
 
+def funnel_custom(spark, d):
+    """A funnel with a stage of the caller's own between those of the lite one."""
+    chunks = inputs.event_logs(spark, d)
+    lite = lite_funnel(CAP).stages
+    own = Funnel((*lite[:2], ("upper", lambda chunks, queries: chunks.withColumn("text", F.upper("text"))), *lite[2:]))
+    return own.run(chunks, inputs.queries_of(chunks)).select("request_id", "prompt", "deferred")
+
+
 def funnel_sources(spark, d):
     """The whole funnel over the documents of each source."""
     chunks = inputs.by_source(spark, d)
@@ -456,7 +464,7 @@ def queries() -> dict:
         sentence_list, chunk_ids, truncated_heads, saved_ratio, graders, chunk_blocks, pinned_severity, pinned_query, pinned_patterns,
         payload_fields, crash_loop_dedup, dedup_runs, dedup_text, dedup_event_log, prune_props, prune_orders, term_frequencies, tfidf_scores,
         relevance_topk, relevance_noop, embedding_cosine, embedding_topk, centrality, extractive_summary, summarize_stage, budget_fill,
-        budget_stage, budget_overflow, assemble_prompts, deferred_footer, deferred_rows, funnel_lite, funnel_metrics, live_sizes, store_put, store_alive,
+        budget_stage, budget_overflow, assemble_prompts, deferred_footer, deferred_rows, funnel_custom, funnel_lite, funnel_metrics, live_sizes, store_put, store_alive,
         store_retrieve, store_manifest, store_evict, gate_thresholds, gate_commands, gate_reduced, gate_sessions, gate_sessions_days,
         gate_views, gate_guards, tool_answers, pre_tool_answers, judge_lines, judge_answers, eval_suite, eval_compression, ingested_specs,
         prune_profile, embedder_topk, model_summaries, model_prompts, tool_tokens, store_workspaces,

@@ -208,10 +208,10 @@ def tool_answers(results: str) -> str:
     SELECT event_id, session, verdict, reason, CAST(total AS BIGINT) AS total, nudged, replacement, replacement AS answered FROM said"""
 
 
-def lite_prompts(rows: str, cap: int, source: str, log: bool = True) -> str:
-    """Of rows (id, text), texts of one block, logs or not: what the lite funnel makes of each; tokens before the budget."""
+def lite_prompts(rows: str, cap: int, source: str, log: bool = True, then: str = "text") -> str:
+    """Of rows (id, text), texts of one block, logs or not: what the lite funnel makes of each; tokens before the budget; then: another stage."""
     clean = f"SELECT id, {normalized('text')} AS text FROM ({rows})"
-    clean = deduplicated(clean) if log else clean
+    clean = f"SELECT id, {then} AS text FROM ({deduplicated(clean) if log else clean})"
     head = "regexp_replace(substr(text, 1, CAST(room * 4 AS BIGINT)), '\\s+$', '') || chr(10) || chr(10) || '[... +' || (tokens - room) || ' tokens truncated. Full source retrievable as ' || " + chunk_id("source", "text") + " || '.]'"
     return f"""
     SELECT id, tokens, {head} AS head, CASE WHEN tokens <= {cap} THEN 0 ELSE 1 END AS deferred,
@@ -397,6 +397,7 @@ def oracle_sql() -> dict[str, str]:
         "deferred_footer": f"SELECT request_id, prompt, deferred_ids, entries FROM ({assembled(f"SELECT *, CASE WHEN pos % 2 = 1 THEN 3 ELSE 1 END AS tier FROM ({TURNS})")})",
         "deferred_rows": f"SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY pos) - 1 AS place, {chunk_id('source', 'text')} AS id, source, 'text' AS kind, {tok('text')} AS tokens FROM ({TURNS}) WHERE pos % 2 = 1",
         "funnel_sources": funnel,
+        "funnel_custom": f"SELECT id AS request_id, prompt, CAST(deferred AS BIGINT) AS deferred FROM ({lite_prompts(f'SELECT request_id AS id, text FROM ({EVENT_LOGS})', 4000, 'events', then='upper(text)')})",
         "funnel_lite": f"SELECT id AS request_id, prompt, CAST(deferred AS BIGINT) AS deferred FROM ({logs})",
         "funnel_metrics": f"""WITH logs AS MATERIALIZED (SELECT request_id, text, {normalized('text')} AS clean FROM ({EVENT_LOGS})), p AS MATERIALIZED ({logs}),
             sizes AS (SELECT request_id, {tok('l.text')} AS t0, {tok('l.clean')} AS t1, p.tokens AS t2, CASE WHEN p.deferred = 0 THEN p.tokens ELSE {tok('p.head')} END AS t3, {tok('p.prompt')} AS t4 FROM logs l JOIN p ON p.id = l.request_id) {metrics}""",

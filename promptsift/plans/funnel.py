@@ -6,11 +6,11 @@ optimizer's to change; each stage is lazy, and Spark runs the chain as one plan.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from promptsift.functions.hooks import Embedder, Llm
@@ -109,7 +109,11 @@ def _row(cells: list[str]) -> str:
 
 def report(metrics: DataFrame) -> str:
     """The fixed-width table of one request's metrics."""
-    rows = metrics.orderBy("stage_no").collect()
+    return report_of(metrics.orderBy("stage_no").collect())
+
+
+def report_of(rows: Sequence[Row]) -> str:
+    """The same of the rows, in the stages' order."""
     head = _row([name for name, _ in REPORT])
     rule = "-" * len(head)
     body = [_row([r.stage, *map(str, (r.tokens_in, r.tokens_out, r.saved)), f"{r.ratio:.1%}", str(r.chunks_in), str(r.chunks_out)]) for r in rows]
