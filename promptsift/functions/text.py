@@ -87,8 +87,12 @@ def terms(text: Column) -> Column:
 
 def judge_terms(text: Column) -> Column:
     """Distinct lower-case words of two or more characters."""
-    words = F.filter(F.regexp_extract_all(text, F.lit("([A-Za-z0-9_]+)"), 1), lambda w: F.length(w) >= 2)
-    return F.array_distinct(F.transform(words, F.lower))
+    return F.array_distinct(judge_words(text))
+
+
+def judge_words(text: Column) -> Column:
+    """The same with repeats."""
+    return F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z0-9_]{2,})"), 1), F.lower)
 
 
 def sentences(text: Column) -> Column:

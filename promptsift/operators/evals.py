@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptsift.functions.text import judge_terms, stripped
+from promptsift.functions.text import judge_terms, judge_words, stripped
 
 TOP, NEAR, FALLBACK_CHARS = 3, 2, 400
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
@@ -35,7 +35,7 @@ def answers(contexts: DataFrame, top: int = TOP, near: int = NEAR) -> DataFrame:
     asked = judge_terms(F.col("query"))
     # inside the row: no line leaves it
     lines = contexts.select("case_id", "context", asked.alias("asked"), F.when(F.length("context") > 0, F.split(text, LINE_END, -1)).alias("lines"))
-    scores = F.transform("lines", lambda line, i: F.struct((-F.size(F.array_intersect("asked", judge_terms(line)))).alias("score"), i.alias("idx")))
+    scores = F.transform("lines", lambda line, i: F.struct((-F.size(F.array_intersect("asked", judge_words(line)))).alias("score"), i.alias("idx")))
     hits = F.slice(F.array_sort(F.filter(scores, lambda x: x["score"] < 0)), 1, top)
     chosen = lines.withColumn("near", F.flatten(F.transform(hits, lambda x: F.sequence(x["idx"] - near, x["idx"] + near))))
     found = F.filter(F.transform(F.filter(F.array_sort(F.array_distinct("near")), lambda i: (i >= 0) & (i < F.size("lines"))), lambda i: stripped(F.get("lines", i))), lambda line: line != "")

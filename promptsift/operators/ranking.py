@@ -37,8 +37,11 @@ _count.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.A
 
 
 def counted(text: Column) -> Column:
-    """The distinct terms of a text and how often it has each: array<struct<term, count>>."""
-    return arrow_udf(_count, "array<struct<term: string, count: bigint>>")(terms(text))
+    """The distinct terms of a text and how often it has each: array<struct<term, count>>.
+
+    It isn't deterministic to the optimizer, which therefore never runs it twice for a row.
+    """
+    return arrow_udf(_count, "array<struct<term: string, count: bigint>>").asNondeterministic()(terms(text))
 
 
 def term_counts(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:

@@ -118,7 +118,7 @@ def summaries(share: float):
             yield pa.array(out, pa.string())
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    return arrow_udf(run, "string")
+    return arrow_udf(run, "string").asNondeterministic()
 
 
 def _terms_of(said: Column) -> Column:
@@ -129,8 +129,11 @@ _score_batches.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]]
 
 
 def sentence_scores(text: Column, query: Column) -> Column:
-    """near and central of the text's sentences, in order."""
-    return arrow_udf(_score_batches, SCORES)(_terms_of(sentences(text)), terms(query))
+    """near and central of the text's sentences, in order.
+
+    It isn't deterministic to the optimizer, which therefore never runs it twice for a row.
+    """
+    return arrow_udf(_score_batches, SCORES).asNondeterministic()(_terms_of(sentences(text)), terms(query))
 
 
 def summary(text: Column, query: Column, share: float) -> Column:
