@@ -43,7 +43,7 @@ import base64
 import io
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import groupby
 from operator import itemgetter
@@ -208,17 +208,27 @@ def counted(s: Stream) -> Iterator[np.ndarray]:
     square = SIZE * SIZE
     for lag in range(1, CONTEXT + 1):
         ok = s.learns[lag:] & (s.place[lag:] >= lag)
-        for at in [np.flatnonzero(ok)] if lag > 1 else [np.flatnonzero(ok & (s.in_word[:-1] == w)) for w in range(PLACES)]:
-            yield np.bincount(s.ids.take(at) * SIZE + s.ids.take(at + lag), minlength=square)
+        for w in range(PLACES if lag == 1 else 1):
+            own = ok & (s.in_word[:-1] == w) if lag == 1 else ok
+            pair = s.ids[:-lag].compress(own)
+            pair *= SIZE
+            pair += s.ids[lag:].compress(own)
+            yield np.bincount(pair, minlength=square)
     yield np.bincount(s.ids[s.learns], minlength=SIZE)
 
 
 class Model:
     """Values, queries, keys and biases."""
 
-    def __init__(self, counts: dict[int, np.ndarray], weights: np.ndarray | None = None):
-        """counts: as counted() has them, by number; those that lack are zero."""
-        total = counts.get(TABLES, np.zeros(SIZE)) + ADDED
+    def __init__(self, counts: Callable[[int], np.ndarray | None], weights: np.ndarray | None = None):
+        """counts: what counted() has, by number, one at a time; those that lack are zero."""
+
+        def table_of(k: int) -> np.ndarray:
+            found = counts(k)
+            return np.zeros((SIZE, SIZE), np.float32) if found is None else found.reshape(SIZE, SIZE).astype(np.float32)
+
+        total = counts(TABLES)
+        total = (np.zeros(SIZE) if total is None else total) + ADDED
         total[START] = 0
         self.all = (total / total.sum()).astype(np.float32)
         self.values = np.empty((TABLES, SIZE * SIZE), np.float16)
@@ -226,12 +236,11 @@ class Model:
         self.own = np.empty((TABLES, SIZE), np.float32)
         nearest = np.zeros((SIZE, SIZE), np.float32)
         for k in range(PLACES):
-            if k in counts:
-                nearest += counts[k].reshape(SIZE, SIZE)
+            nearest += table_of(k)
         self._smooth(nearest, self.all, nearest)
         nearest /= HALVES
         for k in range(TABLES):
-            table = counts[k].reshape(SIZE, SIZE).astype(np.float32) if k in counts else np.zeros((SIZE, SIZE), np.float32)
+            table = table_of(k)
             self.own[k] = 1 / (table.sum(1) + np.float32(PRIOR - 1))
             self._smooth(table, nearest if k < PLACES else self.all, self.values[k].reshape(SIZE, SIZE))
         self.set(self.start() if weights is None else weights)
@@ -437,7 +446,7 @@ def _model(run: str, sums: Broadcast) -> Model:
     if run not in _models:
         _models.clear()
         tokens_of.cache_clear()
-        _models[run] = Model({k: _loaded(data)["a"] for k, data in sums.value.items()})
+        _models[run] = Model(lambda k: _loaded(sums.value[k])["a"] if k in sums.value else None)
     return _models[run]
 
 
@@ -515,8 +524,8 @@ def scored(docs: DataFrame, path: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: list[np.ndarray] = []
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                s = Stream(_loaded(data), subwords.value)
+            for data in batch.column(0):
+                s = Stream(_loaded(data.as_buffer()), subwords.value)
                 for k, array in enumerate(counted(s)):
                     if k == len(totals):
                         # a block has fewer ids than its smallest whole number of 32 bits counts
@@ -530,8 +539,8 @@ def scored(docs: DataFrame, path: str) -> DataFrame:
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = None, 0
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                s = Stream(_loaded(data), subwords.value)
+            for data in batch.column(0):
+                s = Stream(_loaded(data.as_buffer()), subwords.value)
                 if s.learns.any():
                     weights = _model(folder, sums).train(s).astype(np.float64)
                     total, n = weights if total is None else total + weights, n + 1

@@ -592,7 +592,7 @@ def test_blocks_split_scores_alike(spark, docs, monkeypatch):
     assert counts[0] == counts[1]
     subwords = attention_lm.Subwords(attention_lm.tokens_of(RANKS), tokens[0])
     s = attention_lm.Stream(attention_lm._loaded(next(r["data"] for r in one if r["number"] == -1)), subwords)
-    model_ = attention_lm.Model(dict(enumerate(attention_lm.counted(s))))
+    model_ = attention_lm.Model(dict(enumerate(attention_lm.counted(s))).get)
     assert scores(one, model_) == pytest.approx(scores(many, model_), rel=1e-6)
 
 
@@ -637,7 +637,7 @@ def model(n=(500, 300, 100)):
     ids, sizes = tokens.of_words([b"word%d" % k for k in range(40)])
     block = {"doc_ids": np.arange(len(n)), "missing": np.zeros(len(n), bool), "held": np.array([False] * (len(n) - 1) + [True]), "n_words": np.array(n, np.uint32), "words": words_, "n_tokens": sizes.astype(np.uint32), "tokens": ids}
     s = attention_lm.Stream(block, attention_lm.Subwords(tokens, np.bincount(ids, minlength=tokens.size)))
-    return s, attention_lm.Model(dict(enumerate(attention_lm.counted(s))))
+    return s, attention_lm.Model(dict(enumerate(attention_lm.counted(s))).get)
 
 
 def test_attention_is_causal_and_sums_to_one():
