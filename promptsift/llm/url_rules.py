@@ -40,7 +40,7 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 SUPPORT, LEAST = 0.002, 25
 CONFIDENCE = 0.6
 #: Items of a rule, and of a part of a long basket.
-MOST, PART = 3, 4
+MOST, PART = 3, 2
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
