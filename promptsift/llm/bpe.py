@@ -1,10 +1,10 @@
 """Byte-pair encoding by a contiguous rank array.
 
 A word (a piece of the pre-tokenizer) is encoded by holding the boundaries of its parts and,
-in a second list of the same order, the merge ranks of adjacent parts. The lowest rank is
-looked for by a scan, its boundary is deleted and the two neighbouring ranks are looked up
-again. Scans are quadratic, so words of over ``SHORT`` bytes take a heap over linked parts
-instead, with the same result.
+in a second list of the same order, the merge ranks of adjacent parts, which the bytes between
+the boundaries name. The lowest rank is looked for by a scan, its boundary is deleted and the
+two neighbouring ranks are looked up again. Scans are quadratic, so words of over ``SHORT``
+bytes take a heap over linked parts instead, with the same result.
 
 Results for edge cases: a null text counts as empty and has no ids; equal texts have equal
 ids; texts of any length are encoded whole; special tokens of the file are recognised inside
@@ -18,6 +18,7 @@ import heapq
 import json
 from array import array
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import regex
@@ -28,6 +29,8 @@ from promptsift.llm.common import text_column
 
 SHORT = 256
 NONE = 1 << 60
+#: Holds the length of a part.
+LEFT = (1 << 10) - 1
 #: Fixed value: the public pre-tokenizer pattern of byte-level BPE.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space that the quick split by single spaces and line ends can't place.
@@ -56,6 +59,7 @@ class Ranks:
         vocab = spec["model"]["vocab"]
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.text = {i: bytes(as_byte[c] for c in s) for s, i in vocab.items() if s not in self.special}
+        self.id_of = {data: i for i, data in self.text.items()}
         self.text |= {i: s.encode() for s, i in self.special.items()}
         self.first = [0] * 256
         for s, i in vocab.items():
@@ -63,29 +67,31 @@ class Ranks:
                 self.first[as_byte[s]] = i
         self.pair: dict[int, int] = {}
         self.made: list[int] = []
+        #: By what a merge makes: its rank, and below that the length of its left part, which tells it from other cuts of the same bytes.
+        self.merge: dict[bytes, int] = {}
         for rank, merge in enumerate(spec["model"]["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             self.pair[vocab[left] << 20 | vocab[right]] = rank
             self.made.append(vocab[left + right])
+            self.merge[self.text[vocab[left + right]]] = rank * (LEFT + 1) + len(self.text[vocab[left]])
 
     def encode(self, word: bytes) -> list[int]:
         return self._short(word) if len(word) <= SHORT else self._long(word)
 
     def _short(self, word: bytes) -> list[int]:
-        rank_of, made = self.pair.get, self.made
-        parts = [self.first[b] for b in word]
+        merge_of, id_of = self.merge.get, self.id_of
         cuts = list(range(len(word) + 1))  # part k is word[cuts[k]:cuts[k + 1]]
-        ranks = [rank_of(a << 20 | b, NONE) for a, b in zip(parts, parts[1:])]
+        ranks = [x if (x := merge_of(word[k : k + 2], NONE)) & LEFT == 1 else NONE for k in range(len(word) - 1)]
         while ranks and (least := min(ranks)) != NONE:
             k = ranks.index(least)
-            parts[k] = made[least]
-            del cuts[k + 1], parts[k + 1], ranks[k]
+            del cuts[k + 1], ranks[k]
             if k < len(ranks):
-                ranks[k] = rank_of(parts[k] << 20 | parts[k + 1], NONE)
+                a, b, c = cuts[k : k + 3]
+                ranks[k] = x if (x := merge_of(word[a:c], NONE)) & LEFT == b - a else NONE
             if k:
-                ranks[k - 1] = rank_of(parts[k - 1] << 20 | parts[k], NONE)
-        assert len(cuts) == len(parts) + 1
-        return parts
+                a, b, c = cuts[k - 1 : k + 2]
+                ranks[k - 1] = x if (x := merge_of(word[a:c], NONE)) & LEFT == b - a else NONE
+        return [id_of[word[a:b]] for a, b in pairwise(cuts)]
 
     def _long(self, word: bytes) -> list[int]:
         rank_of, made, n = self.pair.get, self.made, len(word)
