@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 
 from promptsift.llm.common import gathered
 
-CACHE = 800_000
+CACHE = 1_000_000
 #: Characters of text that are encoded together.
 GROUP = 4_000_000
 #: A letter that lower-casing leaves one, or a digit, and ASCII punctuation.
@@ -112,11 +112,18 @@ class Library:
         cut = pc.replace_substring(pc.replace_substring(cut, " ", _GAP + " "), "\n", f"{_GAP}\n{_GAP}")
         return pc.split_pattern(cut, _GAP), odd.to_numpy(zero_copy_only=False)
 
+    def _strings(self, chunks: pa.Array) -> list[str]:
+        """The chunks as Python strings: joined by what none of them holds, and cut again."""
+        if not len(chunks):
+            return []
+        gap = _GAP if self.byte_level else "\n"
+        return pc.binary_join(pa.ListArray.from_arrays([0, len(chunks)], chunks), pa.scalar(gap, chunks.type))[0].as_py().split(gap)
+
     def _group(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by the end id, and how many each has with it."""
         lists, odd = self._chunks(texts)
         coded = lists.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = self._strings(coded.dictionary)
         codes, sizes = coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy()
         got = list(map(self.cache.get, names))
         missing = [k for k, x in enumerate(got) if x is None]
