@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptsift.llm import attention_lm, bpe, chat, media, oracle, packing, quality, secret_scan, simhash, substrings, url_rules, wavelet
+from promptsift.llm import attention_lm, bpe, chat, media, oracle, packing, quality, secret_scan, simhash, substrings, url_rules, wavelet, whitening
 from promptsift.llm.common import table
 
 
@@ -60,13 +60,18 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def op13_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.deduplicated(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_media, op3_chat_examples, op4_secrets, op5_quality_rules, op6_bpe, op7_packing, op8_attention_lm, op9_wavelet, op10_url_rules, op13_suffix_array)}
+    return {f.__name__: f for f in (op1_simhash, op2_media, op3_chat_examples, op4_secrets, op5_quality_rules, op6_bpe, op7_packing, op8_attention_lm, op9_wavelet, op10_url_rules, op11_whitening, op13_suffix_array)}
 
 
 def oracle_sql() -> dict[str, str]:
