@@ -1,6 +1,6 @@
 """Exact substring deduplication: bytes of strings of 100 bytes that also start earlier go.
 
-1. Texts are written once, compressed and dealt by row, so that later joins leave them in place.
+1. Texts are written once, compressed and in buckets by row, so that later joins read them in place.
 2. Anchors: among the 32-byte strings inside a 100-byte window the one with the least hash is
    its anchor (the first of equal ones), so that equal windows have equal anchors at equal
    places. Windows with the same anchor in a row are a piece; its key is the anchor's hash.
@@ -29,13 +29,14 @@ import functools
 import hashlib
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptsift.llm.common import saved
+from promptsift.llm.common import bucketed, written
 from promptsift.llm.suffix_array import ranges, suffix_arrays
 
 SPAN = 100
@@ -50,12 +51,12 @@ HOT_ONE_IN = 1000
 _CHUNK, _LANES = 1 << 20, 3 << 19
 _PLACES = np.uint64((1 << 22) - 1)
 _BACK = SPAN - ANCHOR
-#: An anchor's place that says that a piece is a slice already.
-_SLICED = 255
+#: An anchor's place that says that a piece is a slice already, and one that says that it is a run of copies.
+_SLICED, _COPY = 255, 254
 
-_PIECE = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("ref", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("mid", pa.int16()), ("copy", pa.bool_())])
-_PIECES = "key long, content long, ref long, row long, start long, n long, mid short, copy boolean"
-_FOUND = "row long, ref long, start long, n long, mid short, key long, crowded boolean"
+#: at: where the first window starts, the anchor's place from there, the number of windows (16 and 8 bits up from 0). Of copies, content is the number.
+_PIECE = pa.schema([(c, pa.int64()) for c in ("key", "content", "ref", "row", "at")])
+_FOUND = "row long, start long, n long, mid short, key long, crowded boolean"
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -101,55 +102,106 @@ def _sliced(starts: np.ndarray, sizes: np.ndarray, anchors: np.ndarray) -> tuple
     return of, a, np.minimum(starts[of] + sizes[of], begin + SLICE) - a, begin + SLICE - 1
 
 
-def _cut(slices: list[tuple[bytes, int, int, int]], hot: np.ndarray) -> dict[str, np.ndarray]:
-    """The pieces of texts' slices (bytes, ref, row, where the slice begins in its text)."""
-    sizes = np.array([len(s[0]) for s in slices])
-    text = np.frombuffer(b"".join(s[0] for s in slices), np.uint8)
-    low = np.cumsum(sizes) - sizes
-    n = len(text) - SPAN + 1
-    if n < 1:
-        return {f.name: np.empty(0, np.int64) for f in _PIECE}
-    sums = _Sums(text)
-    anchor = sums.anchors()
-    least = (anchor & ~_PLACES) | np.arange(len(anchor), dtype=np.uint64)
-    width, wanted = 1, _BACK + 1
-    while 2 * width <= wanted:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    least = np.minimum(least[:n], least[wanted - width : wanted - width + n])
-    where = (least & _PLACES).astype(np.int64)
-    stops = np.maximum(low, low + sizes - SPAN + 1)
-    cuts = np.unique(np.concatenate([np.flatnonzero(where[1:] != where[:-1]) + 1, low, stops, [n]]))
-    cuts = cuts[cuts <= n]
-    starts, ends = cuts[:-1], cuts[1:]
-    of = np.searchsorted(low, starts, side="right") - 1
-    inside = starts < stops[of]
-    starts, counts, of = starts[inside], (ends - starts)[inside], of[inside]
-    mids = where[starts]
-    keys = anchor[mids]
-    mids = mids - starts
+@functools.cache
+def _numbers() -> np.ndarray:
+    return np.arange(2 * _CHUNK + 2 * SPAN, dtype=np.uint64)
+
+
+@dataclass
+class _Cut:
+    """Pieces of joined slices of texts: first window, how many, the anchor, the slice and the key of each."""
+
+    sums: _Sums
+    low: np.ndarray
+    starts: np.ndarray
+    counts: np.ndarray
+    mids: np.ndarray
+    of: np.ndarray
+    keys: np.ndarray
+
+    @staticmethod
+    def of_texts(texts: list[bytes]) -> _Cut | None:
+        sizes = np.array([len(t) for t in texts])
+        text = np.frombuffer(b"".join(texts), np.uint8)
+        low = np.cumsum(sizes) - sizes
+        n = len(text) - SPAN + 1
+        if n < 1:
+            return None
+        sums = _Sums(text)
+        anchor = sums.anchors()
+        least = anchor & ~_PLACES
+        least |= _numbers()[: len(least)]
+        width, wanted = 1, _BACK + 1
+        while 2 * width <= wanted:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        least = np.minimum(least[:n], least[wanted - width : wanted - width + n])
+        stops = np.maximum(low, low + sizes - SPAN + 1)
+        edge = np.empty(n + 1, bool)
+        edge[0] = edge[n] = True
+        np.not_equal(least[1:], least[:-1], out=edge[1:n])
+        edge[low[low <= n]] = edge[stops[stops <= n]] = True
+        cuts = np.flatnonzero(edge)
+        starts, counts = cuts[:-1], np.diff(cuts)
+        of = np.searchsorted(low, starts, side="right") - 1
+        inside = starts < stops[of]
+        starts, counts, of = starts[inside], counts[inside], of[inside]
+        mids = (least[starts] & _PLACES).astype(np.int64)
+        return _Cut(sums, low, starts, counts, mids, of, anchor[mids])
+
+    def contents(self, at: np.ndarray | slice) -> np.ndarray:
+        return self.sums.parts(self.starts[at], self.counts[at] + SPAN - 1)
+
+    def common(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys that have over a thousandth of the pieces, and how many different ones."""
+        keys, of, counts = np.unique(self.keys, return_inverse=True, return_counts=True)
+        least = max(16, len(self.keys) // HOT_ONE_IN)
+        at = np.flatnonzero((counts > least)[of])
+        pairs = np.unique(np.stack([of[at].astype(np.uint64), self.contents(at)]), axis=1)[0].astype(np.int64)
+        counts = np.bincount(pairs, minlength=len(keys))
+        often = counts > least
+        return keys[often].view(np.int64), counts[often]
+
+
+def _pieces_of(slices: list[tuple[bytes, int, int, int]], hot: np.ndarray) -> list[np.ndarray]:
+    """The pieces of texts' slices (bytes, ref, row, where the slice begins in its text), as columns of _PIECE."""
+    cut = _Cut.of_texts([s[0] for s in slices])
+    if cut is None:
+        return [np.empty(0, np.int64)] * len(_PIECE)
+    starts, counts, of, keys, mids = cut.starts, cut.counts, cut.of, cut.keys, cut.mids - cut.starts
     is_hot = np.isin(keys, hot) if len(hot) else np.zeros(len(keys), bool)
+    content = cut.contents(slice(None))
     if is_hot.any():
-        p, a, n_windows, core = _sliced(starts[is_hot], counts[is_hot], starts[is_hot] + mids[is_hot])
-        core_keys = sums.parts(core, SPAN - SLICE + 1) + (core - mids[is_hot][p] - starts[is_hot][p]).astype(np.uint64)
+        p, a, n_windows, core = _sliced(starts[is_hot], counts[is_hot], cut.mids[is_hot])
+        core_keys = cut.sums.parts(core, SPAN - SLICE + 1) + (core - cut.mids[is_hot][p]).astype(np.uint64)
         cold = ~is_hot
+        content = np.append(content[cold], cut.sums.parts(a, n_windows + SPAN - 1))
         starts, counts, of = np.append(starts[cold], a), np.append(counts[cold], n_windows), np.append(of[cold], of[is_hot][p])
         keys, mids = np.append(keys[cold], core_keys), np.append(mids[cold], np.full(len(a), _SLICED))
     refs, rows, begins = (np.array([s[k] for s in slices], np.int64) for k in (1, 2, 3))
     by_doc = np.empty(len(slices), np.int64)
     by_doc[np.lexsort((begins, rows, refs))] = np.arange(len(slices))
-    content = sums.parts(starts, counts + SPAN - 1)
     order = np.lexsort((starts, by_doc[of], content, keys))
     copy = np.zeros(len(order), bool)
     copy[order[1:]] = (keys[order[1:]] == keys[order[:-1]]) & (content[order[1:]] == content[order[:-1]])
-    return {"key": keys.view(np.int64), "content": content.view(np.int64), "ref": refs[of], "row": rows[of], "start": starts - low[of] + begins[of], "n": counts, "mid": mids.astype(np.int16), "copy": copy}
-
-
-def _texts(batch: pa.RecordBatch) -> Iterator[list[tuple[bytes, int, int, int]]]:
-    """Slices of a batch's texts, about _CHUNK bytes at a time; those of a long text overlap by a window."""
+    begin = starts - cut.low[of] + begins[of]
+    own = ~copy
+    columns = [keys.view(np.int64)[own], content.view(np.int64)[own], refs[of[own]], rows[of[own]], begin[own] << 16 | mids[own] << 8 | counts[own]]
+    if copy.any():
+        # windows with an earlier start, in runs, which only pass through: they are dealt by their place
+        at = np.flatnonzero(copy)
+        at = at[np.lexsort((starts[at], of[at]))]
+        first = np.flatnonzero(np.append(True, (starts[at[1:]] != starts[at[:-1]] + counts[at[:-1]]) | (of[at[1:]] != of[at[:-1]])))
+        n, at = np.add.reduceat(counts[at], first), at[first]
+        dealt = _mixed((rows[of[at]] * 1_000_003 + begin[at]).view(np.uint64)).view(np.int64)
+        columns = [np.append(c, x) for c, x in zip(columns, (dealt, n, refs[of[at]], rows[of[at]], begin[at] << 16 | _COPY << 8))]
+    return columns
+
+
+def _chunks(texts: Iterator[tuple[bytes, int, int]]) -> Iterator[list[tuple[bytes, int, int, int]]]:
+    """Slices of texts, about _CHUNK bytes at a time; those of a long text overlap by a window."""
     held, size = [], 0
-    for ref, row, packed in zip(*(batch[c].to_pylist() for c in ("ref", "row", "packed"))):
-        text = zlib.decompress(packed)
+    for text, ref, row in texts:
         for at in range(0, max(1, len(text) - SPAN + 1), _CHUNK):
             held.append((text[at : at + _CHUNK + SPAN - 1], ref, row, at))
             size += len(held[-1][0])
@@ -165,35 +217,21 @@ def _pieces(hot: list[int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for held in _texts(batch):
-                found = _cut(held, keys)
-                # copies only pass through: they are dealt by their place
-                copies = found["copy"]
-                found["key"] = np.where(copies, _mixed((found["row"] * 1_000_003 + found["start"]).view(np.uint64)).view(np.int64), found["key"]) if len(copies) else found["key"]
-                yield pa.RecordBatch.from_arrays([pa.array(found[f.name], f.type) for f in _PIECE], schema=_PIECE)
+            texts = ((zlib.decompress(packed), ref, row) for ref, row, packed in zip(*(batch[c].to_pylist() for c in ("ref", "row", "packed"))))
+            for held in _chunks(texts):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _pieces_of(held, keys)], schema=_PIECE)
 
     return run
 
 
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys with more than a thousandth of the pieces of a batch of texts, once for equal contents."""
-    for batch in batches:
-        for held in _texts(batch):
-            found = _cut(held, np.empty(0, np.uint64))
-            key, counts = np.unique(found["key"][~found["copy"]] if len(found["key"]) else found["key"], return_counts=True)
-            often = counts > max(16, counts.sum() // HOT_ONE_IN)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(key[often], 0)), pa.array(np.append(counts[often], 0)), pa.array(np.append(np.zeros(often.sum(), np.int64), counts.sum()))], names=["key", "n", "total"])
-
-
 def hot_keys(texts: DataFrame) -> list[int]:
     """Keys that have over a thousandth of all pieces: fewer than a thousand."""
-    counted = texts.mapInArrow(_common, "key long, n long, total long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    counted = saved(counted)
-    total = counted.agg(F.sum("total")).first()[0] or 0
-    return [r.key for r in counted.filter((F.col("n") > 16) & (F.col("n") * HOT_ONE_IN > total)).select("key").collect()]
+    total = texts.agg(F.sum("n_pieces")).first()[0] or 0
+    counted = texts.select(F.explode("common").alias("c")).groupBy("c.key").agg(F.sum("c.n").alias("n"))
+    return [r.key for r in counted.filter(F.col("n") * HOT_ONE_IN > total).select("key").collect()]
 
 
-_OUT = pa.schema([("row", pa.int64()), ("ref", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("mid", pa.int16()), ("key", pa.int64()), ("crowded", pa.bool_())])
+_OUT = pa.schema([("row", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("mid", pa.int16()), ("key", pa.int64()), ("crowded", pa.bool_())])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,19 +239,21 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Of a key that goes on in the next batch at most CROWD + 1 pieces are held.
     """
-    names = ("row", "ref", "start", "n", "mid", "key")
+    names = ("row", "start", "n", "mid", "key")
     held = {c: np.empty(0, np.int64) for c in names}
     last, crowded = None, False
 
     def rows(of: dict[str, np.ndarray], key: np.ndarray | None, crowded) -> pa.RecordBatch:
         n = len(of["row"])
         keys = pa.nulls(n, pa.int64()) if key is None else pa.array(key)
-        return pa.RecordBatch.from_arrays([*(pa.array(of[c], _OUT.field(c).type) for c in names[:5]), keys, pa.array(np.broadcast_to(crowded, n))], schema=_OUT)
+        return pa.RecordBatch.from_arrays([*(pa.array(of[c], _OUT.field(c).type) for c in names[:4]), keys, pa.array(np.broadcast_to(crowded, n))], schema=_OUT)
 
     for batch in batches:
-        at = {c: batch[c].to_numpy(zero_copy_only=False) for c in (*names, "content", "copy")}
-        if (passing := at["copy"]).any():
-            yield rows({c: at[c][passing] for c in names}, None, False)
+        at = {c: batch[c].to_numpy(zero_copy_only=False) for c in ("key", "content", "row", "at")}
+        packed = at.pop("at")
+        at |= {"start": packed >> 16, "n": packed & 255, "mid": packed >> 8 & 255}
+        if (passing := at["mid"] == _COPY).any():
+            yield rows({c: at[c][passing] for c in names} | {"n": at["content"][passing]}, None, False)
             at = {c: v[~passing] for c, v in at.items()}
         if not len(at["key"]):
             continue
@@ -335,10 +375,22 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+_PACKED = "row long, ref long, doc_id long, packed binary, n_pieces long, common array<struct<key:long,n:long>>"
+_COMMON = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())]))
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts, compressed; at the first text of a batch, how many pieces it has and its common keys."""
     for batch in batches:
         texts = [(t or "").encode() for t in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("row", "ref", "doc_id")), pa.array([zlib.compress(t, 1) for t in texts], pa.binary())], names=["row", "ref", "doc_id", "packed"])
+        n, common = 0, []
+        for held in _chunks((t, 0, 0) for t in texts):
+            if (cut := _Cut.of_texts([s[0] for s in held])) is not None:
+                n += len(cut.keys)
+                common += [{"key": k, "n": c} for k, c in zip(*(x.tolist() for x in cut.common()))]
+        counts, keys = [n, *[0] * (len(texts) - 1)], [common, *[None] * (len(texts) - 1)]
+        columns = [*(batch[c] for c in ("row", "ref", "doc_id")), pa.array([zlib.compress(t, 1) for t in texts], pa.binary()), pa.array(counts[: len(texts)], pa.int64()), pa.array(keys[: len(texts)], _COMMON)]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "ref", "doc_id", "packed", "n_pieces", "common"])
 
 
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), ("kept", pa.binary())])
@@ -367,13 +419,11 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (start and length of each run that goes) and kept (the bytes left)."""
-    spark = docs.sparkSession
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("ref"), doc_id.alias("doc_id"), "text")
-    packed = rows.mapInArrow(_packed, "row long, ref long, doc_id long, packed binary")
-    texts = saved(packed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row"))
-    pieces = texts.mapInArrow(_pieces(hot_keys(texts)), _PIECES).repartition("key").sortWithinPartitions("key", "content", "ref", "row", "start")
-    found = saved(pieces.mapInArrow(_repeated, _FOUND))
+    texts = bucketed(rows.mapInArrow(_packed, _PACKED), "row")
+    pieces = texts.select("ref", "row", "packed").mapInArrow(_pieces(hot_keys(texts)), "key long, content long, ref long, row long, at long")
+    found = written(pieces.repartition("key").sortWithinPartitions("key", "content", "ref", "row", "at").mapInArrow(_repeated, _FOUND), "windows")
     wanted = found.filter("key IS NOT NULL").groupBy("row").agg(F.collect_list(F.struct("key", "start", "n", "mid", "crowded")).alias("wanted"))
     read = texts.join(wanted, "row").select("ref", "row", "packed", "wanted").mapInArrow(_read, "key long, ref long, row long, start long, n long, piece binary")
     sorted_out = read.repartition("key").sortWithinPartitions("key", "piece", "ref", "row", "start").mapInArrow(_sorted_out, "row long, start long, n long")
