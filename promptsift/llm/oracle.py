@@ -1,8 +1,8 @@
-"""SQL of the corpus queries that DuckDB can express: op3, op5 and op10.
+"""SQL of the corpus queries that DuckDB can express: op3, op5, op10 and op12.
 
 The others need XXH64 (op1), deflate (op2), code-point positions of matches and gamma tails
-(op4), a tokenizer (op6, op7, op9) or a trained model (op8); tests hold those against brute
-force.
+(op4), a tokenizer (op6, op7, op9), a trained model (op8), eigenvectors (op11) or slices of bytes
+(op13); tests hold those against brute force.
 """
 
 from __future__ import annotations
@@ -83,5 +83,15 @@ hits AS (SELECT DISTINCT row FROM seen JOIN rules ON list_has_all(own, tokens))
 SELECT page_id, host, path, rule, coalesce(listed, CASE WHEN h.row IS NOT NULL THEN 'block' END, 'allow') AS verdict FROM seen s LEFT JOIN hits h USING (row)"""
 
 
+OP12 = """
+WITH own AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scored AS MATERIALIZED (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM own a JOIN own b ON a.id % 50 = 0 AND a.id <> b.id),
+positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place FROM scored WHERE same) WHERE place <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score) WHERE rank <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_examples": OP3, "op5_quality_rules": _op5(), "op10_url_rules": _op10()}
+    return {"op3_chat_examples": OP3, "op5_quality_rules": _op5(), "op10_url_rules": _op10(), "op12_hard_negatives": OP12}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptsift.llm import attention_lm, bpe, chat, media, oracle, packing, quality, secret_scan, simhash, substrings, url_rules, wavelet, whitening
+from promptsift.llm import attention_lm, bpe, chat, hard_negatives, media, oracle, packing, quality, secret_scan, simhash, substrings, url_rules, wavelet, whitening
 from promptsift.llm.common import table
 
 
@@ -65,13 +65,19 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"), vec_id % 50 == 0, moved)
+
+
 def op13_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.deduplicated(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_media, op3_chat_examples, op4_secrets, op5_quality_rules, op6_bpe, op7_packing, op8_attention_lm, op9_wavelet, op10_url_rules, op11_whitening, op13_suffix_array)}
+    return {f.__name__: f for f in (op1_simhash, op2_media, op3_chat_examples, op4_secrets, op5_quality_rules, op6_bpe, op7_packing, op8_attention_lm, op9_wavelet, op10_url_rules, op11_whitening, op12_hard_negatives, op13_suffix_array)}
 
 
 def oracle_sql() -> dict[str, str]:
