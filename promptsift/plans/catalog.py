@@ -5,14 +5,18 @@ Their SQL is in ``catalog_sql``; columns have the same names and types in both.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptsift.functions import hooks, pinning, text, tools, vectors
-from promptsift.operators import budget, evals, lossless, ranking, relevance, sentences, store, summarize
+from promptsift.operators import budget, evals, logs, lossless, ranking, relevance, sentences, store, summarize
+from promptsift.operators.numbering import numbered
 from promptsift.plans import api, catalog_sql, inputs, profiles
 from promptsift.plans.funnel import Funnel, default_funnel, lite_funnel
 from promptsift.schema import DEFERRED, is_live
+from promptsift.shared import shared_dir
 from promptsift.sources import fixtures, payloads, texts
 from promptsift.streaming import gate
 
@@ -125,12 +129,27 @@ def ingested_specs(spark, d):
 
 
 def dedup_runs(spark, d):
-    """The relational form over every document's lines: runs of equal templates."""
-    lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).withColumn("key", text.template_key(F.col("line")))
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    starts = lines.withColumn("new", (~F.col("key").eqNullSafe(F.lag("key").over(w))).cast("int"))
-    runs = starts.withColumn("run", F.sum("new").over(w)).groupBy("doc_id", "run").agg(F.min_by("line", "line_no").alias("line"), F.count(F.lit(1)).alias("n"))
-    return runs.select("doc_id", F.col("run").cast("long").alias("run"), "line", "n")
+    """Runs of equal templates in every document, whose lines are rows."""
+    found = numbered(logs.runs(inputs.document_lines(spark, d)), ["request_id"], [F.col("first")], "run")
+    return found.select(F.col("request_id").cast("long").alias("doc_id"), "run", "line", "n")
+
+
+def log_runs(spark, d):
+    """All events as the lines of one log, in order of time: its runs, by ranges."""
+    return logs.runs(inputs.whole_log(spark, d)).select("first", "line", "n")
+
+
+def log_deduplicated(spark, d):
+    """The same log and every document, a log of its own each, as the lines that stay."""
+    return logs.deduplicated(inputs.whole_log(spark, d).unionByName(inputs.document_lines(spark, d)))
+
+
+def file_blocks(spark, d):
+    """Blocks of files that hold each source's documents line by line, read in splits."""
+    path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    inputs.source_files(spark, d, path)
+    source = F.regexp_extract("request_id", "name=([^/]*)", 1)
+    return texts.read_blocks(spark, path).select(source.alias("name"), "pos", "kind", "source", F.length("text").alias("chars"), F.sha1(F.encode("text", "UTF-8")).alias("digest"))
 
 
 def dedup_text(spark, d):
@@ -318,7 +337,18 @@ def live_sizes(spark, d):
 # the store
 
 
+def _kept(spark, rows):
+    """rows as a stored table, and its path."""
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    store.append(rows, path)
+    return store.load(spark, path), path
+
+
 def _store(spark, d):
+    return _kept(spark, _store_rows(spark, d))[0]
+
+
+def _store_rows(spark, d):
     """Turns as deferred chunks, stored at NOW less 600 seconds for each turn; some are stored twice."""
     chunks = inputs.conversations(spark, d).withColumn("tier", F.lit(DEFERRED))
     first = store.rows_of(chunks, F.lit(NOW) - F.col("pos") * 600, "w")
@@ -349,11 +379,18 @@ def store_evict(spark, d):
     return store.evicted(_store(spark, d), NOW, 1800.0)
 
 
+def store_after_eviction(spark, d):
+    """What readers find of each request after an eviction, whatever time to live they have themselves."""
+    _, path = _kept(spark, _store_rows(spark, d))
+    store.evict(spark, path, NOW, 1800.0)
+    return store.manifest(store.load(spark, path), NOW, 1e9).groupBy("request_id").agg(F.count(F.lit(1)).alias("entries"), F.sum("tokens").alias("tokens"), F.max("place").cast("long").alias("last"))
+
+
 def store_workspaces(spark, d):
     """Two workspaces with the same requests, of which one was stored too long ago."""
     chunks = inputs.conversations(spark, d).withColumn("tier", F.lit(DEFERRED))
     both = store.rows_of(chunks, F.lit(NOW) - 10, "a").unionByName(store.rows_of(chunks.filter("pos < 2"), F.lit(NOW) - 20, "b")).unionByName(store.rows_of(chunks, F.lit(NOW) - 2 * TTL, "c"))
-    return store.manifest(both, NOW, TTL).select("workspace_key", "request_id", F.col("place").cast("long").alias("place"), "id", "tokens")
+    return store.manifest(_kept(spark, both)[0], NOW, TTL).select("workspace_key", "request_id", F.col("place").cast("long").alias("place"), "id", "tokens")
 
 
 # tool calls and sessions
@@ -467,7 +504,7 @@ def queries() -> dict:
         budget_stage, budget_overflow, assemble_prompts, deferred_footer, deferred_rows, funnel_custom, funnel_lite, funnel_metrics, live_sizes, store_put, store_alive,
         store_retrieve, store_manifest, store_evict, gate_thresholds, gate_commands, gate_reduced, gate_sessions, gate_sessions_days,
         gate_views, gate_guards, tool_answers, pre_tool_answers, judge_lines, judge_answers, eval_suite, eval_compression, ingested_specs,
-        prune_profile, embedder_topk, model_summaries, model_prompts, tool_tokens, store_workspaces,
+        prune_profile, embedder_topk, model_summaries, model_prompts, tool_tokens, store_workspaces, store_after_eviction, log_runs, log_deduplicated, file_blocks,
     )
     return {f.__name__: f for f in chosen}
 

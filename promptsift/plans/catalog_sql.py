@@ -69,6 +69,19 @@ def deduplicated(rows: str) -> str:
       GROUP BY id, run) GROUP BY id"""
 
 
+def log_runs(lines: str) -> str:
+    """Of lines (id, line_no, line): id, first, line and n of each run of one template."""
+    return f"""
+    SELECT id, min(line_no) AS first, arg_min(line, line_no) AS line, count(*) AS n FROM (
+      SELECT id, line_no, line, sum(fresh) OVER (PARTITION BY id ORDER BY line_no) AS run FROM (
+        SELECT id, line_no, line, CASE WHEN key = lag(key) OVER (PARTITION BY id ORDER BY line_no) THEN 0 ELSE 1 END AS fresh FROM (
+          SELECT id, line_no, line, {template('line')} AS key FROM ({lines})))) GROUP BY id, run"""
+
+
+WHOLE_LOG = f"SELECT 'all' AS id, event_id AS line_no, {EVENT_LINE} AS line FROM events"
+DOCUMENT_LOGS = f"SELECT CAST(doc_id AS VARCHAR) AS id, line_no, line FROM ({LINES})"
+
+
 def query_scores(docs: str, query: str) -> str:
     """Of docs (request_id, pos, text), all with the same query: request_id, pos, score."""
     return f"""
@@ -371,6 +384,13 @@ def oracle_sql() -> dict[str, str]:
         "dedup_runs": f"""SELECT doc_id, CAST(run AS BIGINT) AS run, arg_min(line, line_no) AS line, count(*) AS n FROM (
             SELECT doc_id, line_no, line, sum(fresh) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM (
               SELECT *, CASE WHEN line_no > 0 AND key = lag(key) OVER (PARTITION BY doc_id ORDER BY line_no) THEN 0 ELSE 1 END AS fresh FROM (SELECT *, {template('line')} AS key FROM ({LINES})))) GROUP BY doc_id, run""",
+        "log_runs": f"SELECT first, line, n FROM ({log_runs(WHOLE_LOG)})",
+        "log_deduplicated": f"SELECT id AS request_id, first, CASE WHEN n = 1 THEN line ELSE line || '   (x' || n || ')' END AS text FROM ({log_runs(WHOLE_LOG + ' UNION ALL ' + DOCUMENT_LOGS)})",
+        "file_blocks": """SELECT name, CAST(pos AS BIGINT) AS pos, CASE WHEN regexp_matches(block, '^\\s*[\\{\\[]') AND json_valid(block) THEN 'json' WHEN regexp_matches(first, '^\\s*\\d{4}-\\d{2}-\\d{2}[T ]\\d{2}:\\d{2}:\\d{2}|^\\s*\\[?\\d{2}:\\d{2}:\\d{2}') THEN 'log'
+            WHEN regexp_matches(first, '^\\s*(```|def |class |#include |import |function )') THEN 'code' ELSE 'text' END AS kind, 'in/' || pos AS source, length(block) AS chars, sha1(block) AS digest
+          FROM (SELECT *, coalesce(list_filter(string_split(block, chr(10)), lambda l: regexp_matches(l, '\\S'))[1], '') AS first FROM (
+            SELECT name, unnest(range(len(b))) AS pos, unnest(b) AS block FROM (SELECT name, regexp_split_to_array(text, '\\n{2,}') AS b FROM (
+              SELECT coalesce(source, 'none') AS name, regexp_replace(string_agg(replace(coalesce(text, ''), '. ', '.' || repeat(chr(10), 2)) || chr(10), '' ORDER BY doc_id), '\\r\\n?', chr(10), 'g') AS text FROM documents GROUP BY ALL))) WHERE regexp_matches(block, '\\S'))""",
         "dedup_text": f"SELECT id AS doc_id, text FROM ({deduplicated('SELECT doc_id AS id, text FROM documents')})",
         "dedup_event_log": f"SELECT id AS request_id, text FROM ({deduplicated(f'SELECT request_id AS id, text FROM ({EVENT_LOGS})')})",
         "prune_props": "SELECT CAST(event_id AS VARCHAR) AS request_id, regexp_replace(props, '^\\{\"k\": (.*)\\}$', '{' || chr(10) || ' \"k\": \\1' || chr(10) || '}') AS text FROM events",
@@ -407,6 +427,7 @@ def oracle_sql() -> dict[str, str]:
         "store_retrieve": f"""WITH ids AS (SELECT request_id, list(DISTINCT chunk_id ORDER BY chunk_id) AS ids FROM ({STORE}) GROUP BY request_id), wanted AS (SELECT request_id, list_concat(['none:0'], list_reverse(ids), ids[1:1]) AS ids FROM ids)
             SELECT request_id, place, chunk_id, text FROM (SELECT request_id, unnest(range(len(ids))) AS place, unnest(ids) AS chunk_id FROM wanted) JOIN ({CURRENT.format(ALIVE)}) USING (request_id, chunk_id)""",
         "store_manifest": f"SELECT request_id, count(*) AS entries, CAST(sum(tokens) AS BIGINT) AS tokens FROM ({CURRENT.format(ALIVE)}) GROUP BY request_id",
+        "store_after_eviction": f"SELECT request_id, count(*) AS entries, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS last FROM ({CURRENT.format(STORE)}) WHERE 1000000.0 - stored_at <= 1800 GROUP BY request_id",
         "store_evict": f"SELECT count(*) FILTER (1000000.0 - stored_at > 1800) AS removed FROM ({CURRENT.format(STORE)})",
         "gate_thresholds": f"SELECT event_id, CAST(CASE WHEN tool IN {_in(tools.SHELL_TOOLS)} THEN 2000 WHEN tool IN {_in(tools.VIEW_TOOLS)} THEN 500 WHEN tool LIKE 'mcp:%' OR contains(tool, '__') THEN 1000 ELSE 1500 END AS BIGINT) AS threshold, tool IN {_in(tools.VIEW_TOOLS)} AS is_view, tool IN {_in((*tools.SKIPPED_TOOLS, 'bash'))} OR starts_with(tool, 'todo_') AS skipped FROM ({CALLS})",
         "gate_commands": f"SELECT event_id, {noisy} AS noisy, {profile} AS profile, {noisy} AND NOT regexp_matches(command, '\\| ?promptsift( |$)') AS rewritten, '( ' || command || ' ) 2>&1 | promptsift --profile ' || {profile} || ' --budget 2000 --keep 5' AS command FROM ({CALLS})",

@@ -46,6 +46,23 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", line.alias("line"))
 
 
+def whole_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one log (request_id, line_no, line), in the order of their ids."""
+    return event_lines(spark, sf_dir).select(F.lit("all").alias("request_id"), F.col("event_id").alias("line_no"), "line")
+
+
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a log of its own."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("request_id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+
+
+def source_files(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """A text file for each source: its documents in order, their sentences parted by blank lines, each ended by a line feed."""
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".\n\n"))
+    rows = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("name"), "doc_id", text.alias("value"))
+    rows.repartition("name").sortWithinPartitions("name", "doc_id").select("name", "value").write.partitionBy("name").text(path)
+
+
 def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log for each user, its lines by kind of event and then time, so that there are runs."""
     lines = event_lines(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_type", "ts", "event_id", "line"))).alias("rows"))
