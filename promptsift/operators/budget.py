@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptsift.functions.text import chunk_id, head_of, token_count
+from promptsift.operators.numbering import numbered
 from promptsift.operators.relevance import DIGITS
 from promptsift.schema import CRITICAL, DEFERRED, KEY, is_live, order_keys
 
@@ -107,8 +108,8 @@ def budget(chunks: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
 def deferred(chunks: DataFrame) -> DataFrame:
     """The deferred rows, numbered by place in their request: request_id, place, id, source, kind, tokens."""
     entry = chunks.filter(F.col("tier") == DEFERRED).select("request_id", *(k.alias(f"at_{n}") for n, k in enumerate(order_keys())), chunk_id(F.col("source"), F.col("text")).alias("id"), "source", "kind", token_count(F.col("text")).alias("tokens"))
-    order = Window.partitionBy("request_id").orderBy("at_0", "at_1", "id")
-    return entry.select("request_id", (F.row_number().over(order) - 1).cast("long").alias("place"), "id", "source", "kind", "tokens")
+    placed = numbered(entry, ["request_id"], [F.col("at_0"), F.col("at_1"), F.col("id")])
+    return placed.select("request_id", (F.col("place") - 1).alias("place"), "id", "source", "kind", "tokens")
 
 
 def manifest(chunks: DataFrame) -> DataFrame:

@@ -136,8 +136,10 @@ def judged_by(llm: Llm) -> Callable[[DataFrame], DataFrame]:
 
 
 def reduce_file(spark: SparkSession, path: str, query: str, options: Options) -> DataFrame:
-    found = texts.read_texts(spark, path).withColumn("query", F.lit(query))
-    return reduce_texts(found, options)
+    """A prompt for each file, which is read in splits; the lite funnel without a query."""
+    chunks = saved(texts.read_blocks(spark, path))
+    queries = chunks.select("request_id").distinct().withColumn("query", F.lit(query))
+    return (options.full() if query.strip() else options.lite()).run(chunks, queries)
 
 
 def sizes(prompts: DataFrame) -> DataFrame:

@@ -13,14 +13,15 @@ the result isn't looked at; see ``tools.guard``).
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, MutableMapping
 from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from promptsift.functions import tools
 
@@ -33,7 +34,10 @@ SHOWN, SHOWN_BEFORE, NOT_WORTH = "summary-computed", "summary-already-shown", "s
 EVENT = {"session": "string", "at": "double", "event_id": "string", "tool": "string", "tokens": "long", "cleaned": "long", "shrinks": "boolean", "path": "string", "summary": "string", "guard": "string"}
 ORDER = ("session", "at", "tool", "tokens", "event_id")
 DECISION = "event_id string, session string, at double, tool string, tokens long, verdict string, reason string, total long, views long, nudged boolean, file string"
-STATE = "updated_at double, total long, views long, nudged boolean, summaries string"
+#: What the state store holds of a session: its totals, its next timer, the files that it has seen, and events that the watermark hasn't passed.
+TOTALS, TIMER, FILE, SUMMARY = "updated_at double, total long, views long, nudged boolean", "at long", "path string", "summary string"
+HELD = ", ".join(f"{c} {t}" for c, t in EVENT.items())
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @dataclass(frozen=True)
@@ -61,14 +65,18 @@ class Session:
     total: int = 0
     views: int = 0
     nudged: bool = False
-    summaries: dict[str, str] = field(default_factory=dict)
+    summaries: MutableMapping[str, str] = field(default_factory=dict)
 
     def alive(self, at: float, ttl: float) -> Session:
-        return self if self.updated_at >= at - ttl else Session()
+        """This, or a new session in its place, whose summaries are gone."""
+        if self.updated_at >= at - ttl:
+            return self
+        self.summaries.clear()
+        return Session(summaries=self.summaries)
 
 
 def step(state: Session, event: tuple, s: Settings) -> tuple[Session, tuple]:
-    """The state after an event, and its row of DECISION."""
+    """The state after an event, and its row of DECISION. Summaries are kept in place, so that an event costs one of them."""
     session, at, event_id, tool, tokens, cleaned, shrinks, path, summary, guard = event
     if not guard and (tool in tools.SKIPPED_TOOLS or tool.startswith("todo_")):
         guard = tools.BOOKKEEPING
@@ -80,7 +88,7 @@ def step(state: Session, event: tuple, s: Settings) -> tuple[Session, tuple]:
         return state, (event_id, session, at, tool, tokens, verdict, reason, now.total, now.views, False, "")
     nudged, file = False, ""
     if tool in tools.VIEW_TOOLS:
-        now = Session(at, now.total, now.views + 1, now.nudged, dict(now.summaries))
+        now = Session(at, now.total, now.views + 1, now.nudged, now.summaries)
         if 0 < s.nudge_after <= now.views and not now.nudged:
             nudged = now.nudged = True
         if s.summaries and path:
@@ -136,36 +144,108 @@ def decided(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return ordered.mapInArrow(run, DECISION)
 
 
-def decided_stream(events: DataFrame, settings: Settings = Settings(), late: str = "1 hour") -> DataFrame:
-    """The same over a stream, with the sessions in the state store.
+class Files(MutableMapping):
+    """A session's summaries, each a row of the state store that is only touched when it is asked for."""
 
-    Events may come ``late`` by so much; a session's state goes once the watermark is past its
-    time to live, when no event could find it alive.
-    """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        state = Session()
-        if held.exists:
-            updated_at, total, views, nudged, summaries = held.get
-            state = Session(updated_at, total, views, nudged, json.loads(summaries))
+    def __init__(self, state):
+        self.state = state
+
+    def __contains__(self, path: object) -> bool:
+        return self.state.containsKey((path,))
+
+    def __getitem__(self, path: str) -> str:
+        return self.state.getValue((path,))[0]
+
+    def __setitem__(self, path: str, summary: str) -> None:
+        self.state.updateValue((path,), (summary,))
+
+    def __delitem__(self, path: str) -> None:
+        self.state.removeKey((path,))
+
+    def __iter__(self) -> Iterator[str]:
+        return (key[0] for key in self.state.keys())
+
+    def __len__(self) -> int:
+        return sum(1 for _ in self.state.keys())
+
+    def clear(self) -> None:
+        self.state.clear()
+
+
+def _place(event: tuple) -> tuple:
+    """Sorts a session's events as ORDER does: nulls first."""
+    by_name = dict(zip(EVENT, event))
+    return tuple((by_name[c] is not None, by_name[c]) for c in ORDER[1:])
+
+
+class Sessions(StatefulProcessor):
+    """The gate over the state store: events wait until the watermark has passed them and are then taken in order."""
+
+    def __init__(self, settings: Settings):
+        self.settings = settings
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.totals, self.timer = handle.getValueState("totals", TOTALS), handle.getValueState("timer", TIMER)
+        self.files, self.held = handle.getMapState("files", FILE, SUMMARY), handle.getListState("held", HELD)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        found = [tuple(r[c] for c in EVENT) for r in rows]
+        self.held.appendList(found)
+        self._wake_at(min(_due(e) for e in found))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        if self.timer.exists() and self.timer.get()[0] == expiredTimerInfo.getExpiryTimeInMs():
+            self.timer.clear()
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(self.held.get(), key=_place) if self.held.exists() else []
+        ready = [e for e in waiting if _due(e) <= now]
+        totals = self.totals.get() if self.totals.exists() else (float("-inf"), 0, 0, False)
+        state = Session(*totals, Files(self.files))
         rows = []
-        found = pd.concat(list(frames)).sort_values(list(ORDER[1:]), kind="stable")[list(EVENT)].astype(object)
-        for row in found.where(found.notna(), None).itertuples(index=False, name=None):
-            session, at, event_id, tool, tokens, cleaned, shrinks, *rest = row
-            event = (session, float(at), event_id, tool, int(tokens), None if cleaned is None else int(cleaned), None if shrinks is None else bool(shrinks), *rest)
-            state, decision = step(state, event, settings)
-            rows.append(decision)
-        if state.updated_at > float("-inf"):
-            held.update((state.updated_at, state.total, state.views, state.nudged, json.dumps(state.summaries)))
-            held.setTimeoutTimestamp(max(int((state.updated_at + settings.ttl) * 1000), held.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(rows, columns=_SCHEMA.names)
+        for event in ready:
+            state, row = step(state, event, self.settings)
+            rows.append(Row(**dict(zip(_SCHEMA.names, row))))
+        waiting = waiting[len(ready) :]
+        if ready:
+            self.held.put(waiting) if waiting else self.held.clear()
+        gone = int((state.updated_at + self.settings.ttl) * 1000) + 1 if state.updated_at > float("-inf") else now
+        if not waiting and gone <= now:
+            for each in (self.totals, self.files, self.held):
+                each.clear()
+        else:
+            if ready and state.updated_at > float("-inf"):
+                self.totals.update((state.updated_at, state.total, state.views, state.nudged))
+            self._wake_at(min([_due(e) for e in waiting], default=max(gone, now + 1)))
+        return iter(rows)
+
+    def _wake_at(self, at: int) -> None:
+        """One timer a session: the earliest of what there is to do."""
+        if self.timer.exists():
+            if (before := self.timer.get()[0]) <= at:
+                return
+            self.handle.deleteTimer(before)
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
+
+def _due(event: tuple) -> int:
+    """The watermark in milliseconds at which no earlier event can come any more."""
+    return math.floor(event[1] * 1000) + 1
+
 
+def decided_stream(events: DataFrame, settings: Settings = Settings(), late: str = "1 hour") -> DataFrame:
+    """The same over a stream, with the sessions in the state store, whatever order events come in.
+
+    An event is decided once the watermark, which is ``late`` behind the latest event, has passed
+    it; what comes later than that is dropped. An event costs one row of files seen, not all of
+    its session's. A session's rows go once the watermark is past their time to live.
+    """
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     timed = as_events(events).withColumn("event_time", F.timestamp_seconds("at")).withWatermark("event_time", late)
-    return timed.groupBy("session").applyInPandasWithState(run, DECISION, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy("session").transformWithState(Sessions(settings), DECISION, "append", "eventTime")
 
 
 def worth_showing(file_chars: Column, summary: Column) -> Column:

@@ -1,13 +1,16 @@
 """Operators on logs, files and requests that are larger than a row or a task."""
 
 import random
+import uuid
 from itertools import groupby
 
 import pytest
 from pyspark.sql import functions as F
 
 from promptsift.operators import logs, numbering, store
+from promptsift.schema import ANNOTATIONS
 from promptsift.sources import texts
+from promptsift.streaming import deferred
 
 
 def test_numbered_in_any_way(spark):
@@ -76,7 +79,7 @@ FILES = {
 }
 
 
-@pytest.mark.parametrize("size", [1 << 27, 64])
+@pytest.mark.parametrize("size", [1 << 27, 250])
 def test_files_in_splits(spark, tmp_path, size):
     for name, text in FILES.items():
         (tmp_path / f"{name}.txt").write_bytes(text.encode())
@@ -159,3 +162,39 @@ def test_large_requests_of_the_store_are_numbered_by_ranges(spark, tmp_path, mon
     numbered = lambda *a, **b: numbering.numbered(*a, **{"huge": 10} | b)
     monkeypatch.setattr(store, "numbered", numbered)
     assert sorted(map(tuple, store.manifest(store.load(spark, path), 5.0).collect())) == want
+
+
+CHUNK = "request_id string, pos long, text string, kind string, source string, tier int, " + ", ".join(f"{c} {t}" for c, t in ANNOTATIONS.items()) + ", at double"
+
+
+def test_replayed_batches_leave_one_row_a_key(spark, tmp_path):
+    path = str(tmp_path / "s")
+    rows = [("w", f"r{k % 3}", f"c{k}", f"t{k}", "text", "s", 1, 4000.0 * (k % 2), k) for k in range(12)]
+    frame = lambda some: spark.createDataFrame(some, "workspace_key string, request_id string, chunk_id string, text string, kind string, source string, tokens long, stored_at double, seq long")
+    deferred.put_batch(frame(rows[:6]), path, "a-0")
+    for _ in range(2):
+        deferred.put_batch(frame(rows[6:]), path, "a-1")
+    assert sorted(r.text for r in store.load(spark, path).collect()) == sorted(r[3] for r in rows)
+    assert not [p for p in (tmp_path / "s").iterdir() if p.name.startswith("_")]
+    deferred.put_batch(frame(rows[:6]).filter("false"), path, "a-0")
+    assert store.load(spark, path).count() == 6
+
+
+def test_stream_of_deferred_chunks(spark, tmp_path):
+    path, none = str(tmp_path / "s"), [None] * len(ANNOTATIONS)
+    for n, at in enumerate((100.0, 4000.0, 9000.0)):
+        rows = [("r", k, f"t{k + n}", "text", "src", 3, *none, at) for k in range(3)] + [("r", 9, "live", "text", "src", 1, *none, at)]
+        spark.createDataFrame(rows, CHUNK).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(CHUNK).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def run(where, **more):
+        writer = deferred.kept_stream(stream(), where, F.col("at"), "w", **more)
+        writer.option("checkpointLocation", str(tmp_path / f"cp-{uuid.uuid4().hex}")).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.text, r.stored_at) for r in store.current(store.load(spark, where)).collect())
+
+    every = [("t0", 100.0), ("t1", 4000.0), ("t2", 9000.0), ("t3", 9000.0), ("t4", 9000.0)]
+    assert run(path) == every
+    # another run with the same name, its checkpoint lost, writes the same batches again
+    assert run(path) == every and store.load(spark, path).count() == 9
+    assert run(str(tmp_path / "expiring"), ttl=5000.0) == [e for e in every if e[1] >= 4000]
+    assert not list((tmp_path / "expiring").glob("workspace_key=w/hour=0"))

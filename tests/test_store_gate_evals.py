@@ -96,12 +96,21 @@ def streamed(spark, folder, name, late="1 hour", files=None):
     return query, spark.table(name).collect()
 
 
-def test_stream_and_batch_agree(spark, tmp_path):
+def micro_batches(spark, folder, rows, schema, batches, end=1e9):
+    """rows in files that are read one by one, and an event that moves the watermark past all others."""
+    for k in range(batches):
+        spark.createDataFrame(rows[k::batches], schema).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+    spark.createDataFrame([("the end", end, "sql", 0, None, None, None)], schema).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+
+
+def test_shuffled_stream_and_batch_agree(spark, tmp_path):
     given = calls(spark).dropDuplicates(["session", "at", "tool", "tokens"])
-    given.coalesce(1).write.parquet(str(tmp_path / "in"))
-    _, got = streamed(spark, tmp_path, "gate")
-    batch = gate.decided(spark.read.parquet(str(tmp_path / "in")))
-    assert sorted(map(str, got)) == sorted(map(str, batch.collect()))
+    rows = [tuple(r) for r in given.collect()]
+    random.Random(4).shuffle(rows)
+    micro_batches(spark, tmp_path, rows, given.schema, 4)
+    _, got = streamed(spark, tmp_path, "gate", "40 days")
+    batch = gate.decided(given)
+    assert sorted(map(str, got)) == sorted(map(str, batch.collect())) and {r.file for r in got} > {gate.SHOWN, gate.SHOWN_BEFORE}
 
 
 def test_stream_drops_old_sessions(spark, tmp_path):
@@ -109,8 +118,43 @@ def test_stream_drops_old_sessions(spark, tmp_path):
     for k, (session, at) in enumerate([("a", 1.0), ("b", 10_000.0), ("b", 20_000.0), ("b", 30_000.0)]):
         spark.createDataFrame([(session, at, "bash", 10, 1, None, None)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     query, got = streamed(spark, tmp_path, "old", "1 second")
-    assert len(got) == 4 and [r.total for r in got if r.session == "a"] == [10]
-    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1
+    assert [(r.session, r.total) for r in got] == [("a", 10), ("b", 10), ("b", 10)]
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 5
+
+
+def test_stream_touches_one_file_an_event(spark, tmp_path):
+    """A session that has seen many files: events neither read nor write the others."""
+    schema = calls(spark).schema
+    rows = [("s", 1.0 + k, "view", 1, None, f"f{k % 200}", "sum") for k in range(400)]
+    micro_batches(spark, tmp_path, rows, schema, 2)
+    query, got = streamed(spark, tmp_path, "files", "1000 seconds")
+    shown = [r.file for r in sorted(got, key=lambda r: r.at) if r.session == "s"]
+    assert shown == [gate.SHOWN] * 200 + [gate.SHOWN_BEFORE] * 200
+    files = gate.Files(FakeMap())
+    files["a"] = "x"
+    assert "a" in files and "b" not in files and files["a"] == "x" and list(files) == ["a"] and len(files) == 1
+    files.clear()
+    assert not len(files)
+
+
+class FakeMap:
+    def __init__(self):
+        self.rows = {}
+
+    def containsKey(self, key):
+        return key in self.rows
+
+    def getValue(self, key):
+        return self.rows[key]
+
+    def updateValue(self, key, value):
+        self.rows[key] = value
+
+    def keys(self):
+        return iter(list(self.rows))
+
+    def clear(self):
+        self.rows.clear()
 
 
 def test_gate_texts(spark):
