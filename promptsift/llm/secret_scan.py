@@ -23,7 +23,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -207,7 +209,9 @@ def spans_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
     """Base spans, and base and added spans: (start, end, kind's place)."""
     base = base_spans(text)
     tokens = [(m.start(), m.end(), m[0].rstrip("=")) for m in _TOKEN.finditer(text)]
-    added = [(a, b, len(KINDS)) for a, b in discoveries(tokens) if not any(s < b and a < e for s, e, _ in base)]
+    # base spans by start, and how far those up to each reach: one that begins before a token's end and reaches past its start overlaps it
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))
+    added = [(a, b, len(KINDS)) for a, b in discoveries(tokens) if not (k := bisect_left(starts, b)) or reach[k - 1] <= a]
     return base, sorted(base + added, key=lambda x: (x[0], x[2]))
 
 
