@@ -3,17 +3,19 @@
 A URL's tokens are the labels of its host, the segments of its path and the parts of its
 query, without bare numbers. A labelled page (one that ``labels`` has under its id) is a
 transaction. Tokens that the same pages have are one item, as no rule tells them apart: a URL
-has the item if it has one of them. FP-growth over the bad pages finds the combinations of at
-most ``MOST`` items that occur often enough; they are counted among all pages, and those that
-are confident enough are rules. A rule with more items than another that it can't beat is
-dropped. A URL is matched by an inverted index: every rule stands under its rarest item, a URL
+has the item if it has one of them. Items that are confident enough by themselves are rules:
+whatever else a URL has, they match it, so they go from the pages' baskets. FP-growth over
+what is left of the bad pages' finds the combinations, of any length, that occur often enough;
+they are counted among the good pages, and those that are confident enough are rules. A rule
+with more items than another that it can't beat is dropped. A URL is matched by an inverted index: every rule stands under its rarest item, a URL
 looks up its own items, and the rules it finds there are tested against all of them. Matching
 is done once for each distinct URL.
 
-FP-growth lists every subset of a basket that repeats, so no basket may be long: one of over
-``MOST`` times ``PART`` items is given as pieces, which are all choices of MOST of its parts of
-PART items. Every combination of MOST items lies in a piece; its count among pieces is at
-least that among pages, and the count among pages decides.
+FP-growth lists every frequent subset of a basket before any is counted among good pages.
+Where distinct baskets have over ``SUBSETS`` subsets, combinations are therefore made level by
+level instead, by joining those that are frequent and no rules yet: what contains a rule is
+matched by it and isn't listed. Both ways give verdicts by the rules of all lengths. The work of the
+second grows with the number of combinations that are frequent and no rules.
 
 Everything runs on DataFrame expressions and the JVM's FP-growth. What FP-growth brings to
 the driver are the frequent items: at most a URL's tokens over the support.
@@ -39,8 +41,8 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 #: Share of the labelled pages that hold a combination, and their least number.
 SUPPORT, LEAST = 0.002, 25
 CONFIDENCE = 0.6
-#: Items of a rule, and of a part of a long basket.
-MOST, PART = 3, 2
+#: Subsets of all distinct baskets that FP-growth may have to list.
+SUBSETS = 1 << 24
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -84,19 +86,53 @@ def listed(pages: DataFrame) -> DataFrame:
     return parsed.withColumns({"rule": rule, "listed": verdict})
 
 
-def pieces(items: Column) -> Column:
-    """The basket itself, or all choices of MOST of its parts."""
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / PART).cast("int")), lambda k: F.slice(items, k * PART + 1, PART))
-
-    def chosen(found: Column, n: int) -> Column:
-        """found: (joined, next) of n fewer parts."""
-        if n == 0:
-            return F.transform(found, lambda x: x["joined"])
-        more = lambda x: F.transform(F.filter(F.sequence(x["next"], F.size(parts)), lambda k: k < F.size(parts)), lambda k: F.struct(F.concat(x["joined"], F.get(parts, k)).alias("joined"), (k + 1).alias("next")))
-        return chosen(F.flatten(F.transform(found, more)), n - 1)
-
-    none = F.array(F.struct(F.array().cast("array<string>").alias("joined"), F.lit(0).alias("next")))
-    return F.when(F.size(items) <= MOST * PART, F.array(items)).otherwise(chosen(none, MOST))
+def _keyed(sets: DataFrame, single: DataFrame) -> DataFrame:
+    """sets (items and more) with key, their rarest item."""
+    rarest = F.min_by("key", F.struct("n", "key")).alias("key")
+    keys = sets.select("items", F.explode("items").alias("key")).join(single, "key").groupBy("items").agg(rarest)
+    return sets.join(keys, "items")
+
+
+def _counts(sets: DataFrame, held: DataFrame) -> DataFrame:
+    """items, n: how many of held (own, an array of items) have each of sets (items, key)."""
+    own = held.select("own", F.explode("own").alias("key"))
+    having = own.join(sets.select("items", "key"), "key").filter(F.size(F.array_except("items", "own")) == 0)
+    return having.groupBy("items").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _with_good(sets: DataFrame, good: DataFrame, single: DataFrame) -> DataFrame:
+    """sets (items, n_bad) with key and n, the number of all pages that have them."""
+    keyed = saved(_keyed(sets, single))
+    found = _counts(keyed, good).withColumnRenamed("n", "n_good")
+    return keyed.join(found, "items", "left").withColumn("n", F.col("n_bad") + F.coalesce("n_good", F.lit(0))).drop("n_good")
+
+
+def _by_levels(bad: DataFrame, good: DataFrame, single: DataFrame, least: int) -> DataFrame:
+    """Frequent combinations that contain no confident one: items, n_bad, key, n."""
+    level = single.select(F.array("key").alias("items"))
+    out = None
+    while True:
+        a, b = level.alias("a"), level.alias("b")
+        fits = (F.slice(F.col("a.items"), 1, F.size("a.items") - 1) == F.slice(F.col("b.items"), 1, F.size("b.items") - 1)) & (F.element_at("a.items", -1) < F.element_at("b.items", -1))
+        longer = _keyed(a.join(b, fits).select(F.concat("a.items", F.slice("b.items", -1, 1)).alias("items")), single)
+        frequent = _counts(longer, bad).filter(F.col("n") >= least).withColumnRenamed("n", "n_bad")
+        found = saved(_with_good(frequent, good, single))
+        if found.isEmpty():
+            return found if out is None else out
+        out = found if out is None else out.unionByName(found)
+        level = saved(found.filter(F.col("n_bad") < CONFIDENCE * F.col("n")).select("items"))
+
+
+def combinations(held: DataFrame, single: DataFrame, least: int) -> DataFrame:
+    """Of pages' baskets held (bad, own): frequent combinations of two items or more, as items, n_bad, key (their rarest item) and n."""
+    bad, good = held.filter("bad"), held.filter("NOT bad")
+    subsets = bad.select("own").distinct().agg(F.sum(F.pow(F.lit(2.0), F.size("own")))).first()[0] or 0
+    if subsets > SUBSETS:
+        return _by_levels(bad, good, single, least)
+    n_bad = bad.count()
+    model = FPGrowth(itemsCol="own", minSupport=min(1.0, (least - 0.5) / max(1, n_bad))).fit(bad.select("own"))
+    several = saved(model.freqItemsets.filter((F.size("items") > 1) & (F.col("freq") >= least)).select(F.array_sort("items").alias("items"), F.col("freq").alias("n_bad")))
+    return _with_good(several, good, single)
 
 
 def mined_rules(pages: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -112,26 +148,21 @@ def mined_rules(pages: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFra
     same = {"x": F.bit_xor(F.xxhash64("page")), "y": F.bit_xor(F.xxhash64(F.lit(1), "page"))}
     found = flat.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"), *(c.alias(k) for k, c in same.items()))
     one = Window.partitionBy("n", "x", "y")
-    items = saved(found.filter(F.col("n_bad") >= least).select("token", F.min("token").over(one).alias("item"), "n"))
-    none = items.filter("false").select(F.array("item").alias("items"), F.col("item").alias("key"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support"))
-    if items.isEmpty():
-        return none, items.select("token", "item")
-    held = saved(flat.join(items, "token").groupBy("page", "bad").agg(F.array_sort(F.collect_set("item")).alias("items")))
-    parts = saved(held.filter("bad").select(F.explode(pieces(F.col("items"))).alias("items")))
-    model = FPGrowth(itemsCol="items", minSupport=least / max(least, parts.count())).fit(parts)
-    several = saved(model.freqItemsets.filter(F.size("items") <= MOST).select(F.array_sort("items").alias("items")))
-    single = items.groupBy(F.col("item").alias("key")).agg(F.max("n").alias("n"))
-    rarest = F.min_by("key", F.struct("n", "key")).alias("key")
-    candidates = several.select("items", F.explode("items").alias("key")).join(single, "key").groupBy("items").agg(rarest)
-    own = held.select("bad", F.col("items").alias("own"), F.explode("items").alias("key"))
-    having = own.join(candidates, "key").filter(F.size(F.array_except("items", "own")) == 0)
-    counted = having.groupBy("items", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"))
-    confidence, support = (F.col("n_bad") / F.col("n")).alias("confidence"), (F.col("n_bad") / n).alias("support")
-    rules = saved(counted.filter((F.col("n_bad") >= least) & (F.col("n_bad") >= CONFIDENCE * F.col("n"))).select("items", "key", confidence, support))
+    items = saved(found.filter(F.col("n_bad") >= least).select("token", F.min("token").over(one).alias("item"), "n", "n_bad"))
+    confident = F.col("n_bad") >= CONFIDENCE * F.col("n")
+    measures = [(F.col("n_bad") / F.col("n")).alias("confidence"), (F.col("n_bad") / n).alias("support")]
+    every = items.groupBy(F.col("item").alias("key")).agg(F.max("n").alias("n"), F.max("n_bad").alias("n_bad"))
+    alone = every.filter(confident).select(F.array("key").alias("items"), "key", *measures)
+    single = saved(every.filter(~confident).select("key", "n"))
+    if single.isEmpty():
+        return saved(alone), items.select("token", "item")
+    open_ = items.join(single.select(F.col("key").alias("item")), "item", "left_semi").select("token", "item")
+    held = saved(flat.join(open_, "token").groupBy("page", "bad").agg(F.array_sort(F.collect_set("item")).alias("own")).select("bad", "own"))
+    rules = saved(combinations(held, single, least).filter(confident).select("items", "key", *measures))
     # each rule against those on its sub-combinations: rows for every item left out, not all pairs
     less = rules.select("items", "confidence", F.explode("items").alias("out")).select("items", "confidence", F.array_remove("items", F.col("out")).alias("fewer"))
     beaten = less.join(rules.select(F.col("items").alias("fewer"), F.col("confidence").alias("was")), "fewer").filter("was >= confidence").select("items").distinct()
-    return rules.join(beaten, "items", "left_anti"), items.select("token", "item")
+    return rules.join(beaten, "items", "left_anti").unionByName(alone), items.select("token", "item")
 
 
 def judged(pages: DataFrame, labels: DataFrame) -> DataFrame:

@@ -734,8 +734,8 @@ def tokens(url):
     return {k + x for k, xs in parts for x in xs if not re.fullmatch("[0-9]*", x)}
 
 
-def mined_by_hand(pages, labels):
-    """All combinations of up to MOST tokens of the labelled pages that are frequent and confident, by enumeration."""
+def mined_by_hand(pages, labels, most=None):
+    """All combinations of tokens of the labelled pages that are frequent and confident, by enumeration."""
     from itertools import combinations
 
     known = [(tokens(u), labels[k]) for k, u in pages if k in labels]
@@ -744,15 +744,15 @@ def mined_by_hand(pages, labels):
     least = math.ceil(max(url_rules.SUPPORT, url_rules.LEAST / len(known)) * len(known) - 1e-9)
     bad, every = Counter(), Counter()
     for found, label in known:
-        for n in range(1, url_rules.MOST + 1):
+        for n in range(1, (most or len(found)) + 1):
             for c in combinations(sorted(found), n):
                 every[c] += 1
                 bad[c] += label
     return [set(c) for c, n in bad.items() if n >= least and n >= url_rules.CONFIDENCE * every[c]]
 
 
-def check_urls(spark, pages, labels, by_page):
-    rules = mined_by_hand(pages, by_page)
+def check_urls(spark, pages, labels, by_page, most=None):
+    rules = mined_by_hand(pages, by_page, most)
     got = url_rules.judged(spark.createDataFrame(pages, "page_id long, url string"), labels).collect()
     assert len(got) == len(pages)
     want = Counter((k, *parsed(u), rule(u)[0], rule(u)[1] or ("block" if u and any(r <= tokens(u) for r in rules) else "allow")) for k, u in pages)
@@ -783,17 +783,34 @@ def test_long_and_popular_urls(spark):
     label = {k: int(k % 3 > 0) for k in range(120)}
     marked = spark.createDataFrame([(k, 1 - v, 0) for k, v in label.items()], "doc_id long, quality int, toxic int")
     same = "http://t.example.com/" + "/".join(f"seg{j}x" for j in range(40))
-    rules = check_urls(spark, [(k, same if k % 3 else "http://ok.example.com/a") for k in range(130)], marked, label)
+    rules = check_urls(spark, [(k, same if k % 3 else "http://ok.example.com/a") for k in range(130)], marked, label, 1)
     assert rules
     rng = np.random.default_rng(4)
     made = [(k, "http://t.com/" + "/".join(f"s{j}" + "x" * j for j in rng.permutation(18)[:16])) for k in range(130)]
-    check_urls(spark, made, marked, label)
-
-
-def test_pieces_hold_every_combination(spark):
-    from itertools import combinations
-
-    for n in (1, 6, 7, 12, 21):
-        items = [f"i{k:02d}" for k in range(n)]
-        got = spark.createDataFrame([(items,)], "items array<string>").select(url_rules.pieces(F.col("items")).alias("p")).first().p
-        assert all(len(set(p)) == len(p) <= url_rules.MOST * url_rules.PART for p in got) and all(any(set(c) <= set(p) for p in got) for c in combinations(items, min(n, url_rules.MOST)))
+    check_urls(spark, made, marked, label, 1)
+
+
+@pytest.mark.parametrize("subsets", [0, 1 << 24])
+def test_rules_of_any_length(spark, subsets, monkeypatch):
+    """A rule of five tokens of which no four tell bad pages apart, by FP-growth and by levels."""
+    monkeypatch.setattr(url_rules, "SUBSETS", subsets)
+    five = [f"s{j}x" for j in range(5)]
+    made = [("bad", five)] * 60 + [("good", [x for x in five if x != out]) for out in five for _ in range(60)]
+    pages = [(k, "http://t.com/" + "/".join([*own, f"only{k}"])) for k, (_, own) in enumerate(made)]
+    pages += [(1000, "http://t.com/" + "/".join(five)), (1001, "http://t.com/" + "/".join(five[:4])), (1002, "http://u.com/z/" + "/".join(reversed(five)))]
+    marked = spark.createDataFrame([(k, int(kind == "good"), 0) for k, (kind, _) in enumerate(made)], "doc_id long, quality int, toxic int")
+    found, _ = url_rules.mined_rules(spark.createDataFrame(pages, "page_id long, url string"), marked)
+    assert [set(r["items"]) for r in found.collect()] == [{f"p:{x}" for x in five}]
+    verdicts = {r.page_id: r.verdict for r in url_rules.judged(spark.createDataFrame(pages, "page_id long, url string"), marked).collect()}
+    assert verdicts[1000] == verdicts[1002] == "block" and verdicts[1001] == "allow" and sum(v == "block" for v in verdicts.values()) == 62
+
+
+def test_long_baskets_of_bad_pages(spark):
+    """Pages of 40 and of 200 varied segments: no listing of subsets."""
+    rng = np.random.default_rng(5)
+    for size, pool in ((40, 60), (200, 260)):
+        made = [(k, "http://t.com/" + "/".join(f"s{j}" + "x" for j in rng.permutation(pool)[:size])) for k in range(200)]
+        made += [(200 + k, f"http://ok.com/a{k % 7}b/c{k % 5}d") for k in range(200)]
+        marked = spark.createDataFrame([(k, int(k >= 200), 0) for k in range(400)], "doc_id long, quality int, toxic int")
+        got = {r.page_id: r.verdict for r in url_rules.judged(spark.createDataFrame(made, "page_id long, url string"), marked).collect()}
+        assert all((got[k] == "block") == (k < 200) for k in got)
