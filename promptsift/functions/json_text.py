@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -45,6 +45,17 @@ def pruned(denied: Iterable[str] = (), most: int = MAX_ARRAY) -> Callable[[Colum
     return run.asNondeterministic()
 
 
+def pruned_by_profile(profiles: Mapping[str, Iterable[str]], otherwise: Iterable[str] = (), most: int = MAX_ARRAY) -> Callable[[Column, Column], Column]:
+    """The same with each row's own profile: its denied keys, or those of otherwise for a null one; an unknown one denies nothing."""
+    keys = {name: frozenset(denied) for name, denied in profiles.items()} | {None: frozenset(otherwise)}
+
+    @arrow_udf(StringType())
+    def run(texts: pa.Array, names: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else pruned_text(t, keys.get(n, frozenset()), most) for t, n in zip(texts.to_pylist(), names.to_pylist())], pa.string())
+
+    return run.asNondeterministic()
+
+
 def _parses(text: str) -> bool:
     try:
         json.loads(text)

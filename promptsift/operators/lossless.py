@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +22,9 @@ def dedup(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("text", F.when(guard, text.deduplicated_lines(F.col("text"))).otherwise(F.col("text")))
 
 
-def prune(chunks: DataFrame, denied: Iterable[str] = (), max_array: int = json_text.MAX_ARRAY) -> DataFrame:
-    """Denied keys and the ends of long arrays in live JSON."""
+def prune(chunks: DataFrame, denied: Iterable[str] = (), max_array: int = json_text.MAX_ARRAY, profiles: Mapping[str, Iterable[str]] | None = None) -> DataFrame:
+    """Denied keys and the ends of long arrays in live JSON; with profiles, a chunk that names one has its keys denied instead."""
     guard = is_live() & (F.col("kind") == "json")
-    cut = json_text.pruned(denied, max_array)(F.when(guard, F.col("text")))
+    text = F.when(guard, F.col("text"))
+    cut = json_text.pruned(denied, max_array)(text) if profiles is None else json_text.pruned_by_profile(profiles, denied, max_array)(text, F.col("profile"))
     return chunks.withColumn("text", F.coalesce(cut, F.col("text")))

@@ -77,7 +77,7 @@ def reduce_texts(found: DataFrame, options: Options = Options()) -> DataFrame:
 
 
 def reduce_alike(found: DataFrame, query: str = "", options: Options = Options()) -> DataFrame:
-    """A prompt for each text (request_id, text), all asked the same; the lite funnel without a query."""
+    """A prompt for each text (request_id, text and optionally profile), all asked the same; the lite funnel without a query."""
     queries = found.select("request_id", F.lit(query).alias("query"))
     return (options.full() if query.strip() else options.lite()).run(texts.blocks(found), queries)
 
@@ -101,11 +101,8 @@ def tool_results(results: DataFrame, options: Options = Options(), settings: gat
     by_command = F.when(F.col("tool").isin("bash", "shell", "powershell"), tools.profile_of(F.col("command"))).otherwise("passthrough")
     guard = tools.guard(F.col("tool"), F.col("result_type"), F.col("result"), settings.skipped, disabled)
     parsed = saved(parsed.drop("payload").withColumns({"profile": by_command, "guard": guard, "row": F.monotonically_increasing_id().cast("string")}))
-    reduced = None
-    for name in ("passthrough", *tools.PROFILES_BY_COMMAND):
-        own = parsed.filter((F.col("profile") == name) & (F.col("guard") == "")).select(F.col("row").alias("request_id"), F.col("result").alias("text"))
-        prompts = reduce_alike(own, query, Options(options.max_tokens, options.keep, name, options.max_array, options.embedder, options.llm)).select(F.col("request_id").alias("row"), "prompt")
-        reduced = prompts if reduced is None else reduced.unionByName(prompts)
+    open_ = parsed.filter(F.col("guard") == "").select(F.col("row").alias("request_id"), F.col("result").alias("text"), "profile")
+    reduced = reduce_alike(open_, query, options).select(F.col("request_id").alias("row"), "prompt")
     joined = parsed.join(reduced, "row", "left").withColumnRenamed("prompt", "cleaned_text")
     joined = joined.withColumn("summary", F.lit(None).cast("string")) if files is None else joined.join(file_summaries(files), "path", "left")
     # tokens as the gate counts them: a quarter of the characters

@@ -173,6 +173,11 @@ def prune_profile(spark, d):
     return lossless.prune(inputs.order_json(spark, d), profiles.profile("k8s")).select("request_id", "text")
 
 
+def prune_by_profile(spark, d):
+    """Each row by its own profile; rows without one by azure's."""
+    return lossless.prune(inputs.profiled_json(spark, d), profiles.profile("azure"), profiles=profiles.PROFILES).select("request_id", "text")
+
+
 # ranking
 
 
@@ -504,7 +509,7 @@ def queries() -> dict:
         budget_stage, budget_overflow, assemble_prompts, deferred_footer, deferred_rows, funnel_custom, funnel_lite, funnel_metrics, live_sizes, store_put, store_alive,
         store_retrieve, store_manifest, store_evict, gate_thresholds, gate_commands, gate_reduced, gate_sessions, gate_sessions_days,
         gate_views, gate_guards, tool_answers, pre_tool_answers, judge_lines, judge_answers, eval_suite, eval_compression, ingested_specs,
-        prune_profile, embedder_topk, model_summaries, model_prompts, tool_tokens, store_workspaces, store_after_eviction, log_runs, log_deduplicated, file_blocks,
+        prune_profile, embedder_topk, model_summaries, model_prompts, tool_tokens, store_workspaces, store_after_eviction, log_runs, log_deduplicated, file_blocks, prune_by_profile,
     )
     return {f.__name__: f for f in chosen}
 

@@ -384,6 +384,8 @@ def oracle_sql() -> dict[str, str]:
         "dedup_runs": f"""SELECT doc_id, CAST(run AS BIGINT) AS run, arg_min(line, line_no) AS line, count(*) AS n FROM (
             SELECT doc_id, line_no, line, sum(fresh) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM (
               SELECT *, CASE WHEN line_no > 0 AND key = lag(key) OVER (PARTITION BY doc_id ORDER BY line_no) THEN 0 ELSE 1 END AS fresh FROM (SELECT *, {template('line')} AS key FROM ({LINES})))) GROUP BY doc_id, run""",
+        "prune_by_profile": """SELECT CAST(o_custkey AS VARCHAR) AS request_id, '{' || chr(10) || ' "custkey": ' || o_custkey || ',' || chr(10) || CASE WHEN p = 1 THEN '' ELSE ' "uid": "x",' || chr(10) END || CASE WHEN p = 2 THEN '' ELSE ' "pid": 7,' || chr(10) END
+            || CASE WHEN p IN (3, 5) THEN '' ELSE ' "etag": {' || chr(10) || '  "a": 1' || chr(10) || ' },' || chr(10) END || ' "orders": ' || n || chr(10) || '}' AS text FROM (SELECT o_custkey, o_custkey % 6 AS p, count(*) AS n FROM orders GROUP BY ALL)""",
         "log_runs": f"SELECT first, line, n FROM ({log_runs(WHOLE_LOG)})",
         "log_deduplicated": f"SELECT id AS request_id, first, CASE WHEN n = 1 THEN line ELSE line || '   (x' || n || ')' END AS text FROM ({log_runs(WHOLE_LOG + ' UNION ALL ' + DOCUMENT_LOGS)})",
         "file_blocks": """SELECT name, CAST(pos AS BIGINT) AS pos, CASE WHEN regexp_matches(block, '^\\s*[\\{\\[]') AND json_valid(block) THEN 'json' WHEN regexp_matches(first, '^\\s*\\d{4}-\\d{2}-\\d{2}[T ]\\d{2}:\\d{2}:\\d{2}|^\\s*\\[?\\d{2}:\\d{2}:\\d{2}') THEN 'log'

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from promptsift.functions.hooks import Embedder, Llm
@@ -19,6 +19,7 @@ from promptsift.operators import budget as b
 from promptsift.operators import lossless
 from promptsift.operators.relevance import relevance
 from promptsift.operators.summarize import summarize
+from promptsift.plans.profiles import PROFILES
 from promptsift.schema import is_live
 from promptsift.shared import saved
 
@@ -27,6 +28,14 @@ NARROW = ("normalize", "dedup", "prune")
 Stage = Callable[[DataFrame, DataFrame], DataFrame]
 
 
+class Steps(list):
+    """Chunks by step, and their sizes (see ``measured``) by step."""
+
+    def __init__(self, frames: Iterable[DataFrame]):
+        super().__init__(frames)
+        self.sizes: dict[int, DataFrame] = {}
+
+
 @dataclass(frozen=True)
 class Funnel:
     """Named stages up to the budget; assembling follows.
@@ -37,14 +46,32 @@ class Funnel:
 
     stages: tuple[tuple[str, Stage], ...]
 
-    def steps(self, chunks: DataFrame, queries: DataFrame) -> list[DataFrame]:
-        """The chunks before the first stage and after each."""
-        out = [chunks]
+    def steps(self, chunks: DataFrame, queries: DataFrame) -> Steps:
+        """The chunks before the first stage and after each.
+
+        Stages that rewrite texts in their rows leave a text's tokens behind in a column, so that
+        each text is rewritten once, also where the steps are measured.
+        """
+        out = Steps([chunks])
+        sized: dict[int, str] = {}
+
+        def settle() -> None:
+            whole = saved(out[-1])
+            out[-1] = whole.drop(*sized.values())
+            for k, column in sized.items():
+                out.sizes[k] = measured(whole, F.col(column))
+            out.sizes[len(out) - 1] = measured(out[-1])
+            sized.clear()
+
         for name, stage in self.stages:
-            if name not in NARROW:
-                out[-1] = saved(out[-1])
-            out.append(stage(out[-1], queries))
-        out[-1] = saved(out[-1])
+            k = len(out) - 1
+            if name in NARROW:
+                sized[k] = f"_tokens_{k}"
+                out.append(stage(out[-1].withColumn(sized[k], token_count(F.col("text"))), queries))
+            else:
+                settle()
+                out.append(stage(out[-1], queries))
+        settle()
         return out
 
     def run(self, chunks: DataFrame, queries: DataFrame) -> DataFrame:
@@ -56,10 +83,10 @@ class Funnel:
         steps = self.steps(chunks, queries)
         return self.metrics_of(steps, b.assemble(steps[-1]))
 
-    def metrics_of(self, steps: list[DataFrame], assembled: DataFrame) -> DataFrame:
+    def metrics_of(self, steps: Steps, assembled: DataFrame) -> DataFrame:
         """The metrics of steps that were run, and of their prompts."""
         prompts = assembled.select("request_id", token_count(F.col("prompt")).alias("tokens"), F.lit(1).cast("long").alias("chunks"))
-        sizes = [*(measured(s) for s in steps), prompts]
+        sizes = [*(steps.sizes[k] for k in range(len(steps))), prompts]
         names = [*(name for name, _ in self.stages), "assemble"]
         rows = []
         for k, name in enumerate(names):
@@ -70,10 +97,11 @@ class Funnel:
         return every.withColumns(saved).select("request_id", "stage_no", "stage", "tokens_in", "tokens_out", "chunks_in", "chunks_out", "saved", "ratio")
 
 
-def measured(chunks: DataFrame) -> DataFrame:
-    """request_id, tokens, chunks of what is live."""
+def measured(chunks: DataFrame, tokens: Column | None = None) -> DataFrame:
+    """request_id, tokens, chunks of what is live; tokens: those of each chunk, of its text unless given."""
     live = is_live()
-    return chunks.groupBy("request_id").agg(F.sum(F.when(live, token_count(F.col("text"))).otherwise(0)).alias("tokens"), F.count_if(live).alias("chunks"))
+    own = token_count(F.col("text")) if tokens is None else tokens
+    return chunks.groupBy("request_id").agg(F.sum(F.when(live, own).otherwise(0)).alias("tokens"), F.count_if(live).alias("chunks"))
 
 
 def _without_query(stage: Callable[[DataFrame], DataFrame]) -> Stage:
@@ -85,7 +113,7 @@ def lite_funnel(max_tokens: int = b.MAX_TOKENS, denied: Iterable[str] = (), max_
     return Funnel((
         ("normalize", _without_query(lossless.normalize)),
         ("dedup", _without_query(lossless.dedup)),
-        ("prune", _without_query(lambda c: lossless.prune(c, denied, max_array))),
+        ("prune", _without_query(lambda c: lossless.prune(c, denied, max_array, PROFILES))),
         ("budget", _without_query(lambda c: b.budget(c, max_tokens))),
     ))
 

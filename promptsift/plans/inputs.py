@@ -77,6 +77,15 @@ def order_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_chunks(orders.select(F.col("o_custkey").alias("request_id"), F.lit(0).alias("pos"), text.alias("text"), F.lit("json").alias("kind"), F.lit("orders").alias("source")))
 
 
+def profiled_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON object for each customer with orders, with a key that each profile denies, and the customer's own profile."""
+    names = F.array(*(F.lit(n) for n in ("passthrough", "k8s", "postgres", "azure", "unheard of")))
+    text = F.concat(F.lit('{"custkey": '), F.col("o_custkey").cast("string"), F.lit(', "uid": "x", "pid": 7, "etag": {"a": 1}, "orders": '), F.col("n").cast("string"), F.lit("}"))
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.col("o_custkey") % 6 < 5, F.get(names, (F.col("o_custkey") % 6).cast("int")))
+    return as_chunks(orders.select(F.col("o_custkey").alias("request_id"), F.lit(0).alias("pos"), text.alias("text"), F.lit("json").alias("kind"), F.lit("orders").alias("source"), own.alias("profile")))
+
+
 def tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads (event_id, session, at, payload): each turn five times over, as what a tool returned."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace("text", "\n+", "\n").alias("text"))

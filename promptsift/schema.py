@@ -23,6 +23,7 @@ ANNOTATIONS = {
     "kept_tokens": "long",
     "critical_overflow": "boolean",
     "seq": "long",
+    "profile": "string",
 }
 
 

@@ -22,8 +22,9 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def blocks(texts: DataFrame) -> DataFrame:
-    """Chunks of texts (request_id, text): what blank lines part, numbered before blanks are dropped."""
-    return _chunks(texts.select("request_id", F.posexplode(F.split("text", r"\n{2,}", -1)).alias("pos", "text")))
+    """Chunks of texts (request_id, text and optionally profile): what blank lines part, numbered before blanks are dropped."""
+    own = ["profile"] if "profile" in texts.columns else []
+    return _chunks(texts.select("request_id", *own, F.posexplode(F.split("text", r"\n{2,}", -1)).alias("pos", "text")))
 
 
 def _chunks(parts: DataFrame) -> DataFrame:
