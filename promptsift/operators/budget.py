@@ -3,6 +3,11 @@
 The fill is an ordered fold (what fits depends on what was taken before), so it runs over
 each request's rows in order, in a sorted partition: rows of (request, place, tokens) only,
 streamed, with one number of state. Texts are joined back afterwards.
+
+A request of over ``HUGE`` rows is filled by many tasks (``filled_by_blocks``): up to the first
+row that doesn't fit, room is what a running sum leaves. From there on less than MIN_HEAD is
+left (or nothing, after a head), so of each number of tokens only a few of the first rows can
+matter: at most 473 rows of a request, over which the fold runs.
 """
 
 from __future__ import annotations
@@ -10,13 +15,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptsift.functions.text import chunk_id, head_of, token_count
-from promptsift.operators.numbering import numbered
+from promptsift.operators.numbering import HUGE, numbered, ranged
 from promptsift.operators.relevance import DIGITS
 from promptsift.schema import CRITICAL, DEFERRED, KEY, is_live, order_keys
+from promptsift.shared import saved
 
 MAX_TOKENS = 2000
 #: The least room in tokens for which a chunk's head is worth keeping.
@@ -54,17 +60,52 @@ def _fill_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
 
-def filled(chunks: DataFrame, cap: int = MAX_TOKENS) -> DataFrame:
+def filled(chunks: DataFrame, cap: int = MAX_TOKENS, huge: int = HUGE) -> DataFrame:
     """The verdict on each live chunk that isn't CRITICAL; place is its number in the order of filling."""
     sized = chunks.withColumn("tokens", token_count(F.col("text")))
-    used = sized.groupBy("request_id").agg(F.sum(F.when(F.col("tier") == CRITICAL, F.col("tokens")).otherwise(0)).alias("used"))
+    used = sized.groupBy("request_id").agg(F.sum(F.when(F.col("tier") == CRITICAL, F.col("tokens")).otherwise(0)).alias("used"), F.count(F.lit(1)).alias("rows"))
     open_ = sized.filter(is_live() & (F.col("tier") != CRITICAL)).select("request_id", "pos", "tokens", F.round(F.coalesce("relevance", F.lit(0.0)), DIGITS).alias("relevance"))
     room = F.greatest(F.lit(0), F.lit(cap) - F.col("used")).cast("long")
-    rows = open_.join(used, "request_id").withColumn("room", room)
-    ordered = rows.repartition("request_id").sortWithinPartitions("request_id", F.col("relevance").desc(), "pos")
+    rows = open_.join(used, "request_id").select("request_id", "pos", "tokens", "relevance", "rows", room.alias("room"))
+    small = _folded(rows.filter(F.col("rows") <= huge), [F.col("relevance").desc(), F.col("pos")])
+    if used.filter(F.col("rows") > huge).isEmpty():
+        return small
+    return small.unionByName(filled_by_blocks(rows.filter(F.col("rows") > huge).drop("rows")))
+
+
+def _folded(rows: DataFrame, order: list[Column]) -> DataFrame:
+    ordered = rows.repartition("request_id").sortWithinPartitions("request_id", *order)
     return ordered.select("request_id", "pos", "tokens", "room").mapInArrow(_fill_batches, _FILLED)
 
 
+def filled_by_blocks(rows: DataFrame, block: int = HUGE) -> DataFrame:
+    """The same for rows (request_id, pos, tokens, relevance, room), with no task for a whole request."""
+    placed = ranged(rows, ["request_id"], [F.col("relevance").desc(), F.col("pos")]).select("request_id", "pos", "tokens", "room", (F.col("place") - 1).alias("place"))
+    placed = placed.withColumn("block", F.floor(F.col("place") / block))
+    before = Window.partitionBy("request_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = placed.groupBy("request_id", "block").agg(F.sum("tokens").alias("n")).withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    inside = Window.partitionBy("request_id", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.join(blocks.select("request_id", "block", "earlier"), ["request_id", "block"])
+    left = F.col("room") - F.col("earlier") - F.coalesce(F.sum("tokens").over(inside), F.lit(0))
+    summed = saved(summed.withColumn("left", left).select("request_id", "pos", "tokens", "place", "left"))
+    # the first row that doesn't fit, and the room that it finds and leaves
+    stops = summed.filter(F.col("tokens") > F.col("left")).groupBy("request_id").agg(F.min(F.struct("place", "left")).alias("s"))
+    stops = saved(stops.select("request_id", F.col("s.place").alias("stop"), F.col("s.left").alias("found"), F.when(F.col("s.left") >= MIN_HEAD, 0).otherwise(F.col("s.left")).alias("rest")))
+    later = summed.join(stops, "request_id").filter((F.col("place") > F.col("stop")) & (F.col("tokens") > 0) & (F.col("tokens") <= F.col("rest")))
+    nth = F.row_number().over(Window.partitionBy("request_id", "tokens").orderBy("place"))
+    few = later.withColumn("nth", nth).filter(F.col("nth") < MIN_HEAD).filter(F.col("nth") * F.col("tokens") <= F.col("rest"))
+    taken = _folded(few.select("request_id", F.col("place").alias("pos"), "tokens", F.col("rest").alias("room")), [F.col("pos")]).filter(F.col("verdict") == KEEP)
+    taken = taken.join(few.select("request_id", F.col("place").alias("pos"), "tokens"), ["request_id", "pos"])
+    steps = taken.groupBy("request_id").agg(F.collect_list(F.struct(F.col("pos").alias("at"), F.col("room").alias("was"), (F.col("room") - F.col("tokens")).alias("then"))).alias("steps"))
+    every = summed.join(stops, "request_id", "left").join(steps, "request_id", "left")
+    own = F.exists(F.coalesce("steps", F.array().cast("array<struct<at:long,was:long,then:long>>")), lambda x: x["at"] == F.col("place"))
+    past = F.array_max(F.filter("steps", lambda x: x["at"] < F.col("place")))["then"]
+    fits = F.col("stop").isNull() | (F.col("place") < F.col("stop"))
+    verdict = F.when(fits | (F.col("tokens") == 0) | own, KEEP).when((F.col("place") == F.col("stop")) & (F.col("found") >= MIN_HEAD), HEAD).otherwise(DEFER)
+    room = F.when(fits | (F.col("place") == F.col("stop")), F.col("left")).otherwise(F.coalesce(past, F.col("rest")))
+    return every.select("request_id", "pos", verdict.alias("verdict"), room.alias("room"), "place")
+
+
 #: What an added copy must share with a deferred row for both to be one.
 _SAME = ("request_id", "digest", "kind", "source", "severity", "relevance", "summarized")
 

@@ -7,8 +7,8 @@ from itertools import groupby
 import pytest
 from pyspark.sql import functions as F
 
-from promptsift.operators import logs, numbering, store
-from promptsift.schema import ANNOTATIONS
+from promptsift.operators import budget, logs, numbering, store
+from promptsift.schema import ANNOTATIONS, as_chunks
 from promptsift.sources import texts
 from promptsift.streaming import deferred
 
@@ -198,3 +198,18 @@ def test_stream_of_deferred_chunks(spark, tmp_path):
     assert run(path) == every and store.load(spark, path).count() == 9
     assert run(str(tmp_path / "expiring"), ttl=5000.0) == [e for e in every if e[1] >= 4000]
     assert not list((tmp_path / "expiring").glob("workspace_key=w/hour=0"))
+
+
+def test_huge_requests_are_filled_as_small_ones(spark):
+    rnd = random.Random(9)
+    rows, want = [], []
+    for request, sizes, room in (("tiny", (0, 1, 2, 5, 60, 99), 400), ("heads", (300, 500), 1450), ("none", (5,), 0), ("fits", (1, 2), 10**6), ("zeros", (0, 0, 3), 50), ("mixed", (0, 1, 3, 40, 90, 120, 700), 2000), ("late", (700,) * 9 + (1, 2, 7), 1499)):
+        own = [(request, k, rnd.choice(sizes), rnd.choice([0.0, 0.5, 1.0]), room) for k in range(400)]
+        rows += own
+        want += budget.fill((r, p, t, m) for r, p, t, _, m in sorted(own, key=lambda x: (-x[3], x[1])))
+    frame = spark.createDataFrame(rows, "request_id string, pos long, tokens long, relevance double, room long").repartition(4)
+    assert sorted(map(tuple, budget.filled_by_blocks(frame, 50).collect())) == sorted(want)
+    assert {v for _, _, v, _, _ in want} == {budget.KEEP, budget.HEAD, budget.DEFER}
+    assert budget.filled_by_blocks(frame.filter("false")).count() == 0
+    chunks = as_chunks(spark.createDataFrame([(r, p, "x" * 4 * t) for r, p, t, _, _ in rows], "request_id string, pos long, text string"))
+    assert sorted(map(tuple, budget.filled(chunks, 900, huge=10).collect())) == sorted(map(tuple, budget.filled(chunks, 900).collect()))
