@@ -18,7 +18,7 @@ from promptsift.plans.funnel import Funnel, default_funnel, lite_funnel
 from promptsift.schema import DEFERRED, is_live
 from promptsift.shared import shared_dir
 from promptsift.sources import fixtures, payloads, texts
-from promptsift.streaming import gate
+from promptsift.streaming import deferred, gate
 
 CAP, KEEP, DIGITS = 4000, 5, 6
 NOW, TTL = 1_000_000.0, 3600.0
@@ -272,6 +272,12 @@ def budget_fill(spark, d):
     return budget.filled(inputs.by_source(spark, d), CAP).select("request_id", "pos", "verdict", "room", "place")
 
 
+def budget_fill_all(spark, d):
+    """All documents as one request, which many tasks fill."""
+    chunks = inputs.by_source(spark, d).withColumn("request_id", F.lit("all"))
+    return budget.filled(chunks, CAP, huge=0).select("request_id", "pos", "verdict", "room", "place")
+
+
 def budget_stage(spark, d):
     out = budget.budget(inputs.by_source(spark, d), CAP)
     return out.select("request_id", "pos", "tier", "seq", "text", F.coalesce("truncated", F.lit(False)).alias("truncated"), "original_tokens", "kept_tokens")
@@ -384,6 +390,17 @@ def store_evict(spark, d):
     return store.evicted(_store(spark, d), NOW, 1800.0)
 
 
+def store_stream(spark, d):
+    """Turns that a stream defers, in the store to which its batches go."""
+    top = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    chunks = inputs.conversations(spark, d).withColumn("tier", F.lit(DEFERRED))
+    chunks.repartition(3, "request_id").write.parquet(f"{top}/in")
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 2).parquet(f"{top}/in")
+    writer = deferred.kept_stream(stream, f"{top}/store", F.lit(NOW) - F.col("pos") * 600, "w")
+    writer.option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
+    return store.current(store.load(spark, f"{top}/store")).select("request_id", "chunk_id", "kind", "source", "tokens", "stored_at")
+
+
 def store_after_eviction(spark, d):
     """What readers find of each request after an eviction, whatever time to live they have themselves."""
     _, path = _kept(spark, _store_rows(spark, d))
@@ -435,6 +452,19 @@ def _sessions(spark, d, ttl):
     return out.select("session", F.round("at", 3).alias("at"), "verdict", "reason", "total", "views", "nudged")
 
 
+def gate_stream(spark, d):
+    """The same as gate_sessions, as a stream of shuffled files and with an event that ends it."""
+    top = f"{shared_dir(spark)}/gate-{uuid.uuid4().hex}"
+    events = gate.as_events(inputs.tool_calls(spark, d).withColumn("at", F.col("micros") / 1e6))
+    end = events.agg((F.coalesce(F.max("at"), F.lit(0.0)) + 1e8).alias("at")).withColumns({"session": F.lit(None).cast("string"), "tool": F.lit("sql"), "tokens": F.lit(0)})
+    events.repartition(4, F.xxhash64("event_id")).unionByName(gate.as_events(end)).write.parquet(f"{top}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{top}/in")
+    decided = gate.decided_stream(stream, gate.Settings(threshold=3000, cumulative=4000), "400 days")
+    decided.writeStream.format("parquet").option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start(f"{top}/out").awaitTermination()
+    out = spark.read.schema(decided.schema).parquet(f"{top}/out").filter("session IS NOT NULL")
+    return out.select("session", F.round("at", 3).alias("at"), "verdict", "reason", "total", "views", "nudged")
+
+
 def gate_views(spark, d):
     """Views of files: each file's summary comes once a session, where it is worth showing."""
     calls = inputs.tool_calls(spark, d)
@@ -509,7 +539,7 @@ def queries() -> dict:
         budget_stage, budget_overflow, assemble_prompts, deferred_footer, deferred_rows, funnel_custom, funnel_lite, funnel_metrics, live_sizes, store_put, store_alive,
         store_retrieve, store_manifest, store_evict, gate_thresholds, gate_commands, gate_reduced, gate_sessions, gate_sessions_days,
         gate_views, gate_guards, tool_answers, pre_tool_answers, judge_lines, judge_answers, eval_suite, eval_compression, ingested_specs,
-        prune_profile, embedder_topk, model_summaries, model_prompts, tool_tokens, store_workspaces, store_after_eviction, log_runs, log_deduplicated, file_blocks, prune_by_profile,
+        prune_profile, embedder_topk, model_summaries, model_prompts, tool_tokens, store_workspaces, store_after_eviction, log_runs, log_deduplicated, file_blocks, prune_by_profile, budget_fill_all, gate_stream, store_stream,
     )
     return {f.__name__: f for f in chosen}
 

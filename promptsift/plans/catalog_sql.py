@@ -413,6 +413,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT split_part(id, '/', 1) AS request_id, CAST(split_part(id, '/', 2) AS BIGINT) AS pos, string_agg(text, ' ' ORDER BY pos) AS summary FROM ranked WHERE size > 1 AND place <= greatest(1, round_even(size * 0.4, 0)) GROUP BY id""",
         "summarize_stage": f"SELECT request_id, pos, CAST(CASE WHEN {tok('text')} >= 120 THEN 2 ELSE 1 END AS INTEGER) AS tier, {tok('text')} >= 120 AS summarized FROM ({TURNS})",
         "budget_fill": filled(BY_SOURCE, 4000),
+        "budget_fill_all": filled(f"SELECT 'all' AS request_id, pos, text, tier, relevance FROM ({BY_SOURCE})", 4000),
         "budget_stage": budgeted,
         "budget_overflow": f"SELECT request_id, coalesce(sum(CASE WHEN tier = 0 THEN {tok('text')} END), 0) > 500 AS overflow FROM ({BY_SOURCE}) GROUP BY request_id",
         "assemble_prompts": f"SELECT request_id, prompt, deferred FROM ({assembled(f"SELECT *, 1 AS tier FROM ({TURNS})")})",
@@ -424,6 +425,7 @@ def oracle_sql() -> dict[str, str]:
         "funnel_metrics": f"""WITH logs AS MATERIALIZED (SELECT request_id, text, {normalized('text')} AS clean FROM ({EVENT_LOGS})), p AS MATERIALIZED ({logs}),
             sizes AS (SELECT request_id, {tok('l.text')} AS t0, {tok('l.clean')} AS t1, p.tokens AS t2, CASE WHEN p.deferred = 0 THEN p.tokens ELSE {tok('p.head')} END AS t3, {tok('p.prompt')} AS t4 FROM logs l JOIN p ON p.id = l.request_id) {metrics}""",
         "live_sizes": f"SELECT request_id, CAST(tier AS INTEGER) AS tier, CAST(sum({tok('text')}) AS BIGINT) AS tokens, count(*) AS chunks FROM ({BY_SOURCE}) GROUP BY request_id, tier",
+        "store_stream": f"SELECT request_id, {chunk_id('source', 'text')} AS chunk_id, 'text' AS kind, source, any_value({tok('text')}) AS tokens, max(1000000.0::DOUBLE - pos * 600) AS stored_at FROM ({TURNS}) GROUP BY request_id, source, chunk_id",
         "store_put": f"SELECT request_id, chunk_id, kind, source, tokens, stored_at FROM ({CURRENT.format(STORE)})",
         "store_alive": f"SELECT request_id, count(*) AS n FROM ({ALIVE}) GROUP BY request_id",
         "store_retrieve": f"""WITH ids AS (SELECT request_id, list(DISTINCT chunk_id ORDER BY chunk_id) AS ids FROM ({STORE}) GROUP BY request_id), wanted AS (SELECT request_id, list_concat(['none:0'], list_reverse(ids), ids[1:1]) AS ids FROM ids)
@@ -435,6 +437,7 @@ def oracle_sql() -> dict[str, str]:
         "gate_commands": f"SELECT event_id, {noisy} AS noisy, {profile} AS profile, {noisy} AND NOT regexp_matches(command, '\\| ?promptsift( |$)') AS rewritten, '( ' || command || ' ) 2>&1 | promptsift --profile ' || {profile} || ' --budget 2000 --keep 5' AS command FROM ({CALLS})",
         "gate_reduced": "SELECT doc_id, doc_id % 3 = 0 OR (strlen(substr(text, 1, 150)) + 12 <= 200) OR regexp_matches(left(substr(text, 1, 150), 150), '(?m)^### ') AS reduced FROM documents",
         "gate_sessions": sessions(3600.0),
+        "gate_stream": sessions(3600.0),
         "gate_sessions_days": sessions(3 * 86400.0),
         "judge_lines": f"WITH {judged} SELECT case_id, idx, score, place FROM best",
         "judge_answers": f"WITH {judged} SELECT case_id, answer FROM answers",
