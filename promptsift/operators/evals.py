@@ -45,6 +45,32 @@ def answers(contexts: DataFrame, top: int = TOP, near: int = NEAR) -> DataFrame:
     return chosen.select("case_id", answer.alias("answer"))
 
 
+def answers_of_lines(lines: DataFrame, queries: DataFrame, top: int = TOP, near: int = NEAR) -> DataFrame:
+    """case_id, answer for contexts of any length, whose lines are rows (case_id, idx from 0, line).
+
+    queries: case_id, query. Lines are scored where they are, each task sends a case's best,
+    and only their neighbours and the first lines are gathered. Equal to ``answers`` of the
+    lines' text. A case without lines has the answer of an empty context.
+    """
+    asked = queries.select("case_id", judge_terms(F.col("query")).alias("asked"))
+    own = lines.select("case_id", F.col("idx").cast("long").alias("idx"), "line")
+    scored = own.join(asked, "case_id").select("case_id", "idx", F.size(F.array_intersect("asked", judge_terms(F.col("line")))).alias("score")).filter("score > 0")
+    order = Window.partitionBy("case_id").orderBy(F.col("score").desc(), "idx")
+    hits = scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)
+    around = hits.select("case_id", F.explode(F.sequence(F.col("idx") - near, F.col("idx") + near)).alias("idx")).distinct()
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("idx", "line"))), lambda x: x["line"])
+    found = own.join(around, ["case_id", "idx"]).select("case_id", "idx", stripped(F.col("line")).alias("line"))
+    close = found.groupBy("case_id").agg(F.array_join(F.filter(ordered, lambda x: x != ""), "\n").alias("close"))
+    filled = own.filter(stripped(F.col("line")) != "").groupBy("case_id").agg(F.min("idx").alias("idx"))
+    first = own.join(filled, ["case_id", "idx"]).select("case_id", stripped(F.col("line")).alias("first"))
+    # each line takes a character at least, its end
+    start = own.filter(F.col("idx") < FALLBACK_CHARS).select("case_id", "idx", F.substring("line", 1, FALLBACK_CHARS).alias("line"))
+    head = start.groupBy("case_id").agg(F.substring(F.array_join(ordered, "\n"), 1, FALLBACK_CHARS).alias("head"))
+    every = asked.join(close, "case_id", "left").join(first, "case_id", "left").join(head, "case_id", "left")
+    answer = F.when(F.size("asked") == 0, F.col("head")).otherwise(F.coalesce("close", "first"))
+    return every.select("case_id", F.coalesce(answer, F.lit("")).alias("answer"))
+
+
 def compared(cases: DataFrame, raw: DataFrame, funneled: DataFrame, grader: Column) -> DataFrame:
     """Per case: tokens, whether each answer is right, compression, delta, error.
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import StringType
 
 from promptsift.functions.hooks import Llm, answered
 from promptsift.functions.text import token_count
@@ -21,16 +24,10 @@ def extracted(texts: DataFrame, queries: DataFrame, keep_share: float = KEEP_SHA
     return found.filter(F.col("summary").isNotNull())
 
 
-def quoted(query: Column) -> Column:
-    """The query in quotes, with the escapes that show control characters, quotes and backslashes."""
-    out = F.replace(query, F.lit("\\"), F.lit("\\\\"))
-    for char, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        out = F.replace(out, F.lit(char), F.lit(shown))
-    for code in (*range(9), 11, 12, *range(14, 32), *range(127, 161), 173):
-        out = F.replace(out, F.lit(chr(code)), F.lit(f"\\x{code:02x}"))
-    single, double = F.contains(query, F.lit("'")), F.contains(query, F.lit('"'))
-    plain = F.concat(F.lit("'"), F.replace(out, F.lit("'"), F.lit("\\'")), F.lit("'"))
-    return F.when(single & ~double, F.concat(F.lit('"'), out, F.lit('"'))).otherwise(plain)
+@arrow_udf(StringType())
+def quoted(queries: pa.Array) -> pa.Array:
+    """The query in quotes, as Python writes a string: what can't be printed, quotes and backslashes are escaped."""
+    return pa.array([None if q is None else repr(q) for q in queries.to_pylist()], pa.string())
 
 
 def prompt_for(query: Column, text: Column) -> Column:

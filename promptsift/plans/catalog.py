@@ -512,6 +512,12 @@ def judge_answers(spark, d):
     return evals.answers(_contexts(spark, d))
 
 
+def judge_line_answers(spark, d):
+    """The same answers of contexts whose lines are rows."""
+    contexts = _contexts(spark, d)
+    return evals.answers_of_lines(evals.lines_of(contexts), contexts.select("case_id", "query"))
+
+
 def _evaluated(spark, d):
     """Every document as a case, reduced by the lite funnel to 200 tokens."""
     contexts = _contexts(spark, d)
@@ -539,7 +545,7 @@ def queries() -> dict:
         budget_stage, budget_overflow, assemble_prompts, deferred_footer, deferred_rows, funnel_custom, funnel_lite, funnel_metrics, live_sizes, store_put, store_alive,
         store_retrieve, store_manifest, store_evict, gate_thresholds, gate_commands, gate_reduced, gate_sessions, gate_sessions_days,
         gate_views, gate_guards, tool_answers, pre_tool_answers, judge_lines, judge_answers, eval_suite, eval_compression, ingested_specs,
-        prune_profile, embedder_topk, model_summaries, model_prompts, tool_tokens, store_workspaces, store_after_eviction, log_runs, log_deduplicated, file_blocks, prune_by_profile, budget_fill_all, gate_stream, store_stream,
+        prune_profile, embedder_topk, model_summaries, model_prompts, tool_tokens, store_workspaces, store_after_eviction, log_runs, log_deduplicated, file_blocks, prune_by_profile, budget_fill_all, gate_stream, store_stream, judge_line_answers,
     )
     return {f.__name__: f for f in chosen}
 

@@ -441,6 +441,7 @@ def oracle_sql() -> dict[str, str]:
         "gate_sessions_days": sessions(3 * 86400.0),
         "judge_lines": f"WITH {judged} SELECT case_id, idx, score, place FROM best",
         "judge_answers": f"WITH {judged} SELECT case_id, answer FROM answers",
+        "judge_line_answers": f"WITH {judged} SELECT case_id, answer FROM answers",
         "gate_views": views(),
         "gate_guards": "SELECT event_id, CASE WHEN event_id % 6 = 0 OR event_id % 11 = 0 THEN 'passed' WHEN tool = 'sql' THEN 'internal-bookkeeping' WHEN tool IN ('mcp:logs', 'bash') THEN 'user-skip-list' WHEN event_id % 6 = 1 THEN 'already-funneled' ELSE '' END AS guard FROM (" + CALLS + ")",
         "tool_answers": tool_answers(results),

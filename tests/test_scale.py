@@ -7,7 +7,7 @@ from itertools import groupby
 import pytest
 from pyspark.sql import functions as F
 
-from promptsift.operators import budget, logs, numbering, store
+from promptsift.operators import budget, evals, logs, numbering, store
 from promptsift.schema import ANNOTATIONS, as_chunks
 from promptsift.sources import texts
 from promptsift.streaming import deferred
@@ -213,3 +213,15 @@ def test_huge_requests_are_filled_as_small_ones(spark):
     assert budget.filled_by_blocks(frame.filter("false")).count() == 0
     chunks = as_chunks(spark.createDataFrame([(r, p, "x" * 4 * t) for r, p, t, _, _ in rows], "request_id string, pos long, text string"))
     assert sorted(map(tuple, budget.filled(chunks, 900, huge=10).collect())) == sorted(map(tuple, budget.filled(chunks, 900).collect()))
+
+
+def test_answers_of_lines_are_those_of_texts(spark):
+    rnd = random.Random(3)
+    texts = [("\n".join(" ".join(rnd.choice(["alpha", "beta", "gamma", "", "  ", "x"]) for _ in range(rnd.randrange(4))) for _ in range(rnd.randrange(1, 40)))) for _ in range(40)]
+    texts += ["y" * 900, "\n\n  first\nsecond", "", "alpha", "a\n" * 600]
+    cases = [(str(k), t, q) for k, t in enumerate(texts) for q in [rnd.choice(["alpha gamma", "zzz", "?", "beta x xx"])]]
+    frame = spark.createDataFrame(cases, "case_id string, context string, query string")
+    got = evals.answers_of_lines(evals.lines_of(frame).repartition(6), frame.select("case_id", "query")).collect()
+    # the end of a last line isn't a line of its own
+    want = {r.case_id: r.answer for r in evals.answers(frame).collect()}
+    assert {r.case_id: r.answer.rstrip("\n") for r in got} == {k: v.rstrip("\n") for k, v in want.items()}
