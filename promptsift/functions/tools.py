@@ -24,7 +24,7 @@ NUDGE = " small reads this session. For bulk pattern analysis, prefer bash like
 SUMMARY_LEAD = " (file is dedup-able; consider asking for the pattern rather than line-by-line reads):\n"
 SUMMARY_END = "\n--- requested slice below ---]"
 #: Why a result isn't looked at.
-DISABLED, PASSED, BOOKKEEPING, LISTED, REDUCED = "disabled", "passed", "internal-bookkeeping", "user-skip-list", "already-funneled"
+DISABLED, FAILED, PASSED, BOOKKEEPING, LISTED, REDUCED = "disabled", "unexpected-error", "passed", "internal-bookkeeping", "user-skip-list", "already-funneled"
 FETCH_HINT = "[promptsift] web_fetch bypasses postToolUse; consider Invoke-RestMethod via powershell for funneling"
 
 
@@ -57,12 +57,17 @@ def is_reduced(text: Column) -> Column:
     return (at > 0) & (size <= 200)
 
 
-def guard(tool: Column, result_type: Column, result: Column, more: Sequence[str] = (), disabled: bool = False) -> Column:
-    """Why a result passes as it is, whatever its session; empty where the session decides."""
+def guard(tool: Column, result_type: Column, result: Column, more: Sequence[str] = (), disabled: bool = False, broken: Column | None = None) -> Column:
+    """Why a result passes as it is, whatever its session; empty where the session decides.
+
+    broken: whether the payload can't be read, which is an error of its own row only.
+    """
     silent = (tool == "") | (result == "") | (result_type != "success")
     listed = tool.isin(*(m.replace(" ", "") for m in more))
     found = F.when(silent, PASSED).when(is_bookkeeping(tool), BOOKKEEPING).when(listed, LISTED).when(is_reduced(result), REDUCED).otherwise("")
-    return F.lit(DISABLED) if disabled else found
+    if disabled:
+        return F.lit(DISABLED)
+    return found if broken is None else F.when(broken, FAILED).otherwise(found)
 
 
 def is_noisy(command: Column, more: str = "") -> Column:

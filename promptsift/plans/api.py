@@ -95,12 +95,13 @@ def tool_results(results: DataFrame, options: Options = Options(), settings: gat
 
     Results that may be reduced go through the funnel with their command's profile: the lite
     one without a query. The gate then decides session by session. Rows of equal event_id are
-    events of their own.
+    events of their own. A payload that can't be read is an unexpected error of its own row,
+    whose answer is empty.
     """
     parsed = payloads.parsed(results.select("event_id", "session", "at", "payload"))
     by_command = F.when(F.col("tool").isin("bash", "shell", "powershell"), tools.profile_of(F.col("command"))).otherwise("passthrough")
-    guard = tools.guard(F.col("tool"), F.col("result_type"), F.col("result"), settings.skipped, disabled)
-    parsed = saved(parsed.drop("payload").withColumns({"profile": by_command, "guard": guard, "row": F.monotonically_increasing_id().cast("string")}))
+    guard = tools.guard(F.col("tool"), F.col("result_type"), F.col("result"), settings.skipped, disabled, payloads.is_broken(F.col("payload")))
+    parsed = saved(parsed.withColumns({"profile": by_command, "guard": guard, "row": F.monotonically_increasing_id().cast("string")}).drop("payload"))
     open_ = parsed.filter(F.col("guard") == "").select(F.col("row").alias("request_id"), F.col("result").alias("text"), "profile")
     reduced = reduce_alike(open_, query, options).select(F.col("request_id").alias("row"), "prompt")
     joined = parsed.join(reduced, "row", "left").withColumnRenamed("prompt", "cleaned_text")

@@ -17,6 +17,13 @@ def file_path(args: Column) -> Column:
     return F.coalesce(*(F.get_json_object(args, f"$.{k}") for k in PATH_KEYS))
 
 
+def is_broken(payload: Column) -> Column:
+    """No JSON object, or one whose arguments are a text that isn't JSON."""
+    whole = F.coalesce(F.get_json_object(payload, "$"), F.lit(""))
+    args = arguments(payload)
+    return ~whole.startswith("{") | (args.isNotNull() & (F.trim(args) != "") & F.get_json_object(args, "$").isNull())
+
+
 def parsed(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """Adds tool, result_type, result, command and path."""
     p = F.col(column)

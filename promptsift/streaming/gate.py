@@ -84,7 +84,7 @@ def step(state: Session, event: tuple, s: Settings) -> tuple[Session, tuple]:
         guard = tools.LISTED
     now = state.alive(at, s.ttl)
     if guard:
-        verdict, reason = (guard, "") if guard in (tools.DISABLED, tools.PASSED) else ("skipped", guard)
+        verdict, reason = (guard, "") if guard in (tools.DISABLED, tools.FAILED, tools.PASSED) else ("skipped", guard)
         return state, (event_id, session, at, tool, tokens, verdict, reason, now.total, now.views, False, "")
     nudged, file = False, ""
     if tool in tools.VIEW_TOOLS:

@@ -83,6 +83,14 @@ def test_guards(spark):
     assert [r.g for r in got] == [tools.PASSED] * 3 + [tools.BOOKKEEPING] * 2 + [tools.LISTED, tools.REDUCED, ""]
 
 
+def test_broken_payloads_are_rows(spark):
+    good = json.dumps({"toolName": "bash", "toolArgs": {"command": "ls"}, "toolResult": {"resultType": "success", "textResultForLlm": "x"}})
+    rows = [good, "{oops", "", None, "[1]", '"text"', '{"toolName": "view", "toolArgs": "{bad"}', '{"toolName": "view", "toolArgs": ""}', '{"toolName": "view", "toolArgs": null}']
+    frame = spark.createDataFrame([(str(k), "s", float(k), r) for k, r in enumerate(rows)], "event_id string, session string, at double, payload string")
+    got = {int(r.event_id): (r.verdict, r.answer) for r in api.tool_results(frame).collect()}
+    assert {k for k, v in got.items() if v == ("unexpected-error", "{}")} == {1, 2, 3, 4, 5, 6} and got[0][0] == "under-threshold" and got[7][0] == got[8][0] == "passed"
+
+
 def calls(spark):
     rng = random.Random(1)
     rows = [(f"s{rng.randint(0, 5)}", float((k + 1) * rng.randint(1, 200)), rng.choice(["view", "bash", "sql", "mcp:x"]), rng.randint(1, 3000), rng.choice([None, 5, 5000]), rng.choice([None, "f", "g"]), rng.choice([None, "sum"])) for k in range(300)]
