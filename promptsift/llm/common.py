@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from promptsift.shared import saved, shared_dir
+from promptsift.shared import saved, shared_dir, written
 
 __all__ = ["bucketed", "dropped", "fresh", "gathered", "looked_up", "per_text", "saved", "shared_dir", "table", "text_column", "written"]
 
@@ -65,13 +65,6 @@ def dropped(spark: SparkSession, *folders: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in a new folder of the shared folder; survives lost executors, takes less disk than a checkpoint."""
-    folder = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def bucketed(df: DataFrame, key: str) -> DataFrame:
     """df as a table in the shared folder, in as many buckets of key as a shuffle has partitions.
 
