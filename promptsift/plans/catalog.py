@@ -470,7 +470,7 @@ def gate_views(spark, d):
     calls = inputs.tool_calls(spark, d)
     path = F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("f"), (F.col("event_id") % 3).cast("string")))
     summary = F.when(F.col("event_id") % 3 != 0, F.lit("s"))
-    events = calls.filter("tool <> 'sql'").select("session", (F.col("micros") / 1e6).alias("at"), "event_id", F.lit("view").alias("tool"), "tokens", "cleaned", path.alias("path"), summary.alias("summary"))
+    events = calls.select("session", (F.col("micros") / 1e6).alias("at"), "event_id", F.lit("view").alias("tool"), "tokens", "cleaned", path.alias("path"), summary.alias("summary"))
     out = gate.decided(events, gate.Settings(threshold=3000, cumulative=0, nudge_after=3, ttl=1e12))
     return out.select("session", F.col("event_id").cast("long").alias("event_id"), "verdict", "reason", "total", "views", "nudged", "file")
 

@@ -187,7 +187,7 @@ def views() -> str:
     return f"""
     WITH RECURSIVE ordered AS MATERIALIZED (
       SELECT session, event_id, tokens, cleaned, CASE WHEN event_id % 4 <> 0 THEN 'f' || (event_id % 3) ELSE '' END AS path, event_id % 3 <> 0 AS worth,
-        row_number() OVER (PARTITION BY session ORDER BY micros, tokens, CAST(event_id AS VARCHAR)) AS n FROM ({CALLS}) WHERE tool <> 'sql'),
+        row_number() OVER (PARTITION BY session ORDER BY micros, tokens, CAST(event_id AS VARCHAR)) AS n FROM ({CALLS})),
     walk AS (
       SELECT DISTINCT session, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS event_id, '' AS verdict, '' AS reason, CAST(0 AS BIGINT) AS total, false AS nudged, '' AS file, CAST([] AS VARCHAR[]) AS seen FROM ordered
       UNION ALL
