@@ -28,6 +28,9 @@ Passes over the corpus, none of which brings texts, words or scores to the drive
 4. Word counts are added up over the corpus and joined back to the blocks' words (a word has
    a row for each block at most), and each block scores its documents with both models.
 
+How rows fall into tasks decides which documents share a block, and so, through the mean of
+step 3, the model's score: on sf0.1 dealings differ by about 0.2 %. The base score doesn't depend on it.
+
 The base score is that of single words, with 0.1 added to counts. Documents whose crc32 of
 their id as text is 0 modulo 10 are held out of all counts and of training.
 

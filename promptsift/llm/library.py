@@ -7,6 +7,9 @@ characters of texts, only distinct ones become Python strings, and numpy gathers
 What was encoded is kept by chunk, up to ``CACHE`` entries for a Python worker. Texts with
 other white space at such places are encoded whole by the library. New words of letters alone
 go to it in one line, which is cut again at the tokens that begin or end a word.
+
+Edge cases: an empty text (callers pass one for a null) has no ids. Very long words, and texts
+without white space, are chunks of their own.
 """
 
 from __future__ import annotations

@@ -13,6 +13,11 @@ in each of ``WAYS``, by the content's hash). Those links join most of a key; wha
 apart is then compared exactly: the contents outside the key's largest group of linked ones with all of
 another group, over all their shingles, in cells of two blocks of ``BLOCK`` contents. A
 cell returns only the links that join components, so its rows are fewer than its contents.
+
+Edge cases: a text without words (null, empty, blank) has no content and no near copies. One
+with fewer than five words has one shingle, of all of them. Case and white space don't count.
+Very long texts are sketched like others, and all their shingles are held only where a sketch
+leaves a pair open; a cell holds those of two blocks. An empty table has no links.
 """
 
 from __future__ import annotations
