@@ -457,7 +457,9 @@ def gate_stream(spark, d):
     top = f"{shared_dir(spark)}/gate-{uuid.uuid4().hex}"
     events = gate.as_events(inputs.tool_calls(spark, d).withColumn("at", F.col("micros") / 1e6))
     end = events.agg((F.coalesce(F.max("at"), F.lit(0.0)) + 1e8).alias("at")).withColumns({"session": F.lit(None).cast("string"), "tool": F.lit("sql"), "tokens": F.lit(0)})
-    events.repartition(4, F.xxhash64("event_id")).unionByName(gate.as_events(end)).write.parquet(f"{top}/in")
+    events.repartition(4, F.xxhash64("event_id")).write.parquet(f"{top}/in")
+    # files are read in the order in which they were written
+    gate.as_events(end).write.mode("append").parquet(f"{top}/in")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{top}/in")
     decided = gate.decided_stream(stream, gate.Settings(threshold=3000, cumulative=4000), "400 days")
     decided.writeStream.format("parquet").option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start(f"{top}/out").awaitTermination()
