@@ -1,9 +1,15 @@
 """TF-IDF scores of documents, as joins and aggregations.
 
-Documents are rows of (key columns, pos, terms); keys say what is ranked together. A
-document's terms are counted inside its row, and only (keys, pos, term) rows are shuffled,
-never texts. A term that a third of all documents share makes one key of the join with the
-terms' weights; its rows are of the streamed side, which adaptive execution splits.
+Documents are rows of (key columns, pos, text); keys say what is ranked together. A
+document's terms are counted inside its row and written once, as 64-bit hashes, in a row for
+each document. Document frequencies are pre-aggregated in the tasks that read these rows, so
+that a term of a third of all documents is one row of each task. The weights of the terms
+are a table whose size Spark knows before it joins: small ones go to every task, and no
+(keys, pos, term) row is shuffled; others are joined by shuffling, with the documents on the
+side that adaptive execution splits where a term is hot.
+
+Two terms of one hash would count as one: for a request of ten million different terms, the
+odds that any two have are three to a million.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from promptsift.functions.text import terms
-from promptsift.shared import saved
+from promptsift.shared import saved, unlinked, written
 
 
 def _count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -36,22 +42,21 @@ def _count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 _count.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
 
 
-def counted(text: Column) -> Column:
-    """The distinct terms of a text and how often it has each: array<struct<term, count>>.
+def counted(found: Column, kind: str = "string") -> Column:
+    """The distinct ones of an array of terms and how often it has each: array<struct<term, count>>.
 
     It isn't deterministic to the optimizer, which therefore never runs it twice for a row.
     """
-    return arrow_udf(_count, "array<struct<term: string, count: bigint>>").asNondeterministic()(terms(text))
+    return arrow_udf(_count, f"array<struct<term: {kind}, count: bigint>>").asNondeterministic()(found)
 
 
-def term_counts(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """keys, pos, term, count of documents whose (keys, pos) are distinct."""
-    return docs.select(*keys, "pos", F.explode(counted(F.col(text))).alias("t")).select(*keys, "pos", "t.term", "t.count")
+def hashed_terms(text: Column) -> Column:
+    return F.transform(terms(text), lambda term: F.xxhash64(term))
 
 
-def documents_having(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, term, having: how many documents have a term."""
-    return counts.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("having"))
+def term_counts(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
+    """keys, pos, term, count of documents whose (keys, pos) are distinct."""
+    return docs.select(*keys, "pos", F.explode(counted(terms(F.col(text)))).alias("t")).select(*keys, "pos", "t.term", "t.count")
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -59,25 +64,27 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def query_scores(docs: DataFrame, queries: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, pos, score: the cosine of every document with its keys' query.
+    """keys, pos, score: the cosine of every document with its keys' query; saved.
 
     The query counts as one more document: in the number of documents, and in those that
-    have a term. docs: keys, pos, text; queries: keys, query.
+    have a term. A document without terms, or of keys without a query, scores 0. docs: keys,
+    pos, text, of distinct (keys, pos); queries: keys, query.
     """
     keys = list(keys)
-    counts = saved(term_counts(docs, keys))
-    asked = queries.select(*keys, F.explode(terms(F.col("query"))).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("asked"))
-    sizes = docs.groupBy(*keys).agg((F.count(F.lit(1)) + 1).alias("n"))
-    having = documents_having(counts, keys)
+    own = written(docs.select(*keys, "pos", counted(hashed_terms(F.col("text")), "bigint").alias("terms")), "terms")
+    counts = own.select(*keys, "pos", F.explode_outer("terms").alias("t")).select(*keys, "pos", "t.term", "t.count")
+    sizes = own.groupBy(*keys).agg((F.count(F.lit(1)) + 1).alias("n"))
+    in_docs = counts.filter("term is not null").select(*keys, "term", F.lit(1).alias("having"), F.lit(0).alias("asked"))
+    in_query = queries.select(*keys, F.explode(hashed_terms(F.col("query"))).alias("term")).select("*", F.lit(0).alias("having"), F.lit(1).alias("asked"))
     # every term of documents or query, with its weight for each occurrence
-    known = having.join(asked, [*keys, "term"], "full").join(sizes, keys)
-    df = F.coalesce("having", F.lit(0)) + F.col("asked").isNotNull().cast("int")
-    weights = known.select(*keys, "term", "asked", "having", idf(F.col("n"), df).alias("idf"))
-    in_query = F.coalesce("asked", F.lit(0)) * F.col("idf")
-    lengths = weights.groupBy(*keys).agg(F.sqrt(F.sum(in_query * in_query)).alias("query_norm"))
-    each = F.col("count") * F.col("idf")
-    # a hash table of the weights: their keys are distinct, and nothing is sorted
-    by_doc = counts.join(weights.drop("having").hint("shuffle_hash"), [*keys, "term"]).groupBy(*keys, "pos").agg(F.sqrt(F.sum(each * each)).alias("norm"), F.sum(each * in_query).alias("dot"))
+    known = in_docs.unionByName(in_query).groupBy(*keys, "term").agg(F.sum("having").alias("having"), F.sum("asked").alias("asked"))
+    df = F.col("having") + (F.col("asked") > 0).cast("int")
+    weights = written(known.join(sizes, keys).select(*keys, "term", "asked", idf(F.col("n"), df).alias("idf")), "weights")
+    wanted, each = F.col("asked") * F.col("idf"), F.col("count") * F.col("idf")
+    lengths = weights.filter("asked > 0").groupBy(*keys).agg(F.sqrt(F.sum(wanted * wanted)).alias("query_norm"))
+    by_doc = counts.join(weights, [*keys, "term"], "left").groupBy(*keys, "pos").agg(F.sqrt(F.sum(each * each)).alias("norm"), F.sum(each * wanted).alias("dot"))
     cosine = F.when(F.col("norm") * F.col("query_norm") > 0, F.col("dot") / (F.col("norm") * F.col("query_norm"))).otherwise(0.0)
-    scored = by_doc.join(lengths, keys).select(*keys, "pos", cosine.alias("score"))
-    return docs.select(*keys, "pos").join(scored, [*keys, "pos"], "left").select(*keys, "pos", F.coalesce("score", F.lit(0.0)).alias("score"))
+    scores = saved(by_doc.join(lengths, keys, "left").select(*keys, "pos", cosine.alias("score")))
+    unlinked(own)
+    unlinked(weights)
+    return scores

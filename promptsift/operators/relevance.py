@@ -46,8 +46,7 @@ def relevance(chunks: DataFrame, queries: DataFrame, keep: int = 5, embedder: Em
         embed = embedded(embedder)
         own = candidates.select("request_id", "pos", embed("text").alias("a"))
         theirs = asked.join(crowded, "request_id", "left_semi").select("request_id", embed("query").alias("b"))
-        scored = own.join(theirs, "request_id").select("request_id", "pos", cosine(F.col("a"), F.col("b")).alias("score"))
-    scored = saved(scored)
+        scored = saved(own.join(theirs, "request_id").select("request_id", "pos", cosine(F.col("a"), F.col("b")).alias("score")))
     out = chunks.join(ranked(scored, keep), list(KEY), "left")
     changed = {"relevance": F.coalesce("score", "relevance"), "tier": F.when(~F.coalesce("kept", F.lit(True)), DEFERRED).otherwise(F.col("tier"))}
     return out.withColumns(changed).select(*chunks.columns)

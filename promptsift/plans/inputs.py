@@ -16,10 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, for work that takes longer than moving them.
+
+    A table of fewer splits than the cluster has cores is dealt to all of them; larger ones are read in place.
+    """
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request for each document source; a chunk's source is its language; toxic ones are pinned."""
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    docs = texts(spark, sf_dir).join(labels, "doc_id", "left")
     tier = F.when(F.col("toxic") == 1, CRITICAL).otherwise(RELEVANT)
     return as_chunks(docs.select(F.col("source").alias("request_id"), F.col("doc_id").alias("pos"), "text", F.col("lang").alias("source"), tier.alias("tier")))
 
@@ -37,7 +46,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def noisy_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with terminal codes, carriage returns, blanks in runs and blank lines."""
     text = F.concat(F.lit("\x1b[31m"), F.replace(F.col("text"), F.lit(". "), F.lit(".   \t\n\n\n\n")), F.lit("\x1b[0m  \r\n tail\t \n"))
-    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return texts(spark, sf_dir).select("doc_id", text.alias("text"))
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

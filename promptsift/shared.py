@@ -38,6 +38,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def unlinked(df: DataFrame) -> None:
+    """Removes the folder of a ``written`` table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        files, path = path_of(spark, folder)
+        files.delete(path, True)
+
+
 def path_of(spark: SparkSession, folder: str):
     """Hadoop's file system and path of a folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

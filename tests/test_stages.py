@@ -52,6 +52,29 @@ def test_query_scores_against_lists(spark):
         assert [r.score for r in got] == pytest.approx(by_hand(docs, query))
 
 
+def test_query_scores_of_odd_rows(spark):
+    """Texts that are null, empty or without terms, requests without a query, a query without documents, no documents."""
+    docs = chunks(spark, [{"text": "a b a"}, {"text": None}, {"text": ""}, {"text": "?!"}, {"text": "A-b"}, {"text": "a b", "request_id": "mute", "pos": 0}])
+    queries = asked(spark, "a").unionByName(asked(spark, "a", "absent"))
+    scores = ranking.query_scores(docs, queries, ["request_id"])
+    got = {(r.request_id, r.pos): r.score for r in scores.collect()}
+    assert got == pytest.approx(dict(zip([("r", k) for k in range(5)], by_hand(["a b a", "", "", "", "a b"], "a"))) | {("mute", 0): 0.0})
+    assert ranking.query_scores(docs.limit(0), queries, ["request_id"]).count() == 0
+
+
+def test_query_scores_are_alike_however_weights_are_joined(spark):
+    """A term that all documents of one request have, weights that go to every task, and weights that are shuffled."""
+    rng = random.Random(6)
+    docs = chunks(spark, [{"text": "hot " + " ".join(f"t{rng.randint(0, 400)}" for _ in range(rng.randint(0, 30))), "request_id": "big" if k % 3 else f"r{k % 7}"} for k in range(300)])
+    queries = docs.select("request_id").distinct().withColumn("query", F.lit("hot t1 t2 t3"))
+    found, limit = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for size in (limit, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+        found.append({(r.request_id, r.pos): r.score for r in ranking.query_scores(docs, queries, ["request_id"]).collect()})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len(found[0]) == 300 and found[0] == pytest.approx(found[1])
+
+
 def all_pairs(docs):
     bags = [Counter(t) for t in docs]
     df = Counter(w for b in bags for w in b)
