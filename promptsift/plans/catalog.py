@@ -17,7 +17,7 @@ from promptsift.plans import api, catalog_sql, inputs, profiles
 from promptsift.plans.funnel import Funnel, default_funnel, lite_funnel
 from promptsift.schema import DEFERRED, is_live
 from promptsift.shared import shared_dir
-from promptsift.sources import fixtures, payloads, texts
+from promptsift.sources import payloads, texts
 from promptsift.streaming import deferred, gate
 
 CAP, KEEP, DIGITS = 4000, 5, 6
@@ -114,8 +114,8 @@ def payload_fields(spark, d):
 
 
 def crash_loop_dedup(spark, d):
-    log = fixtures.as_text(fixtures.crash_loop(spark), "crash", "\n")
-    return log.select(text.token_count(F.col("text")).alias("tokens"), text.deduplicated_lines(F.col("text")).alias("text"))
+    """Crash loops whose lines are of one template: what is left is a line and how often it came."""
+    return inputs.crash_logs(spark, d).select("request_id", text.token_count(F.col("text")).alias("tokens"), text.deduplicated_lines(F.col("text")).alias("text"))
 
 
 def ingested_specs(spark, d):

@@ -339,9 +339,9 @@ def oracle_sql() -> dict[str, str]:
       UNION ALL SELECT request_id, pos, 3, place, text, false, NULL, NULL FROM chunks JOIN verdicts USING (request_id, pos) WHERE verdict <> 'keep'"""
     logs = lite_prompts(f"SELECT request_id AS id, text FROM ({EVENT_LOGS})", 4000, "events")
     documents = lite_prompts("SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents", 200, "in/0", False)
-    crash = f"""SELECT 0 AS id, string_agg(strftime(moment, '%Y-%m-%dT%H:%M:%S') || CASE WHEN micros % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(micros % 1000000 AS VARCHAR), 6, '0') END
+    crash = f"""SELECT CAST(user_id AS VARCHAR) AS id, string_agg(strftime(moment, '%Y-%m-%dT%H:%M:%S') || CASE WHEN micros % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(micros % 1000000 AS VARCHAR), 6, '0') END
         || 'Z payments[' || (1000 + i % 41) || '] ERROR connection refused: upstream postgres unreachable (req=' || lpad(lower(to_hex(i)), 8, '0') || lpad(lower(to_hex(31 * i)), 8, '0') || ') attempt=' || i, chr(10) ORDER BY i) || chr(10) AS text
-      FROM (SELECT i, 37000 * i AS micros, make_timestamp(1768478400000000 + 37000 * i) AS moment FROM range(4000) t(i))"""
+      FROM (SELECT user_id, event_id AS i, 37000 * event_id AS micros, make_timestamp(1768478400000000 + 37000 * event_id) AS moment FROM events) GROUP BY user_id"""
     turns = "SELECT conv_id * 1000 + turn AS event_id, CAST(conv_id AS VARCHAR) AS session, turn, repeat('2026-01-01 00:00:00 ' || regexp_replace(text, '\\n+', chr(10), 'g') || chr(10), 5) AS result FROM conversations"
     results = f"SELECT r.*, p.prompt FROM ({turns}) r LEFT JOIN ({lite_prompts(f'SELECT event_id AS id, result AS text FROM ({turns})', 100, 'in/0')}) p ON p.id = r.event_id"
     tool = "CASE event_id % 9 WHEN 0 THEN 'web_fetch' WHEN 1 THEN 'view' WHEN 2 THEN 'powershell' ELSE 'mcp.acme.bash' END"
@@ -380,7 +380,7 @@ def oracle_sql() -> dict[str, str]:
         "pinned_query": "SELECT doc_id, CAST(CASE WHEN contains(text, 'the and') THEN 0 ELSE 1 END AS INTEGER) AS tier FROM documents",
         "pinned_patterns": "SELECT doc_id, CAST(CASE WHEN regexp_matches(text, 'tok[e]n') OR contains(text, '[unclosed') OR contains(text, '### ') THEN 0 ELSE 1 END AS INTEGER) AS tier FROM documents",
         "payload_fields": "SELECT event_id, event_type AS tool, 'success' AS result_type, 'r' || event_id AS result, CASE WHEN event_id % 2 = 0 THEN 'ls ' || event_id ELSE '' END AS command, CASE WHEN event_id % 2 = 1 THEN 'f' || user_id END AS path FROM events",
-        "crash_loop_dedup": f"WITH log AS MATERIALIZED ({crash}) SELECT {tok('l.text')} AS tokens, d.text FROM log l JOIN ({deduplicated('SELECT id, text FROM log')}) d USING (id)",
+        "crash_loop_dedup": f"WITH log AS MATERIALIZED ({crash}) SELECT id AS request_id, {tok('l.text')} AS tokens, d.text FROM log l JOIN ({deduplicated('SELECT id, text FROM log')}) d USING (id)",
         "dedup_runs": f"""SELECT doc_id, CAST(run AS BIGINT) AS run, arg_min(line, line_no) AS line, count(*) AS n FROM (
             SELECT doc_id, line_no, line, sum(fresh) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM (
               SELECT *, CASE WHEN line_no > 0 AND key = lag(key) OVER (PARTITION BY doc_id ORDER BY line_no) THEN 0 ELSE 1 END AS fresh FROM (SELECT *, {template('line')} AS key FROM ({LINES})))) GROUP BY doc_id, run""",

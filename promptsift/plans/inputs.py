@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from promptsift.functions.pinning import CRITICAL, RELEVANT
 from promptsift.schema import as_chunks
+from promptsift.sources.fixtures import crash_line
 
 #: The question that the document requests ask.
 QUERY = "the session and of retry"
@@ -79,6 +80,13 @@ def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_chunks(lines.select(F.col("user_id").alias("request_id"), F.lit(0).alias("pos"), text.alias("text"), F.lit("log").alias("kind"), F.lit("events").alias("source")))
 
 
+def crash_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crash loop for each user (request_id, text), with a line for each of the user's events."""
+    lines = table(spark, sf_dir, "events").select("user_id", F.struct(F.col("event_id").alias("i"), crash_line(F.col("event_id")).alias("line")).alias("row"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda row: row["line"]), "\n")
+    return lines.groupBy(F.col("user_id").cast("string").alias("request_id")).agg(F.concat(text, F.lit("\n")).alias("text"))
+
+
 def order_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON object for each customer with orders: its key, an id to be denied, its orders' keys."""
     orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))

@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def crash_loop(spark: SparkSession, lines: int = 4000) -> DataFrame:
-    """A log of one template: rows (i, line)."""
-    i = F.col("i")
+def crash_line(i: Column) -> Column:
+    """The i-th line of a crash loop; all are of one template."""
     micros = i * 37_000
     seconds = F.timestamp_seconds(F.lit(1768478400) + F.floor(micros / 1_000_000))
     fraction = F.when(micros % 1_000_000 == 0, F.lit("")).otherwise(F.format_string(".%06d", micros % 1_000_000))
     stamp = F.concat(F.date_format(seconds, "yyyy-MM-dd'T'HH:mm:ss"), fraction)
     form = "%sZ payments[%d] ERROR connection refused: upstream postgres unreachable (req=%08x%08x) attempt=%d"
-    return spark.range(lines).select(F.col("id").alias("i")).select("i", F.format_string(form, stamp, 1000 + i % 41, i, i * 31, i).alias("line"))
+    return F.format_string(form, stamp, 1000 + i % 41, i, i * 31, i)
+
+
+def crash_loop(spark: SparkSession, lines: int = 4000) -> DataFrame:
+    """A log of one template: rows (i, line)."""
+    return spark.range(lines).select(F.col("id").alias("i"), crash_line(F.col("id")).alias("line"))
 
 
 def needle_log(spark: SparkSession) -> DataFrame:
