@@ -178,6 +178,17 @@ def prune_by_profile(spark, d):
     return lossless.prune(inputs.profiled_json(spark, d), profiles.profile("azure"), profiles=profiles.PROFILES).select("request_id", "text")
 
 
+def pod_states(spark, d):
+    """Pods by the profile for them: what tells their state stays, the long fields go."""
+    pruned = lossless.prune(inputs.pods(spark, d).withColumn("before", F.length("text")), profiles.profile("k8s"))
+    at = lambda path: F.get_json_object("text", path)
+    state = "$.status.containerStatuses[0]"
+    return pruned.select(
+        "request_id", at("$.metadata.name").alias("name"), at(f"{state}.restartCount").cast("long").alias("restarts"), at(f"{state}.state.waiting.reason").alias("reason"),
+        F.coalesce(at("$.metadata.uid"), at("$.metadata.annotations"), at("$.metadata.managedFields")).isNull().alias("dropped"), (F.length("text") * 10 < F.col("before")).alias("small"),
+    )
+
+
 # ranking
 
 
@@ -547,7 +558,7 @@ def queries() -> dict:
         budget_stage, budget_overflow, assemble_prompts, deferred_footer, deferred_rows, funnel_custom, funnel_lite, funnel_metrics, live_sizes, store_put, store_alive,
         store_retrieve, store_manifest, store_evict, gate_thresholds, gate_commands, gate_reduced, gate_sessions, gate_sessions_days,
         gate_views, gate_guards, tool_answers, pre_tool_answers, judge_lines, judge_answers, eval_suite, eval_compression, ingested_specs,
-        prune_profile, embedder_topk, model_summaries, model_prompts, tool_tokens, store_workspaces, store_after_eviction, log_runs, log_deduplicated, file_blocks, prune_by_profile, budget_fill_all, gate_stream, store_stream, judge_line_answers,
+        prune_profile, embedder_topk, model_summaries, model_prompts, tool_tokens, store_workspaces, store_after_eviction, log_runs, log_deduplicated, file_blocks, prune_by_profile, pod_states, budget_fill_all, gate_stream, store_stream, judge_line_answers,
     )
     return {f.__name__: f for f in chosen}
 

@@ -398,6 +398,7 @@ def oracle_sql() -> dict[str, str]:
         "prune_props": "SELECT CAST(event_id AS VARCHAR) AS request_id, regexp_replace(props, '^\\{\"k\": (.*)\\}$', '{' || chr(10) || ' \"k\": \\1' || chr(10) || '}') AS text FROM events",
         "prune_orders": pruned,
         "prune_profile": pruned,
+        "pod_states": "SELECT CAST(c_custkey AS VARCHAR) AS request_id, 'pod-' || c_custkey AS name, CAST(c_custkey % 50 AS BIGINT) AS restarts, 'CrashLoopBackOff' AS reason, true AS dropped, true AS small FROM customer",
         "term_frequencies": f"SELECT request_id, term, count(DISTINCT pos) AS docs, count(*) AS n FROM (SELECT request_id, pos, unnest({terms('text')}) AS term FROM ({BY_SOURCE})) GROUP BY ALL",
         "tfidf_scores": f"SELECT request_id, pos, round(score, 6) AS score FROM ({query_scores(BY_SOURCE, QUERY)})",
         "relevance_topk": topk(query_scores(f"SELECT * FROM ({BY_SOURCE}) WHERE tier = 1", QUERY), 5, f"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from promptsift.functions.pinning import CRITICAL, RELEVANT
 from promptsift.schema import as_chunks
-from promptsift.sources.fixtures import crash_line
+from promptsift.sources.fixtures import crash_line, pod_text
 
 #: The question that the document requests ask.
 QUERY = "the session and of retry"
@@ -87,6 +87,13 @@ def crash_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy(F.col("user_id").cast("string").alias("request_id")).agg(F.concat(text, F.lit("\n")).alias("text"))
 
 
+def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pod for each customer, restarted as often as the customer's key has it."""
+    key = F.col("c_custkey")
+    text = pod_text(F.concat(F.lit("pod-"), key.cast("string")), key % 50)
+    return as_chunks(table(spark, sf_dir, "customer").select(key.alias("request_id"), F.lit(0).alias("pos"), text.alias("text"), F.lit("json").alias("kind"), F.lit("pods").alias("source")))
+
+
 def order_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON object for each customer with orders: its key, an id to be denied, its orders' keys."""
     orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))

@@ -32,17 +32,22 @@ def needle_log(spark: SparkSession) -> DataFrame:
     return spark.range(4000).select(F.col("id").alias("i")).select("i", F.when(i < 1800, beat).when(i == 1800, fatal).otherwise(retry).alias("line"))
 
 
-def pod_json(spark: SparkSession, request_id: str) -> DataFrame:
-    """One row (request_id, text): a pod whose state stands among long fields that a profile drops."""
+def pod_text(name: Column, restarts: Column) -> Column:
+    """JSON of a pod whose state stands among long fields that a profile drops."""
     waiting = {"reason": "CrashLoopBackOff", "message": "the ledger's container was restarted too often"}
     pod = {
         "kind": "Pod",
         "apiVersion": "v1",
-        "metadata": {"name": "ledger-0", "uid": "0" * 36, "annotations": {f"note-{k}": "a" * 700 for k in range(5)}, "managedFields": [{"manager": "m", "fieldsV1": {"f:status": "b" * 2500}}]},
+        "metadata": {"name": "%s", "uid": "0" * 36, "annotations": {f"note-{k}": "a" * 700 for k in range(5)}, "managedFields": [{"manager": "m", "fieldsV1": {"f:status": "b" * 2500}}]},
         "spec": {"containers": [{"name": "ledger", "image": "ledger:9"}]},
-        "status": {"containerStatuses": [{"name": "ledger", "restartCount": 31, "state": {"waiting": waiting}}]},
+        "status": {"containerStatuses": [{"name": "ledger", "restartCount": "%d", "state": {"waiting": waiting}}]},
     }
-    return spark.createDataFrame([(request_id, json.dumps(pod, indent=2))], "request_id string, text string")
+    return F.format_string(json.dumps(pod, indent=2).replace('"%d"', "%d"), name, restarts)
+
+
+def pod_json(spark: SparkSession, request_id: str) -> DataFrame:
+    """One row (request_id, text): a pod."""
+    return spark.range(1).select(F.lit(request_id).alias("request_id"), pod_text(F.lit("ledger-0"), F.lit(31)).alias("text"))
 
 
 def as_text(lines: DataFrame, request_id: str, end: str = "") -> DataFrame:
