@@ -22,7 +22,7 @@ from promptsift.functions.text import chunk_id, head_of, token_count
 from promptsift.operators.numbering import HUGE, numbered, ranged
 from promptsift.operators.relevance import DIGITS
 from promptsift.schema import CRITICAL, DEFERRED, KEY, is_live, order_keys
-from promptsift.shared import saved
+from promptsift.shared import dealt, saved
 
 MAX_TOKENS = 2000
 #: The least room in tokens for which a chunk's head is worth keeping.
@@ -74,8 +74,7 @@ def filled(chunks: DataFrame, cap: int = MAX_TOKENS, huge: int = HUGE) -> DataFr
 
 
 def _folded(rows: DataFrame, order: list[Column]) -> DataFrame:
-    ordered = rows.repartition("request_id").sortWithinPartitions("request_id", *order)
-    return ordered.select("request_id", "pos", "tokens", "room").mapInArrow(_fill_batches, _FILLED)
+    return dealt(rows, "request_id", *order).select("request_id", "pos", "tokens", "room").mapInArrow(_fill_batches, _FILLED)
 
 
 def filled_by_blocks(rows: DataFrame, block: int = HUGE) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from promptsift.functions import tools
+from promptsift.shared import dealt
 
 NOT_SHOWN = "(not dedupable)"
 #: Sizes of files that are summarised, and of summaries that are worth it.
@@ -140,8 +141,7 @@ def decided(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
             columns = list(zip(*out)) or [()] * len(_SCHEMA)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SCHEMA.types)], schema=_SCHEMA)
 
-    ordered = as_events(events).repartition("session").sortWithinPartitions(*ORDER)
-    return ordered.mapInArrow(run, DECISION)
+    return dealt(as_events(events), *ORDER).mapInArrow(run, DECISION)
 
 
 class Files(MutableMapping):

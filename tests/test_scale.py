@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from promptsift.operators import budget, evals, logs, numbering, store
 from promptsift.schema import ANNOTATIONS, as_chunks
 from promptsift.sources import texts
-from promptsift.streaming import deferred
+from promptsift.streaming import deferred, gate
 
 
 def test_numbered_in_any_way(spark):
@@ -225,3 +225,28 @@ def test_answers_of_lines_are_those_of_texts(spark):
     # the end of a last line isn't a line of its own
     want = {r.case_id: r.answer for r in evals.answers(frame).collect()}
     assert {r.case_id: r.answer.rstrip("\n") for r in got} == {k: v.rstrip("\n") for k, v in want.items()}
+
+
+@pytest.fixture
+def small_broadcasts(spark):
+    """Joins of which adaptive execution broadcasts the small side, and whose other side it reads in a piece for each task that wrote it."""
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "2k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_folds_over_rows_that_a_join_has_dealt(spark, small_broadcasts):
+    """Adaptive execution reads the shuffle of a join that turns out small in pieces; a fold's rows must not be parted by that."""
+    rows = spark.sparkContext.parallelize([("r", k, "x" * (40 + k % 7 * 4)) for k in range(400)], 4).toDF("request_id string, pos long, text string")
+    out = sorted(budget.filled(as_chunks(rows), 2000).collect(), key=lambda r: r.pos)
+    want = [tuple(x) for x in budget.fill((("r", k, 10 + k % 7, 2000) for k in range(400)))]
+    assert [tuple(r) for r in out] == want
+
+
+def test_gate_over_events_that_a_join_has_dealt(spark, small_broadcasts):
+    calls = spark.sparkContext.parallelize([("s", float(k), str(k), "bash", 10) for k in range(400)], 4).toDF("session string, at double, event_id string, tool string, tokens long")
+    known = spark.sparkContext.parallelize([("s", 1)], 2).toDF("session string, n int")
+    out = gate.decided(calls.join(known, "session"), gate.Settings(cumulative=0, ttl=1e9)).orderBy("at").collect()
+    assert [r.total for r in out] == [10 * (k + 1) for k in range(400)]
