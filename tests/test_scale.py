@@ -245,6 +245,13 @@ def test_folds_over_rows_that_a_join_has_dealt(spark, small_broadcasts):
     assert [tuple(r) for r in out] == want
 
 
+def test_budget_over_rows_that_a_join_has_dealt(spark, small_broadcasts):
+    rows = spark.sparkContext.parallelize([("r", k, "x" * (40 + k % 7 * 4)) for k in range(400)], 4).toDF("request_id string, pos long, text string")
+    want = [(pos, place) for _, pos, verdict, _, place in budget.fill((("r", k, 10 + k % 7, 2000) for k in range(400))) if verdict != budget.KEEP]
+    added = budget.budget(as_chunks(rows), 2000).filter("tier = 3").orderBy("pos").collect()
+    assert [(r.pos, r.seq) for r in added] == want
+
+
 def test_gate_over_events_that_a_join_has_dealt(spark, small_broadcasts):
     calls = spark.sparkContext.parallelize([("s", float(k), str(k), "bash", 10) for k in range(400)], 4).toDF("session string, at double, event_id string, tool string, tokens long")
     known = spark.sparkContext.parallelize([("s", 1)], 2).toDF("session string, n int")
