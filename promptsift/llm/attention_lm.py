@@ -176,17 +176,22 @@ class Stream:
         subs_of, sizes = gathered(subwords.starts, subwords.ids, block["tokens"])
         firsts = np.concatenate(([0], np.cumsum(of_word, dtype=np.int64)))
         starts = np.concatenate(([0], np.cumsum(sizes)))[firsts]
-        subs, lengths = gathered(starts, subs_of, self.words)
         # ids of each document, without its start and end
-        bounds = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(self.n_words)))]
-        sizes = np.diff(bounds) + 2
+        ends = np.concatenate(([0], np.cumsum(self.n_words)))
+        sizes = np.diff(np.concatenate(([0], np.cumsum(np.diff(starts).astype(np.int32).take(self.words), dtype=np.int64)))[ends]) + 2
         self.stops = CONTEXT + np.cumsum(sizes)
         self.starts = self.stops - sizes
         n = int(self.stops[-1]) if len(sizes) else CONTEXT
         self.ids = np.full(n, START, np.int32)
         inner = np.ones(n, bool)
         inner[:CONTEXT] = inner[self.starts] = inner[self.stops - 1] = False
-        self.ids[inner] = subs
+        # some documents at a time, so that what is only needed on the way stays small
+        at = 0
+        while at < len(sizes):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + WINDOW, "right")) - 1)
+            here = slice(self.starts[at], self.stops[to - 1])
+            self.ids[here][inner[here]] = gathered(starts, subs_of, self.words[ends[at] : ends[to]])[0]
+            at = to
         self.ids[self.stops - 1] = END
         self.place = np.full(n, CONTEXT, np.uint8)
         self.place[:CONTEXT] = 0
@@ -206,18 +211,29 @@ class Stream:
             yield low, min(low + WINDOW, len(self.ids))
 
 
-def counted(s: Stream) -> Iterator[np.ndarray]:
-    """How often an id follows another, for each table of values; then the ids altogether."""
-    square = SIZE * SIZE
-    for lag in range(1, CONTEXT + 1):
-        ok = s.learns[lag:] & (s.place[lag:] >= lag)
-        for w in range(PLACES if lag == 1 else 1):
-            own = ok & (s.in_word[:-1] == w) if lag == 1 else ok
-            pair = s.ids[:-lag].compress(own)
+def tables() -> list[np.ndarray]:
+    """What counted() adds to: a task has fewer ids than its smallest whole number of 32 bits counts."""
+    return [*(np.zeros(SIZE * SIZE, np.uint32) for _ in range(TABLES)), np.zeros(SIZE, np.int64)]
+
+
+def counted(s: Stream, totals: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """How often an id follows another, for each table of values; then the ids altogether. Added to totals, a window at a time."""
+    totals = tables() if totals is None else totals
+    one = np.uint32(1)
+    for low, high in s.windows():
+        for lag in range(1, CONTEXT + 1):
+            ok = s.learns[low:high] & (s.place[low:high] >= lag)
+            pair = s.ids[low - lag : high - lag].astype(np.intp)
             pair *= SIZE
-            pair += s.ids[lag:].compress(own)
-            yield np.bincount(pair, minlength=square)
-    yield np.bincount(s.ids[s.learns], minlength=SIZE)
+            pair += s.ids[low:high]
+            if lag > 1:
+                np.add.at(totals[PLACES + lag - 2], pair.compress(ok), one)
+                continue
+            in_word = s.in_word[low - 1 : high - 1]
+            for w in range(PLACES):
+                np.add.at(totals[w], pair.compress(ok & (in_word == w)), one)
+    totals[TABLES] += np.bincount(s.ids[s.learns], minlength=SIZE)
+    return totals
 
 
 class Model:
@@ -444,11 +460,16 @@ _GATHER = 1 << 20
 _models: dict[str, Model] = {}
 
 
+def _forget() -> None:
+    """Lets go of what a Python worker keeps of other runs and steps."""
+    _models.clear()
+    tokens_of.cache_clear()
+
+
 def _model(run: str, sums: Broadcast) -> Model:
     """The untrained model of a run, which a Python worker makes once and keeps in place of any other's."""
     if run not in _models:
-        _models.clear()
-        tokens_of.cache_clear()
+        _forget()
         _models[run] = Model(lambda k: _loaded(sums.value[k])["a"] if k in sums.value else None)
     return _models[run]
 
@@ -525,17 +546,13 @@ def scored(docs: DataFrame, path: str) -> DataFrame:
     subwords = spark.sparkContext.broadcast(Subwords(tokens, _loaded(found[0][1])["a"] if found else np.zeros(tokens.size, np.int64)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         totals: list[np.ndarray] = []
         for batch in batches:
             for data in batch.column(0):
-                s = Stream(_loaded(data.as_buffer()), subwords.value)
-                for k, array in enumerate(counted(s)):
-                    if k == len(totals):
-                        # a block has fewer ids than its smallest whole number of 32 bits counts
-                        totals.append(np.zeros(len(array), np.uint32 if k < TABLES else np.int64))
-                    totals[k] += array.astype(totals[k].dtype)
-        for k, array in enumerate(totals):
-            yield _sum_row(k, 1, array)
+                totals = counted(Stream(_loaded(data.as_buffer()), subwords.value), totals or None)
+        while totals:
+            yield _sum_row(len(totals) - 1, 1, totals.pop())
 
     sums = spark.sparkContext.broadcast({k: data for k, (_, data) in _added(blocks.select("data").mapInArrow(count, "part int, n long, data binary")).items()})
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -689,6 +690,16 @@ def test_values_are_counted_distributions():
     assert rows == pytest.approx(np.ones_like(rows), abs=1e-3)
 
 
+def test_counting_takes_little_memory_beside_its_tables():
+    s, _ = model((300_000, 100))
+    totals = attention_lm.tables()
+    tracemalloc.start()
+    attention_lm.counted(s, totals)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(int(t.sum()) for t in totals[: attention_lm.PLACES]) > 300_000 and peak < 4 * attention_lm.SIZE**2
+
+
 def test_every_window_trains_and_training_helps(monkeypatch):
     s, m = model((3000, 2000, 500))
     learns = s.learns.copy()
