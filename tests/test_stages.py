@@ -232,3 +232,13 @@ def test_live_tokens_stay_under_the_cap(spark):
     given = chunks(spark, [{"request_id": str(k % 5), "text": "w" * rng.randint(1, 3000), "relevance": rng.random()} for k in range(60)])
     out = budget.budget(given, 700).filter(f"tier < {DEFERRED} and truncated is null").groupBy("request_id").agg(F.sum(token_count(F.col("text"))).alias("n"))
     assert all(r.n <= 700 for r in out.collect())
+
+
+def test_terms_are_counted_some_texts_at_a_time(monkeypatch):
+    lists = pa.array([["a", "b", "a"], [], None, ["b"] * 9, ["c"], ["a", "c"]])
+    want = [[("a", 2), ("b", 1)], [], [], [("b", 9)], [("c", 1)], [("a", 1), ("c", 1)]]
+    for piece, n in ((100, 1), (4, 3)):
+        monkeypatch.setattr(ranking, "PIECE", piece)
+        parts = list(ranking._count(iter([lists, lists[:0]])))
+        assert len(parts) == n
+        assert [sorted((t["term"], t["count"]) for t in x) for x in pa.chunked_array(parts).to_pylist()] == want
