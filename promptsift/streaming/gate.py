@@ -13,6 +13,7 @@ the result isn't looked at; see ``tools.guard``).
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator, MutableMapping
 from dataclasses import dataclass, field
@@ -37,7 +38,8 @@ ORDER = ("session", "at", "tool", "tokens", "event_id")
 DECISION = "event_id string, session string, at double, tool string, tokens long, verdict string, reason string, total long, views long, nudged boolean, file string"
 #: What the state store holds of a session: its totals, its next timer, the files that it has seen, and events that the watermark hasn't passed.
 TOTALS, TIMER, FILE, SUMMARY = "updated_at double, total long, views long, nudged boolean", "at long", "path string", "summary string"
-HELD = ", ".join(f"{c} {t}" for c, t in EVENT.items())
+#: Up to PACK events as JSON, so that a session costs a few rows of the state store in a batch, not one for each event.
+HELD, PACK = "events string", 1000
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -172,6 +174,11 @@ class Files(MutableMapping):
         self.state.clear()
 
 
+def _packed(events: list[tuple]) -> list[tuple[str]]:
+    """Rows of HELD."""
+    return [(json.dumps(events[k : k + PACK]),) for k in range(0, len(events), PACK)]
+
+
 def _place(event: tuple) -> tuple:
     """Sorts a session's events as ORDER does: nulls first."""
     by_name = dict(zip(EVENT, event))
@@ -191,7 +198,7 @@ class Sessions(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         found = [tuple(r[c] for c in EVENT) for r in rows]
-        self.held.appendList(found)
+        self.held.appendList(_packed(found))
         self._wake_at(min(_due(e) for e in found))
         return iter(())
 
@@ -199,7 +206,7 @@ class Sessions(StatefulProcessor):
         if self.timer.exists() and self.timer.get()[0] == expiredTimerInfo.getExpiryTimeInMs():
             self.timer.clear()
         now = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(self.held.get(), key=_place) if self.held.exists() else []
+        waiting = sorted((e for (text,) in self.held.get() for e in json.loads(text)), key=_place) if self.held.exists() else []
         ready = [e for e in waiting if _due(e) <= now]
         totals = self.totals.get() if self.totals.exists() else (float("-inf"), 0, 0, False)
         state = Session(*totals, Files(self.files))
@@ -209,7 +216,7 @@ class Sessions(StatefulProcessor):
             rows.append(Row(**dict(zip(_SCHEMA.names, row))))
         waiting = waiting[len(ready) :]
         if ready:
-            self.held.put(waiting) if waiting else self.held.clear()
+            self.held.put(_packed(waiting)) if waiting else self.held.clear()
         gone = int((state.updated_at + self.settings.ttl) * 1000) + 1 if state.updated_at > float("-inf") else now
         if not waiting and gone <= now:
             for each in (self.totals, self.files, self.held):

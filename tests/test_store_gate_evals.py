@@ -121,6 +121,17 @@ def test_shuffled_stream_and_batch_agree(spark, tmp_path):
     assert sorted(map(str, got)) == sorted(map(str, batch.collect())) and {r.file for r in got} > {gate.SHOWN, gate.SHOWN_BEFORE}
 
 
+def test_waiting_events_are_few_rows(spark, tmp_path, monkeypatch):
+    assert [len(json.loads(text)) for (text,) in gate._packed([("s", 1.5, None)] * 2500)] == [1000, 1000, 500] and gate._packed([]) == []
+    schema = calls(spark).schema
+    rows = [("s", 1.0 + k, "bash", 1, None, None, None) for k in range(400)]
+    micro_batches(spark, tmp_path, rows, schema, 2)
+    query, got = streamed(spark, tmp_path, "waiting", "1000 seconds")
+    assert [r.total for r in sorted(got, key=lambda r: r.at) if r.session == "s"] == list(range(1, 401))
+    # the first batch's 200 events, which wait, in place of 200 rows
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 12
+
+
 def test_stream_drops_old_sessions(spark, tmp_path):
     schema = calls(spark).schema
     for k, (session, at) in enumerate([("a", 1.0), ("b", 10_000.0), ("b", 20_000.0), ("b", 30_000.0)]):
