@@ -1,7 +1,9 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import asked, chunks
@@ -242,3 +244,14 @@ def test_terms_are_counted_some_texts_at_a_time(monkeypatch):
         parts = list(ranking._count(iter([lists, lists[:0]])))
         assert len(parts) == n
         assert [sorted((t["term"], t["count"]) for t in x) for x in pa.chunked_array(parts).to_pylist()] == want
+
+
+def test_counting_holds_little_beside_a_batch():
+    lists = pa.ListArray.from_arrays(np.arange(0, 1_000_001, 500, dtype=np.int32), np.random.default_rng(4).integers(0, 1 << 40, 1_000_000))
+    tracemalloc.start()
+    try:
+        n = sum(len(found) for found in ranking._count(iter([lists])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 2000 and most < 2 * lists.nbytes
